@@ -1 +1,8 @@
 """DataFrame operators for tables of vectors and for the event streams that feed them."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors", "candidates", "relaxation")
+MODULES = ("vectors", "candidates", "relaxation", "diagnosis")
 
 
 def load_catalog():

@@ -55,8 +55,7 @@ DAMPED = f"""{TARGET}, o AS (SELECT vec_id, label, 3 * d AS r0 FROM s),
 
 
 def stretched(spark, sf, factor=3.0):
-    return with_target(spark, sf).withColumn("x", F.zip_with(vec.doubles("x"), vec.doubles("q"),
-                                                            lambda a, b: b + (a - b) * factor))
+    return with_target(spark, sf).withColumn("x", vec.between("q", "x", F.lit(factor)))
 
 
 @query("f2_damped", f"""WITH {DAMPED} SELECT vec_id, steps, converged, {r('r0', 'r0')},
@@ -76,8 +75,7 @@ SIN = f"""{TARGET}, o AS (SELECT vec_id, label, (1 + 4 * (label % 2)) * d AS r0
 def waved(spark, sf):
     """Odd labels start five times as far out, where the sin field traps them on a ring."""
     factor = F.lit(1.0) + 4.0 * (F.col("label") % 2)
-    return with_target(spark, sf).withColumn("x", F.zip_with(vec.doubles("x"), vec.doubles("q"),
-                                                            lambda a, b: b + (a - b) * factor))
+    return with_target(spark, sf).withColumn("x", vec.between("q", "x", factor))
 
 
 @query("f2_sin", f"""WITH RECURSIVE {SIN} SELECT vec_id, max(step) AS steps, min(r) FILTER (WHERE step > 0) < 1e-3 AS converged,
@@ -124,9 +122,9 @@ def _(spark, sf):
         min(step) FILTER (WHERE step > 0 AND step % 10 = 0 AND abs(rho - prev) <= 1e-4) AS fix FROM mark GROUP BY vec_id),
     fin AS (SELECT vec_id, CASE WHEN hit IS NOT NULL AND (fix IS NULL OR hit <= fix) THEN 'attractor_reached'
         WHEN fix IS NOT NULL THEN 'fixed_point' ELSE 'timeout' END AS termination,
-        CASE WHEN hit IS NOT NULL AND (fix IS NULL OR hit <= fix) THEN hit WHEN fix IS NOT NULL THEN fix ELSE 200 END AS at FROM stop)
-    SELECT vec_id, termination, ceil(at / 10.0)::BIGINT AS iterations, {r('rho', 'rho')} FROM fin JOIN mark USING (vec_id)
-    WHERE mark.step = fin.at""")
+        CASE WHEN hit IS NOT NULL AND (fix IS NULL OR hit <= fix) THEN hit WHEN fix IS NOT NULL THEN fix ELSE 200 END AS stop_at FROM stop)
+    SELECT vec_id, termination, ceil(stop_at / 10.0)::BIGINT AS iterations, {r('rho', 'rho')} FROM fin JOIN mark USING (vec_id)
+    WHERE mark.step = fin.stop_at""")
 def _(spark, sf):
     df = with_target(spark, sf).withColumn("r0", vec.l2("x", "q")).select("vec_id", "r0")
     return flow.recursive(df, "r0", max_iterations=20, inner_steps=10).select("vec_id", "termination", "iterations", "rho")

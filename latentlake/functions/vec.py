@@ -20,6 +20,14 @@ def c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row.
+
+    Inside a lambda a plain column expression would be computed again for every element; a lambda variable is not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def doubles(x) -> Column:
     return c(x).cast("array<double>")
 
@@ -46,8 +54,9 @@ def l2(a, b) -> Column:
 
 def cosine(a, b) -> Column:
     """Cosine distance; 1.0 when either side has no direction."""
-    na, nb = norm(a), norm(b)
-    return F.when((na < EPS) | (nb < EPS), F.lit(1.0)).otherwise(1.0 - dot(a, b) / (na * nb))
+    parts = F.struct(norm(a).alias("na"), norm(b).alias("nb"), dot(a, b).alias("ab"))
+    return let(parts, lambda p: F.when((p["na"] < EPS) | (p["nb"] < EPS), F.lit(1.0))
+               .otherwise(1.0 - p["ab"] / (p["na"] * p["nb"])))
 
 
 def distance(a, b, metric: str = "l2") -> Column:
@@ -79,7 +88,7 @@ def truncate(a, k: int) -> Column:
 
 
 def scale(a, factor) -> Column:
-    return F.transform(doubles(a), lambda v: v * factor)
+    return let(c(factor), lambda f: F.transform(doubles(a), lambda v: v * f))
 
 
 def add(a, b) -> Column:
@@ -97,7 +106,12 @@ def analogy(a, b, target) -> Column:
 
 def interpolate(a, b, t) -> Column:
     """a at t=0, b at t=1."""
-    return F.zip_with(doubles(a), doubles(b), lambda x, y: x * (1.0 - t) + y * t)
+    return between(a, b, F.lit(t) if isinstance(t, (int, float)) else t)
+
+
+def between(a, b, part: Column) -> Column:
+    """a + part * (b - a)"""
+    return let(part, lambda p: F.zip_with(doubles(a), doubles(b), lambda x, y: x + (y - x) * p))
 
 
 def constant(d: int, value: float) -> Column:
@@ -120,8 +134,7 @@ def project(a, rows) -> Column:
 
 def subspace_residual(a, rows) -> Column:
     """Distance from a to the span of orthonormal literal rows."""
-    p = project(a, rows)
-    return F.sqrt(F.greatest(F.lit(0.0), dot(a, a) - dot(p, p)))
+    return let(project(a, rows), lambda p: F.sqrt(F.greatest(F.lit(0.0), dot(a, a) - dot(p, p))))
 
 
 def mean_vector(x, weight=None) -> Column:
@@ -130,10 +143,6 @@ def mean_vector(x, weight=None) -> Column:
     return vector_to_array(Summarizer.mean(v, c(weight)) if weight is not None else Summarizer.mean(v))
 
 
-def mean_scalar(x, weight) -> Column:
-    return F.sum(c(x) * c(weight)) / F.sum(c(weight))
-
-
 def r6(x) -> Column:
     """Round to six places and drop the sign of zero, for stable comparison."""
     return F.round(c(x), 6) + F.lit(0.0)

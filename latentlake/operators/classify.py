@@ -91,11 +91,12 @@ def nearest_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, k
 
     def two_best(left, right, same):
         d = pairwise(matrix(left.column("_x")), matrix(right.column("_x")))
-        keys = np.array(right.column("_key").to_pylist(), dtype=object)
-        order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(keys)), d.shape), d), axis=1)[:, :2]
-        r = np.repeat(np.arange(len(d)), order.shape[1])
-        return pa.table({"_id": pa.array(ints(left.column("_id"))[r].astype(np.int64)),
-                         "d": pa.array(d[r, order.reshape(-1)]), "key": pa.array(keys[order.reshape(-1)].tolist())})
+        keys = right.column("_key")
+        rank = np.argsort(np.argsort(np.array(keys.to_pylist(), dtype=object)))
+        order = np.lexsort((np.broadcast_to(rank, d.shape), d), axis=1)[:, :2]
+        r, at = np.repeat(np.arange(len(d)), order.shape[1]), order.reshape(-1)
+        return pa.table({"_id": pa.array(ints(left.column("_id"))[r].astype(np.int64)), "d": pa.array(d[r, at]),
+                         "key": keys.take(pa.array(at))})
 
     part = on_pairs(tasked, ["_all"], two_best, f"_id long, d double, key {key_type}")
     best = part.groupBy("_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "key"))), 1, 2).alias("b"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentlake.functions.vec import EPS, c, doubles, l2, mean_vector
+from latentlake.functions.vec import EPS, between, c, doubles, l2, let, mean_vector, scale, sub
 from latentlake.operators.kernels import matrix, vectors
 from latentlake.plans.runtime import join_groups, materialize
 
@@ -47,9 +47,8 @@ def gain(field: str, r: Column) -> Column:
 
 def field_vector(field: str, x, q) -> Column:
     """The field itself: direction to the target times the gain."""
-    r = l2(x, q)
-    factor = F.when(r < EPS, F.lit(0.0)).otherwise(gain(field, r) / F.greatest(r, F.lit(EPS)))
-    return F.zip_with(doubles(x), doubles(q), lambda a, b: (b - a) * factor)
+    factor = let(l2(x, q), lambda r: F.when(r < EPS, F.lit(0.0)).otherwise(gain(field, r) / F.greatest(r, F.lit(EPS))))
+    return scale(sub(q, x), factor)
 
 
 def radius_at(field: str, r0, k, epsilon: float) -> Column:
@@ -135,9 +134,7 @@ def relax(df: DataFrame, x: str, q: str, field: str = "normalize", epsilon: floa
     else:
         out = relax_by_steps(out, "r0", field, epsilon, tol, max_steps)
     if final:
-        part = F.when(F.col("r0") < EPS, F.lit(1.0)).otherwise(F.col("r_final") / F.col("r0"))
-        out = out.withColumn("_p", part).withColumn(
-            "x_final", F.zip_with(doubles(x), doubles(q), lambda a, b: b + (a - b) * F.col("_p"))).drop("_p")
+        out = out.withColumn("x_final", path_at(x, q, "r0", "r_final"))
     return out
 
 
@@ -174,7 +171,7 @@ def trace(df: DataFrame, keys: list[str], r0: str, field: str = "normalize", eps
 def path_at(x, q, r0, drift) -> Column:
     """Position on the way to the target at a given distance from it."""
     part = F.when(c(r0) < EPS, F.lit(1.0)).otherwise(c(drift) / c(r0))
-    return F.zip_with(doubles(x), doubles(q), lambda a, b: b + (a - b) * part)
+    return between(q, x, part)
 
 
 def recursive(df: DataFrame, r0: str, field: str = "normalize", epsilon: float = 0.1, tol: float = 1e-3,
@@ -228,18 +225,17 @@ def coupled(df: DataFrame, group: str, vec_id: str, x: str, q: str, field: str =
     check_parameters(epsilon, tol, max_steps)
     state = df.select(group, vec_id, doubles(x).alias("x"), doubles(q).alias("q"))
     for step in range(1, max_steps + 1):
-        r = l2("x", "q")
-        move = F.least(F.abs(epsilon * gain(field, F.col("_r"))), F.lit(1.0)) * F.signum(gain(field, F.col("_r")))
-        state = state.withColumn("_r", r).withColumn(
-            "_k", F.when(F.col("_r") < EPS, F.lit(0.0)).otherwise(move / F.col("_r")))
-        state = state.withColumn("x", F.zip_with("x", "q", lambda a, b: a + (b - a) * F.col("_k"))).withColumn("d", r)
-        state = state.drop("_r", "_k")
+        def part(r):
+            g = gain(field, r)
+            return F.when(r < EPS, F.lit(0.0)).otherwise(F.least(F.abs(epsilon * g), F.lit(1.0)) * F.signum(g) / r)
+
+        state = state.withColumn("x", between("x", "q", let(l2("x", "q"), part))).withColumn("d", l2("x", "q"))
         # exp(-d) only sets relative weights; the group's best distance cancels out of the weighted mean
         best = state.groupBy(group).agg(F.min("d").alias("_best"), F.max("d").alias("_worst"))
         weighed = join_groups(state, best, group).withColumn("_w", F.exp(F.col("_best") - F.col("d")))
         mean = weighed.groupBy(group).agg(mean_vector("x", "_w").alias("_c"), F.max("_worst").alias("_far"))
         joined = join_groups(state, mean, group)
-        state = joined.withColumn("x", F.zip_with("x", "_c", lambda a, b: a + (b - a) * coupling)) \
+        state = joined.withColumn("x", between("x", "_c", F.lit(coupling))) \
             .select(group, vec_id, "x", "q", "_far")
         if step % fix_every == 0 or step == max_steps:
             state = materialize(state)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentlake.functions.vec import c, dot, doubles, l2, norm, scale, subspace_residual, vec_literal
+from latentlake.functions.vec import c, dot, doubles, l2, let, norm, scale, subspace_residual, vec_literal
 from latentlake.operators.classify import ReferenceSet, with_distances
 from latentlake.operators.flow import MAX_DIM, check_parameters
 
@@ -35,18 +35,23 @@ def finite_rule(x) -> Column:
 
 def norm_rule(x, max_norm: float = 10.0) -> Column:
     """Rule struct for vectors longer than max_norm: shorten to max_norm."""
-    n = norm(x)
-    over = n > max_norm
-    said = F.when(over, F.format_string("norm=%.2f > " + str(max_norm), n)).otherwise(F.format_string("norm=%.2f ok", n))
-    return F.struct((~over).alias("ok"), said.alias("diagnosis"), F.when(over, scale(x, max_norm / n)).alias("correction"))
+    def rule(n):
+        over = n > max_norm
+        said = F.when(over, F.format_string("norm=%.2f > " + str(max_norm), n)).otherwise(F.format_string("norm=%.2f ok", n))
+        return F.struct((~over).alias("ok"), said.alias("diagnosis"), F.when(over, scale(x, max_norm / n)).alias("correction"))
+
+    return let(norm(x), rule)
 
 
 def memory_norm_rule(x, h, max_norm: float = 10.0, max_memory_norm: float = 50.0) -> Column:
     """Rule struct on a vector and its memory: shorten the vector, else damp it by 0.9 if the memory is too long."""
-    n, m = norm(x), F.coalesce(norm(h), F.lit(0.0))
-    fix = F.when(n > max_norm, scale(x, max_norm / n)).when(m > max_memory_norm, scale(x, F.lit(0.9)))
-    said = F.when(n > max_norm, F.lit("state norm")).when(m > max_memory_norm, F.lit("memory norm")).otherwise(F.lit("ok"))
-    return F.struct(fix.isNull().alias("ok"), said.alias("diagnosis"), fix.alias("correction"))
+    def rule(p):
+        long_state, long_memory = p["n"] > max_norm, p["m"] > max_memory_norm
+        fix = F.when(long_state, scale(x, max_norm / p["n"])).when(long_memory, scale(x, F.lit(0.9)))
+        said = F.when(long_state, F.lit("state norm")).when(long_memory, F.lit("memory norm")).otherwise(F.lit("ok"))
+        return F.struct((~long_state & ~long_memory).alias("ok"), said.alias("diagnosis"), fix.alias("correction"))
+
+    return let(F.struct(norm(x).alias("n"), F.coalesce(norm(h), F.lit(0.0)).alias("m")), rule)
 
 
 def audit(df: DataFrame, vec_id: str, x: str, rule: Column, interval: int = 1, max_corrections: int | None = None,
@@ -104,8 +109,7 @@ def constraint(x, kind: str, slack: float = 2.0, target=None, radius: float = 0.
     if kind == "orthogonality":
         return F.abs(dot(x, vec_literal(reference))) <= tolerance * slack
     if kind == "norm_bound":
-        n = norm(x)
-        return (n >= lower / slack) & (n <= upper * slack)
+        return let(norm(x), lambda n: (n >= lower / slack) & (n <= upper * slack))
     if kind == "subspace":
         return subspace_residual(x, basis) <= tolerance * slack
     return F.lit(False)
