@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors", "candidates", "relaxation", "diagnosis")
+MODULES = ("vectors", "candidates", "relaxation", "diagnosis", "pairwork")
 
 
 def load_catalog():

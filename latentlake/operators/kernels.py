@@ -30,9 +30,15 @@ def ints(column) -> np.ndarray:
 
 
 def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All L2 distances between two blocks through one matrix product."""
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    """All L2 distances between two blocks through one matrix product; near pairs, where that loses digits, directly."""
+    na, nb = (a * a).sum(1), (b * b).sum(1)
+    sq = np.maximum(na[:, None] + nb[None, :] - 2.0 * (a @ b.T), 0.0)
+    if sq.size:
+        i, j = np.nonzero(sq < 1e-6 * (na.max() + nb.max()))
+        for s in range(0, len(i), 65536):
+            r, c = i[s:s + 65536], j[s:s + 65536]
+            sq[r, c] = ((a[r] - b[c]) ** 2).sum(1)
+    return np.sqrt(sq)
 
 
 def spanning_forest(w: np.ndarray):
