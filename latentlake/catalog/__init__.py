@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors", "candidates", "relaxation", "diagnosis", "pairwork")
+MODULES = ("vectors", "candidates", "relaxation", "diagnosis", "pairwork", "reducing", "files", "composed")
 
 
 def load_catalog():
