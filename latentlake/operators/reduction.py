@@ -171,7 +171,8 @@ def landmark_embedding(far: DataFrame, sources: list[int], k: int) -> DataFrame:
     order = np.argsort(values)[::-1][:k]
     values, axes = np.maximum(values[order], 0.0), axes[:, order]
     root = np.sqrt(values)
-    place = np.where(root > 1e-9, axes / np.where(root > 1e-9, root, 1.0), 0.0)
+    real = root > 1e-6 * max(root.max(), 1e-12)  # directions without spread carry only rounding noise
+    place = np.where(real, axes / np.where(real, root, 1.0), 0.0)
     if place.shape[1] < k:
         place = np.hstack([place, np.zeros((len(sources), k - place.shape[1]))])
     mean = sq.mean(0)

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentlake.functions.vec import c, doubles
+from latentlake.functions.vec import c, doubles, let
 
 # Keys under which a JSON object may hold its rows, in order of preference
 ROW_KEYS = ("data", "states", "points", "rows", "values")
 QUOTE_AWARE_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Fixed value: what counts as a number in a text cell
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(?i:inf|infinity|nan)$"
 
 
 def cells(line) -> Column:
     """Cells of one delimited line, trimmed and without quotes."""
-    return F.transform(F.split(c(line), QUOTE_AWARE_COMMA), lambda v: F.trim(F.regexp_replace(F.trim(v), '^"|"$', "")))
+    line = c(line)
+    quoted = F.transform(F.split(line, QUOTE_AWARE_COMMA), lambda v: F.trim(F.regexp_replace(F.trim(v), '^"|"$', "")))
+    return F.when(line.contains('"'), quoted).otherwise(F.transform(F.split(line, ","), lambda v: F.trim(v)))
+
+
+def number(cell: Column) -> Column:
+    """A cell's value, null unless it is a number. Testing first is far cheaper than failing casts."""
+    return F.when(cell.rlike(NUMBER), cell.try_cast("double"))
 
 
 def vectors_from_cells(df: DataFrame, cell_column: str, mode: str = "compact", name: str = "x") -> DataFrame:
@@ -23,13 +32,14 @@ def vectors_from_cells(df: DataFrame, cell_column: str, mode: str = "compact", n
     compact: cells that are blank or not numeric are dropped (later cells move left), rows left empty disappear, short
     rows are filled with 0 up to the longest. strict: such cells become null, and ``ok`` is False for their rows.
     """
-    numbers = F.transform(F.col(cell_column), lambda v: v.try_cast("double"))
     if mode == "strict":
-        out = df.withColumn(name, numbers)
+        out = df.withColumn(name, F.transform(F.col(cell_column), number))
         return out.withColumn("ok", ~F.exists(name, lambda v: v.isNull()))
     if mode != "compact":
         raise ValueError("mode is 'compact' or 'strict'")
-    out = df.withColumn(name, F.filter(numbers, lambda v: v.isNotNull())).where(F.size(name) > 0)
+    kept = F.transform(F.filter(F.col(cell_column), lambda v: v.rlike(NUMBER)), lambda v: v.try_cast("double"))
+    # a row without numbers yields no element here; unlike a filter on the result this parses every row once
+    out = df.select("*", F.inline(let(kept, lambda x: F.when(F.size(x) > 0, F.array(F.struct(x.alias(name)))))))
     width = out.agg(F.max(F.size(name))).first()[0] or 0
     return out.withColumn(name, pad(name, width))
 
@@ -51,17 +61,30 @@ def read_csv_vectors(spark: SparkSession, path: str, header: bool = True, mode:
     return vectors_from_cells(raw, "_cells", mode).drop("_cells")
 
 
+NUMBER_TYPES = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
 def _numbers(values: Column) -> Column:
     """Numeric members of an array of variants, in order. Booleans and strings are not numbers."""
-    kind = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
-    kept = F.filter(values, lambda v: F.schema_of_variant(v).rlike(kind))
+    kept = F.filter(values, lambda v: F.schema_of_variant(v).rlike(NUMBER_TYPES))
     return F.transform(kept, lambda v: F.try_variant_get(v, "$", "double"))
 
 
-def _is(text: Column, what: str) -> Column:
-    """Whether the first element of a JSON list is of a kind."""
-    first = F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), "$[0]", "variant"))
-    return first.startswith(what)
+def _list_rows(text: Column) -> Column:
+    """Rows of a JSON list, by the kind of its first element."""
+    def by_kind(members: Column) -> Column:
+        kind = F.schema_of_variant(F.get(members, F.lit(0)))
+        return (F.when(F.size(members) == 0, F.array().cast("array<array<double>>"))
+                .when(kind.startswith("ARRAY"), F.transform(members, lambda m: _numbers(F.try_variant_get(m, "$", "array<variant>"))))
+                .when(kind.startswith("OBJECT"), F.transform(F.from_json(text, "array<map<string,variant>>"),
+                                                             lambda m: _numbers(F.map_values(m))))
+                .otherwise(F.array(_numbers(members))))
+
+    return let(F.from_json(text, "array<variant>"), by_kind)
+
+
+def _object_row(text: Column) -> Column:
+    return F.array(_numbers(F.map_values(F.from_json(text, "map<string,variant>"))))
 
 
 def json_rows(text) -> Column:
@@ -70,21 +93,16 @@ def json_rows(text) -> Column:
     List of numbers: one row. List of lists: one row each. List of objects: the numeric values of each in the order
     written. Object: what stands under the first of ROW_KEYS, else its values. Scalar: one row of one number.
     """
-    text = c(text)
-    under = F.coalesce(*[F.get_json_object(text, f"$.{k}") for k in ROW_KEYS])
-    is_object = F.ltrim(text).startswith("{")
-    values = F.map_values(F.from_json(text, "map<string,variant>"))
-    inner = F.when(is_object, under).otherwise(text)
-    flat = F.from_json(inner, "array<variant>")
-    return (F.when(is_object & under.isNull(), F.array(_numbers(values)))
-            .when(F.ltrim(inner).startswith("["),
-                  F.when(F.size(flat) == 0, F.array().cast("array<array<double>>"))
-                  .when(_is(inner, "ARRAY"), F.transform(F.from_json(inner, "array<array<variant>>"), _numbers))
-                  .when(_is(inner, "OBJECT"), F.transform(F.from_json(inner, "array<map<string,variant>>"),
-                                                          lambda m: _numbers(F.map_values(m))))
-                  .otherwise(F.array(_numbers(flat))))
-            .when(F.ltrim(inner).startswith("{"), F.array(_numbers(F.map_values(F.from_json(inner, "map<string,variant>")))))
-            .otherwise(F.array(F.array(inner.try_cast("double")))))
+    def by_shape(t: Column) -> Column:
+        return (F.when(t.startswith("["), _list_rows(t)).when(t.startswith("{"), _object_row(t))
+                .otherwise(F.array(F.array(number(F.trim(t))))))
+
+    def by_key(t: Column) -> Column:
+        under = F.coalesce(*[F.get_json_object(t, f"$.{k}") for k in ROW_KEYS])
+        return F.when(t.startswith("{"), let(under, lambda u: F.when(u.isNull(), _object_row(t)).otherwise(by_shape(F.ltrim(u))))) \
+            .otherwise(by_shape(t))
+
+    return let(F.ltrim(c(text)), by_key)
 
 
 def vectors_from_json(df: DataFrame, text: str, doc: str, name: str = "x") -> DataFrame:
