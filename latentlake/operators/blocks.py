@@ -42,36 +42,44 @@ def first_members(df: DataFrame, vec_id: str, x: str, keep: int) -> DataFrame:
         F.min(vec_id).alias(vec_id), F.sort_array(F.collect_list(vec_id)).alias("ids"))
 
 
-def choose_pivots(df: DataFrame, vec_id: str, x: str, cell_rows: int = CELL_ROWS) -> np.ndarray:
-    """A deterministic spread of at most MAX_PIVOTS reference vectors."""
+def choose_pivots(df: DataFrame, vec_id: str, x: str, cell_rows: int = CELL_ROWS) -> tuple[list[int], np.ndarray]:
+    """A deterministic spread of at most MAX_PIVOTS rows to build cells around: their ids and vectors."""
     want = max(1, min(MAX_PIVOTS, math.ceil(df.count() / cell_rows)))
-    rows = df.orderBy(F.xxhash64(vec_id), vec_id).limit(want).select(x).collect()
-    return np.array([list(r[0]) for r in rows], dtype=np.float64)
+    rows = df.orderBy(F.xxhash64(vec_id), vec_id).limit(want).select(vec_id, x).collect()
+    return [r[0] for r in rows], np.array([list(r[1]) for r in rows], dtype=np.float64)
 
 
-def metric_cells(df: DataFrame, x: str, pivots: np.ndarray, radius: float | None) -> DataFrame:
-    """Add ``_cell``, ``_home`` and ``_reach`` (distance to the cell's pivot).
+def metric_cells(df: DataFrame, x: str, pivots: np.ndarray, radius: float | None, core: bool = False) -> DataFrame:
+    """Add ``_cell``, ``_home``, ``_core`` and ``_reach`` (distance to the cell's pivot).
 
-    Each row appears once in its home cell. With a radius it also visits every later cell whose points can lie within
-    the radius: a partner y at home in p has d(x,p) <= d(x,home) + 2 radius. Visiting only later cells finds each
-    cross-cell pair exactly once.
+    Each row appears once in its home cell, that of its nearest pivot. With a radius it also visits every later cell
+    whose points can lie within the radius: a partner y at home in p has d(x,p) <= d(x,nearest) + 2 radius. Visiting only
+    later cells finds each cross-cell pair exactly once.
+
+    With ``core``, a row within half the radius of some pivot belongs to the first such pivot's core instead. Rows of one
+    core are all within the radius of each other, so they need no comparing, however many they are; a partner in a core
+    has d(x,p) <= 1.5 radius.
     """
     cols = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("_cell", T.LongType()), T.StructField("_home", T.BooleanType()),
-                           T.StructField("_reach", T.DoubleType())])
+                           T.StructField("_core", T.BooleanType()), T.StructField("_reach", T.DoubleType())])
 
     def assign(batches):
         for b in batches:
             if b.num_rows == 0:
                 continue
             d = pairwise(matrix(b.column(x)), pivots)
-            home = d.argmin(1)
-            own = d[np.arange(len(d)), home]
-            at = np.arange(len(d))
+            near, home, at = d.min(1), d.argmin(1), np.arange(len(d))
+            inner = np.zeros(len(d), bool)
+            if core:
+                close = d <= radius / 2 - SLACK
+                inner = close.any(1)
+                home = np.where(inner, close.argmax(1), home)
             rows, cells, is_home = [at], [home], [np.ones(len(d), bool)]
             if radius is not None and len(pivots) > 1:
-                visit = (d <= (own + 2 * radius + SLACK)[:, None]) & (np.arange(len(pivots))[None, :] > home[:, None])
-                r, p = np.nonzero(visit)
+                reach = near + 2 * radius
+                visit = d <= (np.maximum(reach, 1.5 * radius) if core else reach)[:, None] + SLACK
+                r, p = np.nonzero(visit & (np.arange(len(pivots))[None, :] > home[:, None]))
                 rows.append(r), cells.append(p), is_home.append(np.zeros(len(r), bool))
             r, p, h = np.concatenate(rows), np.concatenate(cells), np.concatenate(is_home)
             for s in range(0, len(r), 4096):
@@ -79,7 +87,8 @@ def metric_cells(df: DataFrame, x: str, pivots: np.ndarray, radius: float | None
                 t = b.take(pa.array(r[part]))
                 yield pa.RecordBatch.from_arrays(
                     [*[t.column(c) for c in cols], pa.array(p[part].astype(np.int64)), pa.array(h[part]),
-                     pa.array(d[r[part], p[part]])], names=[*cols, "_cell", "_home", "_reach"])
+                     pa.array(inner[r[part]] & h[part]), pa.array(d[r[part], p[part]])],
+                    names=[*cols, "_cell", "_home", "_core", "_reach"])
 
     return df.mapInArrow(assign, schema)
 
@@ -88,26 +97,31 @@ def pair_tasks(rows: DataFrame, cell: list[str], vec_id: str, block_rows: int =
                within: bool = True) -> DataFrame:
     """Send every row to the block pairs of its cell: adds ``_i``, ``_j`` (the task) and ``_side`` (the row's block).
 
-    Home rows meet each other (unless ``within`` is False) and the cell's visitors; visitors do not meet each other.
+    Home rows meet each other (unless ``within`` is False), the cell's core rows (if it has a ``_core`` column) and its
+    visitors. Core rows and visitors meet, but neither meet their own kind.
     """
-    counts = rows.groupBy(*cell).agg(F.count_if("_home").alias("_h"), F.count_if(~F.col("_home")).alias("_v"))
-    counts = counts.select(*cell, F.ceil(F.col("_h") / block_rows).cast("int").alias("_nh"),
-                           F.ceil(F.col("_v") / block_rows).cast("int").alias("_nv")).where("_nh > 0")
+    inner = F.coalesce(F.col("_core"), F.lit(False)) if "_core" in rows.columns else F.lit(False)
+    size = lambda cond: F.ceil(F.count_if(cond) / block_rows).cast("int")
+    counts = rows.groupBy(*cell).agg(size(F.col("_home") & ~inner).alias("_nh"), size(F.col("_home") & inner).alias("_nc"),
+                                     size(~F.col("_home")).alias("_nv")).where("_nh + _nc > 0")
     rows = join_groups(rows, counts, cell)
-    spread = F.xxhash64(vec_id)
-    side = F.when(F.col("_home"), F.pmod(spread, F.col("_nh"))).otherwise(
-        F.col("_nh") + F.pmod(spread, F.greatest(F.col("_nv"), F.lit(1)))).cast("int")
-    rows = rows.withColumn("_side", side)
-    homes = F.transform(F.sequence(F.lit(0), F.col("_nh") - 1),
-                        lambda j: F.struct(F.least(j, F.col("_side")).alias("i"), F.greatest(j, F.col("_side")).alias("j")))
-    guests = F.transform(F.sequence(F.lit(0), F.greatest(F.col("_nv") - 1, F.lit(0))),
-                         lambda k: F.struct(F.col("_side").alias("i"), (F.col("_nh") + k).alias("j")))
-    visit = F.transform(F.sequence(F.lit(0), F.col("_nh") - 1),
-                        lambda i: F.struct(i.alias("i"), F.col("_side").alias("j")))
-    met = F.when(F.col("_nv") > 0, F.concat(homes, guests)).otherwise(homes) if within else F.when(F.col("_nv") > 0, guests)
-    todo = F.when(F.col("_home"), met).otherwise(visit)
+    nh, nc, nv = F.col("_nh"), F.col("_nc"), F.col("_nv")
+    spread = lambda n: F.pmod(F.xxhash64(vec_id), F.greatest(n, F.lit(1)))
+    side = F.when(~F.col("_home"), nh + nc + spread(nv)).when(inner, nh + spread(nc)).otherwise(spread(nh))
+    rows = rows.withColumn("_side", side.cast("int"))
+    me = F.col("_side")
+    none = F.array().cast("array<struct<i:int,j:int>>")
+
+    def meet(first, n):
+        """This row's tasks with the n blocks from ``first`` on; a task is named by the smaller block, then the larger."""
+        pair = lambda k: F.struct(F.least(k, me).alias("i"), F.greatest(k, me).alias("j"))
+        return F.when(n > 0, F.transform(F.sequence(first, first + n - 1), pair)).otherwise(none)
+
+    zero = F.lit(0)
+    todo = (F.when(~F.col("_home"), meet(zero, nh + nc)).when(inner, F.concat(meet(zero, nh), meet(nh + nc, nv)))
+            .otherwise(F.concat(meet(zero, nh) if within else none, meet(nh, nc + nv))))
     return rows.withColumn("_t", F.explode(todo)).select(
-        *[c for c in rows.columns if c not in ("_nh", "_nv")], F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j"))
+        *[c for c in rows.columns if c not in ("_nh", "_nc", "_nv")], F.col("_t.i").alias("_i"), F.col("_t.j").alias("_j"))
 
 
 def on_pairs(tasked: DataFrame, cell: list[str], kernel, schema: str) -> DataFrame:
@@ -152,11 +166,8 @@ def similar_pairs(df: DataFrame, vec_id: str, x: str, tau: float, carry: list[st
     return on_pairs(tasked, ["_cell"], kernel, schema)
 
 
-def radius_tasks(df: DataFrame, vec_id: str, x: str, radius: float | None, cell_rows: int = CELL_ROWS,
+def radius_tasks(df: DataFrame, vec_id: str, x: str, radius: float, cell_rows: int = CELL_ROWS,
                  block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Block pairs that cover every pair within the radius; with no radius, every pair (all rows in one cell)."""
-    if radius is None:
-        cells = df.withColumn("_cell", F.lit(0).cast("long")).withColumn("_home", F.lit(True))
-    else:
-        cells = metric_cells(df, x, choose_pivots(df, vec_id, x, cell_rows), radius).drop("_reach")
-    return pair_tasks(cells, ["_cell"], vec_id, block_rows)
+    """Block pairs that cover every pair within the radius."""
+    cells = metric_cells(df, x, choose_pivots(df, vec_id, x, cell_rows)[1], radius)
+    return pair_tasks(cells.drop("_reach", "_core"), ["_cell"], vec_id, block_rows)

@@ -216,33 +216,33 @@ def recursive(df: DataFrame, r0: str, field: str = "normalize", epsilon: float =
 
 
 def coupled(df: DataFrame, group: str, vec_id: str, x: str, q: str, field: str = "normalize", epsilon: float = 0.1,
-            tol: float = 1e-3, max_steps: int = 500, coupling: float = 0.05, fix_every: int = 5) -> DataFrame:
+            tol: float = 1e-3, max_steps: int = 500, coupling: float = 0.05, fix_every: int = 3) -> DataFrame:
     """Relaxation in which every step also draws each row toward its group's softmax-weighted centroid.
 
-    Each round needs the group's centroid, so rounds are separate jobs over the whole table; group sums are built before
-    the shuffle. The state is written out every ``fix_every`` rounds and once all rows are within tol the loop ends.
+    Each round needs the groups' centroids, so it is one aggregation over the whole table, built up before the shuffle,
+    and one join. The weights are relative, so the group's best distance of the round before serves as their shift. The
+    state is written out every ``fix_every`` rounds; the loop ends once all rows are within tol.
     """
     check_parameters(epsilon, tol, max_steps)
+
+    def part(r):
+        g = gain(field, r)
+        return F.when(r < EPS, F.lit(0.0)).otherwise(F.least(F.abs(epsilon * g), F.lit(1.0)) * F.signum(g) / r)
+
     state = df.select(group, vec_id, doubles(x).alias("x"), doubles(q).alias("q"))
+    best = state.groupBy(group).agg(F.min(l2("x", "q")).alias("_best"))
+    state = join_groups(state, best, group)
     for step in range(1, max_steps + 1):
-        def part(r):
-            g = gain(field, r)
-            return F.when(r < EPS, F.lit(0.0)).otherwise(F.least(F.abs(epsilon * g), F.lit(1.0)) * F.signum(g) / r)
-
         state = state.withColumn("x", between("x", "q", let(l2("x", "q"), part))).withColumn("d", l2("x", "q"))
-        # exp(-d) only sets relative weights; the group's best distance cancels out of the weighted mean
-        best = state.groupBy(group).agg(F.min("d").alias("_best"), F.max("d").alias("_worst"))
-        weighed = join_groups(state, best, group).withColumn("_w", F.exp(F.col("_best") - F.col("d")))
-        mean = weighed.groupBy(group).agg(mean_vector("x", "_w").alias("_c"), F.max("_worst").alias("_far"))
-        joined = join_groups(state, mean, group)
-        state = joined.withColumn("x", between("x", "_c", F.lit(coupling))) \
-            .select(group, vec_id, "x", "q", "_far")
-        if step % fix_every == 0 or step == max_steps:
+        mean = materialize(state.withColumn("_w", F.exp(F.col("_best") - F.col("d"))).groupBy(group).agg(
+            mean_vector("x", "_w").alias("_c"), F.min("d").alias("_next"), F.max("d").alias("_far")))
+        state = join_groups(state, mean.drop("_far"), group, row_bytes=8 * 1024, fixed=True).select(
+            group, vec_id, between("x", "_c", F.lit(coupling)).alias("x"), "q", F.col("_next").alias("_best"))
+        if (mean.agg(F.max("_far")).first()[0] or 0.0) < tol:
+            break
+        if step % fix_every == 0:
             state = materialize(state)
-            if (state.agg(F.max("_far")).first()[0] or 0.0) < tol:
-                break
-        state = state.drop("_far")
-    return state.drop("_far").withColumn("d", l2("x", "q"))
+    return state.drop("_best").withColumn("d", l2("x", "q"))
 
 
 def flow_with(df: DataFrame, x: str, q: str, fn, epsilon: float = 0.1, tol: float = 1e-3, max_steps: int = 1000) -> DataFrame:

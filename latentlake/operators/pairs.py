@@ -60,8 +60,8 @@ def nearest_neighbours(df: DataFrame, vec_id: str, x: str, k: int = 12, cell_row
     reps = materialize(first_members(df.select(vec_id, x), vec_id, x, k + 1))
     n = df.count()
     k = min(k, n - 1)
-    pivots = choose_pivots(reps, vec_id, x, cell_rows)
-    cells = metric_cells(reps.select(vec_id, x), x, pivots, None)
+    _, pivots = choose_pivots(reps, vec_id, x, cell_rows)
+    cells = metric_cells(reps.select(vec_id, x), x, pivots, None).drop("_core")
     tasked = pair_tasks(cells, ["_cell"], vec_id, block_rows)
     schema = "a long, b long, d double"
     near = on_pairs(tasked, ["_cell"], _nearest_kernel(vec_id, x, k, True), schema)
@@ -213,12 +213,19 @@ def merge_near(df: DataFrame, group: str, vec_id: str, x: str, d: str = "d", tau
     """Merge rows of a group that have nearly the same distance to the target and lie close to each other.
 
     Rows linked directly or through others form one cluster; the strongest row stays (smallest id on ties) and gives up
-    the amplitude of the others. Order of rows plays no part. Tasks return at most one link per row.
+    the amplitude of the others. Order of rows plays no part. Copies are linked without comparing; tasks return at most
+    one link per row.
     """
-    reach = tau * df.select(F.size(x)).first()[0] if reach is None else reach
     base = materialize(df)
+    if reach is None:
+        some = base.select(F.size(x)).first()
+        reach = tau * some[0] if some else 0.0
     band = F.floor(F.col("_d") / tau)
     slim = base.select(group, vec_id, doubles(x).alias("_x"), F.col(d).alias("_d"))
+    reps = materialize(slim.groupBy(group, "_x").agg(F.min(vec_id).alias(vec_id), F.min("_d").alias("_d")))
+    stars = slim.select(group, "_x", F.col(vec_id).alias("a")).join(
+        reps.select(group, "_x", F.col(vec_id).alias("b")), [group, "_x"]).where("a <> b").select("a", "b")
+    slim = reps.select(group, vec_id, "_x", "_d")
     rows = slim.withColumn("_band", band).withColumn("_home", F.lit(True))
     rows = rows.unionByName(slim.withColumn("_band", band + 1).withColumn("_home", F.lit(False)))
 
@@ -236,7 +243,7 @@ def merge_near(df: DataFrame, group: str, vec_id: str, x: str, d: str = "d", tau
 
     cell = [group, "_band"]
     edges = on_pairs(pair_tasks(rows, cell, vec_id, block_rows), cell, links, "a long, b long")
-    found = components(edges.select("a", "b"), "a", "b")
+    found = components(edges.unionByName(stars), "a", "b")
     tagged = base.join(found.withColumnRenamed("node", vec_id), vec_id, "left").withColumn(
         "cluster", F.coalesce("component", vec_id)).drop("component")
     best = tagged.groupBy("cluster").agg(

@@ -39,19 +39,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Materialise df, count it, and mark it for broadcast only if it is proven small."""
-    fixed = materialize(df)
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES, fixed: bool = False) -> DataFrame:
+    """Materialise df (unless it is already ``fixed``), count it, and mark it for broadcast only if it is proven small."""
+    fixed = df if fixed else materialize(df)
     return F.broadcast(fixed) if fixed.count() * row_bytes <= limit else fixed
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, on, row_bytes: int = 64, how: str = "inner",
-                limit: int = BROADCAST_BYTES) -> DataFrame:
+                limit: int = BROADCAST_BYTES, fixed: bool = False) -> DataFrame:
     """Attach a per-group table to its rows.
 
     Few groups: the rows are not shuffled at all. Many groups: shuffle join, hot groups split by the adaptive planner.
     """
-    return rows.join(broadcast_if_small(groups, row_bytes, limit), on, how)
+    return rows.join(broadcast_if_small(groups, row_bytes, limit, fixed), on, how)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -37,10 +37,11 @@ def vectors_from_cells(df: DataFrame, cell_column: str, mode: str = "compact", n
         return out.withColumn("ok", ~F.exists(name, lambda v: v.isNull()))
     if mode != "compact":
         raise ValueError("mode is 'compact' or 'strict'")
-    kept = F.transform(F.filter(F.col(cell_column), lambda v: v.rlike(NUMBER)), lambda v: v.try_cast("double"))
+    numeric = F.filter(F.col(cell_column), lambda v: v.rlike(NUMBER))
+    kept = F.transform(numeric, lambda v: v.try_cast("double"))
+    width = df.agg(F.max(F.size(numeric))).first()[0] or 0
     # a row without numbers yields no element here; unlike a filter on the result this parses every row once
     out = df.select("*", F.inline(let(kept, lambda x: F.when(F.size(x) > 0, F.array(F.struct(x.alias(name)))))))
-    width = out.agg(F.max(F.size(name))).first()[0] or 0
     return out.withColumn(name, pad(name, width))
 
 

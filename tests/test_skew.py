@@ -113,6 +113,23 @@ def test_shape_counts_copies(spark, cloud):
         assert len(comp) == len(cloud) and len({r.component for r in comp}) == parts
 
 
+def test_a_dense_core_is_not_compared_with_itself(spark):
+    """A third of the rows lie almost on one point: they form one core, and their pairs are counted, not visited."""
+    rng = np.random.default_rng(11)
+    m = rng.standard_normal((150, 4))
+    m[50:100] = m[50] + rng.standard_normal((50, 4)) * 1e-3
+    _, pivots = blocks.choose_pivots(vectors(spark, m), "vec_id", "x", 30)
+    cells = blocks.metric_cells(vectors(spark, m), "x", pivots, 0.8, core=True)
+    tasked = blocks.pair_tasks(cells, ["_cell"], "vec_id", 8)
+    met = tasked.where("_core").groupBy("_cell", "_i", "_j").agg(F.countDistinct("_side").alias("s"))
+    assert cells.where("_core").count() >= 50 and met.where("s > 1 OR _i = _j").count() == 0
+    a, b = np.nonzero(np.triu(brute(m) <= 0.8, 1))
+    nodes, root, _ = join_sets(a, b)
+    for cell, block in ((10**6, 1024), (30, 8), (5, 3)):
+        got = graph.shape_at(vectors(spark, m), "vec_id", "x", 0.8, cell, block).first()
+        assert (got.edges, got.components) == (len(a), 150 - len(nodes) + len(set(root.tolist())))
+
+
 def test_filtration_counts(spark, cloud):
     alphas = [0.05, 0.2, 0.5, 1.0]
     d = brute(cloud) / brute(cloud).max()
