@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from latentlake.catalog.base import (D, E, MEANS, TARGET, exploded, label_means, label_references, long_form, query, r, states,
-                                     with_target)
+from latentlake.catalog.base import D, E, MEANS, TARGET, exploded, label_means, label_references, long_form, query, r, states, with_target
 from latentlake.functions import vec
 from latentlake.operators import quality as rules
-from latentlake.operators.classify import reference_set
 from latentlake.plans.runtime import join_groups
 
 
@@ -173,7 +171,7 @@ def _(spark, sf):
 def _(spark, sf):
     refs = label_references(spark, sf)
     s, w = [0.5 + 0.1 * k for k in refs.keys], [0.4 + 0.05 * k for k in refs.keys]
-    out = rules.potential(states(spark, sf), "x", refs, s, w, gradient=True)
+    out = rules.potential(states(spark, sf), "x", refs, s, w)
     return out.select("vec_id", "potential", F.col("gradient")[0].alias("g_first"), F.col("gradient")[D - 1].alias("g_last"))
 
 

@@ -31,15 +31,15 @@ def _slices(df: DataFrame, keys: list[str], order: list[str], n: int | None = No
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, str | None]],
-            limit: int = ROWS_PER_TASK) -> DataFrame:
+            limit: int = ROWS_PER_TASK, largest: int | None = None) -> DataFrame:
     """Running aggregates per key up to and including the current row.
 
     ``aggs`` maps an output column to (``count`` | ``sum`` | ``min`` | ``max``, input column). ``order`` must be a total
-    order within a key.
+    order within a key. ``largest`` is the size of the largest key where the caller knows it already.
     """
     fn = {"count": lambda col: F.count(F.lit(1)), "sum": F.sum, "min": F.min, "max": F.max}
     merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
-    if largest_group(df, keys) <= limit:
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: fn[kind](col).over(w) for out, (kind, col) in aggs.items()})
 
@@ -58,23 +58,25 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tu
         .drop("_slice", *[f"_b_{out}" for out in aggs])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn", limit: int = ROWS_PER_TASK) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn", limit: int = ROWS_PER_TASK,
+             largest: int | None = None) -> DataFrame:
     """1-based position of every row within its key."""
-    return running(df, keys, order, {name: ("count", None)}, limit)
+    return running(df, keys, order, {name: ("count", None)}, limit, largest)
 
 
 def windows(df: DataFrame, keys: list[str], order: list[str], build: Callable[[DataFrame, list[str], list[str]], DataFrame],
-            before: int = 0, after: int = 0, limit: int = ROWS_PER_TASK) -> DataFrame:
+            before: int = 0, after: int = 0, limit: int = ROWS_PER_TASK, largest: int | None = None) -> DataFrame:
     """Apply fixed-reach window expressions (lag, lead, rolling frames) per key.
 
     ``build(df, partition_columns, order_columns)`` adds the window columns and must look at most ``before`` rows back
     and ``after`` rows ahead. Keys over the bound are cut into chunks of consecutive rows; each chunk also receives the
     rows within reach of its edges, which are dropped again after the window.
     """
-    if largest_group(df, keys) <= limit:
+    largest = largest_group(df, keys) if largest is None else largest
+    if largest <= limit:
         return build(df, keys, order)
     size = max(limit, before, after, 1)
-    rows = numbered(df, keys, order, "_rn", limit)
+    rows = numbered(df, keys, order, "_rn", limit, largest)
     own = F.floor((F.col("_rn") - 1) / size)
     first = F.floor((F.col("_rn") - 1 - after) / size)
     last = F.floor((F.col("_rn") - 1 + before) / size)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latentlake.functions.vec import c, dot, doubles, l2, let, norm, scale, subspace_residual, vec_literal
 from latentlake.operators.classify import ReferenceSet, with_distances
 from latentlake.operators.flow import MAX_DIM, check_parameters
+from latentlake.operators.kernels import matrix, pairwise, vectors
 
 INF = float("inf")
 
@@ -136,23 +140,22 @@ def balance(df: DataFrame, x: str, refs: ReferenceSet, first: int = 0, second: i
                             "mean_distance": F.aggregate("_d", F.lit(0.0), lambda s, v: s + v) / F.size("_d")}).drop("_d")
 
 
-def potential(df: DataFrame, x: str, centers: ReferenceSet, strengths: list[float], widths: list[float],
-              gradient: bool = False) -> DataFrame:
-    """Value (and gradient) of a sum of Gaussian wells."""
-    out = with_distances(df, x, centers, "_d")
-    terms = [F.lit(float(s)) * F.exp(-F.pow(F.col("_d")[i], 2) / (2.0 * w * w)) for i, (s, w) in
-             enumerate(zip(strengths, widths))]
-    out = out.withColumn("potential", -sum(terms[1:], terms[0]))
-    if gradient:
-        pulls = [t / (w * w) for t, w in zip(terms, widths)]
-        out = out.withColumn("_p", F.array(*pulls))
-        flat = [vec_literal(p) for p in centers.points]
-        whole = F.aggregate("_p", F.lit(0.0), lambda s, v: s + v)
-        mixed = scale(flat[0], F.col("_p")[0])
-        for i in range(1, len(flat)):
-            mixed = F.zip_with(mixed, scale(flat[i], F.col("_p")[i]), lambda a, b: a + b)
-        out = out.withColumn("gradient", F.zip_with(scale(x, whole), mixed, lambda a, b: a - b)).drop("_p")
-    return out.drop("_d")
+def potential(df: DataFrame, x: str, centers: ReferenceSet, strengths: list[float], widths: list[float]) -> DataFrame:
+    """Add value (``potential``) and ``gradient`` of a sum of Gaussian wells."""
+    points, s, w2 = centers.points, np.array(strengths, dtype=float), np.array(widths, dtype=float) ** 2
+    schema = T.StructType([*df.schema.fields, T.StructField("potential", T.DoubleType()),
+                           T.StructField("gradient", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                m = matrix(b.column(x))
+                e = s * np.exp(-pairwise(m, points) ** 2 / (2 * w2))
+                pull = e / w2
+                grad = pull.sum(1)[:, None] * m - pull @ points
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(-e.sum(1)), vectors(grad)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def gate(rows: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
 from latentlake.operators.kernels import ints
-from latentlake.operators.ordered import ROWS_PER_TASK, numbered, windows
+from latentlake.operators.ordered import ROWS_PER_TASK, largest_group, numbered, windows
 from latentlake.plans.runtime import join_groups
 
 MAX_GRID = 1024
@@ -29,13 +29,14 @@ def decode_ranks(df: DataFrame, route: list[str], value: str, item: str, limit:
 
 def segments(df: DataFrame, route: list[str], order: list[str], px: str, py: str, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Consecutive points of each closed route: (route, idx, n, px, py, qx, qy); the last segment returns to the start."""
+    largest = largest_group(df, route)
     rows = numbered(df.select(*route, *order, F.col(px).cast("double").alias("px"), F.col(py).cast("double").alias("py")),
-                    route, order, "idx", limit)
+                    route, order, "idx", limit, largest)
 
     def build(part_rows, part, by):
         return part_rows.withColumn("_next", F.lead(F.struct("px", "py")).over(Window.partitionBy(*part).orderBy(*by)))
 
-    rows = windows(rows, route, ["idx"], build, after=1, limit=limit)
+    rows = windows(rows, route, ["idx"], build, after=1, limit=limit, largest=largest)
     ends = rows.groupBy(*route).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("px", "py"), "idx").alias("_start"))
     rows = join_groups(rows, ends, route).withColumn("_next", F.coalesce("_next", "_start"))
     return rows.select(*route, (F.col("idx") - 1).alias("idx"), "n", "px", "py", F.col("_next.px").alias("qx"),

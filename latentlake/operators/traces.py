@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentlake.functions.vec import l2
-from latentlake.operators.ordered import ROWS_PER_TASK, numbered, top_rows, windows
+from latentlake.operators.ordered import ROWS_PER_TASK, largest_group, numbered, top_rows, windows
 
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 10,
@@ -33,14 +33,15 @@ def stall(df: DataFrame, keys: list[str], order: list[str], value: str, width: i
           limit: int = ROWS_PER_TASK) -> DataFrame:
     """Per key: trace length L and stall step: 0 for short traces, else the first position from which ``width`` values
     bring less than 1e-6 of improvement, else L."""
-    rows = numbered(df, keys, order, "_pos", limit)
+    largest = largest_group(df, keys)
+    rows = numbered(df, keys, order, "_pos", limit, largest)
 
     def build(part_rows, part, by):
         w = Window.partitionBy(*part).orderBy(*by)
         return part_rows.withColumns({"_ahead": F.lead(value, width - 1).over(w), "_more": F.lead("_pos", width).over(w)})
 
     flat = (F.col(value) - F.col("_ahead") < 1e-6) & F.col("_more").isNotNull()
-    out = windows(rows, keys, ["_pos"], build, after=width, limit=limit)
+    out = windows(rows, keys, ["_pos"], build, after=width, limit=limit, largest=largest)
     return out.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("length"), F.min(F.when(flat, F.col("_pos") - 1)).alias("_first"),
         F.max(F.struct("_pos", value)).getField(value).alias("final")).select(

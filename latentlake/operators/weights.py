@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latentlake.functions.vec import mean_vector
 from latentlake.operators.ordered import numbered, top_rows
-from latentlake.plans.runtime import join_groups
+from latentlake.plans.runtime import join_groups, materialize
 
 
 def uniform(df: DataFrame, group: str, w: str = "w") -> DataFrame:
@@ -21,10 +21,20 @@ def normalize(df: DataFrame, group: str, w: str = "w") -> DataFrame:
     return join_groups(df, sums, group).withColumn(w, F.col(w) / F.col("_sum")).drop("_sum")
 
 
+SAFE_EXPONENT = 600.0
+
+
 def softmax(df: DataFrame, group: str, d: str, w: str = "w") -> DataFrame:
-    """Weights from distances: closer rows weigh more. Shifted by the group's best distance, so nothing underflows."""
-    best = df.groupBy(group).agg(F.min(d).alias("_best"))
-    return normalize(join_groups(df, best, group).withColumn(w, F.exp(F.col("_best") - F.col(d))).drop("_best"), group, w)
+    """Weights from distances: closer rows weigh more.
+
+    One aggregation serves all groups whose best distance is small enough for plain exponentials. Only if some group
+    lies farther out, weights are shifted by the group's best distance first, which takes a second one.
+    """
+    sums = materialize(df.groupBy(group).agg(F.min(d).alias("_best"), F.sum(F.exp(-F.col(d))).alias("_sum")))
+    if (sums.agg(F.max("_best")).first()[0] or 0.0) <= SAFE_EXPONENT:
+        return join_groups(df, sums.drop("_best"), group, fixed=True).withColumn(w, F.exp(-F.col(d)) / F.col("_sum")).drop("_sum")
+    shifted = join_groups(df, sums.drop("_sum"), group, fixed=True).withColumn(w, F.exp(F.col("_best") - F.col(d)))
+    return normalize(shifted.drop("_best"), group, w)
 
 
 def entropy(w: str = "w"):
