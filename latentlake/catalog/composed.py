@@ -141,7 +141,27 @@ def readouts(df):
     return df.select("user_id", "event_id", "status", F.col("y")[0].alias("y1"), F.col("y")[1].alias("y2"))
 
 
-@query("r1_memory_table")
+def literal(m) -> str:
+    return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in m) + "]"
+
+
+W_IN, W_RES, W_OUT = (literal(m) for m in MEM.matrices())
+ZERO = "[" + ", ".join(["0.0::DOUBLE"] * 8) + "]"
+READOUTS = f"""WITH RECURSIVE k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,
+        [value / 100, len(event_type) / 10.0::DOUBLE] AS f, CASE WHEN event_type = 'error' THEN 'reset'
+        WHEN event_type = 'signup' AND value > 80 THEN 'commit' ELSE 'step' END AS kind FROM events),
+    w AS (SELECT {W_IN} AS wi, {W_RES} AS wr, {W_OUT} AS wo),
+    m AS (SELECT user_id, 0::BIGINT AS pos, NULL::BIGINT AS event_id, {ZERO} AS before, {ZERO} AS h, false AS closed, '' AS status FROM k WHERE pos = 1
+        UNION ALL
+        SELECT k.user_id, k.pos, k.event_id, m.h, CASE WHEN m.closed OR kind <> 'step' THEN {ZERO} ELSE list_transform(range(1, 9), lambda i:
+            0.7 * m.h[i] + 0.3 * tanh(list_dot_product(wi[i], f) + list_dot_product(wr[i], m.h))) END, m.closed OR kind = 'commit',
+            CASE WHEN m.closed THEN 'rejected' WHEN kind = 'commit' THEN 'committed' ELSE kind END
+        FROM m JOIN k ON k.user_id = m.user_id AND k.pos = m.pos + 1, w),
+    o AS (SELECT user_id, event_id, status, CASE status WHEN 'committed' THEN before ELSE h END AS h, status IN ('step', 'committed') AS told FROM m WHERE pos > 0)
+    SELECT user_id, event_id, status, {r('CASE WHEN told THEN list_dot_product(wo[1], h) END', 'y1')}, {r('CASE WHEN told THEN list_dot_product(wo[2], h) END', 'y2')} FROM o, w"""
+
+
+@query("r1_memory_table", READOUTS)
 def _(spark, sf):
     df = fed(table(spark, sf, "events")).withColumn("x", F.array("f1", "f2"))
     return readouts(memory.remember(df, "user_id", ORDER, "event_id", "x", MEM, "kind"))
@@ -152,7 +172,7 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query("r1_memory_stream")
+@query("r1_memory_stream", READOUTS)
 def _(spark, sf):
     """The same memory run as a stream; its rows equal those of r1_memory_table."""
     path = scratch_path(spark, "readouts")

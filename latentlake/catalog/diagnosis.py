@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from latentlake.catalog.base import D, E, TARGET, WEIGHTED, query, r, states, table, with_target
-from latentlake.catalog.relaxation import NORMALIZE, relaxed, waved
+from latentlake.catalog.base import E, TARGET, query, r, states, table, with_target
+from latentlake.catalog.relaxation import NORMALIZE, SIN, relaxed, waved
 from latentlake.functions import vec
 from latentlake.operators import flow, ordered, routes, stats, traces, weights
 from latentlake.operators.commit import commit_once, decide
@@ -31,9 +31,7 @@ def _(spark, sf):
     return out.select("user_id", "n", "n_stable", F.col("first.event_id").alias("first_event"))
 
 
-LOWS = """v AS (SELECT user_id, row_number() OVER o AS pos, min(value) OVER o AS low FROM events
-        WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
-    len AS (SELECT user_id, count(*) AS length, arg_max(low, pos) AS final FROM v GROUP BY user_id),
+DIAGNOSE = """len AS (SELECT user_id, count(*) AS length, arg_max(low, pos) AS final FROM v GROUP BY user_id),
     a AS (SELECT v.*, lead(low, 49) OVER o AS ahead, lead(pos, 50) OVER o AS more FROM v WINDOW o AS (PARTITION BY user_id ORDER BY pos)),
     st AS (SELECT user_id, min(pos - 1) FILTER (WHERE low - ahead < 1e-6 AND more IS NOT NULL) AS first FROM a GROUP BY user_id),
     stall AS (SELECT len.*, CASE WHEN length < 50 THEN 0 ELSE coalesce(first, length) END AS stall_step FROM len JOIN st USING (user_id)),
@@ -45,6 +43,8 @@ LOWS = """v AS (SELECT user_id, row_number() OVER o AS pos, min(value) OVER o AS
     diag AS (SELECT stall.*, spread, CASE WHEN length < 10 THEN 'plateau' WHEN n > 5 AND turns > deltas * 0.4 THEN 'saddle_oscillation'
         WHEN n > 2 AND spread < 0.01 THEN 'local_minimum' WHEN stall_step > 0 AND stall_step < length * 0.8 THEN 'boundary_stall'
         ELSE 'plateau' END AS trap_type FROM stall JOIN sh USING (user_id))"""
+LOWS = f"""v AS (SELECT user_id, row_number() OVER o AS pos, min(value) OVER o AS low FROM events
+        WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)), {DIAGNOSE}"""
 
 
 @query("w2_stall_step", f"WITH {LOWS} SELECT user_id, length, {r('final', 'final')}, stall_step FROM stall")
@@ -57,7 +57,8 @@ def _(spark, sf):
     return traces.traps(lows(spark, sf), ["user_id"], ORDER, "low")
 
 
-@query("w3_trap_of_flow")
+@query("w3_trap_of_flow", f"""WITH RECURSIVE {SIN}, v AS (SELECT vec_id AS user_id, step AS pos, r AS low FROM loop WHERE step > 0), {DIAGNOSE}
+    SELECT label, trap_type, count(*) AS n, {r('avg(final)', 'mean_final')} FROM diag JOIN s ON vec_id = user_id GROUP BY label, trap_type""")
 def _(spark, sf):
     """Sin-field traces: odd labels start beyond the ring on which the field holds them."""
     df = waved(spark, sf).withColumn("r0", vec.l2("x", "q"))

@@ -107,7 +107,21 @@ def _(spark, sf):
     return graph.filtration(squeezed_pair(spark, sf), "vec_id", ["x", "z"], ALPHAS).select("x", "alpha", "edges")
 
 
-@query("g4_divergence")
+@query("g4_divergence", f"""WITH RECURSIVE {E}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS dx,
+        list_distance(a.x[1:16], b.x[1:16]) AS dz FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    s AS (SELECT 'x' AS m, a, b, dx / (SELECT max(dx) FROM p) AS d FROM p UNION ALL SELECT 'z', a, b, dz / (SELECT max(dz) FROM p) FROM p),
+    al AS (SELECT unnest({ALPHAS!r}::DOUBLE[]) AS alpha),
+    ed AS (SELECT m, alpha, a, b FROM s JOIN al ON d <= alpha),
+    c(m, alpha, node, component) USING KEY (m, alpha, node) AS (
+        SELECT m, alpha, vec_id AS node, vec_id AS component FROM e, al, (VALUES ('x'), ('z')) v(m)
+        UNION
+        SELECT c.m, c.alpha, ed.b, min(c.component) FROM c JOIN ed ON ed.m = c.m AND ed.alpha = c.alpha AND ed.a = c.node
+        JOIN recurring.c o ON o.m = c.m AND o.alpha = c.alpha AND o.node = ed.b WHERE c.component < o.component GROUP BY c.m, c.alpha, ed.b),
+    n AS (SELECT m, alpha, count(DISTINCT component) AS parts FROM c GROUP BY m, alpha),
+    k AS (SELECT m, alpha, count(*) // 2 AS edges FROM ed GROUP BY m, alpha),
+    f AS (SELECT n.m, n.alpha, parts, greatest(0, coalesce(edges, 0) - (SELECT count(*) FROM e) + parts) AS cycles FROM n LEFT JOIN k USING (m, alpha))
+    SELECT {r('sqrt(sum(pow(u.parts - v.parts, 2) + pow(u.cycles - v.cycles, 2)) / 40)', 'divergence')} FROM f u JOIN f v
+    ON u.alpha = v.alpha AND u.m = 'x' AND v.m = 'z'""")
 def _(spark, sf):
     """Divergence between the full vectors and their first 16 components."""
     return graph.divergence(graph.filtration(squeezed_pair(spark, sf), "vec_id", ["x", "z"], ALPHAS), "x", "z")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from latentlake.catalog.base import (D, TARGET, exploded, label_references, long_form, query, r, states, with_target)
+from latentlake.catalog.base import D, MEANS, TARGET, label_references, query, r, states, with_target
 from latentlake.functions import vec
 from latentlake.operators import classify, flow
 
@@ -130,7 +130,20 @@ def _(spark, sf):
     return flow.recursive(df, "r0", max_iterations=20, inner_steps=10).select("vec_id", "termination", "iterations", "rho")
 
 
-@query("f6_coupled")
+def coupled_steps(n: int) -> str:
+    """SQL: n coupled steps, one after the other."""
+    out = ["k0 AS (SELECT label, vec_id, x, q FROM s)"]
+    for i in range(n):
+        out += [f"""m{i} AS (SELECT *, list_transform(range(1, {D + 1}), lambda i: x[i] + (q[i] - x[i]) * 0.1 / list_distance(x, q)) AS y FROM k{i})""",
+                f"""c{i} AS (SELECT label, list(v ORDER BY i) AS c FROM (SELECT label, i, sum(exp(-list_distance(y, q)) * y[i])
+                    / sum(exp(-list_distance(y, q))) AS v FROM m{i}, unnest(range(1, {D + 1})) t(i) GROUP BY label, i) GROUP BY label)""",
+                f"""k{i + 1} AS (SELECT label, vec_id, list_transform(range(1, {D + 1}), lambda i: y[i] + 0.05 * (c[i] - y[i])) AS x, q
+                    FROM m{i} JOIN c{i} USING (label))"""]
+    return ", ".join(out)
+
+
+@query("f6_coupled", f"""WITH {TARGET}, {coupled_steps(5)} SELECT k5.label, count(*) AS n, {r('avg(list_distance(k5.x, k5.q))', 'coupled_drift')},
+    {r('avg(greatest(0.0, s.d - 0.5))', 'plain_drift')} FROM k5 JOIN s USING (vec_id) GROUP BY k5.label""")
 def _(spark, sf):
     """After coupled steps every label is tighter around its target than the plain relaxation leaves it."""
     out = flow.coupled(with_target(spark, sf), "label", "vec_id", "x", "q", max_steps=5)
@@ -139,7 +152,14 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("coupled_drift"), F.avg("r_final").alias("plain_drift"))
 
 
-@query("f7_competition_flow")
+@query("f7_competition_flow", f"""WITH RECURSIVE {MEANS}, al AS (SELECT list(q ORDER BY label) AS a FROM means),
+    loop AS (SELECT vec_id, 0 AS step, x, list_transform(a, lambda p: list_distance(x, p)) AS ds FROM e, al UNION ALL
+        SELECT vec_id, step + 1, y, list_transform(a, lambda p: list_distance(y, p)) FROM (
+            SELECT vec_id, step, a, list_transform(range(1, {D + 1}), lambda i: x[i] + 0.1 * list_sum(list_transform(range(1, 11),
+                lambda k: (a[k][i] - x[i]) / ds[k])) / 10) AS y FROM loop, al WHERE step < 25 AND list_min(ds) >= 0.01)),
+    f AS (SELECT vec_id, max(step) AS steps, arg_max(ds, step) AS ds FROM loop GROUP BY vec_id),
+    v AS (SELECT vec_id, steps, list_position(ds, list_min(ds)) - 1 AS winner, list_sort(ds)[1] AS d1, list_sort(ds)[2] AS d2 FROM f)
+    SELECT vec_id, winner, {r('d1', 'd1')}, {r('d2 - d1', 'margin')}, {r('greatest(0.0, 1 - d1 / d2)', 'certainty')}, d2 - d1 < 0.01 AS contested, steps FROM v""")
 def _(spark, sf):
     out = classify.compete(states(spark, sf), "x", label_references(spark, sf), max_steps=25)
     return out.select("vec_id", "winner", "d1", "margin", "certainty", "contested", "steps")
