@@ -108,11 +108,11 @@ def json_rows(text) -> Column:
 
 def vectors_from_json(df: DataFrame, text: str, doc: str, name: str = "x") -> DataFrame:
     """(doc, row, x): rows of every document, filled with 0 to the longest row of that document."""
-    rows = df.withColumn("_rows", json_rows(text))
-    width = F.coalesce(F.array_max(F.transform("_rows", lambda v: F.size(v))), F.lit(0))
-    rows = rows.withColumn("_w", width)
-    return rows.select(doc, "_w", F.posexplode("_rows").alias("row", "_x")).select(
-        doc, "row", F.concat("_x", F.array_repeat(F.lit(0.0), F.col("_w") - F.size("_x"))).alias(name))
+    def filled(rows: Column) -> Column:
+        width = F.array_max(F.transform(rows, lambda v: F.size(v)))
+        return let(width, lambda w: F.transform(rows, lambda v: F.concat(v, F.array_repeat(F.lit(0.0), w - F.size(v)))))
+
+    return df.select(doc, F.posexplode(let(json_rows(text), filled)).alias("row", name))
 
 
 def read_json_vectors(spark: SparkSession, path: str) -> DataFrame:
