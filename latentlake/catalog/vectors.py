@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from latentlake.catalog.base import D, E, MEANS, TARGET, exploded, label_means, label_references, long_form, query, r, states, with_target
 from latentlake.functions import vec
 from latentlake.operators import quality as rules
-from latentlake.plans.runtime import join_groups
+from latentlake.plans.runtime import join_groups, materialize
 
 
 @query("p1_norm", f"WITH {E} SELECT vec_id, {r('sqrt(list_dot_product(x, x))', 'norm')} FROM e")
@@ -114,8 +114,10 @@ NEXT = f"""{TARGET}, nx AS (SELECT s.*, means.q AS p FROM s JOIN means ON means.
 
 def with_next(spark, sf):
     """States with their own label's mean q and the next label's mean p."""
-    nxt = label_means(spark, sf).select(((F.col("label") + 9) % 10).alias("label"), F.col("q").alias("p"))
-    return join_groups(with_target(spark, sf), nxt, "label", row_bytes=8 * 1024)
+    means = materialize(label_means(spark, sf))
+    nxt = means.select(((F.col("label") + 9) % 10).alias("label"), F.col("q").alias("p"))
+    both = means.join(nxt, "label")
+    return join_groups(states(spark, sf), both, "label", row_bytes=16 * 1024)
 
 
 @query("p13_analogy", f"""WITH {NEXT} SELECT vec_id, i, {r('x[i] - q[i] + p[i]', 'v')} FROM nx, unnest(range(1, {D + 1})) t(i)""")

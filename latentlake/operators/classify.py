@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from latentlake.functions.vec import EPS
 from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
 from latentlake.operators.kernels import ints, matrix, pairwise, vectors
+from latentlake.operators.flow import GAINS, MAX_DIM
 from latentlake.plans.runtime import BROADCAST_BYTES, materialize
 
 
@@ -29,11 +30,15 @@ class ReferenceSet:
 
 def reference_set(df: DataFrame, key: str, x: str, limit: int = BROADCAST_BYTES) -> ReferenceSet | None:
     """Collect a reference table if its size is within the limit, else None."""
-    fixed = materialize(df.select(key, x))
-    n, d = fixed.agg(F.count(F.lit(1)), F.max(F.size(x))).first()
-    if n * (d or 1) * 8 > limit:
-        return None
-    rows = sorted((r[0], r[1]) for r in fixed.collect())
+    sure = limit // (8 * MAX_DIM)  # so many rows fit whatever their dimension
+    rows = df.select(key, x).limit(sure + 1).collect()
+    if len(rows) > sure:
+        fixed = materialize(df.select(key, x))
+        n, d = fixed.agg(F.count(F.lit(1)), F.max(F.size(x))).first()
+        if n * (d or 1) * 8 > limit:
+            return None
+        rows = fixed.collect()
+    rows = sorted((r[0], r[1]) for r in rows)
     return ReferenceSet([r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64))
 
 
@@ -149,8 +154,6 @@ def compete(df: DataFrame, x: str, refs: ReferenceSet, field: str = "normalize",
 
     Batches of rows move together; rows already captured stop taking part.
     """
-    from latentlake.operators.flow import GAINS
-
     points, gain = _bounded(refs).points, GAINS[field]
     schema = T.StructType([*df.schema.fields, T.StructField("x_final", T.ArrayType(T.DoubleType())),
                            T.StructField("steps", T.IntegerType())])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentlake.functions.vec import mean_vector
@@ -22,6 +22,7 @@ def normalize(df: DataFrame, group: str, w: str = "w") -> DataFrame:
 
 
 SAFE_EXPONENT = 600.0
+KEPT_PER_TASK = 1_000_000
 
 
 def softmax(df: DataFrame, group: str, d: str, w: str = "w") -> DataFrame:
@@ -59,7 +60,11 @@ def collapse_to_best(df: DataFrame, group: str, vec_id: str, d: str) -> DataFram
 
 def prune(df: DataFrame, group: str, vec_id: str, keep: int, w: str = "w") -> DataFrame:
     """Heaviest ``keep`` candidates per group, weights normalised again; smaller groups stay whole."""
-    return normalize(top_rows(df, [group], [F.desc(w), F.asc(vec_id)], keep), group, w)
+    top = top_rows(df, [group], [F.desc(w), F.asc(vec_id)], keep)
+    if keep > KEPT_PER_TASK:
+        return normalize(top, group, w)
+    # at most ``keep`` rows are left per group, already together: their sum needs no further pass over the table
+    return top.withColumn(w, F.col(w) / F.sum(w).over(Window.partitionBy(group)))
 
 
 def reorder(df: DataFrame, group: str, vec_id: str, w: str = "w", name: str = "rank", **kw) -> DataFrame:
