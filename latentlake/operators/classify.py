@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from latentlake.functions.vec import EPS
 from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
-from latentlake.operators.kernels import ints, matrix, pairwise, vectors
+from latentlake.operators.kernels import ints, matrix, pairwise, smallest, vectors
 from latentlake.operators.flow import GAINS, MAX_DIM
 from latentlake.plans.runtime import BROADCAST_BYTES, materialize
 
@@ -98,8 +98,7 @@ def nearest_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, k
         d = pairwise(matrix(left.column("_x")), matrix(right.column("_x")))
         keys = right.column("_key")
         rank = np.argsort(np.argsort(np.array(keys.to_pylist(), dtype=object)))
-        order = np.lexsort((np.broadcast_to(rank, d.shape), d), axis=1)[:, :2]
-        r, at = np.repeat(np.arange(len(d)), order.shape[1]), order.reshape(-1)
+        r, at = smallest(d, rank, 2)
         return pa.table({"_id": pa.array(ints(left.column("_id"))[r].astype(np.int64)), "d": pa.array(d[r, at]),
                          "key": keys.take(pa.array(at))})
 

@@ -41,6 +41,17 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(sq)
 
 
+def smallest(d: np.ndarray, ids: np.ndarray, k: int):
+    """The k smallest finite entries of every row, ties by column id: (row, column), rows in order."""
+    k = min(k, d.shape[1])
+    r, c = np.nonzero((d <= np.partition(d, k - 1, axis=1)[:, k - 1:k]) & np.isfinite(d))
+    order = np.lexsort((ids[c], d[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, np.arange(len(d)))
+    keep = np.arange(len(r)) - first[r] < k
+    return r[keep], c[keep]
+
+
 def spanning_forest(w: np.ndarray):
     """Minimum spanning forest of a dense weight matrix; missing edges are inf. Returns (from, to, weight) arrays."""
     n = len(w)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from latentlake.plans.runtime import join_groups, materialize, tasks
 
@@ -84,6 +85,16 @@ def windows(df: DataFrame, keys: list[str], order: list[str], build: Callable[[D
     return build(rows, [*keys, "_chunk"], ["_rn"]).where(F.col("_own") == F.col("_chunk")).drop("_rn", "_own", "_chunk")
 
 
-def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rn") -> DataFrame:
-    """First n rows per key. The limit is applied before the shuffle as well, so a large key sends n rows per task."""
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rn", pushed: int | None = None) -> DataFrame:
+    """First n rows per key.
+
+    The planner applies small limits before the shuffle, so a large key sends n rows per task. Larger limits are first
+    applied within hashed parts of each key, which does the same.
+    """
+    if pushed is None:
+        pushed = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > pushed:
+        part = F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, MapType)]), F.lit(tasks(df.sparkSession)))
+        some = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn(name, F.row_number().over(some)).where(F.col(name) <= n).drop(name, "_part")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n)

@@ -14,7 +14,7 @@ from latentlake.functions.vec import EPS, dot, doubles, let, mean_vector, norm,
 from latentlake.operators.blocks import (BLOCK_ROWS, CELL_ROWS, SLACK, choose_pivots, collapse_copies, first_members,
                                          metric_cells, on_pairs, pair_tasks)
 from latentlake.operators.graph import components
-from latentlake.operators.kernels import ints, matrix, pairwise, spanning_forest
+from latentlake.operators.kernels import ints, matrix, pairwise, smallest, spanning_forest
 from latentlake.operators.ordered import ROWS_PER_TASK, running, top_rows
 from latentlake.plans.runtime import join_groups, materialize
 
@@ -25,11 +25,8 @@ def _nearest_kernel(vec_id: str, x: str, k: int, both_ways: bool):
     """Per row of the task its k nearest rows on the other side (on its own side for a block met with itself)."""
 
     def best(d, ia, ib):
-        order = np.lexsort((np.broadcast_to(ib, d.shape), d), axis=1)[:, :k]
-        r = np.repeat(np.arange(len(ia)), order.shape[1])
-        at = order.reshape(-1)
-        keep = np.isfinite(d[r, at])
-        return ia[r[keep]], ib[at[keep]], d[r, at][keep]
+        r, c = smallest(d, ib, k)
+        return ia[r], ib[c], d[r, c]
 
     def kernel(left, right, same):
         ia, ib = ints(left.column(vec_id)), ints(right.column(vec_id))

@@ -12,8 +12,10 @@ from latentlake.functions.vec import c, dot, doubles, l2, let, norm, scale, subs
 from latentlake.operators.classify import ReferenceSet, with_distances
 from latentlake.operators.flow import MAX_DIM, check_parameters
 from latentlake.operators.kernels import matrix, pairwise, vectors
+from latentlake.operators.ordered import numbered
 
 INF = float("inf")
+SORTED_BUDGET = 1_000_000
 
 
 def is_bad(v: Column) -> Column:
@@ -70,9 +72,12 @@ def audit(df: DataFrame, vec_id: str, x: str, rule: Column, interval: int = 1, m
     if max_corrections is None:
         out = out.withColumn("corrected", F.coalesce(failing, F.lit(False)))
     else:
-        # the budget-th smallest failing id bounds the corrected ids: one value, not a ranking of all failures
-        within = df.withColumn("checked", checked).withColumn("_r", rule).where(failing).select(vec_id) \
-            .orderBy(vec_id).limit(max_corrections)
+        # the budget-th smallest failing id bounds the corrected ids: one value, not a list of all failures
+        failed = df.withColumn("checked", checked).withColumn("_r", rule).where(failing).select(vec_id)
+        if max_corrections <= SORTED_BUDGET:
+            within = failed.orderBy(vec_id).limit(max_corrections)
+        else:
+            within = numbered(failed.withColumn("_all", F.lit(0)), ["_all"], [vec_id]).where(F.col("rn") <= max_corrections)
         last = within.agg(F.max(vec_id)).first()[0]
         in_budget = F.lit(False) if last is None else (F.col(vec_id) <= last)
         out = out.withColumn("corrected", F.coalesce(failing & in_budget, F.lit(False)))

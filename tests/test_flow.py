@@ -158,8 +158,11 @@ def test_weights_of_far_rows_do_not_underflow(spark):
     assert abs(w[1] / w[0] - np.e) < 1e-9 and abs(sum(w) - 1) < 1e-12
 
 
-def test_audit_budget(spark):
+def test_audit_budget(spark, monkeypatch):
     df = vectors(spark, [[float("nan"), 1.0]] * 10)
     out = quality.audit(df, "vec_id", "x", quality.finite_rule("x"), max_corrections=3)
     assert sorted(r.vec_id for r in out.where("corrected").collect()) == [0, 1, 2]
     assert quality.audit(df, "vec_id", "x", quality.finite_rule("x")).where("corrected").count() == 10
+    monkeypatch.setattr(quality, "SORTED_BUDGET", 2)
+    out = quality.audit(df, "vec_id", "x", quality.finite_rule("x"), max_corrections=4)
+    assert sorted(r.vec_id for r in out.where("corrected").collect()) == [0, 1, 2, 3]

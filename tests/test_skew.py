@@ -39,6 +39,11 @@ def test_windows_in_chunks(hot):
     assert rows(plain, "event_id", "m", "n", F.coalesce("l", F.lit(-1.0))) == rows(chunked, "event_id", "m", "n", F.coalesce("l", F.lit(-1.0)))
 
 
+def test_top_rows_with_a_large_limit(hot):
+    plain, parts = (ordered.top_rows(hot, KEYS, [F.desc("value"), F.asc("event_id")], 25, pushed=p) for p in (1000, 10))
+    assert rows(plain, "user_id", "event_id", "rn") == rows(parts, "user_id", "event_id", "rn")
+
+
 def test_traces_of_a_large_key(hot):
     plain, sliced = (traces.traps(hot, KEYS, ORDER, "value", limit) for limit in (10**9, 60))
     cols = ("user_id", "length", "stall_step", "final", "spread", "trap_type")
