@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentlake.operators.kernels import ints, matrix, pairwise
+from latentlake.operators.kernels import ints, matrix, pairwise, pieces
 from latentlake.operators.ordered import top_rows
 from latentlake.plans.runtime import join_groups
 
@@ -65,9 +65,7 @@ def metric_cells(df: DataFrame, x: str, pivots: np.ndarray, radius: float | None
                            T.StructField("_core", T.BooleanType()), T.StructField("_reach", T.DoubleType())])
 
     def assign(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in (piece for batch in batches for piece in pieces(batch, len(pivots))):
             d = pairwise(matrix(b.column(x)), pivots)
             near, home, at = d.min(1), d.argmin(1), np.arange(len(d))
             inner = np.zeros(len(d), bool)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from latentlake.functions.vec import EPS
 from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
-from latentlake.operators.kernels import ints, matrix, pairwise, smallest, vectors
+from latentlake.operators.kernels import ints, matrix, pairwise, pieces, smallest, vectors
 from latentlake.operators.flow import GAINS, MAX_DIM
 from latentlake.plans.runtime import BROADCAST_BYTES, materialize
 
@@ -22,7 +22,7 @@ class ReferenceSet:
         self.keys, self.points = keys, points
 
     def label(self, index: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(k) for k in self.keys]), (index + 1).cast("int"))
+        return F.element_at(F.lit(self.keys), (index + 1).cast("int"))
 
     def point(self, key) -> list[float]:
         return self.points[self.keys.index(key)].tolist()
@@ -54,10 +54,8 @@ def with_distances(df: DataFrame, x: str, refs: ReferenceSet, name: str = "dists
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
 
     def score(batches):
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, vectors(pairwise(matrix(b.column(x)), points))],
-                                                 names=schema.names)
+        for b in (piece for batch in batches for piece in pieces(batch, len(points))):
+            yield pa.RecordBatch.from_arrays([*b.columns, vectors(pairwise(matrix(b.column(x)), points))], names=schema.names)
 
     return df.mapInArrow(score, schema)
 
@@ -70,12 +68,21 @@ def verdict(d1: Column, d2: Column, tol: float) -> dict[str, Column]:
 
 def nearest(df: DataFrame, x: str, refs: ReferenceSet, tol: float = 1e-2) -> DataFrame:
     """Winner, margin to the second, certainty and contested flag. A single reference always wins with certainty 1."""
-    out = with_distances(df, x, refs, "_d")
-    d1 = F.array_min("_d")
-    at = F.array_position("_d", d1) - 1
-    rest = F.filter("_d", lambda v, i: i != at)
-    d2 = F.coalesce(F.array_min(rest), F.lit(float("inf")))
-    out = out.withColumns({"winner_idx": at.cast("int"), "d1": d1, "d2": d2}).drop("_d")
+    points = _bounded(refs).points
+    schema = T.StructType([*df.schema.fields, T.StructField("winner_idx", T.IntegerType()),
+                           T.StructField("d1", T.DoubleType()), T.StructField("d2", T.DoubleType())])
+
+    def two_best(batches):
+        for b in (piece for batch in batches for piece in pieces(batch, len(points))):
+            d = pairwise(matrix(b.column(x)), points)
+            at = np.arange(len(d))
+            first = d.argmin(1)
+            d1 = d[at, first]
+            d[at, first] = np.inf
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first.astype(np.int32)), pa.array(d1), pa.array(d.min(1))],
+                                             names=schema.names)
+
+    out = df.mapInArrow(two_best, schema)
     return out.withColumns({"winner": refs.label(F.col("winner_idx")), **verdict(F.col("d1"), F.col("d2"), tol)})
 
 
@@ -117,15 +124,14 @@ def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau:
     points = _bounded(refs).points
 
     def local(batches):
-        for b in batches:
-            if b.num_rows:
-                ids = ints(b.column(vec_id))
-                order = np.argsort(ids, kind="stable")
-                d = pairwise(matrix(b.column(x))[order], points)
-                at = d.argmin(0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(points), dtype=np.int64)), pa.array(d[at, np.arange(len(points))]),
-                     pa.array(ids[order][at].astype(np.int64))], names=["idx", "d", "id"])
+        for b in (piece for batch in batches for piece in pieces(batch, len(points))):
+            ids = ints(b.column(vec_id))
+            order = np.argsort(ids, kind="stable")
+            d = pairwise(matrix(b.column(x))[order], points)
+            at = d.argmin(0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(points), dtype=np.int64)), pa.array(d[at, np.arange(len(points))]),
+                 pa.array(ids[order][at].astype(np.int64))], names=["idx", "d", "id"])
 
     best = df.select(vec_id, x).mapInArrow(local, "idx long, d double, id long").groupBy("idx").agg(
         F.min(F.struct("d", "id")).alias("b"))
@@ -158,9 +164,7 @@ def compete(df: DataFrame, x: str, refs: ReferenceSet, field: str = "normalize",
                            T.StructField("steps", T.IntegerType())])
 
     def move(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (piece for batch in batches for piece in pieces(batch, len(points))):
             pos = matrix(b.column(x)).copy()
             steps = np.zeros(len(pos), dtype=np.int32)
             active = np.arange(len(pos))

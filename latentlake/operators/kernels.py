@@ -29,6 +29,13 @@ def ints(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
+def pieces(batch: pa.RecordBatch, width: int, cells: int = 4_000_000):
+    """Cut a batch so that a (rows x width) matrix stays within about 32 MB."""
+    step = max(16, cells // max(width, 1))
+    for s in range(0, batch.num_rows, step):
+        yield batch.slice(s, step)
+
+
 def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All L2 distances between two blocks through one matrix product; near pairs, where that loses digits, directly."""
     na, nb = (a * a).sum(1), (b * b).sum(1)

@@ -14,7 +14,7 @@ from latentlake.functions.vec import EPS, dot, doubles, let, mean_vector, norm,
 from latentlake.operators.blocks import (BLOCK_ROWS, CELL_ROWS, SLACK, choose_pivots, collapse_copies, first_members,
                                          metric_cells, on_pairs, pair_tasks)
 from latentlake.operators.graph import components
-from latentlake.operators.kernels import ints, matrix, pairwise, smallest, spanning_forest
+from latentlake.operators.kernels import ints, matrix, pairwise, pieces, smallest, spanning_forest
 from latentlake.operators.ordered import ROWS_PER_TASK, running, top_rows
 from latentlake.plans.runtime import join_groups, materialize
 
@@ -86,9 +86,7 @@ def _visits(rows: DataFrame, x: str, pivots: np.ndarray, spread: np.ndarray) ->
     schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.LongType()), T.StructField("_home", T.BooleanType())])
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (piece for batch in batches for piece in pieces(batch, len(pivots))):
             d = pairwise(matrix(b.column(x)), pivots)
             home = d.argmin(1)
             own = d[np.arange(len(d)), home]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from latentlake.functions.vec import c, dot, doubles, l2, let, norm, scale, subspace_residual, vec_literal
 from latentlake.operators.classify import ReferenceSet, with_distances
 from latentlake.operators.flow import MAX_DIM, check_parameters
-from latentlake.operators.kernels import matrix, pairwise, vectors
+from latentlake.operators.kernels import matrix, pairwise, pieces, vectors
 from latentlake.operators.ordered import numbered
 
 INF = float("inf")
@@ -152,13 +152,12 @@ def potential(df: DataFrame, x: str, centers: ReferenceSet, strengths: list[floa
                            T.StructField("gradient", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                m = matrix(b.column(x))
-                e = s * np.exp(-pairwise(m, points) ** 2 / (2 * w2))
-                pull = e / w2
-                grad = pull.sum(1)[:, None] * m - pull @ points
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(-e.sum(1)), vectors(grad)], names=schema.names)
+        for b in (piece for batch in batches for piece in pieces(batch, len(points))):
+            m = matrix(b.column(x))
+            e = s * np.exp(-pairwise(m, points) ** 2 / (2 * w2))
+            pull = e / w2
+            grad = pull.sum(1)[:, None] * m - pull @ points
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(-e.sum(1)), vectors(grad)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
