@@ -8,6 +8,7 @@ from latentlake.catalog.base import E, long_form, query, states
 from latentlake.catalog.pairwork import SOURCES, distortion
 from latentlake.functions import vec
 from latentlake.operators import graph, pairs, reduction
+from latentlake.plans.runtime import materialize
 from latentlake.sources import generators
 
 K = 8
@@ -108,8 +109,8 @@ def _(spark, sf):
 @query("g6_diagnostics")
 def _(spark, sf):
     df = states(spark, sf).select("vec_id", vec.doubles("x").alias("x"))
-    near = pairs.nearest_neighbours(df, "vec_id", "x")
-    edges = pairs.neighbour_graph(df, "vec_id", "x")
+    near = materialize(pairs.nearest_neighbours(df, "vec_id", "x"))
+    edges = pairs.both_ways(near)
     p = reduction.fit_topological(df, "vec_id", "x", edges, MANY, 16)
     z = reduction.squeeze(df, "x", p)
     bent = distortion(graph.geodesics(edges, SOURCES), z, "z")

@@ -118,7 +118,10 @@ def _with_copies(df: DataFrame, reps: DataFrame, near: DataFrame, vec_id: str, x
 
 def neighbour_graph(df: DataFrame, vec_id: str, x: str, k: int = 12, **kw) -> DataFrame:
     """Undirected neighbour graph as directed edges both ways: (a, b, d)."""
-    near = nearest_neighbours(df, vec_id, x, k, **kw)
+    return both_ways(nearest_neighbours(df, vec_id, x, k, **kw))
+
+
+def both_ways(near: DataFrame) -> DataFrame:
     back = near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")
     return near.unionByName(back).groupBy("a", "b").agg(F.min("d").alias("d"))
 

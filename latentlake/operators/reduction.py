@@ -10,10 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,12 +52,41 @@ def fit_pca(df: DataFrame, x: str, k: int) -> Projection:
     return identity(d) if k >= d else spectrum(df, x, k)
 
 
+def _summed(df: DataFrame, cols: list[str], part) -> np.ndarray | None:
+    """Sum over all rows of ``part(*matrices)``: every task adds up its batches and sends one small matrix."""
+
+    def run(batches):
+        whole = None
+        for b in batches:
+            if b.num_rows:
+                one = part(*[matrix(b.column(c)) for c in cols])
+                whole = one if whole is None else whole + one
+        if whole is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole), dtype=np.int64)), vectors(whole)], names=["i", "r"])
+
+    sums = df.select(*cols).mapInArrow(run, "i long, r array<double>").groupBy("i").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("r"))).alias("r")).orderBy("i").collect()
+    return np.array([row["r"] for row in sums]) if sums else None
+
+
 def spectrum(df: DataFrame, x: str, k: int) -> Projection:
-    """k directions by falling variance, also for k = d."""
+    """k directions by falling variance, also for k = d. One pass: counts, sums and products around the first row."""
     rows = df.select(doubles(x).alias("_x"))
-    mean = np.array(rows.agg(mean_vector("_x")).first()[0])
-    model = PCA(k=k, inputCol="_v", outputCol="_z").fit(rows.select(array_to_vector("_x").alias("_v")))
-    return Projection(mean, model.pc.toArray().T, model.explainedVariance.toArray())
+    shift = np.array(rows.first()[0])
+    d = len(shift)
+
+    def part(m):
+        c = np.hstack([m - shift, np.ones((len(m), 1))])
+        return c.T @ c
+
+    total = _summed(rows, ["_x"], part)
+    n, mean = total[d, d], total[d, :d] / total[d, d]
+    if n < 2:
+        return Projection(np.zeros(d), np.eye(k, d), np.full(k, 1.0 / k))
+    values, axes = np.linalg.eigh((total[:d, :d] - n * np.outer(mean, mean)) / (n - 1))
+    values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1]
+    ratio = values[:k] / values.sum() if values.sum() > 0 else np.full(k, 1.0 / k)
+    return Projection(shift + mean, axes[:, :k].T, ratio)
 
 
 def random_projection(d: int, k: int, seed: int = 42) -> Projection:
@@ -187,19 +214,11 @@ def least_squares(df: DataFrame, x: str, y: str, mean: np.ndarray) -> np.ndarray
     """P (k x d) minimising |(x - mean) P' - y|: tasks send d partial rows of the normal equations, d^2 is solved once."""
     d = len(mean)
 
-    def partial(batches):
-        whole = None
-        for b in batches:
-            if b.num_rows:
-                c = matrix(b.column(x)) - mean
-                part = c.T @ np.hstack([c, matrix(b.column(y))])
-                whole = part if whole is None else whole + part
-        if whole is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int64)), vectors(whole)], names=["i", "r"])
+    def part(m, goal):
+        c = m - mean
+        return c.T @ np.hstack([c, goal])
 
-    sums = df.select(x, y).mapInArrow(partial, "i long, r array<double>").groupBy("i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("r"))).alias("r")).orderBy("i").collect()
-    eq = np.array([row["r"] for row in sums])
+    eq = _summed(df, [x, y], part)
     return np.linalg.lstsq(eq[:, :d], eq[:, d:], rcond=None)[0].T
 
 

@@ -21,6 +21,18 @@ def test_pca_against_eigenvalues(spark):
     assert p.compression == 2.0
 
 
+def test_pca_of_one_row_and_of_equal_rows(spark):
+    p = reduction.fit_pca(vectors(spark, [[1.0, 2.0, 3.0]]), "x", 2)
+    assert p.ratio.tolist() == [0.5, 0.5] and reduction.squeeze(vectors(spark, [[1.0, 2.0, 3.0]]), "x", p).first().z == [1.0, 2.0]
+    assert reduction.fit_pca(vectors(spark, [[1.0, 2.0, 3.0]] * 4), "x", 2).ratio.tolist() == [0.5, 0.5]
+
+
+def test_pca_far_from_the_origin(spark):
+    m = np.random.default_rng(5).standard_normal((60, 4)) * [3, 2, 1, 0.5] + 1e6
+    values = np.sort(np.linalg.eigvalsh(np.cov(m, rowvar=False)))[::-1]
+    assert np.allclose(reduction.fit_pca(vectors(spark, m), "x", 2).ratio, values[:2] / values.sum(), rtol=1e-6)
+
+
 def test_no_squeeze_needed(spark):
     m = np.arange(8.0).reshape(2, 4)
     p = reduction.fit_pca(vectors(spark, m), "x", 9)
