@@ -75,7 +75,7 @@ def long_form(df: DataFrame, keys: list[str], x: str) -> DataFrame:
 
 # --- the same bindings in SQL -------------------------------------------------------------------------------------
 
-E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
+E = "e AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS x FROM embeddings)"
 MEANS = f"""{E},
 means AS (SELECT label, list(v ORDER BY i) AS q FROM (
     SELECT label, i, avg(x[i]) AS v FROM e, unnest(range(1, {D + 1})) t(i) GROUP BY label, i) GROUP BY label)"""
@@ -89,7 +89,7 @@ wt AS (SELECT ex.*, ew / t AS w FROM ex JOIN tot USING (label))"""
 
 
 def r(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    return f"(round({expr}, 6) + 0.0)::DOUBLE AS {name}"
 
 
 def exploded(source: str, keys: str, x: str, d: int = D) -> str:

@@ -51,7 +51,7 @@ def _(spark, sf):
     return weights.collapse_to_best(with_target(spark, sf).withColumn("d", vec.l2("x", "q")), "label", "vec_id", "d")
 
 
-@query("a6_candidate_count", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+@query("a6_candidate_count", "SELECT label::BIGINT AS label, count(*) AS n FROM embeddings GROUP BY label")
 def _(spark, sf):
     return states(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,7 +118,7 @@ def _(spark, sf):
 
 @query("a7_competition_summary", f"""WITH {NEAREST}, z AS (SELECT winner, count(*) AS n FROM v GROUP BY winner)
     SELECT means.label AS winner, coalesce(n, 0) AS n, {r('''(SELECT avg(greatest(0.0, least(1.0, 1 - d1
-    / greatest(d2, 1e-12)))) FROM v)''', 'mean_certainty')}, (SELECT count_if(d2 - d1 < 0.01) FROM v) AS contested,
+    / greatest(d2, 1e-12)))) FROM v)''', 'mean_certainty')}, (SELECT count(*) FILTER (WHERE d2 - d1 < 0.01) FROM v) AS contested,
     (SELECT count(*) FROM v) AS total FROM means LEFT JOIN z ON z.winner = means.label""")
 def _(spark, sf):
     refs = label_references(spark, sf)

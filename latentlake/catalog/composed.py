@@ -20,8 +20,8 @@ from latentlake.streaming import memory, triggers
     g AS (SELECT label, count(*) AS n, -sum(w * log2(w)) AS entropy, arg_min(vec_id, r) AS winner, min(d) AS d, min(r) AS e FROM w GROUP BY label),
     t AS (SELECT g.*, (SELECT avg(pow(0.9, k)) FROM unnest(range(21, 31)) u(k)) * d AS mean_recent FROM g)
     SELECT label, winner, CASE WHEN entropy < 0.5 THEN 'entropy_low' WHEN mean_recent < 0.066 THEN 'drift_stable' ELSE 'forced_best' END AS reason,
-    {r('entropy', 'entropy')}, {r('mean_recent', 'mean_recent')}, n AS n_candidates, (n * 30)::BIGINT AS total_steps, 0 AS converged_count,
-    0 AS fold_corrections, {r('greatest(0.0, 1 - e / 0.05)', 'quality')}, e <= 0.05 AS is_equivalent, 3 AS n_levels FROM t""")
+    {r('entropy', 'entropy')}, {r('mean_recent', 'mean_recent')}, n AS n_candidates, (n * 30)::BIGINT AS total_steps, 0::BIGINT AS converged_count,
+    0::BIGINT AS fold_corrections, {r('greatest(0.0, 1 - e / 0.05)', 'quality')}, e <= 0.05 AS is_equivalent, 3::BIGINT AS n_levels FROM t""")
 def _(spark, sf):
     out = jobs.evaluate(states(spark, sf), label_means(spark, sf), field="damped", max_steps=30, drift_threshold=0.066)
     return out.withColumn("n_levels", F.size("level_dims")).drop("committed", "level_dims")
@@ -73,7 +73,7 @@ def _(spark, sf):
 
 @query("l3_cascade_after_flow", f"""WITH {NORMALIZE}, g AS (SELECT label, vec_id, list_transform(range(1, 65), lambda i: q[i] + (x[i] - q[i]) * r_final / d) AS q FROM (
         SELECT *, row_number() OVER (PARTITION BY label ORDER BY r_final, vec_id) AS rn FROM z) WHERE rn = 1),
-    l AS (SELECT * FROM (VALUES (0, 64), (1, 32), (2, 16)) v(level, dim))
+    l AS (SELECT level::BIGINT AS level, dim::BIGINT AS dim FROM (VALUES (0, 64), (1, 32), (2, 16)) v(level, dim))
     SELECT vec_id, level, dim, {r('list_sum(q[1:dim])', 'total')} FROM g, l""")
 def _(spark, sf):
     out = jobs.cascade_after_flow(states(spark, sf), label_means(spark, sf), D)
@@ -195,8 +195,8 @@ def _(spark, sf):
     return memory.remember(df, "user_id", ORDER, "event_id", "x", MEM, "kind").select("user_id", "event_id", "status")
 
 
-@query("r3_reset_readout", f"""WITH {STATUS} SELECT user_id, count_if(kind = 'reset' AND before = 0) AS resets,
-    count_if(kind = 'commit' AND before = 0) AS commits, count_if(before > 0) AS rejected FROM b GROUP BY user_id""")
+@query("r3_reset_readout", f"""WITH {STATUS} SELECT user_id, count(*) FILTER (WHERE kind = 'reset' AND before = 0) AS resets,
+    count(*) FILTER (WHERE kind = 'commit' AND before = 0) AS commits, count(*) FILTER (WHERE before > 0) AS rejected FROM b GROUP BY user_id""")
 def _(spark, sf):
     """Resets, commits and rejections per key; a row after a reset reads out as a fresh memory's first row does."""
     df = fed(table(spark, sf, "events")).withColumn("x", F.array("f1", "f2"))

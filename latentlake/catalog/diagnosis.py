@@ -24,7 +24,7 @@ def lows(spark, sf):
 
 @query("w1_drift_trigger", f"""WITH w AS (SELECT user_id, ts, event_id, avg(value) OVER p AS m, count(*) OVER p AS n FROM events
     WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
-    SELECT user_id, count(*) AS n, count_if(n >= 10 AND m < 20) AS n_stable,
+    SELECT user_id, count(*) AS n, count(*) FILTER (WHERE n >= 10 AND m < 20) AS n_stable,
     min_by(event_id, struct_pack(a := ts, b := event_id)) FILTER (WHERE n >= 10 AND m < 20) AS first_event FROM w GROUP BY user_id""")
 def _(spark, sf):
     out = traces.first_stable(events(spark, sf), ["user_id"], ORDER, "value", threshold=20.0)
@@ -38,7 +38,7 @@ DIAGNOSE = """len AS (SELECT user_id, count(*) AS length, arg_max(low, pos) AS f
     tail AS (SELECT v.user_id, pos, low FROM v JOIN len USING (user_id) WHERE pos > length - 50),
     dl AS (SELECT *, low - lag(low) OVER o AS delta FROM tail WINDOW o AS (PARTITION BY user_id ORDER BY pos)),
     tn AS (SELECT *, delta * lag(delta) OVER o < 0 AS turn FROM dl WINDOW o AS (PARTITION BY user_id ORDER BY pos)),
-    sh AS (SELECT user_id, count(*) AS n, count(delta) AS deltas, count_if(turn) AS turns, max(low) - min(low) AS spread
+    sh AS (SELECT user_id, count(*) AS n, count(delta) AS deltas, count(*) FILTER (WHERE turn) AS turns, max(low) - min(low) AS spread
         FROM tn GROUP BY user_id),
     diag AS (SELECT stall.*, spread, CASE WHEN length < 10 THEN 'plateau' WHEN n > 5 AND turns > deltas * 0.4 THEN 'saddle_oscillation'
         WHEN n > 2 AND spread < 0.01 THEN 'local_minimum' WHEN stall_step > 0 AND stall_step < length * 0.8 THEN 'boundary_stall'
@@ -95,10 +95,10 @@ def _(spark, sf):
 
 
 @query("a12_convergence_report", f"""WITH {LOWS}, u AS (SELECT diag.*, length % 10 AS run FROM diag)
-    SELECT run, count(*) AS n_total, count_if(final < 0.5) AS n_converged,
+    SELECT run, count(*) AS n_total, count(*) FILTER (WHERE final < 0.5) AS n_converged,
     {r('coalesce(avg(final) FILTER (WHERE final >= 0.5), 0)', 'mean_drift')},
     coalesce(bool_or(final >= 0.5 AND trap_type = 'plateau'), false) AS plateau,
-    CASE WHEN count_if(final < 0.5) = count(*) THEN 'ok' ELSE 'non_convergent' END AS status FROM u GROUP BY run""")
+    CASE WHEN count(*) FILTER (WHERE final < 0.5) = count(*) THEN 'ok' ELSE 'non_convergent' END AS status FROM u GROUP BY run""")
 def _(spark, sf):
     diag = traces.traps(lows(spark, sf), ["user_id"], ORDER, "low").withColumn("run", F.col("length") % 10)
     return traces.convergence_report(diag, ["run"], 0.5)
@@ -113,14 +113,14 @@ def _(spark, sf):
 
 
 @query("a8_step_summary", f"""WITH {NORMALIZE} SELECT label, count(*) AS n, {r('avg(steps)', 'mean_steps')}, {r('var_pop(steps)', 'var_steps')},
-    {r('stddev_pop(steps)', 'std_steps')}, 100.0 AS converged_pct, avg(steps) < 10 AS pass_mean, var_pop(steps) < 2 AS pass_var
+    {r('stddev_pop(steps)', 'std_steps')}, 100.0::DOUBLE AS converged_pct, avg(steps) < 10 AS pass_mean, var_pop(steps) < 2 AS pass_var
     FROM z GROUP BY label""")
 def _(spark, sf):
     return stats.step_summary(relaxed(spark, sf, final=False), ["label"])
 
 
 @query("a9_acceptance", f"""WITH {NORMALIZE}, y AS (SELECT *, greatest(1, floor(ln(1e-3 / d) / ln(1 - 0.1)) + 1) AS gd FROM z)
-    SELECT label, count(*) AS n, 0.0 AS unconverged_pct, {r('avg((r_final > 1e-3)::INT) * 100', 'drifted_pct')},
+    SELECT label, count(*) AS n, 0.0::DOUBLE AS unconverged_pct, {r('avg((r_final > 1e-3)::INT) * 100', 'drifted_pct')},
     {r('avg((steps < gd)::INT) * 100', 'win_pct')}, true AS pass_converged, avg((r_final > 1e-3)::INT) = 0 AS pass_drift,
     avg((steps < gd)::INT) > 0.5 AS pass_wins, true AS pass_adverse FROM y GROUP BY label""")
 def _(spark, sf):
@@ -139,12 +139,12 @@ def attempts(spark, sf):
     return orders.join(lines, orders.o_orderkey == lines.l_orderkey).withColumn("success", F.col("n_corrections") == 0)
 
 
-ATTEMPTS = """l AS (SELECT l_orderkey, count_if(l_returnflag = 'R') AS c FROM lineitem GROUP BY l_orderkey),
+ATTEMPTS = """l AS (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS c FROM lineitem GROUP BY l_orderkey),
     t AS (SELECT o_orderstatus, c, substring(o_orderpriority, 1, 1)::INT AS dif FROM orders JOIN l ON o_orderkey = l_orderkey)"""
 
 
 @query("a11_attempt_summary", f"""WITH {ATTEMPTS} SELECT o_orderstatus, count(*) AS count, {r('avg((c = 0)::INT)', 'success_rate')},
-    {r('avg(c)', 'mean_corrections')}, sum(c)::BIGINT AS total_corrections, {r('avg(dif)', 'mean_difficulty')}, count_if(c > 0) AS abandoned
+    {r('avg(c)', 'mean_corrections')}, sum(c)::BIGINT AS total_corrections, {r('avg(dif)', 'mean_difficulty')}, count(*) FILTER (WHERE c > 0) AS abandoned
     FROM t GROUP BY o_orderstatus""")
 def _(spark, sf):
     return stats.attempt_summary(attempts(spark, sf), "o_orderstatus")
@@ -195,7 +195,7 @@ def _(spark, sf):
         (b.px - a.px) * (b.qy - b.py) - (b.py - a.py) * (b.qx - b.px) AS tn, (b.px - a.px) * (a.qy - a.py) - (b.py - a.py) * (a.qx - a.px) AS un
         FROM sg a JOIN sg b ON a.label = b.label AND b.idx >= a.idx + 2 JOIN n ON n.label = a.label
         WHERE NOT (a.idx = 0 AND b.idx = n.n - 1))
-    SELECT label, count_if(CASE WHEN abs(c) >= 1e-10 THEN tn / c > 0 AND tn / c < 1 AND un / c > 0 AND un / c < 1 ELSE false END) AS crossings
+    SELECT label, count(*) FILTER (WHERE CASE WHEN abs(c) >= 1e-10 THEN tn / c > 0 AND tn / c < 1 AND un / c > 0 AND un / c < 1 ELSE false END) AS crossings
     FROM p GROUP BY label""")
 def _(spark, sf):
     return routes.crossings(points(spark, sf), ["label"], ["vec_id"], "px", "py")

@@ -24,7 +24,7 @@ CSV = """c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THE
     ELSE [l_quantity, l_discount, l_linenumber, 0.0] END AS x FROM lineitem)"""
 
 
-@query("s1_csv_vectors", f"""WITH {CSV} SELECT l_orderkey, l_linenumber, {r('x[1]', 'c1')}, {r('x[2]', 'c2')}, {r('x[3]', 'c3')},
+@query("s1_csv_vectors", f"""WITH {CSV} SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {r('x[1]', 'c1')}, {r('x[2]', 'c2')}, {r('x[3]', 'c3')},
     {r('x[4]', 'c4')}, len(x) AS width FROM c""")
 def _(spark, sf):
     out = readers.vectors_from_cells(csv_lines(spark, sf).withColumn("cells", readers.cells("line")), "cells")
@@ -41,7 +41,7 @@ def _(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i + 1}") for i in range(4)])
 
 
-@query("s1_csv_strict", """SELECT l_returnflag, 0 AS accepted, count(*) AS quarantined FROM lineitem GROUP BY l_returnflag""")
+@query("s1_csv_strict", """SELECT l_returnflag, 0::BIGINT AS accepted, count(*) AS quarantined FROM lineitem GROUP BY l_returnflag""")
 def _(spark, sf):
     """One cell of every line is a word: strict reading sets all lines aside."""
     lines = table(spark, sf, "lineitem").select(
@@ -67,7 +67,7 @@ def json_docs(spark, sf):
     UNION ALL SELECT event_id, 1, k, 0, 2 FROM d WHERE event_id % 5 = 1
     UNION ALL SELECT event_id, 0, value, NULL, 1 FROM d WHERE event_id % 5 = 3 UNION ALL SELECT event_id, 1, k, NULL, 1 FROM d WHERE event_id % 5 = 3
     UNION ALL SELECT event_id, 0, k, NULL, 1 FROM d WHERE event_id % 5 = 4)
-    SELECT event_id, row, {r('c1', 'c1')}, {r('c2', 'c2')}, width FROM m""")
+    SELECT event_id, row::BIGINT AS row, {r('c1', 'c1')}, {r('c2', 'c2')}, width::BIGINT AS width FROM m""")
 def _(spark, sf):
     out = readers.vectors_from_json(json_docs(spark, sf), "doc", "event_id")
     return out.select("event_id", "row", F.get("x", 0).alias("c1"), F.get("x", 1).alias("c2"), F.size("x").alias("width"))

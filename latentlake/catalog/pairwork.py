@@ -95,14 +95,14 @@ def squeezed_pair(spark, sf):
     return states(spark, sf).select("vec_id", vec.doubles("x").alias("x"), vec.truncate(vec.doubles("x"), 16).alias("z"))
 
 
-EDGES_AT = ", ".join(f"count_if(d <= {a!r}) AS c{i}" for i, a in enumerate(ALPHAS))
+EDGES_AT = ", ".join(f"count(*) FILTER (WHERE d <= {a!r}) AS c{i}" for i, a in enumerate(ALPHAS))
 
 
 @query("g4_edge_profile", f"""WITH {E}, p AS (SELECT list_distance(a.x, b.x) AS dx, list_distance(a.x[1:16], b.x[1:16]) AS dz
     FROM e a JOIN e b ON a.vec_id < b.vec_id),
     s AS (SELECT 'x' AS x, dx / (SELECT max(dx) FROM p) AS d FROM p UNION ALL SELECT 'z', dz / (SELECT max(dz) FROM p) FROM p),
     al AS (SELECT unnest({ALPHAS!r}::DOUBLE[]) AS alpha)
-    SELECT x, {r('alpha', 'alpha')}, count_if(d <= alpha) AS edges FROM s, al GROUP BY x, alpha""")
+    SELECT x, {r('alpha', 'alpha')}, count(*) FILTER (WHERE d <= alpha) AS edges FROM s, al GROUP BY x, alpha""")
 def _(spark, sf):
     return graph.filtration(squeezed_pair(spark, sf), "vec_id", ["x", "z"], ALPHAS).select("x", "alpha", "edges")
 

@@ -60,7 +60,7 @@ def _(spark, sf):
     return rows.join(kept, "level", "left")
 
 
-LEVELS = "l AS (SELECT * FROM (VALUES (0, 64), (1, 32), (2, 16), (3, 8)) v(level, dim))"
+LEVELS = "l AS (SELECT level::BIGINT AS level, dim::BIGINT AS dim FROM (VALUES (0, 64), (1, 32), (2, 16), (3, 8)) v(level, dim))"
 
 
 @query("d6_cascade_single", f"WITH {E}, {LEVELS} SELECT vec_id, level, dim, round(list_sum(x[1:dim]), 6) + 0.0 AS total FROM e, l")

@@ -18,7 +18,7 @@ def relaxed(spark, sf, field="normalize", **kw):
 
 
 @query("flagship_label_convergence", f"""WITH {NORMALIZE} SELECT label, count(*) AS n, {r('avg(steps)', 'mean_steps')},
-    100.0 AS converged_pct, {r('avg(d)', 'mean_drift')}, {r('avg(r_final)', 'mean_final')} FROM z GROUP BY label""")
+    100.0::DOUBLE AS converged_pct, {r('avg(d)', 'mean_drift')}, {r('avg(r_final)', 'mean_final')} FROM z GROUP BY label""")
 def label_convergence(spark, sf):
     """Per label: how far its rows lie from their mean and how many steps they need to reach it."""
     return relaxed(spark, sf, final=False).groupBy("label").agg(
@@ -78,14 +78,14 @@ def waved(spark, sf):
     return with_target(spark, sf).withColumn("x", vec.between("q", "x", factor))
 
 
-@query("f2_sin", f"""WITH RECURSIVE {SIN} SELECT vec_id, max(step) AS steps, min(r) FILTER (WHERE step > 0) < 1e-3 AS converged,
+@query("f2_sin", f"""WITH RECURSIVE {SIN} SELECT vec_id, max(step)::BIGINT AS steps, min(r) FILTER (WHERE step > 0) < 1e-3 AS converged,
     {r('arg_max(r, step)', 'r_final')} FROM loop GROUP BY vec_id""")
 def _(spark, sf):
     return flow.relax(waved(spark, sf), "x", "q", "sin", max_steps=300, final=False).select(
         "vec_id", "steps", "converged", "r_final")
 
 
-@query("f2_repulsive", f"""WITH {TARGET} SELECT vec_id, 100 AS steps, false AS converged, {r('d + 100 * 0.1', 'r_final')} FROM s""")
+@query("f2_repulsive", f"""WITH {TARGET} SELECT vec_id, 100::BIGINT AS steps, false AS converged, {r('d + 100 * 0.1', 'r_final')} FROM s""")
 def _(spark, sf):
     return relaxed(spark, sf, "repulsive", max_steps=100, final=False).select("vec_id", "steps", "converged", "r_final")
 
@@ -97,7 +97,7 @@ def _(spark, sf):
     return flow.trace(df, ["vec_id"], "r0")
 
 
-@query("f3_trace_totals", f"""WITH {NORMALIZE} SELECT label, sum(steps) AS total_steps, count(*) AS converged,
+@query("f3_trace_totals", f"""WITH {NORMALIZE} SELECT label, sum(steps)::BIGINT AS total_steps, count(*) AS converged,
     {r('sum(d * steps - 0.1 * steps * (steps + 1) / 2 + greatest(0.0, 0.1 * steps - d))', 'drift_sum')} FROM z GROUP BY label""")
 def _(spark, sf):
     """Totals over the long trace: steps taken, rows converged, summed drift."""
@@ -157,8 +157,8 @@ def _(spark, sf):
         SELECT vec_id, step + 1, y, list_transform(a, lambda p: list_distance(y, p)) FROM (
             SELECT vec_id, step, a, list_transform(range(1, {D + 1}), lambda i: x[i] + 0.1 * list_sum(list_transform(range(1, 11),
                 lambda k: (a[k][i] - x[i]) / ds[k])) / 10) AS y FROM loop, al WHERE step < 25 AND list_min(ds) >= 0.01)),
-    f AS (SELECT vec_id, max(step) AS steps, arg_max(ds, step) AS ds FROM loop GROUP BY vec_id),
-    v AS (SELECT vec_id, steps, list_position(ds, list_min(ds)) - 1 AS winner, list_sort(ds)[1] AS d1, list_sort(ds)[2] AS d2 FROM f)
+    f AS (SELECT vec_id, max(step)::BIGINT AS steps, arg_max(ds, step) AS ds FROM loop GROUP BY vec_id),
+    v AS (SELECT vec_id, steps, (list_position(ds, list_min(ds)) - 1)::BIGINT AS winner, list_sort(ds)[1] AS d1, list_sort(ds)[2] AS d2 FROM f)
     SELECT vec_id, winner, {r('d1', 'd1')}, {r('d2 - d1', 'margin')}, {r('greatest(0.0, 1 - d1 / d2)', 'certainty')}, d2 - d1 < 0.01 AS contested, steps FROM v""")
 def _(spark, sf):
     out = classify.compete(states(spark, sf), "x", label_references(spark, sf), max_steps=25)
@@ -184,9 +184,9 @@ CONTRACT = f"""{NORMALIZE}, runs AS (
     SELECT vec_id, 'repulsive', false FROM s UNION ALL SELECT vec_id, 'custom', false FROM s)"""
 
 
-@query("f8_contracts", f"""WITH {CONTRACT} SELECT field, CASE field WHEN 'normalize' THEN 1 WHEN 'repulsive' THEN 3 ELSE 2 END AS tier,
-    count(*) AS n, count_if(NOT (field = 'normalize' AND NOT converged)) AS honored,
-    count_if((field = 'normalize' AND NOT converged) OR (field = 'repulsive' AND NOT converged)) AS signals FROM runs GROUP BY field""")
+@query("f8_contracts", f"""WITH {CONTRACT} SELECT field, CASE field WHEN 'normalize' THEN 1 WHEN 'repulsive' THEN 3 ELSE 2 END::BIGINT AS tier,
+    count(*) AS n, count(*) FILTER (WHERE NOT (field = 'normalize' AND NOT converged)) AS honored,
+    count(*) FILTER (WHERE (field = 'normalize' AND NOT converged) OR (field = 'repulsive' AND NOT converged)) AS signals FROM runs GROUP BY field""")
 def _(spark, sf):
     """Ten steps are too few for some rows: the provable contract of normalize is broken there."""
     cols = ["vec_id", "steps", "converged", "r_final"]

@@ -100,7 +100,7 @@ def _(spark, sf):
 
 
 @query("p12_validate", f"""WITH {E}, f AS (SELECT vec_id, label, CASE WHEN vec_id % 9 = 0 THEN 63 ELSE len(x) END AS dim FROM e)
-    SELECT label, count_if(dim = 64) AS accepted, count_if(dim <> 64) AS quarantined FROM f GROUP BY label""")
+    SELECT label, count(*) FILTER (WHERE dim = 64) AS accepted, count(*) FILTER (WHERE dim <> 64) AS quarantined FROM f GROUP BY label""")
 def _(spark, sf):
     d = rules.validate(states(spark, sf), "x")
     mixed = states(spark, sf).withColumn("x", F.when(F.col("vec_id") % 9 == 0, vec.truncate("x", d - 1)).otherwise(F.col("x")))
@@ -142,7 +142,7 @@ def axis(k: int) -> list[float]:
         sqrt(list_dot_product(x, x)) BETWEEN 0.9 / 2 AND 0.4 * 2,
         sqrt(list_dot_product(x, x) - x[1] * x[1] - x[2] * x[2]) <= 0.49 * 2] AS ok FROM e, m, n)
     SELECT vec_id, ok[1] AS proximity, ok[2] AS orthogonality, ok[3] AS norm_bound, ok[4] AS subspace,
-    len(list_filter(ok, lambda v: v)) AS n_satisfied, 4 AS n_total FROM f""")
+    len(list_filter(ok, lambda v: v)) AS n_satisfied, 4::BIGINT AS n_total FROM f""")
 def _(spark, sf):
     refs = label_references(spark, sf)
     specs = [dict(kind="proximity", target=refs.point(0), radius=0.5),
