@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from latentlake.llm import chat, hostrules, secrets
+from latentlake.llm import chat, decontam, hostrules, secrets
 
 GAP = r"'[\x20\x09-\x0D]+'"
 
@@ -73,4 +73,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
     coalesce(bool_and({_PAIRS}), false) AND last(role ORDER BY turn, role, text) = 'assistant' AS valid
 FROM o GROUP BY conv_id"""
 
-ORACLES = {"op2_chat": OP2, "op6_secrets": _op6(), "op10_host_rules": OP10}
+
+
+def _seed(mask: str, at: str = "i") -> str:
+    return "[" + ", ".join(f"w[{at} + {j}]" for j, c in enumerate(mask) if c == "1") + "]"
+
+
+def _op4() -> str:
+    """Masks as they are, on items of at least a mask's length; the benchmark table has no shorter ones."""
+    lowered = f"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {GAP}), lambda x: x <> '')"
+    n = len(decontam.MASKS[0])
+    spots = {t: " UNION ALL ".join(f"SELECT {k}, i, {at} AS m, {_seed(m)} AS s FROM {t}, unnest(range(1, len(w) - {n - 2})) t(i)" for at, m in enumerate(decontam.MASKS))
+             for t, k in (("d", "doc_id"), ("b", "item_id"))}
+    return f"""WITH d AS (SELECT doc_id, {lowered} AS w FROM documents), b AS (SELECT item_id, {lowered} AS w FROM benchmark),
+ds AS ({spots['d']}), bs AS ({spots['b']}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (m, s)),
+words AS (SELECT doc_id, item_id, shift, j, len(b.w) AS n, (b.w[j] = d.w[j + shift])::INT AS same
+    FROM hits JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, len(b.w) + 1)) t(j) WHERE j + shift BETWEEN 1 AND len(d.w)),
+roll AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN {decontam.WINDOW - 1} PRECEDING AND CURRENT ROW) AS hit,
+    row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS r, sum(same) OVER (PARTITION BY doc_id, item_id, shift) AS total FROM words)
+SELECT doc_id, item_id, max(n)::BIGINT AS item_words, max(hit)::BIGINT AS window_hits, max(total)::BIGINT AS aligned_hits
+FROM (SELECT doc_id, item_id, shift, n, max(hit) AS hit, max(total) AS total FROM roll WHERE r >= least({decontam.WINDOW}, n) GROUP BY ALL)
+WHERE hit * 100 >= {decontam.PERCENT} * least({decontam.WINDOW}, n) GROUP BY doc_id, item_id"""
+
+
+ORACLES = {"op2_chat": OP2, "op4_decontam": _op4(), "op6_secrets": _op6(), "op10_host_rules": OP10}
