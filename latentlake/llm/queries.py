@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentlake.llm import chat, decontam, hostrules, mixing, neardup, secrets, tokens
+from latentlake.llm import chat, decontam, hostrules, mixing, neardup, secrets, tokens, warc
 from latentlake.llm.sql import ORACLES
 
 TOKEN_LIMIT = 4096
@@ -33,6 +33,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns.unionByName(more)))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, index = warc.archived(table(spark, sf_dir, "pages"))
+    return warc.digests(warc.read_records(warc.every_entry(index)))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -58,4 +63,4 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("host_broken")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op4_decontam, op5_near_duplicates, op6_secrets, op7_tokens, op10_host_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_warc, op4_decontam, op5_near_duplicates, op6_secrets, op7_tokens, op10_host_rules)}

@@ -97,4 +97,9 @@ FROM (SELECT doc_id, item_id, shift, n, max(hit) AS hit, max(total) AS total FRO
 WHERE hit * 100 >= {decontam.PERCENT} * least({decontam.WINDOW}, n) GROUP BY doc_id, item_id"""
 
 
-ORACLES = {"op2_chat": OP2, "op4_decontam": _op4(), "op6_secrets": _op6(), "op10_host_rules": OP10}
+OP3 = """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
+
+ORACLES = {"op2_chat": OP2, "op3_warc": OP3, "op4_decontam": _op4(), "op6_secrets": _op6(), "op10_host_rules": OP10}
