@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentlake.llm.links import components
-from latentlake.llm.text import hashed_words, mix, text_bytes, written
+from latentlake.llm.text import hashed_words, mix, pieces, text_bytes, written
 
 BLOCK = 512
 
@@ -104,7 +104,7 @@ def sketch(docs: DataFrame, doc_id: str, text: str, plan: Plan) -> DataFrame:
 
     def run(batches):
         seeds = _seeds(plan)
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch, 1)):
             n, cls, sig = [], [], []
             for s in _sets(b.column(1), plan):
                 n.append(len(s))
@@ -123,9 +123,9 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, plan:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
+            for piece in pieces(b, 0):
                 cls, sets = [], []
-                for s in _sets(b.column(0).slice(at, 256), plan):
+                for s in _sets(piece.column(0), plan):
                     if len(s):
                         cls.append(_digest(s))
                         sets.append(s.view(np.int64))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentlake.llm import chat, decontam, hostrules, mixing, neardup, secrets, tokens, warc
+from latentlake.llm import chat, decontam, hostrules, lm, mixing, neardup, secrets, suffixes, tokens, warc
 from latentlake.llm.sql import ORACLES
 
 TOKEN_LIMIT = 4096
@@ -59,8 +59,20 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(~lm.held_out(F.col("doc_id"))))
+    return lm.score(docs, model, ["doc_id"]).withColumn("held_out", lm.held_out(F.col("doc_id")))
+
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = suffixes.removed(docs, suffixes.repeats(docs))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("host_broken")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_warc, op4_decontam, op5_near_duplicates, op6_secrets, op7_tokens, op10_host_rules)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_warc, op4_decontam, op5_near_duplicates, op6_secrets, op7_tokens, op8_language_model, op9_suffixes, op10_host_rules)}

@@ -92,6 +92,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 21):
+    """Slices of a batch whose texts have about ``most`` bytes, or one row: what a task works on at a time."""
+    _, offsets = text_bytes(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def rolling(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(prefix, down): a substring [s, e) hashes to (prefix[e] - prefix[s]) * down[s], wherever it stands."""
     up, down = _powers.get(len(raw) + 1)
@@ -119,8 +129,3 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
 def owners(bounds: np.ndarray) -> np.ndarray:
     """For every element the text that it belongs to."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-
-
-def shard_of(h: np.ndarray, n: int) -> np.ndarray:
-    """Part 0..n-1 of a hash, in the order of the hashes."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
