@@ -24,7 +24,7 @@ from latentlake.llm.text import WORD, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def targets(sizes: list[tuple[object, int]], weights=WEIGHTS, most: float = MOST_COPIES) -> dict[object, float]:
