@@ -99,7 +99,7 @@ def _seeds(plan: Plan) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, doc_id: str, text: str, plan: Plan) -> DataFrame:
-    """(doc_id, n_shingles, cls: digest of the set, null if empty, sig)"""
+    """(doc_id, text_hash, n_shingles, cls: digest of the set, null if empty, sig)"""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
@@ -110,10 +110,11 @@ def sketch(docs: DataFrame, doc_id: str, text: str, plan: Plan) -> DataFrame:
                 n.append(len(s))
                 cls.append(_digest(s) if len(s) else None)
                 sig.append(_signature(s, seeds).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-                                             ["doc_id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
+                                             ["doc_id", "text_hash", "n_shingles", "cls", "sig"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls binary, sig binary")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, cls binary, sig binary")
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, plan: Plan) -> DataFrame:
@@ -242,7 +243,10 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str,
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row. Components are those of all verified links."""
+    """(doc_id, text_hash, n_shingles, component_id, kept, component) for every row.
+
+    Components are those of all verified links; ``component`` names them where ids repeat or are null (null without words).
+    """
     rows = written(sketch(docs, doc_id, text, plan), "sketch")
     classes = written(rows.where("cls IS NOT NULL").groupBy("cls").agg(
         F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
@@ -259,10 +263,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             continue
         links = links.unionByName(more)
         of = components(links)
-    named = of.join(classes.select(F.col("cls").alias("node"), "min_id"), "node")
-    least = named.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    linked = named.join(least, "component").select(F.col("node").alias("cls"), "component_id")
-    per_class = classes.select("cls", "min_id").join(linked, "cls", "left").select("cls", F.coalesce("component_id", "min_id").alias("component_id"))
+    full = classes.select("cls", "min_id").join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    least = full.groupBy("component").agg(F.min("min_id").alias("component_id"))
+    per_class = full.select("cls", "component").join(least, "component")
     out = rows.drop("sig").join(per_class, "cls", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "component")

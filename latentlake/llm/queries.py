@@ -43,7 +43,7 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("cls")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
