@@ -5,9 +5,8 @@
    posterior probability (uniform prior) that the similarity reaches the threshold falls below the chosen miss
    probability, the pair is dropped. What survives is verified on the full sets.
 3. Pairs of a bucket are never emitted. First every class is tested against one leader, the smallest class it shares a
-   bucket with. Then only pairs across the components found so far are compared, in blocks of bounded size: at first
-   the most promising pair of two components per block, at last all that remain. A pair inside a component can't
-   change the result.
+   bucket with. Then only pairs across the components found so far are compared, in blocks of bounded size that emit
+   links alone. A pair inside a component can't change the result.
 
 With 24 bands of 5 rows a pair at similarity 0.85 misses all bands with probability 7e-7 (at 0.8: 8e-5, for which 40
 bands of 4 rows are used: 6e-10).
@@ -143,17 +142,18 @@ def _matrix(column: pa.Array, plan: Plan) -> np.ndarray:
 
 
 def bucket_rows(classes: DataFrame, plan: Plan) -> DataFrame:
-    """(bucket, cls): one row per class and band; the band is part of the bucket's hash."""
+    """(bucket, band, cls): one row per class and band; the band is part of the bucket's hash."""
     def run(batches):
         for b in batches:
             sig = _matrix(b.column(1), plan).astype(np.uint64)
             h = np.zeros((len(sig), plan.bands), np.uint64) + np.arange(plan.bands, dtype=np.uint64)
             for r in range(plan.rows):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::plan.rows])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array([c for c in b.column(0).to_pylist() for _ in range(plan.bands)], pa.binary())],
-                                             ["bucket", "cls"])
+            band = np.tile(np.arange(plan.bands, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(band), pa.array([c for c in b.column(0).to_pylist() for _ in range(plan.bands)], pa.binary())],
+                                             ["bucket", "band", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "bucket long, cls binary")
+    return classes.select("cls", "sig").mapInArrow(run, "bucket long, band int, cls binary")
 
 
 def _survive(x: np.ndarray, y: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
@@ -181,52 +181,74 @@ def tested(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def across(buckets: DataFrame, classes: DataFrame, of: DataFrame, plan: Plan, best_only: bool, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and pass the test.
+def across(buckets: DataFrame, classes: DataFrame, of: DataFrame, docs: DataFrame, doc_id: str, text: str, plan: Plan, block: int = 0) -> DataFrame:
+    """Links (a, b) that join the components of the star round: enough of them to connect whatever is connected.
 
-    Buckets with one component are left out. Others are cut into blocks by hash, each pair of blocks is one group of
-    bounded size. ``best_only``: of two components only the pair with most matches in the group.
+    Buckets within one component are left out. The others are cut into blocks by hash; a task holds two blocks with
+    signatures and full sets, and compares what lies in different components and shares no earlier band (that pair is
+    another task's). Pairs that pass the test are verified on the spot, the most promising first; what has been linked
+    meanwhile is not compared any more. Only links leave the task, fewer than it has rows.
     """
-    labelled = buckets.join(of.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    labelled = written(labelled, "labelled")
+    block = block or BLOCK
+    labelled = written(buckets.join(of.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "labelled")
     mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    members = labelled.join(mixed.select("bucket", F.ceil(F.col("n") / block).alias("_n")), "bucket")
+    members = written(labelled.join(mixed.select("bucket", F.ceil(F.col("n") / block).alias("_n")), "bucket"), "members")
+    rows = members.count()
+    involved = members.select("cls").distinct().join(classes, "cls")
+    sets = full_sets(docs, doc_id, text, involved, plan).dropDuplicates(["cls"])
+    known = written(involved.select("cls", "sig").join(sets, "cls"), "sets")
     mine = F.pmod(F.xxhash64("cls"), F.col("_n"))
     members = members.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     members = members.withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
-    members = members.join(classes.select("cls", "sig", "n_shingles"), "cls")
+    # buckets of one block share a task's call, the pieces of others have their own
+    members = members.withColumn("_group", F.when(F.col("_n") == 1, F.pmod("bucket", F.lit(max(1, rows // 500)))).otherwise(F.xxhash64("bucket", "_i", "_j")))
+    members = members.join(known, "cls").select("_group", "bucket", "_i", "_j", "_mine", "band", "cls", "component", "sig", "shingles")
 
     def run(table: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        comp = table.column("component").to_pylist()
-        if len(set(comp)) < 2:
-            return none
-        names = {c: i for i, c in enumerate(sorted(set(comp)))}
-        comp = np.array([names[c] for c in comp])
+        parts = {}
+        for at, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("bucket", "_i", "_j")))):
+            parts.setdefault(key, []).append(at)
         sig, cls = _matrix(table.column("sig"), plan), table.column("cls").to_pylist()
-        n, side = table.column("n_shingles").to_numpy(), table.column("_mine").to_numpy()
-        same_block = len(set(side.tolist())) == 1 and table.column("_i")[0] == table.column("_j")[0]
+        lists = table.column("shingles").combine_chunks()
+        values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        names = {c: i for i, c in enumerate(dict.fromkeys(table.column("component").to_pylist()))}
+        component = np.array([names[c] for c in table.column("component").to_pylist()])
+        side, bands = table.column("_mine").to_numpy(), table.column("band").to_numpy()
         found = []
-        for k in range(len(cls)):
-            other = np.arange(k + 1, len(cls))
-            other = other[(comp[other] != comp[k]) & (100 * np.minimum(n[other], n[k]) >= plan.percent * np.maximum(n[other], n[k]))]
-            if not same_block:
-                other = other[side[other] != side[k]]
-            keep, matches = _survive(np.broadcast_to(sig[k], (len(other), plan.hashes)), sig[other], plan)
-            found += [(m, comp[k], comp[o], k, o) for m, o in zip(matches.tolist(), other[keep].tolist())]
-        if best_only:
-            top = {}
-            for f in found:
-                key = (min(f[1], f[2]), max(f[1], f[2]))
-                if key not in top or f[0] > top[key][0]:
-                    top[key] = f
-            found = list(top.values())
-        if not found:
-            return none
-        pairs = [(min(cls[f[3]], cls[f[4]]), max(cls[f[3]], cls[f[4]])) for f in found]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-    return members.groupBy("bucket", "_i", "_j").applyInArrow(run, "a binary, b binary").distinct()
+        for (_, i, j), at in parts.items():
+            at = np.array(at)
+            for k, o in _linked(sig[at], component[at].copy(), side[at] if i != j else None, int(bands[at[0]]), [values[offsets[x]:offsets[x + 1]] for x in at.tolist()], plan):
+                x, y = cls[at[k]], cls[at[o]]
+                found.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
+
+    return members.groupBy("_group").applyInArrow(run, "a binary, b binary").distinct()
+
+
+def _linked(sig: np.ndarray, root: np.ndarray, side: np.ndarray | None, band: int, sets: list[np.ndarray], plan: Plan) -> Iterator[tuple[int, int]]:
+    """Verified pairs of different components, until these are one or nothing is left to compare; root is used up."""
+    n = np.array([len(s) for s in sets])
+    for k in range(len(sets) - 1):
+        other = np.arange(k + 1, len(sets))
+        other = other[(root[other] != root[k]) & (100 * np.minimum(n[other], n[k]) >= plan.percent * np.maximum(n[other], n[k]))]
+        if side is not None:
+            other = other[side[other] != side[k]]
+        if not len(other):
+            continue
+        keep, matches = _survive(np.broadcast_to(sig[k], (len(other), plan.hashes)), sig[other], plan)
+        other = other[keep]
+        if len(other):
+            first = (sig[other] == sig[k]).reshape(len(other), plan.bands, plan.rows).all(axis=2).argmax(axis=1)
+            mine = first == band
+            other, matches = other[mine], matches[mine]
+        for o in other[np.argsort(-matches, kind="stable")].tolist():
+            if root[o] == root[k]:
+                continue
+            small, large = (sets[k], sets[o]) if n[k] <= n[o] else (sets[o], sets[k])
+            shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if 100 * shared >= plan.percent * (n[k] + n[o] - shared):
+                root[root == root[o]] = root[k]
+                yield k, o
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, plan: Plan) -> DataFrame:
@@ -256,13 +278,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = full.where("leader <> cls").groupBy(F.col("cls").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     links = written(verified(tested(star, classes, plan), classes, docs, doc_id, text, plan), "links")
     of = components(links)
-    slim = full.select("bucket", "cls")
-    for best_only in (True, False):
-        more = written(verified(across(slim, classes, of, plan, best_only), classes, docs, doc_id, text, plan), "links")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        of = components(links)
+    more = written(across(full.select("bucket", "band", "cls"), classes, of, docs, doc_id, text, plan), "links")
+    if not more.isEmpty():
+        of = components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     full = classes.select("cls", "min_id").join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = full.groupBy("component").agg(F.min("min_id").alias("component_id"))
     per_class = full.select("cls", "component").join(least, "component")
