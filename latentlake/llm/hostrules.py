@@ -60,12 +60,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    kept = [c for c in docs.columns if c not in (*MEASURES, "_m")]
+    kept = [c for c in docs.columns if c not in MEASURES]
     m = let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
-    return docs.select(*kept, m.alias("_m"), word_chars(t).alias("word_chars"),
+    return docs.select(*kept, m.alias("__m"), word_chars(t).alias("word_chars"),
                        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
                        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")) \
-        .select(*kept, "_m.n_words", "word_chars", "n_symbols", "n_dup_lines", "_m.n_repeat_words")
+        .select(*kept, "__m.n_words", "word_chars", "n_symbols", "n_dup_lines", "__m.n_repeat_words")
 
 
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
@@ -116,12 +116,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: floa
     The measured rows are written once and read twice, so no text is measured again.
     """
     columns = docs.columns if keep_columns is None else keep_columns
-    columns = [c for c in columns if c not in (*MEASURES, "base_failed", "host_broken", "kept", "_host")]
-    rows = measure(docs.withColumn("_host", F.col(host)), text).select(*columns, "_host", *MEASURES)
+    columns = [c for c in columns if c not in (*MEASURES, "base_failed", "host_broken", "kept")]
+    rows = measure(docs.withColumn("__host", F.col(host)), text).select(*columns, "__host", *MEASURES)
     rows = written(rows, "measured")
-    rates = host_rates(rows, "_host")
-    bad = rejected_hosts(rates, beta_prior(rates), limit).withColumnsRenamed({"_host": "_bad"})
+    rates = host_rates(rows, "__host")
+    bad = rejected_hosts(rates, beta_prior(rates), limit).withColumnsRenamed({"_host": "__bad", "broken": "__broken"})
     failed = rules()["short"] | rules()["repeats"]
-    return rows.join(bad, F.col("_host").eqNullSafe(F.col("_bad")), "left").select(
-        *columns, *MEASURES, failed.alias("base_failed"), F.col("broken").alias("host_broken"),
-        (~failed & F.col("broken").isNull()).alias("kept"))
+    return rows.join(bad, F.col("__host").eqNullSafe(F.col("__bad")), "left").select(
+        *columns, *MEASURES, failed.alias("base_failed"), F.col("__broken").alias("host_broken"),
+        (~failed & F.col("__broken").isNull()).alias("kept"))
