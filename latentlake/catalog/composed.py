@@ -215,4 +215,4 @@ def _(spark, sf):
     rows = event_stream(spark, sf).select("event_id", "ts", "user_id", "value")
     out = triggers.stable_stream(rows, "user_id", ORDER, "event_id", "value", threshold=20.0)
     triggers.run_available(out, triggers.keyed_sink(path, "user_id"))
-    return spark.read.schema("user_id long, event_id long, reason string").parquet(path).drop("batch")
+    return spark.read.schema("user_id long, event_id long, reason string").parquet(path).drop("run", "batch")

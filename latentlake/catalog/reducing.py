@@ -93,7 +93,7 @@ def _(spark, sf):
     """Coordinates from path lengths; distances to the first source against the path lengths they stand for."""
     df = states(spark, sf)
     far = graph.geodesics(pairs.neighbour_graph(df, "vec_id", "x"), MANY)
-    placed = reduction.landmark_embedding(far, MANY, 6)
+    placed = reduction.landmark_embedding(far, MANY, 6, df.select(F.col("vec_id").alias("node")))
     return placed.select(F.col("node").alias("vec_id"), F.size("y").alias("dim"), vec.norm("y").alias("norm"))
 
 

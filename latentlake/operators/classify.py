@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from latentlake.functions.vec import EPS
 from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
-from latentlake.operators.kernels import ints, matrix, pairwise, pieces, smallest, vectors
+from latentlake.operators.kernels import exact_smallest, ints, matrix, pairwise, pieces, smallest, vectors
 from latentlake.operators.flow import GAINS, MAX_DIM
 from latentlake.plans.runtime import BROADCAST_BYTES, materialize
 
@@ -74,7 +74,8 @@ def nearest(df: DataFrame, x: str, refs: ReferenceSet, tol: float = 1e-2) -> Dat
 
     def two_best(batches):
         for b in (piece for batch in batches for piece in pieces(batch, len(points))):
-            d = pairwise(matrix(b.column(x)), points)
+            m = matrix(b.column(x))
+            d = exact_smallest(pairwise(m, points), m, points, 2)
             at = np.arange(len(d))
             first = d.argmin(1)
             d1 = d[at, first]
@@ -102,7 +103,8 @@ def nearest_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, k
     tasked = pair_tasks(both, ["_all"], "_spread", block_rows, within=False)
 
     def two_best(left, right, same):
-        d = pairwise(matrix(left.column("_x")), matrix(right.column("_x")))
+        m, q = matrix(left.column("_x")), matrix(right.column("_x"))
+        d = exact_smallest(pairwise(m, q), m, q, 2)
         keys = right.column("_key")
         rank = np.argsort(np.argsort(np.array(keys.to_pylist(), dtype=object)))
         r, at = smallest(d, rank, 2)
@@ -110,9 +112,11 @@ def nearest_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, k
                          "key": keys.take(pa.array(at))})
 
     part = on_pairs(tasked, ["_all"], two_best, f"_id long, d double, key {key_type}")
-    best = part.groupBy("_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "key"))), 1, 2).alias("b"))
-    out = best.select(F.col("_id").alias(vec_id), F.col("b")[0]["key"].alias("winner"), F.col("b")[0]["d"].alias("d1"),
-                      F.coalesce(F.get("b", 1)["d"], F.lit(float("inf"))).alias("d2"))
+    pair = F.struct("d", "key")  # the two smallest, merged by aggregates of fixed size
+    first = part.groupBy("_id").agg(F.min(pair).alias("one"))
+    second = part.join(first, "_id").where(pair != F.col("one")).groupBy("_id").agg(F.min("d").alias("d2"))
+    out = first.join(second, "_id", "left").select(F.col("_id").alias(vec_id), F.col("one.key").alias("winner"), F.col("one.d").alias("d1"),
+                                                   F.coalesce("d2", F.lit(float("inf"))).alias("d2"))
     return out.withColumns(verdict(F.col("d1"), F.col("d2"), tol))
 
 
@@ -127,7 +131,8 @@ def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau:
         for b in (piece for batch in batches for piece in pieces(batch, len(points))):
             ids = ints(b.column(vec_id))
             order = np.argsort(ids, kind="stable")
-            d = pairwise(matrix(b.column(x))[order], points)
+            m = matrix(b.column(x))[order]
+            d = exact_smallest(pairwise(m, points).T.copy(), points, m).T
             at = d.argmin(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(points), dtype=np.int64)), pa.array(d[at, np.arange(len(points))]),
@@ -142,8 +147,7 @@ def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau:
 def competition_summary(results: DataFrame, refs: ReferenceSet) -> DataFrame:
     """One row per label, also for labels that won nothing: count, with the totals of the whole run alongside."""
     spark = results.sparkSession
-    labels = spark.createDataFrame([(k,) for k in refs.keys], "winner string" if isinstance(refs.keys[0], str)
-                                   else "winner int")
+    labels = spark.createDataFrame([(k,) for k in refs.keys], T.StructType([T.StructField("winner", results.schema["winner"].dataType)]))
     parts = materialize(results.groupBy("winner").agg(
         F.count(F.lit(1)).alias("n"), F.sum("certainty").alias("certainty"),
         F.count_if("contested").alias("contested")))

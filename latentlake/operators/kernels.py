@@ -48,6 +48,38 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(sq)
 
 
+def _direct(d: np.ndarray, a: np.ndarray, b: np.ndarray, doubtful: np.ndarray) -> np.ndarray:
+    """d with the doubtful entries taken from the difference of the vectors."""
+    i, j = np.nonzero(doubtful)
+    for s in range(0, len(i), 65536):
+        r, c = i[s:s + 65536], j[s:s + 65536]
+        d[r, c] = np.sqrt(((a[r] - b[c]) ** 2).sum(1))
+    return d
+
+
+def _slack(a: np.ndarray, b: np.ndarray) -> float:
+    """What the squared product form may be off, with room to spare."""
+    return 1e-12 * ((a * a).sum(1).max(initial=0.0) + (b * b).sum(1).max(initial=0.0))
+
+
+def exact_at(d: np.ndarray, a: np.ndarray, b: np.ndarray, *limits: float) -> np.ndarray:
+    """Distances d of ``pairwise``, so that comparing them with any of the limits is comparing direct distances."""
+    sq, slack = d * d, _slack(a, b)
+    doubtful = np.zeros(d.shape, bool)
+    for limit in limits:
+        doubtful |= np.abs(sq - limit * limit) <= slack
+    return _direct(d, a, b, doubtful)
+
+
+def exact_smallest(d: np.ndarray, a: np.ndarray, b: np.ndarray, k: int = 1) -> np.ndarray:
+    """Distances d of ``pairwise``, direct wherever a row's k smallest entries or their ties may be."""
+    if not d.size:
+        return d
+    finite = np.where(np.isfinite(d), d, np.inf)
+    kth = np.partition(finite, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1:min(k, d.shape[1])]
+    return _direct(d, a, b, np.isfinite(d) & (finite * finite <= np.where(np.isfinite(kth), kth, 0.0) ** 2 + 2 * _slack(a, b)))
+
+
 def smallest(d: np.ndarray, ids: np.ndarray, k: int):
     """The k smallest finite entries of every row, ties by column id: (row, column), rows in order."""
     k = min(k, d.shape[1])

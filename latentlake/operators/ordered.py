@@ -24,9 +24,9 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return int(row[0] or 0)
 
 
-def _slices(df: DataFrame, keys: list[str], order: list[str], n: int | None = None) -> DataFrame:
+def _slices(df: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
     """Range slices over (keys, order), fixed by a checkpoint so that every later pass sees the same slices."""
-    n = n or tasks(df.sparkSession)
+    n = max(tasks(df.sparkSession), -(-df.count() // limit))
     cut = df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
     return materialize(cut)
 
@@ -44,7 +44,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tu
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: fn[kind](col).over(w) for out, (kind, col) in aggs.items()})
 
-    cut = _slices(df, keys, order)
+    cut = _slices(df, keys, order, limit)
     local = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     cut = cut.withColumns({out: fn[kind](col).over(local) for out, (kind, col) in aggs.items()})
     totals = cut.groupBy(*keys, "_slice").agg(
@@ -53,7 +53,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tu
     totals = totals.select(*keys, "_slice", *[merge[kind](f"_t_{out}").over(before).alias(f"_b_{out}")
                                               for out, (kind, _) in aggs.items()])
     both = join_groups(cut, totals, [*keys, "_slice"])
-    combine = {"count": lambda a, b: a + F.coalesce(b, F.lit(0)), "sum": lambda a, b: a + F.coalesce(b, F.lit(0)),
+    combine = {"count": lambda a, b: a + F.coalesce(b, F.lit(0)), "sum": lambda a, b: F.coalesce(a + b, a, b),
                "min": F.least, "max": F.greatest}
     return both.withColumns({out: combine[kind](F.col(out), F.col(f"_b_{out}")) for out, (kind, _) in aggs.items()}) \
         .drop("_slice", *[f"_b_{out}" for out in aggs])

@@ -14,7 +14,7 @@ from latentlake.functions.vec import EPS, dot, doubles, let, mean_vector, norm,
 from latentlake.operators.blocks import (BLOCK_ROWS, CELL_ROWS, SLACK, choose_pivots, collapse_copies, first_members,
                                          metric_cells, on_pairs, pair_tasks)
 from latentlake.operators.graph import components
-from latentlake.operators.kernels import ints, matrix, pairwise, pieces, smallest, spanning_forest
+from latentlake.operators.kernels import exact_at, exact_smallest, ints, matrix, pairwise, pieces, smallest, spanning_forest
 from latentlake.operators.ordered import ROWS_PER_TASK, running, top_rows
 from latentlake.plans.runtime import join_groups, materialize
 
@@ -33,14 +33,13 @@ def _nearest_kernel(vec_id: str, x: str, k: int, both_ways: bool):
         if not len(ia) or not len(ib):
             parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         else:
-            d = pairwise(matrix(left.column(x)), matrix(right.column(x)))
+            p, q = matrix(left.column(x)), matrix(right.column(x))
+            d = pairwise(p, q)
             if same:
                 np.fill_diagonal(d, np.inf)
-                parts = [best(d, ia, ib)]
-            elif both_ways:
-                parts = [best(d, ia, ib), best(d.T, ib, ia)]
-            else:
-                parts = [best(d.T, ib, ia)]
+            parts = [] if not same and not both_ways else [best(exact_smallest(d.copy(), p, q, k), ia, ib)]
+            if not same:
+                parts.append(best(exact_smallest(d.T.copy(), q, p, k), ib, ia))
         a, b, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
         return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d": pa.array(d)})
 
@@ -233,7 +232,7 @@ def merge_near(df: DataFrame, group: str, vec_id: str, x: str, d: str = "d", tau
         ids = np.concatenate([ints(left.column(vec_id)), *([] if same else [ints(right.column(vec_id))])])
         e = np.concatenate([ints(left.column("_d")), *([] if same else [ints(right.column("_d"))])])
         m = np.vstack([matrix(left.column("_x")), *([] if same else [matrix(right.column("_x"))])])
-        dist = pairwise(m, m)
+        dist = exact_at(pairwise(m, m), m, m, reach)
         linked = (np.abs(e[:, None] - e[None, :]) < tau) & (dist < reach)
         np.fill_diagonal(linked, False)
         f, t, _ = spanning_forest(np.where(linked, dist, np.inf))

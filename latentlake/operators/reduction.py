@@ -180,8 +180,8 @@ def intrinsic_dimension(df: DataFrame, x: str, share: float = 0.95, max_error: f
 # --- landmark embedding and the linear map learned from it ------------------------------------------------------------
 
 
-def landmark_embedding(far: DataFrame, sources: list[int], k: int) -> DataFrame:
-    """(node, y): coordinates from path lengths to a few sources (source, node, d).
+def landmark_embedding(far: DataFrame, sources: list[int], k: int, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, y): coordinates from path lengths to a few sources (source, node, d), for all ``nodes`` (node) if given.
 
     The sources are embedded by classical scaling of their own distances; every other node is placed by its distances to
     them. Unreachable counts as twice the longest path; directions of negative spread are zero.
@@ -205,8 +205,10 @@ def landmark_embedding(far: DataFrame, sources: list[int], k: int) -> DataFrame:
     mean = sq.mean(0)
     index = F.create_map(*[v for s, i in at.items() for v in (F.lit(s), F.lit(i))])
     spots = far.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct(index[F.col("source")].alias("i"), "d"))).alias("m"))
+    if nodes is not None:  # a node that no source reaches is placed as well
+        spots = nodes.select("node").join(spots, "node", "left")
     full = spots.select("node", F.transform(F.sequence(F.lit(0), F.lit(len(sources) - 1)),
-                                            lambda i: F.coalesce(F.col("m")[i], F.lit(top))).alias("_d"))
+                                            lambda i: F.coalesce(F.try_element_at("m", i), F.lit(top))).alias("_d"))
     return _apply(full, "_d", lambda m: -0.5 * (m ** 2 - mean) @ place, "y").select("node", "y")
 
 
@@ -227,7 +229,7 @@ def fit_topological(df: DataFrame, vec_id: str, x: str, edges: DataFrame, source
     d = _dimension(df, x)
     if k >= d:
         return identity(d)
-    placed = landmark_embedding(geodesics(edges, sources), sources, k)
+    placed = landmark_embedding(geodesics(edges, sources), sources, k, df.select(F.col(vec_id).alias("node")))
     mean = np.array(df.agg(mean_vector(x)).first()[0])
     both = df.select(F.col(vec_id).alias("node"), doubles(x).alias("x")).join(placed, "node")
     return Projection(mean, least_squares(both, "x", "y", mean))

@@ -10,8 +10,10 @@ The rules used everywhere in the package:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,13 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is configured (local tests)."""
+    """The cluster's checkpoint folder; a private one only where none is configured and everything runs on this machine."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current is None:
+        if configured is None and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = configured or tempfile.mkdtemp(prefix="latentlake-")
         sc.setCheckpointDir(current)
     return configured or current
@@ -47,11 +51,16 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 def join_groups(rows: DataFrame, groups: DataFrame, on, row_bytes: int = 64, how: str = "inner",
                 limit: int = BROADCAST_BYTES, fixed: bool = False) -> DataFrame:
-    """Attach a per-group table to its rows.
+    """Attach a per-group table to its rows; null keys match null keys, as they do in a grouping.
 
     Few groups: the rows are not shuffled at all. Many groups: shuffle join, hot groups split by the adaptive planner.
     """
-    return rows.join(broadcast_if_small(groups, row_bytes, limit, fixed), on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    named = groups.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    side = broadcast_if_small(named, row_bytes, limit, fixed)
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(side[f"_key_{k}"]) for k in keys])
+    return rows.join(side, same, how).select(
+        *keys, *[c for c in rows.columns if c not in keys], *[c for c in groups.columns if c not in keys])
 
 
 def tasks(spark: SparkSession) -> int:

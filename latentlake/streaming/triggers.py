@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from latentlake.plans.runtime import scratch_path
@@ -50,35 +53,44 @@ def stable_stream(stream: DataFrame, key: str, order: list[str], row_id: str, va
         outputStructType=f"{key} {types[key]}, {row_id} {types[row_id]}, reason string", outputMode="Append", timeMode="None")
 
 
-def run_available(stream: DataFrame, sink) -> None:
-    """Drive a stream over everything available now, handing each micro-batch to ``sink(batch, batch_id)``."""
+def run_available(stream: DataFrame, sink, checkpoint: str | None = None) -> None:
+    """Drive a stream over everything available now, handing each micro-batch to ``sink(batch, batch_id, run)``.
+
+    ``checkpoint`` is the folder in which the stream remembers what it has read: with the same folder a later call goes on
+    where this one ended, without one every call reads all there is. ``run`` names that folder to the sink, so batches
+    counted anew by another run never replace those of this one. Rows of a key count in the order of their arrival: by
+    micro-batch, and inside one by the order columns.
+    """
     spark = stream.sparkSession
-    q = stream.writeStream.outputMode("append").option("checkpointLocation", scratch_path(spark, "stream")) \
-        .trigger(availableNow=True).foreachBatch(sink).start()
+    checkpoint = checkpoint or scratch_path(spark, "stream")
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    q = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).foreachBatch(lambda batch, batch_id: sink(batch, batch_id, run)).start()
     q.awaitTermination()
 
 
 def keyed_sink(path: str, key: str):
-    """Sink that adds each key once. A batch written again after a failure replaces its own folder, so it stays exact."""
+    """Sink that adds each key once, whichever run or batch brings it first.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _read(spark, path, batch).where(F.col("batch") < batch_id)
+    A batch written again after a failure replaces its own folder; all other folders are what is already committed.
+    """
+    def write(batch: DataFrame, batch_id: int, run: str) -> None:
+        known = _read(batch.sparkSession, path, batch).where((F.col("run") != run) | (F.col("batch") != batch_id))
         fresh = batch.join(known.select(key).distinct(), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        fresh.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return write
 
 
 def append_sink(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def write(batch: DataFrame, batch_id: int, run: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
     return write
 
 
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    schema = like.schema.add("batch", "long")
+    schema = T.StructType([*like.schema.fields, T.StructField("run", T.StringType()), T.StructField("batch", T.LongType())])
     try:
         return spark.read.schema(schema).option("basePath", path).parquet(path)
     except AnalysisException as e:

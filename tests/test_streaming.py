@@ -60,10 +60,25 @@ def test_sink_ignores_a_repeated_batch(spark, tmp_path):
     a = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
     b = spark.createDataFrame([("b", 9), ("c", 3)], "k string, v long")
     for batch, i in ((a, 0), (b, 1), (b, 1), (a, 0)):
-        sink(batch, i)
+        sink(batch, i, "run")
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [("a", 1), ("b", 2), ("c", 3)]
 
 
+def test_commits_survive_a_restart(spark, tmp_path):
+    """x and y commit, then rows arrive for y and z: with the old checkpoint or a new one, x and y stay as they were."""
+    source, schema = str(tmp_path / "in"), "event_id long, user_id string, value double"
+    for new_run in (False, True):
+        out, mark = str(tmp_path / f"out{new_run}"), str(tmp_path / f"mark{new_run}")
+        src = f"{source}{new_run}"
+        for at, keys in enumerate((("x", "y"), ("y", "z"))):
+            rows = [(100 * at + 10 * i + j, k, 1.0) for i, k in enumerate(keys) for j in range(3)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+            fired = triggers.stable_stream(stream, "user_id", ["event_id"], "event_id", "value", threshold=2.0, width=2)
+            triggers.run_available(fired, triggers.keyed_sink(out, "user_id"), f"{mark}{at if new_run else ''}")
+        assert sorted((r.user_id, r.event_id) for r in spark.read.parquet(out).collect()) == [("x", 1), ("y", 11), ("z", 111)]
+
+
 def test_parameters_are_checked():
     for bad in (dict(d=0), dict(d=2, radius=1.0), dict(d=2, leak=0.0), dict(d=2, scale=0)):
         with pytest.raises(ValueError):
