@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from latentlake.llm.text import pieces
 
-RUN_KEYS = 2_000_000  # keys that a task sorts before it sends them
+RUN_KEYS = 1_000_000  # keys that a task sorts before it sends them
 
 
 def system_of(uri: str):

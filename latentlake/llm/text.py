@@ -92,7 +92,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 21):
+def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 19):
     """Slices of a batch whose texts have about ``most`` bytes, or one row: what a task works on at a time."""
     _, offsets = text_bytes(batch.column(column))
     at = 0
