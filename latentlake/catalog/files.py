@@ -98,6 +98,14 @@ def _(spark, sf):
                                      F.avg("v").alias("mean"))
 
 
+@query("s5_candidate_shape", f"""WITH {E} SELECT label, 8 * count(*) AS n, true AS clipped, true AS spread FROM e GROUP BY label""")
+def _(spark, sf):
+    """What is certain about random candidates: eight values per row, none outside [-1, 1], not all alike."""
+    out = generators.random_candidates(states(spark, sf).select("vec_id", "label"), ["vec_id"], 8)
+    return long_form(out, ["vec_id", "label"], "x").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.abs("v") <= 1).alias("clipped"), (F.stddev("v") > 0.1).alias("spread"))
+
+
 @query("s6_constant_and_ramp", f"""WITH {E} SELECT vec_id, i, 0.0::DOUBLE AS zero, 1.0::DOUBLE AS one, {r('-1 + 2.0 * (i - 1) / 4', 'ramp')},
     {r('x[i] * (-1 + 2.0 * (i - 1) / 4)', 'tilted')} FROM e, unnest(range(1, 6)) t(i)""")
 def _(spark, sf):
@@ -117,6 +125,15 @@ def _(spark, sf):
     return ranks.join(length, ["label", "cand"])
 
 
+@query("s7_order_shape", f"""WITH {E} SELECT label, cand, count(*) AS n, count(*) AS distinct_ranks, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+    FROM e, unnest(range(0, 3)) t(cand) GROUP BY label, cand""")
+def _(spark, sf):
+    """What is certain about random orders: every rank from 0 to 1 once per label and candidate."""
+    pts = generators.random_points(states(spark, sf).select("label", "vec_id"), ["vec_id"])
+    return generators.random_orders(pts, ["label"], "vec_id", 3).groupBy("label", "cand").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("rank_value").alias("distinct_ranks"), F.min("rank_value").alias("low"), F.max("rank_value").alias("high"))
+
+
 @query("s8_trace_log", f"""WITH {TARGET}, f AS (SELECT *, greatest(1, floor((d - 1e-3) / 0.1) + 1)::BIGINT AS steps FROM s)
     SELECT vec_id::VARCHAR AS label, steps, true AS converged, steps AS n_trace, {r('greatest(0.0, d - steps * 0.1)', 'final_drift')},
     {r('greatest(0.0, d - 0.1)', 'first_drift')} FROM f""")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from latentlake.catalog.base import E, long_form, query, states
+from latentlake.catalog.base import D, E, long_form, query, r, states
 from latentlake.catalog.pairwork import SOURCES, distortion
 from latentlake.functions import vec
 from latentlake.operators import graph, pairs, reduction
@@ -27,10 +28,47 @@ def _(spark, sf):
     return ratios.join(z, "component")
 
 
-@query("d2_random_projection")
+def literal(m) -> str:
+    """A matrix as a SQL list of rows."""
+    return "[" + ", ".join("[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in row) + "]" for row in m) + "]"
+
+
+SEEDED = reduction.random_projection(D, 16)
+THERE_AND_BACK = SEEDED.components.T @ np.linalg.pinv(SEEDED.components).T  # rows times this: squeezed and unsqueezed
+
+
+@query("d1_spectrum_moments", f"""WITH {E}, v AS (SELECT vec_id, i, x[i] AS v FROM e, unnest(range(1, {D + 1})) t(i)),
+    c AS (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS c FROM v a JOIN v b USING (vec_id) GROUP BY a.i, b.i)
+    SELECT {r('sum(c) FILTER (i = j)', 'total')}, {r('sqrt(sum(c * c))', 'norm')} FROM c""")
+def _(spark, sf):
+    """The variances along all directions add up to the trace of the covariance, their squares to that of its square."""
+    df = states(spark, sf)
+    share = reduction.spectrum(df, "x", D).ratio
+    total = df.select(F.posexplode(vec.doubles("x")).alias("i", "v")).groupBy("i").agg(F.var_samp("v").alias("v")).agg(F.sum("v").alias("total"))
+    return total.select("total", (F.col("total") * float(np.sqrt((share ** 2).sum()))).alias("norm"))
+
+
+@query("d3_unsqueeze_seeded", f"""WITH {E}, m AS (SELECT {literal(THERE_AND_BACK.T)} AS m)
+    SELECT vec_id, {r('list_distance(x, list_transform(m, lambda row: list_dot_product(row, x)))', 'error')} FROM e, m""")
+def _(spark, sf):
+    """Distance of every row to its way back from 16 seeded directions."""
+    df = states(spark, sf).withColumn("o", vec.doubles("x"))
+    back = reduction.unsqueeze(reduction.squeeze(df, "x", SEEDED), "z", SEEDED, "x")
+    return back.select("vec_id", vec.l2("o", "x").alias("error"))
+
+
+@query("a13_seeded_error", f"""WITH {E}, m AS (SELECT {literal(THERE_AND_BACK.T)} AS m)
+    SELECT {r('avg(list_distance(x, list_transform(m, lambda row: list_dot_product(row, x))))', 'mean_error')} FROM e, m""")
+def _(spark, sf):
+    return reduction.reconstruction_error(states(spark, sf), "x", SEEDED)
+
+
+@query("d2_random_projection", f"""WITH {E}, w AS (SELECT {literal(SEEDED.components)} AS w),
+    q AS (SELECT label, sqrt(list_sum(list_transform(w, lambda row: list_dot_product(row, x) ** 2))) / sqrt(list_dot_product(x, x)) AS ratio FROM e, w)
+    SELECT label, count(*) AS n, {r('avg(ratio)', 'mean_ratio')}, {r('stddev_samp(ratio)', 'std_ratio')} FROM q GROUP BY label""")
 def _(spark, sf):
     """Length of projected rows relative to their original length: close to one on average."""
-    p = reduction.random_projection(64, 16)
+    p = SEEDED
     z = reduction.squeeze(states(spark, sf), "x", p)
     out = z.withColumn("ratio", vec.norm("z") / vec.norm("x"))
     return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("ratio").alias("mean_ratio"), F.stddev("ratio").alias("std_ratio"))
@@ -48,7 +86,7 @@ def _(spark, sf):
 
 @query("d4_compression_ratio", f"WITH {E} SELECT vec_id, len(x) / 16.0::DOUBLE AS ratio FROM e")
 def _(spark, sf):
-    return states(spark, sf).select("vec_id", (F.size("x") / 16.0).alias("ratio"))
+    return states(spark, sf).select("vec_id", F.lit(SEEDED.compression).alias("ratio"))
 
 
 @query("d5_cascade")
