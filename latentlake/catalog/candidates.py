@@ -97,6 +97,23 @@ def _(spark, sf):
     return classify.best_equivalent(states(spark, sf), "vec_id", "x", label_references(spark, sf), 0.95)
 
 
+def equivalents(distance: str) -> str:
+    return f"""WITH {MEANS}, c AS (SELECT means.label AS target, vec_id, {distance} AS d FROM e, means),
+    k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY d, vec_id) AS rn FROM c)
+    SELECT target, {r('d', 'd')}, CASE WHEN d <= 0.95 THEN vec_id ELSE -1 END AS best_id FROM k WHERE rn = 1"""
+
+
+@query("j2_best_equivalent_cosine", equivalents("1 - list_cosine_similarity(x, q)"))
+def _(spark, sf):
+    return classify.best_equivalent(states(spark, sf), "vec_id", "x", label_references(spark, sf), 0.95, "cosine")
+
+
+@query("j2_best_of_many", equivalents("list_distance(x, q)"))
+def _(spark, sf):
+    """The plan for targets that don't fit into every task."""
+    return classify.best_equivalent_of_many(states(spark, sf), "vec_id", "x", label_means(spark, sf), "label", "q", 0.95)
+
+
 NEAREST = f"""{MEANS}, c AS (SELECT vec_id, e.label AS own, means.label AS lab, list_distance(x, q) AS d FROM e, means),
     k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, lab) AS rn FROM c),
     v AS (SELECT vec_id, any_value(own) AS own, max(lab) FILTER (WHERE rn = 1) AS winner, max(d) FILTER (WHERE rn = 1) AS d1,

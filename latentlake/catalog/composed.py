@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from latentlake.catalog.base import D, TARGET, exploded, label_means, label_references, long_form, query, r, states, table
@@ -27,6 +28,15 @@ def _(spark, sf):
     return out.withColumn("n_levels", F.size("level_dims")).drop("committed", "level_dims")
 
 
+@query("l1_levels", f"""WITH {TARGET}, w AS (SELECT label, arg_min(vec_id, struct_pack(a := d, b := vec_id)) AS vec_id FROM s GROUP BY label),
+    c AS (SELECT s.label, list_transform(range(1, {D + 1}), lambda i: q[i] + (x[i] - q[i]) * pow(0.9, 30)) AS z FROM s JOIN w USING (vec_id))
+    SELECT label, level::BIGINT AS level, dim::BIGINT AS dim, {r('list_sum(z[1:dim])', 'total')} FROM c, (VALUES (0, {D}), (1, {D // 2}), (2, {D // 4})) v(level, dim)""")
+def _(spark, sf):
+    """The committed vectors at every level of abstraction."""
+    out = jobs.evaluate(states(spark, sf), label_means(spark, sf), field="damped", max_steps=30, drift_threshold=0.066)
+    return jobs.committed_levels(out, D).select("label", "level", "dim", vec.total("z").alias("total"))
+
+
 @query("l1_evaluate_squeezed")
 def _(spark, sf):
     out = jobs.evaluate(states(spark, sf), label_means(spark, sf), squeeze_to=16, field="normalize", tau=1.0)
@@ -105,8 +115,11 @@ def _(spark, sf):
     return jobs.pull_routes(candidate_routes(spark, sf), ["label"], "cand", "vec_id", ["o", "vec_id"], "px", "py", 1)
 
 
-@query("u2_user_rule", f"""WITH {TARGET} SELECT vec_id, x[1] >= 0 AS ok, CASE WHEN x[1] < 0 THEN 'negative start' ELSE 'fine' END AS diagnosis,
-    {r('CASE WHEN x[1] < 0 THEN -x[1] ELSE x[1] END', 'first')}, {r(f'CASE WHEN x[1] < 0 THEN -x[{D}] ELSE x[{D}] END', 'last')} FROM s""")
+MIRRORED = f"""WITH {TARGET} SELECT vec_id, x[1] >= 0 AS ok, CASE WHEN x[1] < 0 THEN 'negative start' ELSE 'fine' END AS diagnosis,
+    {r('CASE WHEN x[1] < 0 THEN -x[1] ELSE x[1] END', 'first')}, {r(f'CASE WHEN x[1] < 0 THEN -x[{D}] ELSE x[{D}] END', 'last')} FROM s"""
+
+
+@query("u2_user_rule", MIRRORED)
 def _(spark, sf):
     """A rule written by the user as an expression: rows that start negative are mirrored."""
     bad = F.col("x")[0] < 0
@@ -116,6 +129,17 @@ def _(spark, sf):
     return out.select("vec_id", "ok", "diagnosis", F.col("x")[0].alias("first"), F.col("x")[D - 1].alias("last"))
 
 
+@query("u2_batch_rule", MIRRORED)
+def _(spark, sf):
+    """The same rule written on arrays."""
+    def mirror(m, others):
+        bad = m[:, 0] < 0
+        return ~bad, np.where(bad, "negative start", "fine"), -m
+
+    out = rules.fold_with_batches(states(spark, sf), "x", mirror)
+    return out.select("vec_id", "ok", "diagnosis", F.col("x")[0].alias("first"), F.col("x")[D - 1].alias("last"))
+
+
 @query("u3_user_stage", f"""WITH {TARGET} SELECT label, count(*) AS n, {r('avg(sqrt(list_dot_product(x, x)) * 3)', 'mean_norm')} FROM s GROUP BY label""")
 def _(spark, sf):
     """Any function from DataFrame to DataFrame is a stage."""

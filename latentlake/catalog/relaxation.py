@@ -113,7 +113,7 @@ def _(spark, sf):
     return relaxed(spark, sf, "descent", final=False).select("vec_id", "steps", "converged", "r_final")
 
 
-@query("f5_recursive", f"""WITH RECURSIVE {TARGET},
+RECURSIVE = f"""WITH RECURSIVE {TARGET},
     inn AS (SELECT vec_id, d AS start, 0 AS step, d AS rho FROM s UNION ALL
         SELECT vec_id, start, step + 1, rho - sign(rho) * CASE WHEN abs(rho) < 1e-12 THEN 0 ELSE 0.1 END FROM inn
         WHERE step < 200 AND (step = 0 OR abs(rho) >= 1e-3)),
@@ -122,14 +122,25 @@ def _(spark, sf):
         min(step) FILTER (WHERE step > 0 AND step % 10 = 0 AND abs(rho - prev) <= 1e-4) AS fix FROM mark GROUP BY vec_id),
     fin AS (SELECT vec_id, CASE WHEN hit IS NOT NULL AND (fix IS NULL OR hit <= fix) THEN 'attractor_reached'
         WHEN fix IS NOT NULL THEN 'fixed_point' ELSE 'timeout' END AS termination,
-        CASE WHEN hit IS NOT NULL AND (fix IS NULL OR hit <= fix) THEN hit WHEN fix IS NOT NULL THEN fix ELSE 200 END AS stop_at FROM stop)
-    SELECT vec_id, termination, ceil(stop_at / 10.0)::BIGINT AS iterations, {r('rho', 'rho')} FROM fin JOIN mark USING (vec_id)
+        CASE WHEN hit IS NOT NULL AND (fix IS NULL OR hit <= fix) THEN hit WHEN fix IS NOT NULL THEN fix ELSE 200 END AS stop_at FROM stop)"""
+
+
+@query("f5_recursive", f"""{RECURSIVE} SELECT vec_id, termination, ceil(stop_at / 10.0)::BIGINT AS iterations, {r('rho', 'rho')} FROM fin JOIN mark USING (vec_id)
     WHERE mark.step = fin.stop_at""")
 def _(spark, sf):
     df = with_target(spark, sf).withColumn("r0", vec.l2("x", "q")).select("vec_id", "r0")
     return flow.recursive(df, "r0", max_iterations=20, inner_steps=10).select("vec_id", "termination", "iterations", "rho")
 
 
+@query("f5_outer_trace", f"""{RECURSIVE} SELECT vec_id, ceil(step / 10.0)::BIGINT AS round, {r('abs(rho)', 'drift')} FROM fin JOIN mark USING (vec_id)
+    WHERE step > 0 AND (step = stop_at OR step < stop_at AND step % 10 = 0)""")
+def _(spark, sf):
+    """The drift after every outer round."""
+    df = with_target(spark, sf).withColumn("r0", vec.l2("x", "q")).select("vec_id", "r0")
+    out = flow.recursive(df, "r0", max_iterations=20, inner_steps=10)
+    return out.select("vec_id", F.posexplode("trace").alias("i", "rho")).select("vec_id", (F.col("i") + 1).alias("round"), F.abs("rho").alias("drift"))
+
+
 def coupled_steps(n: int) -> str:
     """SQL: n coupled steps, one after the other."""
     out = ["k0 AS (SELECT label, vec_id, x, q FROM s)"]
@@ -184,6 +195,17 @@ CONTRACT = f"""{NORMALIZE}, runs AS (
     SELECT vec_id, 'repulsive', false FROM s UNION ALL SELECT vec_id, 'custom', false FROM s)"""
 
 
+@query("f8_user_contracts", f"""WITH {CONTRACT} SELECT field, CASE field WHEN 'custom' THEN 1 ELSE 3 END::BIGINT AS tier, CASE field WHEN 'custom' THEN 0.5 END::DOUBLE AS lipschitz_bound,
+    count(*) AS n, count(*) FILTER (WHERE NOT (field = 'custom' AND NOT converged)) AS honored FROM runs WHERE field <> 'normalize' GROUP BY field""")
+def _(spark, sf):
+    """A contract that the user declares for a field of their own, next to the built-in ones."""
+    p = relaxed(spark, sf, "repulsive", max_steps=10, final=False).select("vec_id", "steps", "converged", "r_final")
+    runs = p.withColumn("field", F.lit("repulsive")).unionByName(p.withColumn("field", F.lit("custom")))
+    own = flow.contracts(spark, [("custom", 1, 0.5, "declared for the test")])
+    return flow.check_contract(runs, known=own).groupBy("field", "tier", "lipschitz_bound").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("tier_honored").alias("honored"))
+
+
 @query("f8_contracts", f"""WITH {CONTRACT} SELECT field, CASE field WHEN 'normalize' THEN 1 WHEN 'repulsive' THEN 3 ELSE 2 END::BIGINT AS tier,
     count(*) AS n, count(*) FILTER (WHERE NOT (field = 'normalize' AND NOT converged)) AS honored,
     count(*) FILTER (WHERE (field = 'normalize' AND NOT converged) OR (field = 'repulsive' AND NOT converged)) AS signals FROM runs GROUP BY field""")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from latentlake.catalog.base import D, E, MEANS, TARGET, exploded, label_means, label_references, long_form, query, r, states, with_target
 from latentlake.functions import vec
-from latentlake.operators import quality as rules
+from latentlake.operators import classify, quality as rules
 from latentlake.plans.runtime import join_groups, materialize
 
 
@@ -153,12 +154,22 @@ def _(spark, sf):
     return out.select("vec_id", *[F.col("ok")[i].alias(s["kind"]) for i, s in enumerate(specs)], "n_satisfied", "n_total")
 
 
-@query("p16_soft_penalty", f"""WITH {MEANS} SELECT vec_id, {r('-sum(greatest(0.0, list_distance(x, q) - 1.0))', 'penalty')}
-    FROM e, means GROUP BY vec_id""")
+PENALTY = f"""WITH {MEANS} SELECT vec_id, {r('-sum(greatest(0.0, list_distance(x, q) - 1.0))', 'penalty')}
+    FROM e, means GROUP BY vec_id"""
+
+
+@query("p16_soft_penalty", PENALTY)
 def _(spark, sf):
     return rules.soft_penalty(states(spark, sf), "x", label_references(spark, sf), 1.0).select("vec_id", "penalty")
 
 
+@query("p16_penalty_of_many", PENALTY)
+def _(spark, sf):
+    """The plan for targets that don't fit into every task."""
+    out = classify.summed_over_many(states(spark, sf), "vec_id", "x", label_means(spark, sf), "q", lambda d, _: -np.maximum(0.0, d - 1.0))
+    return out.withColumnRenamed("total", "penalty")
+
+
 @query("p17_balance", f"""WITH {MEANS} SELECT vec_id, {r('''-abs(sum(CASE WHEN means.label = 0 THEN list_distance(x, q)
     WHEN means.label = 1 THEN -list_distance(x, q) ELSE 0 END))''', 'balance')},
     {r('avg(list_distance(x, q))', 'mean_distance')} FROM e, means GROUP BY vec_id""")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentlake.functions.vec import EPS
+from latentlake.functions.vec import EPS, doubles
 from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
 from latentlake.operators.kernels import exact_smallest, ints, matrix, pairwise, pieces, smallest, vectors
 from latentlake.operators.flow import GAINS, MAX_DIM
@@ -120,8 +120,22 @@ def nearest_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, k
     return out.withColumns(verdict(F.col("d1"), F.col("d2"), tol))
 
 
-def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau: float) -> DataFrame:
-    """Per target: the nearest candidate, or -1 where even that one is beyond the tolerance.
+def _units(m: np.ndarray) -> np.ndarray:
+    n = np.sqrt((m * m).sum(1))
+    return np.where(n[:, None] < EPS, 0.0, m / np.maximum(n, EPS)[:, None])
+
+
+def _apart(m: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
+    """Distances (rows of m x points); columns' smallest entries are exact. Cosine: 1 where a side has no direction."""
+    if metric == "cosine":
+        return 1.0 - _units(m) @ _units(points).T
+    if metric != "l2":
+        raise ValueError(f"unknown metric {metric}")
+    return exact_smallest(pairwise(m, points).T.copy(), points, m).T
+
+
+def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau: float, metric: str = "l2") -> DataFrame:
+    """Per target: the nearest candidate (``l2`` or ``cosine``), or -1 where even that one is beyond the tolerance.
 
     Each batch sends its best candidate per target only.
     """
@@ -131,8 +145,7 @@ def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau:
         for b in (piece for batch in batches for piece in pieces(batch, len(points))):
             ids = ints(b.column(vec_id))
             order = np.argsort(ids, kind="stable")
-            m = matrix(b.column(x))[order]
-            d = exact_smallest(pairwise(m, points).T.copy(), points, m).T
+            d = _apart(matrix(b.column(x))[order], points, metric)
             at = d.argmin(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(points), dtype=np.int64)), pa.array(d[at, np.arange(len(points))]),
@@ -144,6 +157,46 @@ def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau:
                        F.when(F.col("b.d") <= tau, F.col("b.id")).otherwise(F.lit(-1)).alias("best_id"))
 
 
+def _against_blocks(df: DataFrame, vec_id: str, x: str, references: DataFrame, carry: list[str], q: str, kernel, schema: str,
+                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Run ``kernel(ids, rows, references' carried columns, their vectors)`` on every block of rows with every block of references."""
+    types = dict(references.dtypes)
+    rows = df.select(F.col(vec_id).cast("long").alias("_id"), doubles(x).alias("_x"), *[F.lit(None).cast(types[c]).alias(c) for c in carry], F.lit(True).alias("_home"))
+    refs = references.select(F.lit(None).cast("long").alias("_id"), doubles(q).alias("_x"), *carry, F.lit(False).alias("_home"))
+    both = rows.union(refs).withColumn("_all", F.lit(0)).withColumn("_spread", F.xxhash64("_id", "_x"))
+    tasked = pair_tasks(both, ["_all"], "_spread", block_rows, within=False)
+
+    def run(left, right, same):
+        return kernel(ints(left.column("_id")).astype(np.int64), matrix(left.column("_x")), {c: right.column(c) for c in carry}, matrix(right.column("_x")))
+
+    return on_pairs(tasked, ["_all"], run, schema)
+
+
+def best_equivalent_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, key: str, q: str, tau: float, metric: str = "l2",
+                            block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """best_equivalent for targets too many to send to every task; a task returns one candidate per target of its block."""
+    def kernel(ids, m, carried, points):
+        order = np.argsort(ids, kind="stable")
+        d = _apart(m[order], points, metric)
+        at = d.argmin(0)
+        return pa.table({"target": carried[key], "d": pa.array(d[at, np.arange(len(points))]), "id": pa.array(ids[order][at])})
+
+    part = _against_blocks(df, vec_id, x, references, [key], q, kernel, f"target {dict(references.dtypes)[key]}, d double, id long", block_rows)
+    best = part.groupBy("target").agg(F.min(F.struct("d", "id")).alias("b"))
+    return best.select("target", F.col("b.d").alias("d"), F.when(F.col("b.d") <= tau, F.col("b.id")).otherwise(F.lit(-1)).alias("best_id"))
+
+
+def summed_over_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, q: str, score, carry: list[str] | None = None,
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(vec_id, total): per row the sum of ``score(distances, carried arrays)`` over references too many to send to every task."""
+    def kernel(ids, m, carried, points):
+        values = score(pairwise(m, points), {c: np.array(v.to_pylist(), dtype=np.float64) for c, v in carried.items()})
+        return pa.table({"id": pa.array(ids), "part": pa.array(values.sum(1))})
+
+    part = _against_blocks(df, vec_id, x, references, carry or [], q, kernel, "id long, part double", block_rows)
+    return part.groupBy(F.col("id").alias(vec_id)).agg(F.sum("part").alias("total"))
+
+
 def competition_summary(results: DataFrame, refs: ReferenceSet) -> DataFrame:
     """One row per label, also for labels that won nothing: count, with the totals of the whole run alongside."""
     spark = results.sparkSession

@@ -178,11 +178,14 @@ def recursive(df: DataFrame, r0: str, field: str = "normalize", epsilon: float =
               max_iterations: int = 100, inner_steps: int = 50, fixed_point_tol: float = 1e-4) -> DataFrame:
     """Repeat blocks of inner steps, without a cap at the target, until the block hits the target, stops moving or runs out.
 
-    Adds iterations, termination and the signed final coordinate rho on the line from the target to the start.
+    Adds iterations, termination, the signed final coordinate rho on the line from the target to the start, and the outer
+    ``trace``: rho after every block, at most ``max_iterations`` values. Its absolute values are the drifts, differences
+    of neighbours the distances moved, and ``path_at`` gives the positions.
     """
     g = GAINS[field]
     schema = T.StructType([*df.schema.fields, T.StructField("iterations", T.LongType()),
-                           T.StructField("termination", T.StringType()), T.StructField("rho", T.DoubleType())])
+                           T.StructField("termination", T.StringType()), T.StructField("rho", T.DoubleType()),
+                           T.StructField("trace", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for b in batches:
@@ -190,6 +193,7 @@ def recursive(df: DataFrame, r0: str, field: str = "normalize", epsilon: float =
             rounds = np.zeros(len(rho), dtype=np.int64)
             why = np.full(len(rho), "timeout", dtype=object)
             active = np.arange(len(rho))
+            told = []
             for _ in range(max_iterations):
                 if not len(active):
                     break
@@ -205,12 +209,17 @@ def recursive(df: DataFrame, r0: str, field: str = "normalize", epsilon: float =
                     moving = moving[np.abs(cur[moving]) >= tol]
                 rho[active] = cur
                 rounds[active] += 1
+                told.append((active, cur.copy()))
                 hit = np.abs(cur) < tol
                 still = ~hit & (np.abs(cur - start) <= fixed_point_tol)
                 why[active[hit]], why[active[still]] = "attractor_reached", "fixed_point"
                 active = active[~hit & ~still]
+            who = np.concatenate([a for a, _ in told]) if told else np.zeros(0, np.int64)
+            values = np.concatenate([v for _, v in told]) if told else np.zeros(0)
+            order = np.argsort(who, kind="stable")  # rounds stay in order within a row
+            trace = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rounds)]), pa.int32()), pa.array(values[order]))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rounds), pa.array(why.tolist(), pa.string()),
-                                              pa.array(rho)], names=schema.names)
+                                              pa.array(rho), trace], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -287,20 +296,33 @@ def flow_with(df: DataFrame, x: str, q: str, fn, epsilon: float = 0.1, tol: floa
 CONTRACTS = {"normalize": (1, 0.1), "damped": (1, 0.1), "sin": (2, None), "adaptive": (2, None), "repulsive": (3, None)}
 
 
-def check_contract(df: DataFrame, field: str = "field", strict: bool = False) -> DataFrame:
+def contracts(spark, rows: list[tuple]) -> DataFrame:
+    """A table (field, tier, lipschitz_bound, justification) of user contracts, checked: tiers are 1 to 3, and tier 1 needs
+    a bound below 1."""
+    for field, tier, bound, _ in rows:
+        if tier not in (1, 2, 3):
+            raise ValueError(f"{field}: tier {tier} is not 1, 2 or 3")
+        if tier == 1 and (bound is None or not 0 <= bound < 1):
+            raise ValueError(f"{field}: a provable contract needs a Lipschitz bound below 1")
+    return spark.createDataFrame(rows, "field string, tier int, lipschitz_bound double, justification string")
+
+
+def check_contract(df: DataFrame, field: str = "field", strict: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Hold each run (steps, converged, r_final) against the contract of its field.
 
-    Adds tier, tier_honored and failure_signal. Unknown fields are empirical. With ``strict`` a violation raises.
+    Adds tier, lipschitz_bound, tier_honored and failure_signal. ``known``: a table made by ``contracts`` that is asked
+    before the built-in ones. Other fields are empirical. With ``strict`` a violation raises.
     """
-    f = F.col(field)
-    tier = F.lit(2)
-    bound = F.lit(None).cast("double")
-    for name, (t, lip) in CONTRACTS.items():
-        tier = F.when(f == name, F.lit(t)).otherwise(tier)
-        bound = F.when(f == name, F.lit(lip).cast("double")).otherwise(bound)
+    spark = df.sparkSession
+    table = spark.createDataFrame([(f, t, b) for f, (t, b) in CONTRACTS.items()], "field string, tier int, lipschitz_bound double")
+    if known is not None:
+        own = known.select("field", "tier", "lipschitz_bound")
+        table = own.unionByName(table.join(own.select("field"), "field", "left_anti"))
+    out = join_groups(df.withColumn("_field", F.col(field)), table.withColumnRenamed("field", "_field"), "_field", how="left").drop("_field")
+    out = out.withColumn("tier", F.coalesce("tier", F.lit(2)))
     broken = (F.col("tier") == 1) & ~F.col("converged")
     expected = (F.col("tier") == 3) & ~F.col("converged")
-    out = df.withColumns({"tier": tier, "lipschitz_bound": bound}).withColumns({
+    out = out.withColumns({
         "tier_honored": ~broken,
         "failure_signal": F.when(broken, F.lit("tier 1 violated")).when(expected, F.lit("tier 3 expected"))
         .otherwise(F.lit(""))})

@@ -110,6 +110,24 @@ def fold_with(df: DataFrame, x: str, rule: Column) -> DataFrame:
                            .otherwise(doubles(x)), "ok": F.col("_r.ok"), "diagnosis": F.col("_r.diagnosis")}).drop("_r")
 
 
+def fold_with_batches(df: DataFrame, x: str, rule, others: list[str] | None = None) -> DataFrame:
+    """Apply a user rule written on arrays: ``rule(vectors, other columns)`` gets the rows of a batch as a matrix, and the
+    named other columns (a memory, a history) as lists, and returns (ok, diagnosis, corrections or None) for the batch."""
+    kept = [f for f in df.schema.fields if f.name not in (x, "ok", "diagnosis")]
+    schema = T.StructType([*kept, T.StructField(x, T.ArrayType(T.DoubleType())), T.StructField("ok", T.BooleanType()), T.StructField("diagnosis", T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                m = matrix(b.column(x))
+                ok, said, better = rule(m, {c: b.column(c).to_pylist() for c in others or []})
+                ok = np.asarray(ok, bool)
+                out = m if better is None else np.where(ok[:, None], m, better)
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in kept], vectors(out), pa.array(ok), pa.array(list(said), pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def constraint(x, kind: str, slack: float = 2.0, target=None, radius: float = 0.0, reference=None, tolerance: float = 0.0,
                lower: float = 0.0, upper: float = 0.0, basis=None) -> Column:
     """Whether one soft constraint holds; ``slack`` widens its bound."""

@@ -50,6 +50,11 @@ def evaluate(df: DataFrame, targets: DataFrame, group: str = "label", squeeze_to
                       (F.col("_e") <= tau).alias("is_equivalent"), F.array(*[F.lit(k) for k in dims]).alias("level_dims"))
 
 
+def committed_levels(result: DataFrame, d: int, group: str = "label", levels: int = 3) -> DataFrame:
+    """(group, level, dim, z): the vectors that ``evaluate`` committed, at every level of abstraction."""
+    return reduction.cascade_single(result.select(group, "committed"), group, "committed", d, levels)
+
+
 # --- named recipes ----------------------------------------------------------------------------------------------------
 
 
