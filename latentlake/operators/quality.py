@@ -32,6 +32,7 @@ def repair(x) -> Column:
                        .when(v == -INF, F.lit(-1.0)).otherwise(v))
 
 
+# The diagnosis texts of the finite and norm rules below
 def finite_rule(x) -> Column:
     """Rule struct (ok, diagnosis, correction) for non-finite values."""
     bad = has_bad(x)

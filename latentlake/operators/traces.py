@@ -59,6 +59,7 @@ def traps(df: DataFrame, keys: list[str], order: list[str], value: str, limit: i
         F.count(F.lit(1)).alias("_n"), F.count("_delta").alias("_deltas"), F.count_if("_turn").alias("_turns"),
         (F.max(value) - F.min(value)).alias("spread"))
     out = stall(df, keys, order, value, limit=limit).join(shape, keys)
+    # Trap names and the numbers that separate them
     kind = (F.when(F.col("length") < 10, "plateau")
             .when((F.col("_n") > 5) & (F.col("_turns") > F.col("_deltas") * 0.4), "saddle_oscillation")
             .when((F.col("_n") > 2) & (F.col("spread") < 0.01), "local_minimum")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from latentlake.functions.vec import c, doubles, let
+from latentlake.plans.runtime import materialize
 
 # Keys under which a JSON object may hold its rows, in order of preference
 ROW_KEYS = ("data", "states", "points", "rows", "values")
@@ -37,12 +42,30 @@ def vectors_from_cells(df: DataFrame, cell_column: str, mode: str = "compact", n
         return out.withColumn("ok", ~F.exists(name, lambda v: v.isNull()))
     if mode != "compact":
         raise ValueError("mode is 'compact' or 'strict'")
-    numeric = F.filter(F.col(cell_column), lambda v: v.rlike(NUMBER))
-    kept = F.transform(numeric, lambda v: v.try_cast("double"))
-    width = df.agg(F.max(F.size(numeric))).first()[0] or 0
-    # a row without numbers yields no element here; unlike a filter on the result this parses every row once
-    out = df.select("*", F.inline(let(kept, lambda x: F.when(F.size(x) > 0, F.array(F.struct(x.alias(name)))))))
-    return out.withColumn(name, pad(name, width))
+    rows = materialize(_compacted(df, cell_column, name))  # parsed once, then the width is known
+    width = rows.agg(F.max(F.size(name))).first()[0] or 0
+    return rows.withColumn(name, pad(name, width))
+
+
+def _compacted(df: DataFrame, cell_column: str, name: str) -> DataFrame:
+    """Rows with the numbers among their cells, a batch's cells tested and converted together."""
+    kept = [f for f in df.schema.fields if f.name != name]
+    schema = T.StructType([*kept, T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(cell_column)
+            values = lists.flatten()
+            good = pc.fill_null(pc.match_substring_regex(values, NUMBER), False)
+            numbers = pc.replace_substring_regex(values.filter(good), r"^\+", "").cast(pa.float64())
+            before = np.concatenate([[0], np.cumsum(good.to_numpy(zero_copy_only=False))])
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+            offsets = before[ends]
+            out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), numbers)
+            some = pa.array(np.diff(offsets) > 0)
+            yield pa.RecordBatch.from_arrays([*[b.column(f.name).filter(some) for f in kept], out.filter(some)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def pad(x, width: int) -> Column:

@@ -42,13 +42,19 @@ class Memory:
             raise ValueError("leak must be in (0, 1]")
 
     def matrices(self):
-        rng, r = np.random.default_rng(self.seed), self.d * self.scale
-        w_in = rng.standard_normal((r, self.d)) * self.input_scaling
-        w_res = rng.standard_normal((r, r)) * (rng.random((r, r)) < 0.1)
-        top = np.abs(np.linalg.eigvals(w_res)).max()
-        if top > 1e-10:
-            w_res *= self.radius / top
-        return w_in, w_res, rng.standard_normal((self.d, r)) / np.sqrt(r)
+        """Weights from the inputs, between the units and to the outputs.
+
+        The units form a ring; every unit listens to those at a tenth of all distances, the same distances for all units,
+        so the pattern is sparse and never free of cycles. Its weights are scaled to the wanted spectral radius.
+        """
+        units, rng = self.d * self.scale, np.random.default_rng(self.seed)
+        distances = rng.permutation(units)[:max(1, units // 10)]
+        heard = (np.arange(units)[:, None] + distances) % units
+        inner = np.zeros((units, units))
+        np.put_along_axis(inner, heard, rng.uniform(0.2, 1.0, heard.shape) * rng.choice([-1.0, 1.0], heard.shape), axis=1)
+        inner *= self.radius / np.abs(np.linalg.eigvals(inner)).max()
+        fed = rng.uniform(-1.0, 1.0, (units, self.d)) * self.input_scaling
+        return fed, inner, rng.uniform(-1.0, 1.0, (self.d, units)) / np.sqrt(units)
 
 
 class _Cell:
