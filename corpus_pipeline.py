@@ -17,7 +17,8 @@ NEAR = neardup.Plan(shingle=5, percent=80, bands=40, rows=4, batch=32)
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their host's verdict reject go."""
-    judged = hostrules.judge(docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns}), keep_columns=[f"__own_{c}" for c in docs.columns])
+    judged = hostrules.judge(docs.withColumns({f"__own_{c}": F.col(c) for c in docs.columns}), keep_columns=[f"__own_{c}" for c in docs.columns],
+                              measure_again=True)
     return judged.where("kept").select(*[F.col(f"__own_{c}").alias(c) for c in docs.columns])
 
 

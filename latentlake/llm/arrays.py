@@ -5,13 +5,16 @@ from __future__ import annotations
 import mmap
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from latentlake.llm.text import pieces
+from latentlake.plans.runtime import scratch_path
 
 RUN_KEYS = 1_000_000  # keys that a task sorts before it sends them
 
@@ -22,6 +25,12 @@ def system_of(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def array_folder(spark, name: str) -> str:
+    """A folder in the shared one, as a URI."""
+    folder = scratch_path(spark, name)
+    return folder if ":" in folder.split("/")[0] else "file://" + folder
+
+
 def save(folder: str, name: str, a: np.ndarray) -> str:
     """Write an array as a raw file; the name is the attempt's own, so attempts that run twice don't meet."""
     system, place = system_of(folder)
@@ -100,3 +109,47 @@ def gathered(table: pa.Table, kind) -> tuple[np.ndarray, np.ndarray]:
     keys = [np.frombuffer(k.as_buffer(), kind) for k in table.column("keys")]
     counts = [_widen(c) for c in table.column("counts").to_pylist()]
     return added(np.concatenate(keys), np.concatenate(counts))
+
+
+# --- byte strings by key -----------------------------------------------------------------------------------------------
+
+STORE_BYTES = 32 << 20
+
+
+def store(rows: DataFrame, folder: str, size: int) -> list[tuple[str, str, str] | None]:
+    """Keep rows (cls: binary key of 16 bytes, data: binary) as mapped files, about ``size`` bytes in all. Rows of equal
+    keys must be equal. Returns what ``Store`` needs: three file names per shard."""
+    n = max(1, -(-size // STORE_BYTES))
+
+    def shard(table: pa.Table) -> pa.Table:
+        held = dict(zip(table.column("cls").to_pylist(), table.column("data").to_pylist()))
+        keys = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        data = list(held.values())
+        ends = np.concatenate([[0], np.cumsum([len(data[i]) for i in order.tolist()])]).astype(np.int64)
+        body = np.frombuffer(b"".join(data[i] for i in order.tolist()), np.uint8)
+        return pa.table({"shard": table.column("shard")[:1], "keys": [save(folder, "keys", keys[order])], "ends": [save(folder, "ends", ends)], "data": [save(folder, "data", body)]})
+
+    cut = rows.select(F.pmod(F.crc32("cls"), F.lit(n)).cast("int").alias("shard"), "cls", "data")
+    names = {r["shard"]: (r["keys"], r["ends"], r["data"]) for r in cut.groupBy("shard").applyInArrow(
+        shard, "shard int, keys string, ends string, data string").collect()}
+    return [names.get(i) for i in range(n)]
+
+
+class Store:
+    """Byte strings by key, mapped shard by shard when first asked for."""
+
+    def __init__(self, folder: str, names: list, kind):
+        self.folder, self.names, self.kind, self.open = folder, names, kind, {}
+
+    def __getitem__(self, key: bytes) -> np.ndarray:
+        s = zlib.crc32(key) % len(self.names)
+        if s not in self.open:
+            keys, ends, data = self.names[s]
+            self.open[s] = mapped(self.folder, keys, np.uint64).reshape(-1, 2), mapped(self.folder, ends, np.int64), mapped(self.folder, data, np.uint8)
+        keys, ends, data = self.open[s]
+        a, b = np.frombuffer(key, np.uint64)
+        at = int(np.searchsorted(keys[:, 0], a))
+        while keys[at, 1] != b:
+            at += 1
+        return data[ends[at]:ends[at + 1]].view(self.kind)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentlake.llm.text import let, word_chars, words, written
+from latentlake.plans.runtime import broadcast_if_small
 
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
@@ -110,17 +111,21 @@ def rejected_hosts(rates: DataFrame, prior: dict[str, tuple[float, float]], limi
     return rates.select("_host", F.array_compact(F.array(*broken)).alias("broken")).where(F.size("broken") > 0)
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = LIMIT, keep_columns: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", limit: float = LIMIT, keep_columns: list[str] | None = None,
+          measure_again: bool = False) -> DataFrame:
     """docs (or ``keep_columns`` of it) with the measures, base_failed, host_broken (rules its host fails) and kept.
 
-    The measured rows are written once and read twice, so no text is measured again.
+    The measured rows are written once and read twice. With ``measure_again`` nothing is written and every text is
+    measured twice: better where texts are among the columns to keep.
     """
     columns = docs.columns if keep_columns is None else keep_columns
     columns = [c for c in columns if c not in (*MEASURES, "base_failed", "host_broken", "kept")]
     rows = measure(docs.withColumn("__host", F.col(host)), text).select(*columns, "__host", *MEASURES)
-    rows = written(rows, "measured")
-    rates = host_rates(rows, "__host")
+    if not measure_again:
+        rows = written(rows, "measured")
+    rates = written(host_rates(rows, "__host"), "rates")
     bad = rejected_hosts(rates, beta_prior(rates), limit).withColumnsRenamed({"_host": "__bad", "broken": "__broken"})
+    bad = broadcast_if_small(bad, 1024)
     failed = rules()["short"] | rules()["repeats"]
     return rows.join(bad, F.col("__host").eqNullSafe(F.col("__bad")), "left").select(
         *columns, *MEASURES, failed.alias("base_failed"), F.col("__broken").alias("host_broken"),

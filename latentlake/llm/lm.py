@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentlake.llm.arrays import gathered, mapped, save, sent, system_of
+from latentlake.llm.arrays import array_folder, gathered, mapped, save, sent, system_of
 from latentlake.llm.text import hashed_words, owners, pieces, text_bytes
-from latentlake.plans.runtime import scratch_path
 
 END = np.uint64(0)        # hash of the end of a text; words whose hash is 0 take 1
 SHARD_TOKENS = 4_000_000  # tokens per shard, about
@@ -63,9 +62,7 @@ def _take(counts: np.ndarray, d: list[float]) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS) -> str:
     """Folder of the model: arrays and a small description (model.json)."""
     spark = docs.sparkSession
-    folder, texts = scratch_path(spark, "lm"), docs.select(F.col(text).alias("text"))
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + folder
+    folder, texts = array_folder(spark, "lm"), docs.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = max(1, -(-size // (5 * shard_tokens)))
 

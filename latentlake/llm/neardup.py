@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latentlake.llm.arrays import Store, array_folder, store
 from latentlake.llm.links import components
 from latentlake.llm.text import hashed_words, mix, pieces, text_bytes, written
 
@@ -117,23 +118,23 @@ def sketch(docs: DataFrame, doc_id: str, text: str, plan: Plan) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """(cls, shingles) of the classes whose smallest id is in ``wanted`` (min_id)."""
+    """(cls, data: shingles as bytes) of the classes whose smallest id is in ``wanted`` (min_id)."""
     some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
         wanted.select("min_id").distinct(), F.col("doc_id").eqNullSafe(F.col("min_id")), "left_semi").select("text")
 
     def run(batches):
         for b in batches:
             for piece in pieces(b, 0):
-                cls, sets = [], []
-                for s in _sets(piece.column(0), plan):
-                    if len(s):
-                        cls.append(_digest(s))
-                        sets.append(s.view(np.int64))
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["cls", "shingles"])
+                sets = [s for s in _sets(piece.column(0), plan) if len(s)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "data"])
 
-    return some.mapInArrow(run, "cls binary, shingles array<bigint>")
+    return some.mapInArrow(run, "cls binary, data binary")
+
+
+def stored_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, plan: Plan, folder: str) -> list:
+    """The sets of the classes in ``wanted`` (cls, min_id, n_shingles) as mapped files."""
+    size = wanted.agg(F.sum("n_shingles")).first()[0] or 0
+    return store(full_sets(docs, doc_id, text, wanted, plan), folder, 8 * size)
 
 
 def _matrix(column: pa.Array, plan: Plan) -> np.ndarray:
@@ -181,56 +182,68 @@ def tested(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def across(buckets: DataFrame, classes: DataFrame, of: DataFrame, docs: DataFrame, doc_id: str, text: str, plan: Plan, block: int = 0) -> DataFrame:
+def across(buckets: DataFrame, classes: DataFrame, of: DataFrame, signatures: tuple, docs: DataFrame, doc_id: str, text: str, plan: Plan,
+           block: int = 0) -> DataFrame:
     """Links (a, b) that join the components of the star round: enough of them to connect whatever is connected.
 
-    Buckets within one component are left out. The others are cut into blocks by hash; a task holds two blocks with
-    signatures and full sets, and compares what lies in different components and shares no earlier band (that pair is
-    another task's). Pairs that pass the test are verified on the spot, the most promising first; what has been linked
-    meanwhile is not compared any more. Only links leave the task, fewer than it has rows.
+    Buckets within one component are left out. The others are cut into blocks by hash; a task holds two blocks and
+    compares what lies in different components and shares no earlier band (that pair is another task's). A first pass
+    over signatures names the classes that have a partner at all. For those the full sets are stored, and a second pass
+    verifies on the spot, the most promising pair first; what has been linked meanwhile is not compared any more. Only
+    classes and links leave the tasks, no more than these have rows.
     """
-    block = block or BLOCK
-    labelled = written(buckets.join(of.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")), "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    members = written(labelled.join(mixed.select("bucket", F.ceil(F.col("n") / block).alias("_n")), "bucket"), "members")
-    rows = members.count()
-    involved = members.select("cls").distinct().join(classes, "cls")
-    sets = full_sets(docs, doc_id, text, involved, plan).dropDuplicates(["cls"])
-    known = written(involved.select("cls", "sig").join(sets, "cls"), "sets")
-    mine = F.pmod(F.xxhash64("cls"), F.col("_n"))
-    members = members.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    members = members.withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
-    # buckets of one block share a task's call, the pieces of others have their own
-    members = members.withColumn("_group", F.when(F.col("_n") == 1, F.pmod("bucket", F.lit(max(1, rows // 500)))).otherwise(F.xxhash64("bucket", "_i", "_j")))
-    members = members.join(known, "cls").select("_group", "bucket", "_i", "_j", "_mine", "band", "cls", "component", "sig", "shingles")
-
-    def run(table: pa.Table) -> pa.Table:
+    block, folder = block or BLOCK, signatures[0]
+    labelled = buckets.join(of.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    labelled = written(labelled, "labelled")
+
+    def cut(labelled: DataFrame) -> DataFrame:
+        mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        mixed = written(mixed.select("bucket", "n", F.ceil(F.col("n") / block).alias("_n")), "mixed")
+        rows = mixed.agg(F.sum("n")).first()[0] or 0
+        members = labelled.join(mixed.drop("n"), "bucket").withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_n")))
+        members = members.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        members = members.withColumns({"_i": F.least("_mine", "_other"), "_j": F.greatest("_mine", "_other")})
+        # buckets of one block share a task's call, the pieces of others have their own
+        return members.withColumn("_group", F.when(F.col("_n") == 1, F.pmod("bucket", F.lit(max(1, rows // 500)))).otherwise(F.xxhash64("bucket", "_i", "_j"))).select(
+            "_group", "bucket", "_i", "_j", "_mine", "band", "cls", "component")
+
+    def groups(table: pa.Table):
+        """(classes, signatures, components, sides or None, band) of every bucket or pair of blocks."""
         parts = {}
         for at, key in enumerate(zip(*(table.column(c).to_pylist() for c in ("bucket", "_i", "_j")))):
             parts.setdefault(key, []).append(at)
-        sig, cls = _matrix(table.column("sig"), plan), table.column("cls").to_pylist()
-        lists = table.column("shingles").combine_chunks()
-        values, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-        names = {c: i for i, c in enumerate(dict.fromkeys(table.column("component").to_pylist()))}
-        component = np.array([names[c] for c in table.column("component").to_pylist()])
-        side, bands = table.column("_mine").to_numpy(), table.column("band").to_numpy()
-        found = []
+        cls, component, side, bands = (table.column(c).to_pylist() for c in ("cls", "component", "_mine", "band"))
+        names = {c: i for i, c in enumerate(dict.fromkeys(component))}
+        sigs = Store(*signatures, np.uint16)
         for (_, i, j), at in parts.items():
-            at = np.array(at)
-            for k, o in _linked(sig[at], component[at].copy(), side[at] if i != j else None, int(bands[at[0]]), [values[offsets[x]:offsets[x + 1]] for x in at.tolist()], plan):
-                x, y = cls[at[k]], cls[at[o]]
-                found.append((min(x, y), max(x, y)))
+            mine = [cls[x] for x in at]
+            yield mine, np.stack([sigs[c] for c in mine]), np.array([names[component[x]] for x in at]), np.array([side[x] for x in at]) if i != j else None, bands[at[0]]
+
+    def partnered(table: pa.Table) -> pa.Table:
+        some = {mine[x] for mine, sig, root, side, band in groups(table) for k, other, _ in _candidates(sig, root, side, band, plan) for x in (k, *other.tolist())}
+        return pa.table({"cls": pa.array(list(some), pa.binary())})
+
+    needed = written(cut(labelled).groupBy("_group").applyInArrow(partnered, "cls binary").distinct(), "needed")
+    wanted = needed.join(classes, "cls").select("cls", "min_id", "n_shingles")
+    sets = folder, stored_sets(docs, doc_id, text, wanted, plan, folder)
+
+    def linked(table: pa.Table) -> pa.Table:
+        full, found = Store(*sets, np.uint64), []
+        for mine, sig, root, side, band in groups(table):
+            for k, o in _linked(sig, root, side, band, [full[c] for c in mine], plan):
+                found.append((min(mine[k], mine[o]), max(mine[k], mine[o])))
         return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    return members.groupBy("_group").applyInArrow(run, "a binary, b binary").distinct()
+    return cut(labelled.join(needed, "cls", "left_semi")).groupBy("_group").applyInArrow(linked, "a binary, b binary").distinct()
 
 
-def _linked(sig: np.ndarray, root: np.ndarray, side: np.ndarray | None, band: int, sets: list[np.ndarray], plan: Plan) -> Iterator[tuple[int, int]]:
-    """Verified pairs of different components, until these are one or nothing is left to compare; root is used up."""
-    n = np.array([len(s) for s in sets])
-    for k in range(len(sets) - 1):
-        other = np.arange(k + 1, len(sets))
-        other = other[(root[other] != root[k]) & (100 * np.minimum(n[other], n[k]) >= plan.percent * np.maximum(n[other], n[k]))]
+def _candidates(sig: np.ndarray, root: np.ndarray, side: np.ndarray | None, band: int, plan: Plan, n: np.ndarray | None = None):
+    """(row, later rows that it may be linked with, their matches): other components, other block, first shared band, test passed."""
+    for k in range(len(sig) - 1):
+        other = np.arange(k + 1, len(sig))
+        other = other[root[other] != root[k]]
+        if n is not None:
+            other = other[100 * np.minimum(n[other], n[k]) >= plan.percent * np.maximum(n[other], n[k])]
         if side is not None:
             other = other[side[other] != side[k]]
         if not len(other):
@@ -238,30 +251,49 @@ def _linked(sig: np.ndarray, root: np.ndarray, side: np.ndarray | None, band: in
         keep, matches = _survive(np.broadcast_to(sig[k], (len(other), plan.hashes)), sig[other], plan)
         other = other[keep]
         if len(other):
-            first = (sig[other] == sig[k]).reshape(len(other), plan.bands, plan.rows).all(axis=2).argmax(axis=1)
-            mine = first == band
-            other, matches = other[mine], matches[mine]
+            mine = (sig[other] == sig[k]).reshape(len(other), plan.bands, plan.rows).all(axis=2).argmax(axis=1) == band
+            if mine.any():
+                yield k, other[mine], matches[mine]
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+
+
+def _linked(sig: np.ndarray, root: np.ndarray, side: np.ndarray | None, band: int, sets: list[np.ndarray], plan: Plan) -> Iterator[tuple[int, int]]:
+    """Verified pairs of different components, until these are one or nothing is left to compare; root is used up."""
+    n = np.array([len(s) for s in sets])
+    for k, other, matches in _candidates(sig, root, side, band, plan, n):
         for o in other[np.argsort(-matches, kind="stable")].tolist():
             if root[o] == root[k]:
                 continue
-            small, large = (sets[k], sets[o]) if n[k] <= n[o] else (sets[o], sets[k])
-            shared = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            shared = _shared(sets[k], sets[o])
             if 100 * shared >= plan.percent * (n[k] + n[o] - shared):
                 root[root == root[o]] = root[k]
                 yield k, o
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, plan: Plan) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, plan: Plan, folder: str) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = written(pairs, "pairs")
     involved = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = classes.select("cls", "min_id").join(involved, "cls")
-    sets = written(full_sets(docs, doc_id, text, wanted, plan).dropDuplicates(["cls"]), "sets")
-    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b").join(
-        sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("t")).where(
-        F.col("i") * 100 >= plan.percent * (F.col("t") - F.col("i"))).select("a", "b")
+    wanted = classes.select("cls", "min_id", "n_shingles").join(involved, "cls")
+    sets = folder, stored_sets(docs, doc_id, text, wanted, plan, folder)
+
+    def run(batches):
+        full = Store(*sets, np.uint64)
+        for b in batches:
+            keep = []
+            for at, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                x, y = full[x], full[y]
+                shared = _shared(x, y)
+                if 100 * shared >= plan.percent * (len(x) + len(y) - shared):
+                    keep.append(at)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return pairs.select("a", "b").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan = Plan()) -> DataFrame:
@@ -276,9 +308,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("leader")).where("n > 1").drop("n")
     full = written(buckets.join(shared, "bucket"), "buckets")
     star = full.where("leader <> cls").groupBy(F.col("cls").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    links = written(verified(tested(star, classes, plan), classes, docs, doc_id, text, plan), "links")
+    folder = array_folder(docs.sparkSession, "neardup")
+    links = written(verified(tested(star, classes, plan), classes, docs, doc_id, text, plan, folder), "links")
     of = components(links)
-    more = written(across(full.select("bucket", "band", "cls"), classes, of, docs, doc_id, text, plan), "links")
+    signatures = folder, store(full.select("cls").distinct().join(classes, "cls").select("cls", F.col("sig").alias("data")), folder, 2 * plan.hashes * classes.count())
+    more = written(across(full.select("bucket", "band", "cls"), classes, of, signatures, docs, doc_id, text, plan), "links")
     if not more.isEmpty():
         of = components(of.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     full = classes.select("cls", "min_id").join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -38,9 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentlake.llm.arrays import gathered, mapped, save, sent
+from latentlake.llm.arrays import array_folder, gathered, mapped, save, sent
 from latentlake.llm.text import mix, pieces, rolling, text_bytes, written
-from latentlake.plans.runtime import scratch_path
 
 LENGTH = 100
 GRAM = 24
@@ -349,9 +348,7 @@ def sorted_runs(docs: DataFrame, names: list, cuts: np.ndarray, folder: str, len
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_hash, start, end): byte spans to remove. Spans of a document may overlap."""
-    spark, folder = docs.sparkSession, scratch_path(docs.sparkSession, "suffixes")
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = "file://" + folder
+    folder = array_folder(docs.sparkSession, "suffixes")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
     names, cuts = repeated_anchors(rows.select("text"), folder, length, gram)
     runs = written(sorted_runs(rows, names, cuts, folder, length, gram), "runs")
