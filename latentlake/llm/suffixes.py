@@ -46,7 +46,7 @@ GRAM = 24
 RUN_SUFFIXES = 150_000     # suffixes that a task sorts at a time
 BLOCK_SUFFIXES = 2_048
 RANGE_SUFFIXES = 100_000   # suffixes merged by a task, about
-SHARD_ANCHORS = 2_000_000
+SHARD_ANCHORS = 500_000
 SAMPLE = 20_000            # first suffixes of blocks that choose the splitters, at most about
 NULL_ID = np.int64(2**63 - 1)
 
