@@ -219,6 +219,20 @@ def _(spark, sf):
     return memory.remember(df, "user_id", ORDER, "event_id", "x", MEM, "kind").select("user_id", "event_id", "status")
 
 
+@query("r2_commit_best", f"""WITH k AS (SELECT user_id, event_id, value, event_type = 'error' AS closed, [value / 100, len(event_type) / 10.0::DOUBLE] AS f FROM events),
+    w AS (SELECT {W_IN} AS wi, {W_OUT} AS wo),
+    b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM k),
+    h AS (SELECT user_id, event_id, closed, wo, list_transform(range(1, 9), lambda i: 0.3 * tanh(list_dot_product(wi[i], f))) AS h FROM b, w WHERE rn = 1)
+    SELECT user_id, event_id, CASE WHEN closed THEN 'rejected' ELSE 'committed' END AS status, {r('CASE WHEN NOT closed THEN list_dot_product(wo[1], h) END', 'y1')},
+    {r('CASE WHEN NOT closed THEN list_dot_product(wo[2], h) END', 'y2')} FROM h""")
+def _(spark, sf):
+    """Of a user's events, each with the memory of its own first step, the one of largest value reads out; closed ones are rejected."""
+    df = fed(table(spark, sf, "events")).join(table(spark, sf, "events").select("event_id", "value", (F.col("event_type") == "error").alias("closed")), "event_id")
+    steps = [F.lit(MEM.leak) * F.tanh(F.lit(float(a)) * F.col("f1") + F.lit(float(b)) * F.col("f2")) for a, b in MEM.matrices()[0]]
+    out = memory.commit_best(df.withColumn("h", F.array(*steps)), "user_id", "event_id", "value", "h", "closed", MEM)
+    return out.select("user_id", "event_id", "status", F.get("y", 0).alias("y1"), F.get("y", 1).alias("y2"))
+
+
 @query("r3_reset_readout", f"""WITH {STATUS} SELECT user_id, count(*) FILTER (WHERE kind = 'reset' AND before = 0) AS resets,
     count(*) FILTER (WHERE kind = 'commit' AND before = 0) AS commits, count(*) FILTER (WHERE before > 0) AS rejected FROM b GROUP BY user_id""")
 def _(spark, sf):

@@ -34,8 +34,22 @@ def shared_folder(spark: SparkSession) -> str:
     return configured or current
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written so far; call it when no result that reads them is
+    needed any more. Returns how many there were. Checkpoints are Spark's to clean."""
+    gone = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -168,3 +168,23 @@ def remember_stream(stream: DataFrame, key: str, order: list[str], row_id: str,
         MemoryProcessor(mem, key, order, row_id, features, kind),
         outputStructType=f"{key} {types[key]}, {row_id} {types[row_id]}, status string, y array<double>",
         outputMode="Append", timeMode="None")
+
+
+def commit_best(candidates: DataFrame, group: str, vec_id: str, weight: str, h: str, committed: str, mem: Memory) -> DataFrame:
+    """(group, vec_id, status, y): per group the candidate of largest weight (smaller id on ties) reads its memory out once.
+
+    A group whose best candidate has already committed is rejected. The caller closes the memories named here.
+    """
+    types, w_out = dict(candidates.dtypes), mem.matrices()[2]
+    best = candidates.groupBy(group).agg(F.max_by(F.struct(vec_id, h, committed), F.struct(F.col(weight).alias("w"), (-F.col(vec_id)).alias("i"))).alias("b"))
+    best = best.select(group, F.col(f"b.{vec_id}").alias(vec_id), doubles(f"b.{h}").alias("_h"), F.col(f"b.{committed}").alias("_closed"))
+
+    def read(batches):
+        for b in batches:
+            if b.num_rows:
+                y, closed = vectors(matrix(b.column("_h")) @ w_out.T), b.column("_closed").to_pylist()
+                yield pa.RecordBatch.from_arrays([
+                    b.column(group), b.column(vec_id), pa.array(["rejected" if c else "committed" for c in closed]),
+                    pa.array([None if c else v for c, v in zip(closed, y.to_pylist())], pa.list_(pa.float64()))], names=[group, vec_id, "status", "y"])
+
+    return best.mapInArrow(read, f"{group} {types[group]}, {vec_id} {types[vec_id]}, status string, y array<double>")

@@ -3,9 +3,11 @@
 import numpy as np
 import pytest
 from conftest import brute, vectors
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from latentlake.operators import classify, graph, ordered, pairs, reduction, weights
+from latentlake.plans import runtime
 from latentlake.plans.runtime import join_groups
 
 
@@ -98,3 +100,12 @@ def test_long_labels(spark, lattice):
     refs = classify.reference_set(spark.createDataFrame([(2**40, [0.0, 0.0, 0.3]), (2**40 + 1, [0.8, 0.8, 0.3])], "k long, q array<double>"), "k", "q")
     out = classify.competition_summary(classify.nearest(vectors(spark, lattice), "x", refs), refs)
     assert {r.winner for r in out.collect()} == {2**40, 2**40 + 1}
+
+
+def test_scratch_can_be_cleared(spark, monkeypatch):
+    monkeypatch.setattr(runtime, "_scratch", [])
+    path = runtime.scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert runtime.clear_scratch(spark) == 1
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
