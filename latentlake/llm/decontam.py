@@ -1,7 +1,8 @@
 """Benchmark passages in training documents, tolerant of substituted words.
 
-Fixed masks (spaced seeds) choose positions of a stretch of words and leave the others open. Hashes of the chosen words of
-every stretch of a document are joined with those of the benchmark items. A hit fixes how the two texts lie against each
+Masks (spaced seeds) choose positions of a stretch of words and leave the others open. Hashes of the chosen words of
+every stretch of a document are joined with those of the benchmark items. An item's masks are checked to be complete:
+wherever the substitutions lie that its window may have, one mask finds a place that none of them touches. A hit fixes how the two texts lie against each
 other; along that alignment the words are compared one by one, and the pair counts if enough words agree within a window
 around the overlap. Only built-in functions are used.
 
@@ -12,23 +13,45 @@ rows give one result per (id, item); empty tables give empty results; other colu
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentlake.llm.text import ascii_lower, let, words, written
 
-MASKS = ("110110011", "111010101")
+MASKS = ("110110011", "111010101")  # those of the SQL counterpart, which are not complete
+SEEDS = (("1111101", "1011000111"), ("11011", "1111"))  # complete together: for 13 words with two substituted, from 6 words on
 SHORTEST = 5
 WINDOW = 13
 PERCENT = 80
+PATTERNS = 10_000  # choices of substituted places up to which masks are checked
 BROADCAST_BYTES = 32 << 20
 
 
+def complete(masks: tuple[str, ...], width: int, lost: int) -> bool:
+    """Whether every choice of ``lost`` places among ``width`` leaves some mask a place where it reads none of them."""
+    reads = [{i + j for j, c in enumerate(m) if c == "1"} for m in masks for i in range(width - len(m) + 1)]
+    return all(any(r.isdisjoint(gone) for r in reads) for gone in combinations(range(width), lost))
+
+
+def masks_for(width: int, percent: int) -> tuple[str, ...]:
+    """Complete masks for windows of ``width`` words of which ``percent`` agree, of as many words as are known."""
+    lost = width - -(-width * percent // 100)
+    if lost and comb(width, lost) <= PATTERNS:
+        for masks in SEEDS:
+            if complete(masks, width, lost):
+                return masks
+    return ("1" * (width // (lost + 1)),)  # the longest stretch between substitutions has as many
+
+
 def seeds(w: Column, masks: tuple[str, ...]) -> Column:
     """Hashes of all masks at all places: entry i * len(masks) + k is mask k at word i, null where it doesn't fit."""
     def at(i):
-        return F.array(*[F.when(i + len(m) <= F.size(w), F.xxhash64(F.lit(k), *[F.get(w, i + j) for j, c in enumerate(m) if c == "1"]))
-                         for k, m in enumerate(masks)])
+        return F.array(*[F.when(i + len(m) <= F.size(w), F.xxhash64(F.lit(int(m, 2)), *[F.get(w, i + j) for j, c in enumerate(m) if c == "1"]))
+                         for m in masks])
 
     least = min(map(len, masks))
     return F.when(F.size(w) >= least, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - least), at)))
@@ -41,7 +64,7 @@ def placed(rows: DataFrame, masks: tuple[str, ...], *ids: str) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-          masks: tuple[str, ...] = MASKS, window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
+          window: int = WINDOW, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_hash, item_id, item_words, window_hits, aligned_hits): documents that hold an item or a long part of it.
 
     window_hits: agreeing words in the best window of ``window`` words (or of the whole item, if shorter) that lies in
@@ -49,11 +72,12 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     lowered = words(ascii_lower(F.coalesce(F.col(text), F.lit(""))))
     bench = items.select(F.col(item_id).alias("item_id"), lowered.alias("w")).where(F.size("w") >= SHORTEST).distinct()
-    span = max(map(len, masks))
-    short = sorted(r[0] for r in bench.where(F.size("w") < span).select(F.size("w")).distinct().collect())  # a few lengths
-    every = tuple(masks) + tuple("1" * n for n in short)
     bench = written(bench, "bench")
-    keys = placed(bench, every, "item_id")
+    width = F.least(F.lit(window), F.size("w"))
+    widths = {r[0]: masks_for(r[0], percent) if r[0] >= len(MASKS[0]) else ("1" * r[0],) for r in bench.select(width).distinct().collect()}  # a few
+    kinds = sorted(set(widths.values())) or [SEEDS[0]]
+    every = tuple(sorted({m for masks in kinds for m in masks}))
+    keys = reduce(DataFrame.unionByName, [placed(bench.where(width.isin([n for n in widths if widths[n] == masks])), masks, "item_id") for masks in kinds])
     keys = written(keys.select("item_id", F.col("at").alias("item_at"), "h"), "seeds")
     size = keys.count() * 64
     here = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), lowered.alias("w"))
