@@ -6,9 +6,10 @@ wherever the substitutions lie that its window may have, one mask finds a place
 other; along that alignment the words are compared one by one, and the pair counts if enough words agree within a window
 around the overlap. Only built-in functions are used.
 
-Words are lower-cased (A-Z). Items shorter than a mask are looked up by all of their words; items of fewer than
-``SHORTEST`` words are never matched. Nulls and edges: null texts have no words; null ids are ids like others; repeated
-rows give one result per (id, item); empty tables give empty results; other columns are ignored.
+Words are lower-cased (A-Z). Items in which the rule allows no substitution (fewer than five words) are looked up by all of
+their words, and one place in a document is enough; items without words are never matched. Nulls and edges: null texts have
+no words; null ids are ids like others; repeated rows give one result per (id, item); empty tables give empty results; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ from pyspark.sql import functions as F
 from latentlake.llm.text import ascii_lower, let, words, written
 
 MASKS = ("110110011", "111010101")  # those of the SQL counterpart, which are not complete
-SEEDS = (("1111101", "1011000111"), ("11011", "1111"))  # complete together: for 13 words with two substituted, from 6 words on
-SHORTEST = 5
+SEEDS = (("1111101", "1011000111"), ("11011", "1111"), ("111", "1101"))  # for 13 words; from 6 words on; for 5 words
 WINDOW = 13
 PERCENT = 80
 PATTERNS = 10_000  # choices of substituted places up to which masks are checked
@@ -71,19 +71,23 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     both texts; at least ``percent`` of the window. aligned_hits: agreeing words along the best alignment.
     """
     lowered = words(ascii_lower(F.coalesce(F.col(text), F.lit(""))))
-    bench = items.select(F.col(item_id).alias("item_id"), lowered.alias("w")).where(F.size("w") >= SHORTEST).distinct()
+    bench = items.select(F.col(item_id).alias("item_id"), lowered.alias("w")).where(F.size("w") > 0).distinct()
     bench = written(bench, "bench")
     width = F.least(F.lit(window), F.size("w"))
-    widths = {r[0]: masks_for(r[0], percent) if r[0] >= len(MASKS[0]) else ("1" * r[0],) for r in bench.select(width).distinct().collect()}  # a few
+    widths = {r[0]: masks_for(r[0], percent) for r in bench.select(width).distinct().collect()}  # a few
     kinds = sorted(set(widths.values())) or [SEEDS[0]]
     every = tuple(sorted({m for masks in kinds for m in masks}))
-    keys = reduce(DataFrame.unionByName, [placed(bench.where(width.isin([n for n in widths if widths[n] == masks])), masks, "item_id") for masks in kinds])
-    keys = written(keys.select("item_id", F.col("at").alias("item_at"), "h"), "seeds")
+    whole = F.when((F.size("w") <= window) & (F.size("w") * 100 - 100 < percent * F.size("w")), F.size("w"))  # words, where all must agree
+    terms = bench.select("item_id", "w", whole.alias("whole"))
+    keys = reduce(DataFrame.unionByName, [placed(terms.where(width.isin([n for n in widths if widths[n] == masks])), masks, "item_id", "whole") for masks in kinds])
+    keys = written(keys.select("item_id", F.col("at").alias("item_at"), "h", "whole"), "seeds")
     size = keys.count() * 64
     here = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), lowered.alias("w"))
     spots = placed(here, every, "doc_id", "text_hash")
+    shift = F.col("at") - F.col("item_at")
     hits = spots.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, "h") \
-        .select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        .groupBy("doc_id", "text_hash", "item_id", "whole", F.when(F.col("whole").isNull(), shift).alias("_s")).agg(F.min(shift).alias("shift")) \
+        .select("doc_id", "text_hash", "item_id", "shift")
     hits = written(hits, "hits")
     terms = bench.withColumnsRenamed({"w": "iw"})
     small = bench.agg(F.sum(F.size("w"))).first()[0] or 0

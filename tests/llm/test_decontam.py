@@ -74,3 +74,19 @@ def test_masks_are_complete():
         masks = decontam.masks_for(width, decontam.PERCENT)
         assert decontam.complete(masks, width, width * (100 - decontam.PERCENT) // 100)
     assert not decontam.complete(decontam.MASKS, 13, 2)
+
+
+@pytest.mark.parametrize("n", [5, 6, 7, 8])
+def test_all_substitutions_of_a_short_item(spark, n):
+    docs = patterns([item(n)], 2)
+    want = windows(docs, named := [(n, " ".join(item(n)))])
+    assert len(want) == n + 1
+    assert leaks(spark, docs, named) == want
+
+
+def test_items_of_few_words(spark):
+    named = [(n, " ".join(item(n))) for n in (0, 1, 2, 3, 4, 5, 20)] + [(7, "i1.0 i1.0"), (8, "IT IS")]
+    docs = patterns([item(n) for n in (1, 2, 3, 4, 5, 20)], 1) + [(100, "i1.0 " * 50), (101, "it is, it is not"), (102, None), (103, "it")]
+    want = windows(docs, named)
+    assert {i for _, i in want} == {1, 2, 3, 4, 5, 20, 7, 8} and (101, 8) in want
+    assert leaks(spark, docs, named) == want
