@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentlake.llm import chat, decontam, hostrules, lm, mixing, neardup, secrets, suffixes, tokens, warc
+from latentlake.llm import chat, decontam, hostrules, lm, manifest, mixing, neardup, secrets, suffixes, tokens, topk, trie, warc
 from latentlake.llm.sql import ORACLES
+from latentlake.llm.text import ascii_lower
 
 TOKEN_LIMIT = 4096
 
@@ -75,4 +76,23 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("host_broken")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_warc, op4_decontam, op5_near_duplicates, op6_secrets, op7_tokens, op8_language_model, op9_suffixes, op10_host_rules)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    changed = fields | {"text": ascii_lower(F.col("text"))}
+    found = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, manifest.digest(*changed.values()))
+    out = manifest.proofs(table(spark, sf_dir, "documents"), manifest.digest(*fields.values()), "source", ["doc_id"], {"doc_id": F.col("doc_id"), "found": found})
+    out = out.withColumn("folded_root", manifest.fold(F.coalesce("found", "leaf"), F.col("path")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"),
+                      "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.shared_starts(trie.steps_of(table(spark, sf_dir, "conversations"))))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_chat, op3_warc, op4_decontam, op5_near_duplicates, op6_secrets, op7_tokens, op8_language_model, op9_suffixes, op10_host_rules,
+                                   op11_manifest, op12_prefix_trie, op13_top_k)}

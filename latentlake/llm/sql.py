@@ -102,4 +102,70 @@ f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_byt
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
 
-ORACLES = {"op2_chat": OP2, "op3_warc": OP3, "op4_decontam": _op4(), "op6_secrets": _op6(), "op10_host_rules": OP10}
+CRC = "list_reduce(list_transform(range(1, length(x) + 1), lambda i: ascii(substr(x, i, 1))::UBIGINT), lambda c, b: list_reduce(range(0, 8), lambda r, i: xor(r >> 1, 3988292384::UBIGINT * (r & 1::UBIGINT)), xor(c, b)), 4294967295::UBIGINT)"
+
+
+def crc32(value: str) -> str:
+    """The unsigned checksum of a number's decimal digits."""
+    return f"(SELECT xor({CRC}, 4294967295::UBIGINT) FROM (SELECT ({value})::VARCHAR AS x))"
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs for trees of up to 16**levels leaves: name_k holds the digest h of every run of level k, and its children on end."""
+    out = f"{name}_0 AS (SELECT tree, rank, n, h, '' AS every FROM {leaves})"
+    for k in range(1, levels + 1):
+        out += f""",
+{name}_{k} AS (SELECT tree, rank, n, CASE WHEN n > {16 ** (k - 1)} THEN sha256(every) ELSE every END AS h, every FROM (
+    SELECT tree, rank // 16 AS rank, n, string_agg(h, '' ORDER BY rank) AS every FROM {name}_{k - 1} GROUP BY tree, rank // 16, n))"""
+    return out
+
+
+def _climb(name: str, base: str, levels: int, keep: str) -> str:
+    """CTEs base_k: rows of base (tree, rank, n, f: digest being folded, proof) moved up k levels of the tree."""
+    out, at = "", base
+    for k in range(1, levels + 1):
+        left, right = f"left(t.every, 64 * (b.rank % 16)::INT)", f"substr(t.every, 64 * (b.rank % 16)::INT + 65)"
+        out += f""",
+{base}_{k} AS (SELECT {keep}, b.tree, b.rank // 16 AS rank, b.n, CASE WHEN b.n > {16 ** (k - 1)} THEN sha256({left} || f || {right}) ELSE f END AS f,
+    CASE WHEN b.n > {16 ** (k - 1)} THEN proof || {left} || {right} ELSE proof END AS proof
+    FROM {at} b JOIN {name}_{k} t ON t.tree IS NOT DISTINCT FROM b.tree AND t.rank = b.rank // 16)"""
+        at = f"{base}_{k}"
+    return out
+
+
+def _op11(levels: int = 6, above: int = 3) -> str:
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    field = "coalesce(strlen(({0})::VARCHAR)::VARCHAR || ':' || ({0})::VARCHAR, '-')"
+    leaf = {c: "sha256(" + " || ".join(field.format(c if x == "text" else x) for x in names) + ")" for c in ("text", "lowered")}
+    keep = "doc_id, leaf"
+    return f"""WITH d AS (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, {crc32('doc_id')} % 5 = 0 AS changed FROM documents),
+e AS (SELECT doc_id, source AS tree, {leaf['text']} AS leaf, CASE WHEN changed THEN {leaf['lowered']} END AS claim FROM d),
+l AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n FROM e),
+{_tree('a', 'l', levels)},
+s AS (SELECT 0 AS tree, tree AS source, h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS rank, count(*) OVER () AS n FROM a_{levels}),
+{_tree('z', 's', above)},
+f AS (SELECT doc_id, leaf, tree, rank, n, coalesce(claim, leaf) AS f, '' AS proof FROM l){_climb('a', 'f', levels, keep)},
+g AS (SELECT doc_id, leaf, s.h AS subroot, 0 AS tree, s.rank, s.n, f, proof FROM f_{levels} f JOIN s ON f.tree IS NOT DISTINCT FROM s.source){_climb('z', 'g', above, keep + ', subroot')}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM g_{above}, (SELECT h FROM z_{above})"""
+
+
+OP12 = f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+    {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS s FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(s ORDER BY i) AS own, {crc32('c')} % 6 AS h FROM t GROUP BY c),
+r AS (SELECT o.c, list_concat(coalesce(lead.own[1:o.h::INT], []), o.own[o.h::INT + 1:]) AS s FROM o LEFT JOIN o lead ON lead.c = o.c - o.c % 100),
+p AS (SELECT c, s, d, s[1:d::INT] AS node, d = len(s) AS is_end FROM r, unnest(range(0, len(s) + 1)) u(d)),
+n AS (SELECT node, d, min(c) AS c, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (is_end), '') AS ends FROM p GROUP BY node, d),
+k AS (SELECT n.*, parent.c AS parent, (SELECT count(*) FROM n x WHERE x.d = n.d + 1 AND x.node[1:n.d::INT] = n.node) AS kids
+    FROM n LEFT JOIN n parent ON parent.d = n.d - 1 AND parent.node = n.node[1:n.d::INT - 1]),
+w AS (SELECT node[1:u.d::INT] AS node, u.d, sum((kids = 0)::INT) AS leaves, sum(CASE WHEN len(node) > 0 THEN (n - 1) * length(node[len(node)].text) ELSE 0 END) AS saved
+    FROM k, unnest(range(0, k.d + 1)) u(d) GROUP BY ALL)
+SELECT k.c AS conv_id, k.d::BIGINT AS depth, parent AS parent_conv_id, n AS n_convs, kids AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+    sha256(ends) AS ends_sha256 FROM k JOIN w ON w.d = k.d AND w.node = k.node"""
+
+OP13 = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score
+    FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+ORACLES = {"op11_manifest": _op11(), "op12_prefix_trie": OP12, "op13_top_k": OP13, "op2_chat": OP2, "op3_warc": OP3, "op4_decontam": _op4(), "op6_secrets": _op6(), "op10_host_rules": OP10}
