@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import vectors
+from helpers import vectors
 from pyspark.sql import functions as F
 
 from latentlake.functions import vec

@@ -1,5 +1,5 @@
 import numpy as np
-from conftest import brute, vectors
+from helpers import brute, vectors
 
 from latentlake.operators import graph, pairs, reduction
 from latentlake.sources import generators

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import brute, vectors
+from helpers import brute, vectors
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
