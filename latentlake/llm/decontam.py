@@ -2,9 +2,10 @@
 
 Masks (spaced seeds) choose positions of a stretch of words and leave the others open. Hashes of the chosen words of
 every stretch of a document are joined with those of the benchmark items. An item's masks are checked to be complete:
-wherever the substitutions lie that its window may have, one mask finds a place that none of them touches. A hit fixes how the two texts lie against each
-other; along that alignment the words are compared one by one, and the pair counts if enough words agree within a window
-around the overlap. Only built-in functions are used.
+wherever the substitutions lie that its window may have, one mask finds a place that none of them touches. A hit fixes how
+the two texts lie against each other; along that alignment the words are compared one by one, and the pair counts if enough
+words agree within a window around the overlap. All alignments of a document and an item are checked together, on words that
+are split once, so the work is in proportion to the text also where it repeats itself. Only built-in functions are used.
 
 Words are lower-cased (A-Z). Items in which the rule allows no substitution (fewer than five words) are looked up by all of
 their words, and one place in a document is enough; items without words are never matched. Nulls and edges: null texts have
@@ -22,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentlake.llm.text import ascii_lower, let, words, written
+from latentlake.plans.runtime import broadcast_if_small
 
-MASKS = ("110110011", "111010101")  # those of the SQL counterpart, which are not complete
 SEEDS = (("1111101", "1011000111"), ("11011", "1111"), ("111", "1101"))  # for 13 words; from 6 words on; for 5 words
 WINDOW = 13
 PERCENT = 80
@@ -48,7 +49,7 @@ def masks_for(width: int, percent: int) -> tuple[str, ...]:
 
 
 def seeds(w: Column, masks: tuple[str, ...]) -> Column:
-    """Hashes of all masks at all places: entry i * len(masks) + k is mask k at word i, null where it doesn't fit."""
+    """Hashes of all masks at all places of hashed words: entry i * len(masks) + k is mask k at word i, null where it doesn't fit."""
     def at(i):
         return F.array(*[F.when(i + len(m) <= F.size(w), F.xxhash64(F.lit(int(m, 2)), *[F.get(w, i + j) for j, c in enumerate(m) if c == "1"]))
                          for m in masks])
@@ -59,7 +60,8 @@ def seeds(w: Column, masks: tuple[str, ...]) -> Column:
 
 def placed(rows: DataFrame, masks: tuple[str, ...], *ids: str) -> DataFrame:
     """(ids, at, h) from (ids, w); place and mask are told by the entry's number."""
-    return rows.select(*ids, F.posexplode(seeds(F.col("w"), masks)).alias("_p", "h")).where("h IS NOT NULL") \
+    hashed = let(F.transform("w", lambda x: F.xxhash64(x)), lambda w: seeds(w, masks))
+    return rows.select(*ids, F.posexplode(hashed).alias("_p", "h")).where("h IS NOT NULL") \
         .select(*ids, F.floor(F.col("_p") / len(masks)).cast("int").alias("at"), "h")
 
 
@@ -85,29 +87,29 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     here = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), lowered.alias("w"))
     spots = placed(here, every, "doc_id", "text_hash")
     shift = F.col("at") - F.col("item_at")
-    hits = spots.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, "h") \
-        .groupBy("doc_id", "text_hash", "item_id", "whole", F.when(F.col("whole").isNull(), shift).alias("_s")).agg(F.min(shift).alias("shift")) \
-        .select("doc_id", "text_hash", "item_id", "shift")
-    hits = written(hits, "hits")
+    hits = spots.join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, "h").groupBy("doc_id", "text_hash", "item_id").agg(
+        F.collect_set(F.when(F.col("whole").isNull(), shift)).alias("shifts"), F.min(F.when(F.col("whole").isNotNull(), shift)).alias("anywhere"))
+    hits = written(hits.select("doc_id", "text_hash", "item_id", F.array_compact(F.concat("shifts", F.array("anywhere"))).alias("shifts")), "hits")
     terms = bench.withColumnsRenamed({"w": "iw"})
     small = bench.agg(F.sum(F.size("w"))).first()[0] or 0
-    hits = hits.join(F.broadcast(terms) if small * 16 <= BROADCAST_BYTES else terms, "item_id")
+    pairs = hits.join(F.broadcast(terms) if small * 16 <= BROADCAST_BYTES else terms, "item_id")
+    # only texts with hits are moved, equal rows as one
+    named = broadcast_if_small(hits.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_t")).distinct(), 64)
     texts = docs.select(F.col(doc_id).alias("_d"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
-    both = texts.join(hits, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
+    texts = texts.join(named, F.col("_d").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_t")), "left_semi").dropDuplicates(["_d", "_h"])
+    both = texts.join(pairs, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("text_hash")))
+    item, width = F.col("iw"), F.least(F.lit(window), F.size("iw"))
 
-    def agreement(w):  # 1 where item and document have the same word, over the part of the item that lies in the document
-        first, last = F.greatest(F.lit(0), -F.col("shift")), F.least(F.size("iw"), F.size(w) - F.col("shift")) - 1
-        return F.when(last >= first, F.transform(F.sequence(first, last), lambda j: (F.get(F.col("iw"), j) == F.get(w, j + F.col("shift"))).cast("int")))
+    def agreement(w, by):  # 1 where item and document have the same word, over the part of the item that lies in the document
+        first, last = F.greatest(F.lit(0), -by), F.least(F.size(item), F.size(w) - by) - 1
+        return F.when(last >= first, F.transform(F.sequence(first, last), lambda j: (F.get(item, j) == F.get(w, j + by)).cast("int")))
 
-    def judged(m):
-        width = F.least(F.lit(window), F.size("iw"))
+    def judged(m):  # null where too few words of any window agree
         total = F.aggregate(m, F.lit(0), lambda a, x: a + x)
         best = F.array_max(F.transform(F.sequence(F.lit(1), F.size(m) - width + 1), lambda i: F.aggregate(F.slice(m, i, width), F.lit(0), lambda a, x: a + x)))
-        return F.when(F.size(m) >= width, F.struct(best.alias("window_hits"), total.alias("aligned_hits"), width.alias("width")))
+        return F.when((F.size(m) >= width) & (total * 100 >= percent * width), let(best, lambda b: F.when(b * 100 >= percent * width, F.struct(b.alias("window_hits"), total.alias("aligned_hits")))))
 
     own = words(ascii_lower(F.coalesce(F.col("_text"), F.lit(""))))
-    found = both.select("doc_id", "text_hash", "item_id", F.size("iw").alias("item_words"), let(own, lambda w: let(agreement(w), judged)).alias("j"))
-    found = found.where(F.col("j.window_hits") * 100 >= percent * F.col("j.width"))
-    return found.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.first("item_words").cast("long").alias("item_words"), F.max("j.window_hits").cast("long").alias("window_hits"),
-        F.max("j.aligned_hits").cast("long").alias("aligned_hits"))
+    found = let(own, lambda w: F.array_compact(F.transform("shifts", lambda by: let(agreement(w, by), judged))))
+    found = both.select("doc_id", "text_hash", "item_id", F.size("iw").cast("long").alias("item_words"), found.alias("j")).where(F.size("j") > 0)
+    return found.select("doc_id", "text_hash", "item_id", "item_words", *[F.array_max(F.col(f"j.{k}")).cast("long").alias(k) for k in ("window_hits", "aligned_hits")])

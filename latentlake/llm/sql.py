@@ -75,19 +75,15 @@ FROM o GROUP BY conv_id"""
 
 
 
-def _seed(mask: str, at: str = "i") -> str:
-    return "[" + ", ".join(f"w[{at} + {j}]" for j, c in enumerate(mask) if c == "1") + "]"
-
-
 def _op4() -> str:
-    """Masks as they are, on items of at least a mask's length; the benchmark table has no shorter ones."""
+    """Alignments in which some stretch of words agrees; substitutions leave one of at least width // (substitutions + 1) words."""
     lowered = f"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {GAP}), lambda x: x <> '')"
-    n = len(decontam.MASKS[0])
-    spots = {t: " UNION ALL ".join(f"SELECT {k}, i, {at} AS m, {_seed(m)} AS s FROM {t}, unnest(range(1, len(w) - {n - 2})) t(i)" for at, m in enumerate(decontam.MASKS))
-             for t, k in (("d", "doc_id"), ("b", "item_id"))}
-    return f"""WITH d AS (SELECT doc_id, {lowered} AS w FROM documents), b AS (SELECT item_id, {lowered} AS w FROM benchmark),
-ds AS ({spots['d']}), bs AS ({spots['b']}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (m, s)),
+    width = f"least({decontam.WINDOW}, len(w))"
+    least = f"((({width}) * {decontam.PERCENT} + 99) // 100)"
+    return f"""WITH d AS (SELECT doc_id, {lowered} AS w FROM documents), b AS (SELECT item_id, w, ({width} // ({width} - {least} + 1))::INT AS g FROM (SELECT item_id, {lowered} AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT item_id, g, i, w[i:i + g - 1] AS s FROM b, unnest(range(1, len(w) - g + 2)) t(i)),
+ds AS (SELECT doc_id, g, i, w[i:i + g - 1] AS s FROM d, (SELECT DISTINCT g FROM b), unnest(range(1, len(w) - g + 2)) t(i)),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS shift FROM ds JOIN bs USING (g, s)),
 words AS (SELECT doc_id, item_id, shift, j, len(b.w) AS n, (b.w[j] = d.w[j + shift])::INT AS same
     FROM hits JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, len(b.w) + 1)) t(j) WHERE j + shift BETWEEN 1 AND len(d.w)),
 roll AS (SELECT *, sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN {decontam.WINDOW - 1} PRECEDING AND CURRENT ROW) AS hit,

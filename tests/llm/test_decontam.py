@@ -73,7 +73,7 @@ def test_masks_are_complete():
     for width in range(9, 14):
         masks = decontam.masks_for(width, decontam.PERCENT)
         assert decontam.complete(masks, width, width * (100 - decontam.PERCENT) // 100)
-    assert not decontam.complete(decontam.MASKS, 13, 2)
+    assert not decontam.complete(("110110011", "111010101"), 13, 2)
 
 
 @pytest.mark.parametrize("n", [5, 6, 7, 8])
@@ -90,3 +90,20 @@ def test_items_of_few_words(spark):
     want = windows(docs, named)
     assert {i for _, i in want} == {1, 2, 3, 4, 5, 20, 7, 8} and (101, 8) in want
     assert leaks(spark, docs, named) == want
+
+
+def test_time_follows_the_length_of_a_repetitive_text(spark):
+    """Twice the text, at most twice the time (and some); with one row per alignment it was four times."""
+    import time
+
+    item = [(1, "word and other words follow here word and other")]
+
+    def seconds(n):
+        t = time.perf_counter()
+        text = "word and other words follow here " * n
+        assert list(leaks(spark, [(1, text), (1, text)], item)) == [(1, 1)]
+        return time.perf_counter() - t
+
+    seconds(2000)  # compiles
+    a, b = seconds(8000), seconds(16_000)
+    assert b <= 2 * a + 2
