@@ -35,8 +35,9 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, index = warc.archived(table(spark, sf_dir, "pages"))
-    return warc.digests(warc.read_records(warc.every_entry(index)))
+    pages = table(spark, sf_dir, "pages")
+    _, index = warc.archived(pages)
+    return warc.digests(warc.read_records(warc.lookup(index, pages)))
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,9 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_versions(table(spark, sf_dir, "documents"), id_columns=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    _, ledger = secrets.scan_versions(docs.where(F.crc32(F.col("doc_id").cast("string")) % 2 == 0), id_columns=["doc_id"])  # as if half were there before
+    found, _ = secrets.scan_versions(docs, id_columns=["doc_id"], ledger=ledger)
     counts = {f"n_{r.name}": F.coalesce(F.size(F.element_at("found", F.lit(r.name))), F.lit(0)).cast("long") for r in secrets.BASE}
     return found.select("doc_id", *[c.alias(k) for k, c in counts.items()],
                         F.sha2(secrets.listed(F.col("found"), secrets.BASE), 256).alias("base_sha256"),

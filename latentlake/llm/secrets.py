@@ -5,7 +5,8 @@ rule) has given; only pairs that are not in it are scanned, one text per blob, w
 functions. Findings are joined back to all paths that ever held the blob.
 
 Positions count code points, ends are exclusive. Nulls and edges: a null text is the empty blob; repeated rows of a
-path give repeated rows; null paths are kept; an empty table gives an empty table and adds nothing to the ledger.
+path give repeated rows; null paths are kept; id columns of any name but blob and found, which raise; an empty table gives
+an empty table and adds nothing to the ledger.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latentlake.llm.text import let, written
+from latentlake.plans.runtime import broadcast_if_small
 
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 LEDGER = "blob string, rule string, version int, found array<struct<start: bigint, end: bigint>>"
@@ -90,37 +92,36 @@ def scan_versions(versions: DataFrame, text: str = "text", rules: tuple[Rule, ..
     findings: the id columns of every version with blob and ``found``, a map from rule to its spans. ledger: the old
     entries and those made now, to be written by the caller and given again next time.
     """
-    ids = [c for c in (id_columns or [c for c in versions.columns if c != text]) if c not in ("blob", "_text", "found")]
-    spark = versions.sparkSession
+    ids = [c for c in versions.columns if c != text] if id_columns is None else list(id_columns)
+    if clash := {"blob", "found"} & set(ids):
+        raise ValueError(f"rename the id columns {sorted(clash)}: the result has columns of these names")
+    spark, kept = versions.sparkSession, {f"_id{i}": c for i, c in enumerate(ids)}
     body = F.coalesce(F.col(text), F.lit(""))
-    addressed = versions.select(F.sha2(body, 256).alias("blob"), body.alias("_text"), *ids)
-    paths = written(addressed.select("blob", *ids), "paths")
+    addressed = versions.select(F.sha2(body, 256).alias("blob"), body.alias("_text"), *[F.col(c).alias(k) for k, c in kept.items()])
+    paths = written(addressed.select("blob", *kept), "paths")
     blobs = paths.select("blob").distinct()
-    wanted = spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int")
-    old = ledger
-    if old is None:
-        todo = blobs.select("blob", F.array(*[F.lit(r.name) for r in rules]).alias("_rules"))
-    else:
-        seen = old.join(F.broadcast(wanted), ["rule", "version"]).groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
-        todo = blobs.join(seen, "blob", "left").select("blob", F.array_except(
-            F.array(*[F.lit(r.name) for r in rules]), F.coalesce("_seen", F.array().cast("array<string>"))).alias("_rules"))
-        todo = todo.where(F.size("_rules") > 0)
-    # one text per blob, whichever row of it comes first: equal blobs have equal texts
+    wanted = F.broadcast(spark.createDataFrame([(r.name, r.version) for r in rules], "rule string, version int"))
+    every = F.array(*[F.lit(r.name) for r in rules])
     texts = addressed.select("blob", "_text")
-    if old is not None:
-        texts = texts.join(todo, "blob")
+    if ledger is None:
+        texts = texts.withColumn("_rules", every)
     else:
-        texts = texts.withColumn("_rules", F.array(*[F.lit(r.name) for r in rules]))
+        # what is known of the blobs at hand; a blob with rules to run gets its text, the others move none
+        known = written(ledger.select("blob", "rule", "version", "found").join(wanted, ["rule", "version"]).join(blobs, "blob", "left_semi"), "known")
+        seen = known.groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
+        todo = blobs.join(seen, "blob", "left").select("blob", F.array_except(every, F.coalesce("_seen", F.array().cast("array<string>"))).alias("_rules"))
+        texts = texts.join(broadcast_if_small(todo.where(F.size("_rules") > 0), 256), "blob")
+    # one text per blob, whichever row of it comes first: equal blobs have equal texts
     texts = texts.dropDuplicates(["blob"])
     each = F.array(*[F.when(F.array_contains("_rules", r.name), F.struct(
         F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("_text"), r).alias("found"))) for r in rules])
     new = texts.select("blob", F.explode(F.array_compact(each)).alias("r")).select("blob", "r.rule", "r.version", "r.found")
     new = written(new, "ledger")
-    full = new if old is None else old.select("blob", "rule", "version", "found").unionByName(new)
-    now = full.join(F.broadcast(wanted), ["rule", "version"]).where(F.size("found") > 0)
+    now = (new if ledger is None else known.select(*new.columns).unionByName(new)).where(F.size("found") > 0)
     per_blob = now.groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct("rule", "found"))).alias("found"))
     empty = F.from_json(F.lit("{}"), "map<string, array<struct<start: bigint, end: bigint>>>")
-    return paths.join(per_blob, "blob", "left").select(*ids, "blob", F.coalesce("found", empty).alias("found")), full
+    found = paths.join(per_blob, "blob", "left").select(*[F.col(k).alias(c) for k, c in kept.items()], "blob", F.coalesce("found", empty).alias("found"))
+    return found, new if ledger is None else ledger.select(*new.columns).unionByName(new)
 
 
 def listed(found: Column, rules: tuple[Rule, ...]) -> Column:

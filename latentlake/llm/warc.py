@@ -33,6 +33,7 @@ LEAST_BYTES = 100
 FILE_BYTES = 16 << 20
 BLOCK_KEYS = 1_000
 PART_KEYS = 500_000
+SLICE_KEYS = 200_000
 END = "\r\n\r\n"
 ENTRY = "key string, page_id long, path string, offset long, length long"
 
@@ -139,11 +140,11 @@ def captures(spark: SparkSession, folder: str) -> DataFrame:
             for path, size, content in zip(*b.columns):
                 path, size = path.as_py(), size.as_py()
                 if ranges:
-                    read = _windowed(_opened(path))
+                    with _opened(path) as file:
+                        yield _table(list(_walk(_windowed(file), size, path)))
                 else:
                     data = memoryview(content.as_buffer())
-                    read = lambda at, n, data=data: bytes(data[at:at + n])
-                yield _table(list(_walk(read, size, path)))
+                    yield _table(list(_walk(lambda at, n, data=data: bytes(data[at:at + n]), size, path)))
 
     return files.select("path", "length", F.lit(b"").alias("content") if ranges else F.col("content")).mapInArrow(run, ENTRY)
 
@@ -202,8 +203,12 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
                                       ["key", "page_id", "path", "offset", "length"])
 
 
-def lookup(index: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
-    """Captures of the urls' keys."""
+def lookup(index: DataFrame, urls: DataFrame, url: str = "url", slice_keys: int = SLICE_KEYS) -> DataFrame:
+    """Captures of the urls' keys; keys that the index doesn't have give none.
+
+    Keys of a part are dealt into slices of about ``slice_keys``, so that no call holds more of them, however many fall
+    between two captures.
+    """
     # one range per part of the index reaches the driver: a part has PART_KEYS captures
     ranges = sorted((r["lo"], r["hi"], r["part"]) for r in index.groupBy("part").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).collect())
     lows, highs = [r[0] for r in ranges], [r[1] for r in ranges]
@@ -214,17 +219,21 @@ def lookup(index: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
                    for i in range(bisect.bisect_left(highs, k), bisect.bisect_right(lows, k))]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32())], ["key", "part"])
 
-    wanted = urls.select(F.col(url)).mapInArrow(parts, "key string, part int").distinct()
+    wanted = written(urls.select(F.col(url)).mapInArrow(parts, "key string, part int").distinct(), "wanted")
+    slices = F.broadcast(wanted.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / slice_keys).cast("int").alias("slices")))  # one row per part
+    asked = wanted.join(slices, "part").select("key", "part", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"))
+    every = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    directory = index.select("part", "block", "first_key", "last_key").join(slices, "part").select("part", "block", "first_key", "last_key", every)
 
     def find(queries: pa.Table, directory: pa.Table) -> pa.Table:
         rows = sorted(zip(directory.column("first_key").to_pylist(), directory.column("last_key").to_pylist(), directory.column("block").to_pylist()), key=lambda r: r[2])
         first, last = [r[0] for r in rows], [r[1] for r in rows]
-        out = [(k, p, rows[i][2]) for k, p in zip(queries.column("key").to_pylist(), queries.column("part").to_pylist())
+        out = [(k, p, s, rows[i][2]) for k, p, s in zip(*(queries.column(c).to_pylist() for c in ("key", "part", "slice")))
                for i in range(bisect.bisect_left(last, k), bisect.bisect_right(first, k))]
-        return pa.table({"key": pa.array([o[0] for o in out], pa.string()), "part": pa.array([o[1] for o in out], pa.int32()), "block": pa.array([o[2] for o in out], pa.int32())})
+        return pa.table({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate((("key", pa.string()), ("part", pa.int32()), ("slice", pa.int32()), ("block", pa.int32())))})
 
-    directory = index.select("part", "block", "first_key", "last_key")
-    blocks = wanted.groupBy("part").cogroup(directory.groupBy("part")).applyInArrow(find, "key string, part int, block int")
+    blocks = asked.groupBy("part", "slice").cogroup(directory.groupBy("part", "slice")).applyInArrow(find, "key string, part int, slice int, block int")
+    blocks = written(blocks, "blocks")
 
     def read(queries: pa.Table, held: pa.Table) -> pa.Table:
         out = []
@@ -236,8 +245,9 @@ def lookup(index: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
                 out += entries[bisect.bisect_left(names, k):bisect.bisect_right(names, k)]
         return pa.Table.from_batches([_table(out)])
 
-    held = index.join(blocks.select("part", "block").distinct(), ["part", "block"], "left_semi").select("part", "block", "data")
-    return blocks.groupBy("part", "block").cogroup(held.groupBy("part", "block")).applyInArrow(read, ENTRY)
+    needed = blocks.select(*[F.col(c).alias(f"_{c}") for c in ("part", "block", "slice")]).distinct()
+    held = index.join(needed, (F.col("part") == F.col("_part")) & (F.col("block") == F.col("_block"))).select("_part", "_block", "_slice", "data")
+    return blocks.groupBy("part", "block", "slice").cogroup(held.groupBy("_part", "_block", "_slice")).applyInArrow(read, ENTRY)
 
 
 def _opened(path: str):
@@ -272,9 +282,13 @@ def read_records(entries: DataFrame) -> DataFrame:
             for b in batches:
                 for path, offset, length in zip(*(b.column(i).to_pylist() for i in range(3))):
                     if path != name:
+                        if file:
+                            file.close()
                         file, name = _opened(path), path
                     file.seek(offset)
                     yield file.read(length)
+            if file:
+                file.close()
 
         def run(batches):
             yield from _parsed(ranges(batches))
