@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import mmap
+import sys
 import tempfile
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,8 @@ from latentlake.llm.text import pieces
 from latentlake.plans.runtime import scratch_path
 
 RUN_KEYS = 1_000_000  # keys that a task sorts before it sends them
+OPEN = 4_096 if sys.version_info >= (3, 13) else 200  # files of a model that a worker keeps mapped at a time
+_UNTRACKED = {"trackfd": False} if sys.version_info >= (3, 13) else {}
 
 
 def system_of(uri: str):
@@ -42,19 +46,41 @@ def save(folder: str, name: str, a: np.ndarray) -> str:
 
 
 def mapped(folder: str, name: str, kind) -> np.ndarray:
+    """A file as an array, mapped into memory. The map needs no open file (Python 3.13 and later)."""
     from pyarrow import fs
 
     system, place = system_of(folder)
-    if isinstance(system, fs.LocalFileSystem):
-        file = open(f"{place}/{name}", "rb")  # noqa: SIM115  stays open as long as it is mapped
-    else:
-        file = tempfile.TemporaryFile()  # noqa: SIM115  has no name and goes with the worker
-        with system.open_input_stream(f"{place}/{name}") as source:
-            while part := source.read(1 << 22):
-                file.write(part)
-        file.flush()
-    file.seek(0, 2)
-    return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), kind) if file.tell() else np.zeros(0, kind)
+    local = isinstance(system, fs.LocalFileSystem)
+    with open(f"{place}/{name}", "rb") if local else tempfile.TemporaryFile() as file:  # the copy has no name and goes with the map
+        if not local:
+            with system.open_input_stream(f"{place}/{name}") as source:
+                while part := source.read(1 << 22):
+                    file.write(part)
+            file.flush()
+        if not file.seek(0, 2):
+            return np.zeros(0, kind)
+        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **_UNTRACKED), kind)
+
+
+class Maps:
+    """Mapped files of a folder, each mapped when it is first asked for; the ones unused for longest are let go."""
+
+    def __init__(self, folder: str, most: int = OPEN):
+        self.folder, self.most, self.held = folder, most, OrderedDict()
+
+    def get(self, name: str, kind) -> np.ndarray:
+        if name in self.held:
+            self.held.move_to_end(name)
+        else:
+            self.held[name] = mapped(self.folder, name, kind)
+            if len(self.held) > self.most:
+                self.held.popitem(last=False)
+        return self.held[name]
+
+
+def narrowest(counts: np.ndarray):
+    """The smallest type that holds all counts."""
+    return np.min_scalar_type(int(counts.max(initial=0)))
 
 
 def added(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -140,14 +166,12 @@ class Store:
     """Byte strings by key, mapped shard by shard when first asked for."""
 
     def __init__(self, folder: str, names: list, kind):
-        self.folder, self.names, self.kind, self.open = folder, names, kind, {}
+        self.names, self.kind, self.maps = names, kind, Maps(folder)
 
     def __getitem__(self, key: bytes) -> np.ndarray:
         s = zlib.crc32(key) % len(self.names)
-        if s not in self.open:
-            keys, ends, data = self.names[s]
-            self.open[s] = mapped(self.folder, keys, np.uint64).reshape(-1, 2), mapped(self.folder, ends, np.int64), mapped(self.folder, data, np.uint8)
-        keys, ends, data = self.open[s]
+        keys, ends, data = (self.maps.get(n, t) for n, t in zip(self.names[s], (np.uint64, np.int64, np.uint8)))
+        keys = keys.reshape(-1, 2)
         a, b = np.frombuffer(key, np.uint64)
         at = int(np.searchsorted(keys[:, 0], a))
         while keys[at, 1] != b:

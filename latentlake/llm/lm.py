@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentlake.llm.arrays import array_folder, gathered, mapped, save, sent, system_of
-from latentlake.llm.text import hashed_words, owners, pieces, text_bytes
+from latentlake.llm.arrays import Maps, array_folder, gathered, mapped, narrowest, save, sent, system_of
+from latentlake.llm.text import hashed_words, owners, pieces, text_bytes, written
 
 END = np.uint64(0)        # hash of the end of a text; words whose hash is 0 take 1
 SHARD_TOKENS = 4_000_000  # tokens per shard, about
@@ -79,10 +79,13 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS)
     word_files = [done[s] for s in sorted(done)]
     base = np.concatenate([[0], np.cumsum([r["n"] for r in word_files])]).astype(np.int64) if word_files else np.zeros(1, np.int64)
     n_words, total = int(base[-1]), int(sum(r["total"] for r in word_files))
-    model = {"n_words": n_words, "total": total, "words": [(r["keys"], r["counts"], r["n"]) for r in word_files]}
+    if n_words >= SCALE // 2:
+        raise ValueError(f"{n_words} distinct words: keys of pairs hold fewer than {SCALE // 2}")
+    model = {"n_words": n_words, "total": total, "words": [(r["keys"], r["counts"], r["n"], r["shard"] * 2**64 // n_shards) for r in word_files]}
+    before = np.concatenate([[0], np.cumsum([r["total"] for r in word_files])]).astype(np.int64)
 
     # bigrams: cuts at equal numbers of tokens, found by the tasks that hold the words' counts
-    parts = spark.createDataFrame([(i, r["counts"], int(base[i]), int(sum(x["total"] for x in word_files[:i]))) for i, r in enumerate(word_files)] or [],
+    parts = spark.createDataFrame([(i, r["counts"], int(base[i]), int(before[i])) for i, r in enumerate(word_files)] or [],
                                   "i int, counts string, base long, before long") if word_files else None
     cuts2 = [0]
     if parts is not None:
@@ -105,7 +108,7 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS)
     cuts2 = np.array(cuts2, np.int64)
 
     def pairs():
-        of = Words(folder, model)
+        of = Words(Maps(folder), model)
 
         def make(column):
             h, bounds = _tokens(column)
@@ -116,6 +119,17 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS)
 
         return make
 
+    # a shard of bigrams is kept as files; what it says of its words goes to the ranges of these words
+    step = max(1, -(-n_words // max(1, len(word_files))))
+    none = pa.schema([("shard", pa.int32()), ("keys", pa.string()), ("counts", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("of", pa.list_(pa.int64())),
+                      ("i", pa.int32()), ("v", pa.binary()), ("w", pa.binary())])
+
+    def by_range(ids: np.ndarray, rows: np.ndarray) -> dict:
+        """Columns of rows (ids first) per range of words."""
+        part = ids // step
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(ids) else np.zeros(0, np.int64)
+        return {int(part[a]): rows[:, a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(ids)))}
+
     def bigrams(table: pa.Table) -> pa.Table:
         keys, counts = gathered(table, np.int64)
         first = keys // SCALE
@@ -123,49 +137,43 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS)
         v = first[starts]
         held = [np.add.reduceat(x.astype(np.int64), starts) for x in (counts, counts == 1, counts == 2, counts >= 3)]
         w, behind = np.unique(keys % SCALE, return_counts=True)
-        return pa.table({
-            "shard": table.column("shard")[:1], "keys": [save(folder, "pairs", keys)], "counts": [save(folder, "pair-counts", np.minimum(counts, 2**31 - 1).astype(np.int32))],
-            "n": [len(keys)], "of": pa.array([[int((counts == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64())),
-            "v": [save(folder, "v", np.concatenate([v, *held]))], "w": [save(folder, "w", np.concatenate([w, behind]))]})
+        kind = narrowest(counts)
+        file = {"shard": table.column("shard")[0].as_py(), "keys": save(folder, "pairs", keys), "counts": save(folder, "pair-counts", counts.astype(kind)), "kind": kind.str,
+                "n": len(keys), "of": [int((counts == k).sum()) for k in (1, 2, 3, 4)]}
+        of_v, of_w = by_range(v, np.stack([v, *held])), by_range(w, np.stack([w, behind]))
+        return pa.Table.from_pylist([file, *[{"i": i, "v": of_v.get(i), "w": of_w.get(i)} for i in sorted({*of_v, *of_w})]], schema=none)
 
-    made = {}
+    pair_files, sums = [], None
     if n_words:
-        pair_runs = sent(texts, pairs, cuts2).groupBy("shard").applyInArrow(
-            bigrams, "shard int, keys string, counts string, n long, of array<bigint>, v string, w string")
-        made = {r["shard"]: r for r in pair_runs.collect()}
-    pair_files = [made[s] for s in sorted(made)]
-    model["pairs"] = [(r["keys"], r["counts"], r["n"], int(cuts2[r["shard"]])) for r in pair_files]
+        made = written(sent(texts, pairs, cuts2).groupBy("shard").applyInArrow(
+            bigrams, "shard int, keys string, counts string, kind string, n long, of array<bigint>, i int, v binary, w binary"), "pairs")
+        pair_files = sorted(made.where("keys IS NOT NULL").select("shard", "keys", "counts", "kind", "n", "of").collect())
+        sums = made.where("i IS NOT NULL").select("i", "v", "w")
+    model["pairs"] = [(r["keys"], r["counts"], r["kind"], int(cuts2[r["shard"]])) for r in pair_files]
     d = _discounts([sum(r["of"][k] for r in pair_files) for k in range(4)])
     model["d"] = d
 
-    # per word: gamma of the contexts, and the lower order; each task makes one range of words
+    # per word: gamma of the contexts, and the lower order; a group is one range of words
     n_pairs = sum(r["n"] for r in pair_files)
-    vs, ws = [r["v"] for r in pair_files], [r["w"] for r in pair_files]
-    step = max(1, -(-n_words // max(1, len(word_files))))
-    ranges = spark.createDataFrame([(i, i * step, min(n_words, (i + 1) * step)) for i in range(-(-n_words // step))] or [(0, 0, 0)], "i int, lo long, hi long")
-
-    def finish(batches):
-        for b in batches:
-            for i, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
-                held = np.zeros((4, hi - lo), np.int64)
-                for name in vs:
-                    a = mapped(folder, name, np.int64).reshape(5, -1)
-                    s, e = np.searchsorted(a[0], [lo, hi])
-                    held[:, a[0, s:e] - lo] += a[1:, s:e]
-                behind = np.zeros(hi - lo, np.int64)
-                for name in ws:
-                    a = mapped(folder, name, np.int64).reshape(2, -1)
-                    s, e = np.searchsorted(a[0], [lo, hi])
-                    behind[a[0, s:e] - lo] += a[1, s:e]
-                gamma = (d[0] * held[1] + d[1] * held[2] + d[2] * held[3]) / np.maximum(held[0], 1)
-                gamma[held[0] == 0] = 1.0
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([save(folder, "context", held[0])]), pa.array([save(folder, "gamma", gamma)]),
-                                                  pa.array([save(folder, "behind", behind)]), pa.array([[int((behind == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64())),
-                                                  pa.array([int((behind >= 3).sum())])],
-                                                 ["i", "context", "gamma", "behind", "of", "many"])
-
-    per = {r["i"]: r for r in ranges.repartition(max(1, len(word_files))).mapInArrow(
-        finish, "i int, context string, gamma string, behind string, of array<bigint>, many long").collect()}
+
+    def finish(table: pa.Table) -> pa.Table:
+        i = table.column("i")[0].as_py()
+        lo, hi = i * step, min(n_words, (i + 1) * step)
+        held, behind = np.zeros((4, hi - lo), np.int64), np.zeros(hi - lo, np.int64)
+        for v, w in zip(table.column("v").to_pylist(), table.column("w").to_pylist()):
+            if v:
+                a = np.frombuffer(v, np.int64).reshape(5, -1)
+                held[:, a[0] - lo] += a[1:]
+            if w:
+                a = np.frombuffer(w, np.int64).reshape(2, -1)
+                behind[a[0] - lo] += a[1]
+        gamma = (d[0] * held[1] + d[1] * held[2] + d[2] * held[3]) / np.maximum(held[0], 1)
+        gamma[held[0] == 0] = 1.0
+        return pa.table({"i": pa.array([i], pa.int32()), "context": [save(folder, "context", held[0])], "gamma": [save(folder, "gamma", gamma)], "behind": [save(folder, "behind", behind)],
+                         "of": pa.array([[int((behind == k).sum()) for k in (1, 2, 3, 4)]], pa.list_(pa.int64())), "many": [int((behind >= 3).sum())]})
+
+    per = {r["i"]: r for r in sums.groupBy("i").applyInArrow(
+        finish, "i int, context string, gamma string, behind string, of array<bigint>, many long").collect()} if sums is not None else {}
     model["per_word"] = [(per[i]["context"], per[i]["gamma"], per[i]["behind"]) for i in sorted(per)]
     model["step"], model["n_pairs"] = step, n_pairs
     of = [sum(r["of"][k] for r in per.values()) for k in range(4)]
@@ -183,10 +191,10 @@ def train(docs: DataFrame, text: str = "text", shard_tokens: int = SHARD_TOKENS)
 class Words:
     """Ids of word hashes: shards are ranges of hashes, so they are searched as one sorted array."""
 
-    def __init__(self, folder: str, model: dict):
-        self.shards = [(mapped(folder, k, np.uint64), mapped(folder, c, np.int64)) for k, c, _ in model["words"]]
-        self.base = np.concatenate([[0], np.cumsum([n for _, _, n in model["words"]])]).astype(np.int64)
-        self.first = np.array([s[0][0] for s in self.shards], np.uint64)
+    def __init__(self, maps: Maps, model: dict):
+        self.maps, self.shards = maps, model["words"]
+        self.base = np.concatenate([[0], np.cumsum([s[2] for s in self.shards])]).astype(np.int64)
+        self.first = np.array([s[3] for s in self.shards], np.uint64)
         self.end = int(self.ids(np.array([END]))[0])
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +202,10 @@ class Words:
         some, back = np.unique(h, return_inverse=True)
         ids, counts = np.full(len(some), -1, np.int64), np.zeros(len(some), np.int64)
         cut = np.append(np.searchsorted(some, self.first), len(some))
-        for s, (keys, n) in enumerate(self.shards):
+        for s, (keys, n, _, _) in enumerate(self.shards):
             q = some[cut[s]:cut[s + 1]]
             if len(q):
+                keys, n = self.maps.get(keys, np.uint64), self.maps.get(n, np.int64)
                 at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
                 hit = keys[at] == q
                 ids[cut[s]:cut[s + 1]] = np.where(hit, at + self.base[s], -1)
@@ -212,26 +221,26 @@ class Model:
         system, place = system_of(folder)
         with system.open_input_stream(f"{place}/model.json") as f:
             self.m = json.loads(f.read())
-        self.words = Words(folder, self.m) if self.m["n_words"] else None
-        self.pairs = [(mapped(folder, k, np.int64), mapped(folder, c, np.int32)) for k, c, _, _ in self.m["pairs"]]
+        self.maps = Maps(folder)
+        self.words = Words(self.maps, self.m) if self.m["n_words"] else None
         self.cuts = np.array([p[3] for p in self.m["pairs"]], np.int64)
-        self.per = [tuple(mapped(folder, x, t) for x, t in zip(p, (np.int64, np.float64, np.int64))) for p in self.m["per_word"]]
 
     def _of_word(self, ids: np.ndarray, which: int) -> np.ndarray:
         out = np.zeros(len(ids))
         part = ids // self.m["step"]
         for p in np.unique(part[ids >= 0]).tolist():
             here = np.flatnonzero((part == p) & (ids >= 0))
-            out[here] = self.per[p][which][ids[here] - p * self.m["step"]]
+            out[here] = self.maps.get(self.m["per_word"][p][which], (np.int64, np.float64, np.int64)[which])[ids[here] - p * self.m["step"]]
         return out
 
     def _pair_counts(self, keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys, kind="stable")
         q, out = keys[order], np.zeros(len(keys), np.int64)
         cut = np.append(np.searchsorted(q, self.cuts), len(q))
-        for s, (have, n) in enumerate(self.pairs):
+        for s, (have, n, kind, _) in enumerate(self.m["pairs"]):
             part = q[cut[s]:cut[s + 1]]
             if len(part):
+                have, n = self.maps.get(have, np.int64), self.maps.get(n, np.dtype(kind))
                 at = np.minimum(np.searchsorted(have, part), len(have) - 1)
                 out[order[cut[s]:cut[s + 1]]] = np.where(have[at] == part, n[at], 0)
         return out

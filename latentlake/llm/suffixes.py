@@ -17,7 +17,7 @@ those lengths are equal; the lengths of the merged order come out with it.
 
 Settling. In sorted order with common prefixes, suffixes whose right sides agree for r bytes are neighbours without a
 length below r between them. For each offset o of a window before its anchor, windows are equal if their suffixes agree
-for LENGTH - o bytes and the o bytes to the left have the same 64-bit hash; all but the earliest are removed.
+for LENGTH - o bytes and the o bytes to the left have the same two 64-bit hashes; all but the earliest are removed.
 
 Nulls and edges: null texts have no bytes; ids are integers, null ids come last; rows with equal id are ordered by a
 hash of their text; equal rows (id and text) are one document, each with the same result; texts shorter than LENGTH
@@ -30,7 +30,7 @@ import hashlib
 import pickle
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentlake.llm.arrays import array_folder, gathered, mapped, save, sent
+from latentlake.llm.arrays import Maps, array_folder, gathered, save, sent
 from latentlake.llm.text import mix, pieces, rolling, text_bytes, written
 
 LENGTH = 100
@@ -47,7 +47,7 @@ RUN_SUFFIXES = 150_000     # suffixes that a task sorts at a time
 BLOCK_SUFFIXES = 2_048
 RANGE_SUFFIXES = 100_000   # suffixes merged by a task, about
 SHARD_ANCHORS = 500_000
-SAMPLE = 20_000            # first suffixes of blocks that choose the splitters, at most about
+SAMPLE = 6                 # first suffixes of blocks per range, about, that choose the splitters
 NULL_ID = np.int64(2**63 - 1)
 
 
@@ -91,13 +91,14 @@ def repeated_anchors(texts: DataFrame, folder: str, length: int, gram: int) -> t
     return [names.get(s) for s in range(n)], cuts
 
 
-def _member(h: np.ndarray, shards: list, cuts: np.ndarray) -> np.ndarray:
+def _member(h: np.ndarray, names: list, cuts: np.ndarray, maps: Maps) -> np.ndarray:
     order = np.argsort(h)
     q, out = h[order], np.zeros(len(h), bool)
     at = np.append(np.searchsorted(q, cuts), len(q))
-    for s, have in enumerate(shards):
+    for s, name in enumerate(names):
         part = q[at[s]:at[s + 1]]
-        if len(part) and have is not None and len(have):
+        have = maps.get(name, np.uint64) if name and len(part) else np.zeros(0, np.uint64)
+        if len(have):
             out[order[at[s]:at[s + 1]]] = have[np.minimum(np.searchsorted(have, part), len(have) - 1)] == part
     return out
 
@@ -244,16 +245,22 @@ def settle(s: Suffixes, length: int) -> tuple[np.ndarray, ...]:
         if x:
             left[i, :len(x)] = np.frombuffer(x, np.uint8)[::-1]
     out = [np.full(n, v, np.int64) for v in (-1, -1, -1, -1)]
-    side = np.zeros(n, np.uint64)
+    side, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for o in range(widest + 1):
         if o:
             side = mix(side * np.uint64(0x9E3779B97F4A7C15) + left[:, o - 1] + np.uint64(1))
+            check = check * np.uint64(0xD1B54A32D192ED03) + mix(left[:, o - 1] + side)
         group = np.cumsum(s.lcp < length - o)
         some = order[(s.lo[order] <= o) & (s.hi[order] >= o)]  # earliest first
         key = mix(group[some].astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) ^ side[some])
         by = np.argsort(key, kind="stable")
         first = np.concatenate([[True], key[by][1:] != key[by][:-1]]) if len(by) else np.zeros(0, bool)
         leader = some[by][np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))] if len(by) else some
+        if ((group[some[by]] != group[leader]) | (side[some[by]] != side[leader]) | (check[some[by]] != check[leader])).any():  # keys met by chance
+            by = np.lexsort((check[some], side[some], group[some]))
+            x = some[by]
+            first = np.concatenate([[True], (group[x][1:] != group[x][:-1]) | (side[x][1:] != side[x][:-1]) | (check[x][1:] != check[x][:-1])])
+            leader = x[np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))]
         later = rank[some[by]] > rank[leader]
         for which, (lo, hi) in ((later, (0, 1)), (~later, (2, 3))):
             x = some[by][which]
@@ -323,12 +330,11 @@ def _run(held: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
 def sorted_runs(docs: DataFrame, names: list, cuts: np.ndarray, folder: str, length: int, gram: int) -> DataFrame:
     """Runs in blocks, and spans settled within runs; docs has doc_id, text_hash, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = [mapped(folder, n, np.uint64) if n else None for n in names]
-        held, size = [], 0
+        maps, held, size = Maps(folder), [], 0
         for b in (piece for batch in batches for piece in pieces(batch, 2)):
             raw, offsets = text_bytes(b.column(2))
             text, at, lo, hi, h = anchors(raw, offsets, length, gram)
-            keep = np.flatnonzero(_member(h, shards, cuts))
+            keep = np.flatnonzero(_member(h, names, cuts, maps))
             text, at, lo, hi = text[keep], at[keep], lo[keep], hi[keep]
             data = raw.tobytes()
             doc = b.column(0).fill_null(int(NULL_ID)).to_numpy(zero_copy_only=False)[text]
@@ -357,9 +363,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     inside = runs.where("start IS NOT NULL").select("doc_id", "text_hash", "start", "end")
     if not total:
         return inside
-    every = -(-n_blocks // SAMPLE)
-    sample = sorted(bytes(r[0])[:gram] for r in blocks.where(F.pmod(F.xxhash64("run", "seq"), F.lit(every)) == 0).select("first").collect())
     n = -(-total // RANGE_SUFFIXES)
+    every = max(1, n_blocks // (SAMPLE * n))
+    sample = sorted(bytes(r[0])[:gram] for r in blocks.where(F.pmod(F.xxhash64("run", "seq"), F.lit(every)) == 0).select("first").collect())
     splitters = sorted({sample[i * len(sample) // n] for i in range(1, n)}) if sample else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,9 +373,10 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
             for run, seq, data in zip(*(c.to_pylist() for c in b.columns)):
                 s = Suffixes.unpacked(data)
                 heads = [r[:gram] for r in s.right]
-                ends = [bisect_left(heads, x) for x in splitters]
+                low, high = bisect_right(splitters, heads[0]), bisect_right(splitters, heads[-1])  # ranges of the first and the last
+                ends = [bisect_left(heads, x) for x in splitters[low:high]]
                 at, out = 0, []
-                for target, end in enumerate([*ends, len(s)]):
+                for target, end in enumerate([*ends, len(s)], low):
                     if end > at:
                         out.append((target, run, seq, data if end - at == len(s) else s.take(np.arange(at, end)).packed()))
                         at = end
