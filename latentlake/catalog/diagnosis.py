@@ -201,6 +201,36 @@ def _(spark, sf):
     return routes.crossings(points(spark, sf), ["label"], ["vec_id"], "px", "py")
 
 
+# Student's t by Simpson's rule over the angle atan(t / sqrt(df)), its quantile by bisection
+def tail(lo: str, df: str = "df", n: int = 2000) -> str:
+    hi = f"least(pi() / 2, {lo} + 12 / sqrt({df}))"
+    weight = f"CASE WHEN k % {n} = 0 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    at = f"({lo} + ({hi} - ({lo})) * k / {n}.0)"
+    return f"(({hi} - ({lo})) / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda k: {weight} * exp(({df} - 1) * ln(greatest(cos({at}), 1e-300))))))"
+
+
+def significance(groups: str, columns: str, df: str, alpha: float = 0.05) -> str:
+    """SQL: comparison rows of ``groups`` (difference, std_error, t) with p value and interval; wants WITH RECURSIVE."""
+    return f"""z AS (SELECT *, ({df})::DOUBLE AS df, {tail('0', f'({df})::DOUBLE')} AS whole FROM {groups}),
+    q(id, step, lo, hi) AS (SELECT row_number() OVER (), 0, 0::DOUBLE, pi() / 2 FROM z
+        UNION ALL SELECT id, step + 1, CASE WHEN m > {alpha} * whole THEN (lo + hi) / 2 ELSE lo END, CASE WHEN m > {alpha} * whole THEN hi ELSE (lo + hi) / 2 END
+        FROM (SELECT q.*, y.whole, {tail('((lo + hi) / 2)', 'y.df')} AS m FROM q JOIN (SELECT *, row_number() OVER () AS id FROM z) y USING (id) WHERE step < 60)),
+    y AS (SELECT y.*, tan((lo + hi) / 2) * sqrt(df) AS c FROM (SELECT *, row_number() OVER () AS id FROM z) y JOIN q USING (id) WHERE step = 60)
+    SELECT {columns}, {r('difference', 'difference')}, {r('t', 't')}, {r('std_error', 'std_error')}, {r(f"{tail('atan(abs(t) / sqrt(df))')} / whole", 'p_value')},
+    {r('difference - c * std_error', 'ci_lower')}, {r('difference + c * std_error', 'ci_upper')}, {tail('atan(abs(t) / sqrt(df))')} / whole < {alpha} AS significant FROM y"""
+
+
+SIDES = """g AS (SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS na, count(*) FILTER (WHERE l_returnflag <> 'A') AS nb,
+    avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS ma, avg(l_extendedprice) FILTER (WHERE l_returnflag <> 'A') AS mb,
+    var_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS sa, var_samp(l_extendedprice) FILTER (WHERE l_returnflag <> 'A') AS sb,
+    var_pop(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS pa, var_pop(l_extendedprice) FILTER (WHERE l_returnflag <> 'A') AS pb
+    FROM lineitem GROUP BY l_linestatus),
+    s AS (SELECT *, ma - mb AS difference, (ma - mb) / sqrt(((na - 1) * sa + (nb - 1) * sb) / (na + nb - 2) * (1.0 / na + 1.0 / nb)) AS t, sqrt(sa / na + sb / nb) AS std_error FROM g)"""
+DIFFERENCES = """g AS (SELECT l_returnflag, count(*) AS n, avg(l_discount) AS ma, avg(l_tax) AS mb, avg(l_discount - l_tax) AS difference,
+    stddev_samp(l_discount - l_tax) AS sd FROM lineitem GROUP BY l_returnflag),
+    s AS (SELECT *, sd / sqrt(n) AS std_error, difference / (sd / sqrt(n)) AS t FROM g)"""
+
+
 @query("x1_two_sample", f"""WITH g AS (SELECT l_linestatus, count(*) FILTER (WHERE l_returnflag = 'A') AS na, count(*) FILTER (WHERE l_returnflag <> 'A') AS nb,
     avg(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS ma, avg(l_extendedprice) FILTER (WHERE l_returnflag <> 'A') AS mb,
     var_samp(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS sa, var_samp(l_extendedprice) FILTER (WHERE l_returnflag <> 'A') AS sb,
@@ -215,7 +245,8 @@ def _(spark, sf):
     return stats.two_sample(lines, "l_extendedprice", F.col("l_returnflag") == "A", ["l_linestatus"])
 
 
-@query("x1_two_sample_significance")
+@query("x1_two_sample_significance", f"""WITH RECURSIVE {SIDES}, {significance('s', f"l_linestatus, na AS n_a, nb AS n_b, {r('ma', 'mean_a')}, {r('mb', 'mean_b')}, "
+    f"{r('(mb - ma) / sqrt((pa + pb) / 2)', 'effect_pop')}, {r('(ma - mb) / sqrt((sa + sb) / 2)', 'effect_samp')}", 'na + nb - 2')}""")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_linestatus", "l_returnflag", "l_extendedprice")
     out = stats.two_sample(lines, "l_extendedprice", F.col("l_returnflag") == "A", ["l_linestatus"])
@@ -231,7 +262,7 @@ def _(spark, sf):
     return stats.paired(lines, "l_discount", "l_tax", ["l_returnflag"])
 
 
-@query("x2_paired_significance")
+@query("x2_paired_significance", f"""WITH RECURSIVE {DIFFERENCES}, {significance('s', f"l_returnflag, n, {r('ma', 'mean_a')}, {r('mb', 'mean_b')}, {r('difference / sd', 'effect')}", 'n - 1')}""")
 def _(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_returnflag", "l_discount", "l_tax")
     return stats.with_significance(stats.paired(lines, "l_discount", "l_tax", ["l_returnflag"]), F.col("n") - 1)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from latentlake.catalog.base import E, MEANS, query, r, states
 from latentlake.catalog.vectors import NEXT, with_next
 from latentlake.functions import vec
-from latentlake.operators import blocks, graph, pairs, weights
-from latentlake.operators.classify import reference_set
+from latentlake.operators import blocks, forest, graph, hashing, landmarks, pairs, paths, reduction, weights
+from latentlake.plans.runtime import materialize
 
 DISTINCT = "rep AS (SELECT embedding::DOUBLE[] AS x, min(vec_id) AS id, count(*) AS n FROM embeddings GROUP BY embedding)"
 
@@ -21,6 +21,25 @@ def _(spark, sf):
     return blocks.similar_pairs(reps, "vec_id", "x", 1.1, ["n"])
 
 
+TAUS = (1.1, 1.15, 1.2)
+
+
+@query("j4_similar_by_hashing", f"""WITH {DISTINCT}, p AS (SELECT list_distance(a.x, b.x) AS d FROM rep a JOIN rep b ON a.id < b.id)
+    SELECT tau::DOUBLE AS tau, count(*) FILTER (WHERE d <= tau) AS n_pairs, true AS recalled, true AS right_ones FROM p, unnest({list(TAUS)!r}) t(tau) GROUP BY tau""")
+def _(spark, sf):
+    """Pairs found by hashing against the exact join at three thresholds: at least nine in ten, and none that isn't one."""
+    reps = materialize(blocks.collapse_copies(states(spark, sf).select("vec_id", "x"), "vec_id", "x").select("vec_id", "x"))
+    exact = materialize(blocks.similar_pairs(reps, "vec_id", "x", max(TAUS)))
+    out = None
+    for tau in TAUS:
+        found = hashing.similar_pairs_by_hashing(reps, "vec_id", "x", tau).select("a", "b", F.lit(1).alias("found"))
+        both = exact.where(F.col("d") <= tau).join(found, ["a", "b"], "full")
+        one = both.agg(F.lit(tau).alias("tau"), F.count("d").alias("n_pairs"), (F.count_if(F.col("found").isNotNull() & F.col("d").isNotNull()) >= 0.9 * F.count("d")).alias("recalled"),
+                       (F.count_if(F.col("d").isNull()) == 0).alias("right_ones"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 NEAR = f"""{E}, c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
     nn AS (SELECT a, b, d FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM c) WHERE rn <= 12),
     kg AS (SELECT a, b, min(d) AS d FROM (SELECT a, b, d FROM nn UNION ALL SELECT b, a, d FROM nn) GROUP BY a, b)"""
@@ -42,19 +61,37 @@ def _(spark, sf):
     return pairs.concentration(pairs.local_density(pairs.nearest_neighbours(states(spark, sf), "vec_id", "x")))
 
 
-SOURCES = [0, 1, 2, 3]
+def spread(m: int) -> str:
+    """SQL: tables p1..pm with the landmarks, each the row farthest from those before it, and m1..mm with the distances to them."""
+    out = "p1 AS MATERIALIZED (SELECT vec_id, x FROM e ORDER BY vec_id LIMIT 1), m1 AS MATERIALIZED (SELECT e.vec_id, e.x, list_distance(e.x, p1.x) AS far FROM e, p1)"
+    for i in range(2, m + 1):
+        out += f""",
+    p{i} AS MATERIALIZED (SELECT vec_id, x FROM m{i - 1} WHERE far > 0 ORDER BY far DESC, vec_id LIMIT 1),
+    m{i} AS MATERIALIZED (SELECT m.vec_id, m.x, least(m.far, coalesce(list_distance(m.x, p.x), m.far)) AS far FROM m{i - 1} m LEFT JOIN p{i} p ON true)"""
+    return out + ", marks AS (" + " UNION ALL ".join(f"SELECT {i} AS rank, p{i}.vec_id, (SELECT max(far) FROM m{i}) AS radius FROM p{i}" for i in range(1, m + 1)) + ")"
 
 
-@query("g1_geodesics", f"""WITH RECURSIVE {NEAR},
-    g(source, node, d) USING KEY (source, node) AS (
-        SELECT s AS source, s AS node, 0.0::DOUBLE AS d FROM unnest([0::BIGINT, 1, 2, 3]) t(s)
+LANDMARKS = 12
+PATHS = """g(source, node, d) USING KEY (source, node) AS (
+        SELECT vec_id AS source, vec_id AS node, 0.0::DOUBLE AS d FROM {sources}
         UNION
         SELECT g.source, kg.b, min(g.d + kg.d) FROM g JOIN kg ON kg.a = g.node
         LEFT JOIN recurring.g o ON o.source = g.source AND o.node = kg.b
-        WHERE o.d IS NULL OR g.d + kg.d < o.d GROUP BY g.source, kg.b)
-    SELECT source, node, {r('d', 'd')} FROM g""")
+        WHERE o.d IS NULL OR g.d + kg.d < o.d GROUP BY g.source, kg.b)"""
+
+
+@query("d9_landmarks", f"WITH {E}, {spread(LANDMARKS)} SELECT rank, vec_id, {r('radius', 'radius')} FROM marks")
+def _(spark, sf):
+    """Rows spread over the table, and how far from them the others are at most."""
+    return landmarks.farthest_first(states(spark, sf), "vec_id", "x", LANDMARKS).table(spark)
+
+
+@query("g1_geodesics", f"""WITH RECURSIVE {NEAR}, {spread(4)}, {PATHS.format(sources='marks')} SELECT source, node, {r('d', 'd')} FROM g""")
 def _(spark, sf):
-    return graph.geodesics(pairs.neighbour_graph(states(spark, sf), "vec_id", "x"), SOURCES)
+    """Path lengths from four landmarks of the table."""
+    df = states(spark, sf)
+    marks = landmarks.farthest_first(df, "vec_id", "x", 4)
+    return graph.geodesics(pairs.neighbour_graph(df, "vec_id", "x"), marks.ids)
 
 
 def reach(tau: float) -> str:
@@ -69,7 +106,7 @@ def reach(tau: float) -> str:
 
 @query("g2_components", f"WITH RECURSIVE {reach(1.15)} SELECT node AS vec_id, component FROM c")
 def _(spark, sf):
-    return graph.components_at(states(spark, sf), "vec_id", "x", 1.15)
+    return forest.hierarchy(states(spark, sf), "vec_id", "x", [1.15]).drop("tau")
 
 
 @query("g3_shape", f"""WITH RECURSIVE {reach(1.15)}, k AS (SELECT (SELECT count(*) FROM e) AS v, (SELECT count(*) // 2 FROM ed) AS m,
@@ -79,16 +116,24 @@ def _(spark, sf):
     return graph.shape_at(states(spark, sf), "vec_id", "x", 1.15)
 
 
+@query("g2_hierarchy", "WITH " + ", ".join(
+    f"""q{i} AS (WITH RECURSIVE {reach(t)} SELECT {t}::DOUBLE AS tau, node AS vec_id, component FROM c)""" for i, t in enumerate((1.1, 1.2)))
+    + " SELECT * FROM q0 UNION ALL SELECT * FROM q1")
+def _(spark, sf):
+    """Components at two thresholds from one tree."""
+    return forest.hierarchy(states(spark, sf), "vec_id", "x", [1.1, 1.2])
+
+
 @query("l6_hierarchy", "WITH " + ", ".join(
     f"""q{i} AS (WITH RECURSIVE {reach(t)} SELECT {t}::DOUBLE AS tau, count(DISTINCT component) AS components FROM c)"""
     for i, t in enumerate((1.05, 1.15, 1.25))) + " SELECT * FROM q0 UNION ALL SELECT * FROM q1 UNION ALL SELECT * FROM q2")
 def _(spark, sf):
     """How many clusters remain at three thresholds."""
-    out = [graph.shape_at(states(spark, sf), "vec_id", "x", t).select("tau", "components") for t in (1.05, 1.15, 1.25)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return forest.level_counts(states(spark, sf), "vec_id", "x", [1.05, 1.15, 1.25])
 
 
-ALPHAS = [0.01 + 0.99 * i / 19 for i in range(20)]
+ALPHAS = [0.01 + 0.99 * i / 19 for i in range(19)] + [1.0]
+FEW = [0.1 + 0.7 * i / 4 for i in range(4)] + [0.8]
 
 
 def squeezed_pair(spark, sf):
@@ -104,7 +149,7 @@ EDGES_AT = ", ".join(f"count(*) FILTER (WHERE d <= {a!r}) AS c{i}" for i, a in e
     al AS (SELECT unnest({ALPHAS!r}::DOUBLE[]) AS alpha)
     SELECT x, {r('alpha', 'alpha')}, count(*) FILTER (WHERE d <= alpha) AS edges FROM s, al GROUP BY x, alpha""")
 def _(spark, sf):
-    return graph.filtration(squeezed_pair(spark, sf), "vec_id", ["x", "z"], ALPHAS).select("x", "alpha", "edges")
+    return forest.filtration(squeezed_pair(spark, sf), "vec_id", ["x", "z"], ALPHAS).select("x", "alpha", "edges")
 
 
 @query("g4_divergence", f"""WITH RECURSIVE {E}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS dx,
@@ -124,35 +169,48 @@ def _(spark, sf):
     ON u.alpha = v.alpha AND u.m = 'x' AND v.m = 'z'""")
 def _(spark, sf):
     """Divergence between the full vectors and their first 16 components."""
-    return graph.divergence(graph.filtration(squeezed_pair(spark, sf), "vec_id", ["x", "z"], ALPHAS), "x", "z")
+    return forest.divergence(forest.filtration(squeezed_pair(spark, sf), "vec_id", ["x", "z"], ALPHAS), "x", "z")
 
 
-@query("g5_geodesic_distortion", f"""WITH RECURSIVE {NEAR},
-    g(source, node, d) USING KEY (source, node) AS (
-        SELECT s AS source, s AS node, 0.0::DOUBLE AS d FROM unnest([0::BIGINT, 1, 2, 3]) t(s)
-        UNION
-        SELECT g.source, kg.b, min(g.d + kg.d) FROM g JOIN kg ON kg.a = g.node
-        LEFT JOIN recurring.g o ON o.source = g.source AND o.node = kg.b
-        WHERE o.d IS NULL OR g.d + kg.d < o.d GROUP BY g.source, kg.b),
+@query("g5_geodesic_distortion", f"""WITH RECURSIVE {NEAR}, {PATHS.format(sources='e')},
     p AS (SELECT g.d AS dg, list_distance(a.x[1:16], b.x[1:16]) AS de FROM g JOIN e a ON a.vec_id = g.source JOIN e b ON b.vec_id = g.node)
-    SELECT count(*) AS n_pairs, {r('avg(abs(dg / (SELECT max(dg) FROM p) - de / (SELECT max(de) FROM p)))', 'distortion')} FROM p WHERE dg > 1e-12""")
+    SELECT count(*) AS n_pairs, {r('max(dg)', 'longest')}, {r('avg(abs(dg / (SELECT max(dg) FROM p) - de / (SELECT max(de) FROM p)))', 'distortion')} FROM p WHERE dg > 1e-12""")
 def _(spark, sf):
-    """Paths over the neighbour graph against straight distances of the first 16 components, from four sources."""
-    far = graph.geodesics(pairs.neighbour_graph(states(spark, sf), "vec_id", "x"), SOURCES)
-    return distortion(far, squeezed_pair(spark, sf), "z")
-
-
-def distortion(far, df, z):
-    refs = reference_set(df.where(F.col("vec_id").isin(*SOURCES)), "vec_id", z)
-    from latentlake.operators.classify import with_distances
-
-    straight = with_distances(df.select("vec_id", z), z, refs, "_d").select(
-        F.col("vec_id").alias("node"), F.posexplode("_d").alias("_i", "de"))
-    straight = straight.select("node", refs.label(F.col("_i")).alias("source"), "de")
-    both = far.join(straight, ["source", "node"])
-    tops = both.agg(F.max("d"), F.max("de")).first()
-    return both.where("d > 1e-12").agg(F.count(F.lit(1)).alias("n_pairs"),
-                                       F.avg(F.abs(F.col("d") / tops[0] - F.col("de") / tops[1])).alias("distortion"))
+    """Paths over the neighbour graph between all rows against straight distances of the first 16 components."""
+    df = squeezed_pair(spark, sf)
+    path = paths.path_profile(pairs.neighbour_graph(df, "vec_id", "x"), df, "vec_id", "z", [])
+    return spark.createDataFrame([(path.pairs, path.longest, path.distortion)], "n_pairs long, longest double, distortion double")
+
+
+@query("g6_of_truncation", f"""WITH RECURSIVE {NEAR}, {PATHS.format(sources='e')},
+    mm AS (SELECT 1 / avg(d) AS p FROM nn GROUP BY a),
+    p AS (SELECT 'x' AS m, source AS a, node AS b, d FROM g WHERE source <> node
+        UNION ALL SELECT 'z', a.vec_id, b.vec_id, list_distance(a.x[1:16], b.x[1:16]) FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    s AS (SELECT m, a, b, d / max(d) OVER (PARTITION BY m) AS d FROM p),
+    al AS (SELECT unnest({sorted({*ALPHAS, *FEW, 0.5})!r}::DOUBLE[]) AS alpha),
+    ed AS (SELECT m, alpha, a, b FROM s JOIN al ON d <= alpha),
+    sm AS (SELECT m, a, b, d FROM s WHERE m = 'z' UNION ALL SELECT 'x', a, b, d / (SELECT max(d) FROM g) FROM kg),
+    em AS (SELECT m, alpha, a, b FROM sm JOIN al ON d <= alpha),
+    cp(m, alpha, node, component) USING KEY (m, alpha, node) AS (
+        SELECT m, alpha, vec_id AS node, vec_id AS component FROM e, al, (VALUES ('x'), ('z')) v(m)
+        UNION
+        SELECT cp.m, cp.alpha, em.b, min(cp.component) FROM cp JOIN em ON em.m = cp.m AND em.alpha = cp.alpha AND em.a = cp.node
+        JOIN recurring.cp o ON o.m = cp.m AND o.alpha = cp.alpha AND o.node = em.b WHERE cp.component < o.component GROUP BY cp.m, cp.alpha, em.b),
+    n AS (SELECT m, alpha, count(DISTINCT component) AS parts FROM cp GROUP BY m, alpha),
+    k AS (SELECT m, alpha, count(*) // 2 AS edges FROM ed GROUP BY m, alpha),
+    f AS (SELECT n.m, n.alpha, parts, greatest(0, coalesce(edges, 0) - (SELECT count(*) FROM e) + parts) AS cycles FROM n LEFT JOIN k USING (m, alpha)),
+    j AS (SELECT u.alpha, u.parts AS pu, v.parts AS pv, u.cycles AS cu, v.cycles AS cv FROM f u JOIN f v ON u.alpha = v.alpha AND u.m = 'x' AND v.m = 'z'),
+    pz AS (SELECT g.d AS dg, list_distance(a.x[1:16], b.x[1:16]) AS de FROM g JOIN e a ON a.vec_id = g.source JOIN e b ON b.vec_id = g.node WHERE g.d > 1e-12)
+    SELECT {r(f"(SELECT sqrt(sum(pow(pu - pv, 2) + pow(cu - cv, 2)) / 40) FROM j WHERE alpha IN (SELECT unnest({ALPHAS!r}::DOUBLE[])))", 'divergence')},
+    {r("(SELECT avg(abs(dg / (SELECT max(dg) FROM pz) - de / (SELECT max(de) FROM pz))) FROM pz)", 'distortion')},
+    (SELECT pu = pv FROM j WHERE alpha = 0.5) AS components_kept, (SELECT cu = cv FROM j WHERE alpha = 0.5) AS cycles_kept,
+    (SELECT bool_and(abs((pu - cu) - (pv - cv)) <= 1) FROM j WHERE alpha IN (SELECT unnest({FEW!r}::DOUBLE[]))) AS euler_kept,
+    {r("(SELECT max(p) / avg(p) FROM mm)", 'concentration')}, 4.0::DOUBLE AS compression, 64::BIGINT AS original_dim, 16::BIGINT AS target_dim""")
+def _(spark, sf):
+    """Diagnostics of keeping the first 16 components."""
+    df = squeezed_pair(spark, sf)
+    near = materialize(pairs.nearest_neighbours(df, "vec_id", "x"))
+    return reduction.diagnose(df, "vec_id", "x", "z", pairs.both_ways(near), pairs.concentration(pairs.local_density(near)))
 
 
 def phased(spark, sf, d: int):

@@ -6,14 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from latentlake.catalog.base import D, E, long_form, query, r, states
-from latentlake.catalog.pairwork import SOURCES, distortion
+from latentlake.catalog.pairwork import LANDMARKS, NEAR, PATHS, spread
 from latentlake.functions import vec
-from latentlake.operators import graph, pairs, reduction
+from latentlake.operators import graph, landmarks, pairs, reduction
 from latentlake.plans.runtime import materialize
 from latentlake.sources import generators
 
 K = 8
-MANY = [0, 1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144]
 
 
 @query("d1_pca_variance")
@@ -126,30 +125,55 @@ def _(spark, sf):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("d9_landmark_paths", f"""WITH RECURSIVE {NEAR}, {spread(LANDMARKS)}, {PATHS.format(sources='marks')}
+    SELECT node AS vec_id, count(*) AS n, {r('min(d)', 'nearest')}, {r('max(d)', 'farthest')}, {r('sum(d)', 'total')} FROM g GROUP BY node""")
+def _(spark, sf):
+    """Path lengths from the landmarks to every row: what the embedding places rows by."""
+    df = states(spark, sf)
+    far = graph.geodesics(pairs.neighbour_graph(df, "vec_id", "x"), landmarks.farthest_first(df, "vec_id", "x", LANDMARKS).ids)
+    return far.groupBy(F.col("node").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("nearest"), F.max("d").alias("farthest"), F.sum("d").alias("total"))
+
+
 @query("d9_landmark_embedding")
 def _(spark, sf):
-    """Coordinates from path lengths; distances to the first source against the path lengths they stand for."""
+    """Coordinates from the path lengths to landmarks."""
     df = states(spark, sf)
-    far = graph.geodesics(pairs.neighbour_graph(df, "vec_id", "x"), MANY)
-    placed = reduction.landmark_embedding(far, MANY, 6, df.select(F.col("vec_id").alias("node")))
+    marks = landmarks.farthest_first(df, "vec_id", "x", LANDMARKS)
+    far = graph.geodesics(pairs.neighbour_graph(df, "vec_id", "x"), marks.ids)
+    placed = reduction.landmark_embedding(far, marks.ids, 6, df.select(F.col("vec_id").alias("node")))
     return placed.select(F.col("node").alias("vec_id"), F.size("y").alias("dim"), vec.norm("y").alias("norm"))
 
 
 @query("d8_topological_squeeze")
 def _(spark, sf):
     df = states(spark, sf)
-    p = reduction.fit_topological(df, "vec_id", "x", pairs.neighbour_graph(df, "vec_id", "x"), MANY, 6)
+    marks = landmarks.farthest_first(df, "vec_id", "x", LANDMARKS)
+    p = reduction.fit_topological(df, "vec_id", "x", pairs.neighbour_graph(df, "vec_id", "x"), marks.ids, 6)
     z = reduction.squeeze(df, "x", p)
     return z.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(vec.norm("z")).alias("mean_norm"),
                                   F.max(F.size("z")).alias("dim"))
 
 
+@query("d8_normal_equations", f"WITH {E}, k AS (SELECT count(*) AS n FROM e) SELECT i, j, 0.0::DOUBLE AS residual, n FROM k, unnest(range(1, {D + 1})) a(i), unnest(range(1, 7)) b(j)")
+def _(spark, sf):
+    """The learned map leaves nothing that a component of the rows could still explain: its normal equations hold."""
+    df = states(spark, sf)
+    marks = landmarks.farthest_first(df, "vec_id", "x", LANDMARKS)
+    far = graph.geodesics(pairs.neighbour_graph(df, "vec_id", "x"), marks.ids)
+    placed = reduction.landmark_embedding(far, marks.ids, 6, df.select(F.col("vec_id").alias("node")))
+    both = df.select(F.col("vec_id").alias("node"), vec.doubles("x").alias("x")).join(placed, "node")
+    mean = np.array(both.agg(vec.mean_vector("x")).first()[0])
+    p = reduction.Projection(mean, reduction.least_squares(both, "x", "y", mean))
+    left = reduction.squeeze(both, "x", p).withColumns({"c": vec.sub("x", vec.vec_literal(mean)), "gap": vec.sub("z", "y")})
+    long = left.select(F.posexplode("c").alias("i", "c"), "gap").select("i", "c", F.posexplode("gap").alias("j", "gap"))
+    return long.groupBy((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j")).agg(F.sum(F.col("c") * F.col("gap")).alias("residual"), F.count(F.lit(1)).alias("n"))
+
+
 @query("g6_diagnostics")
 def _(spark, sf):
+    """Diagnostics of the map learned from path lengths."""
     df = states(spark, sf).select("vec_id", vec.doubles("x").alias("x"))
     near = materialize(pairs.nearest_neighbours(df, "vec_id", "x"))
     edges = pairs.both_ways(near)
-    p = reduction.fit_topological(df, "vec_id", "x", edges, MANY, 16)
-    z = reduction.squeeze(df, "x", p)
-    bent = distortion(graph.geodesics(edges, SOURCES), z, "z")
-    return reduction.diagnose(z, "vec_id", "x", "z", pairs.concentration(pairs.local_density(near)), bent)
+    p = reduction.fit_topological(df, "vec_id", "x", edges, landmarks.farthest_first(df, "vec_id", "x", LANDMARKS).ids, 16)
+    return reduction.diagnose(reduction.squeeze(df, "x", p), "vec_id", "x", "z", edges, pairs.concentration(pairs.local_density(near)))

@@ -48,6 +48,11 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(sq)
 
 
+def direct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a to the same rows of b."""
+    return np.sqrt(((a - b) ** 2).sum(1))
+
+
 def _direct(d: np.ndarray, a: np.ndarray, b: np.ndarray, doubtful: np.ndarray) -> np.ndarray:
     """d with the doubtful entries taken from the difference of the vectors."""
     i, j = np.nonzero(doubtful)
@@ -133,3 +138,18 @@ def join_sets(a: np.ndarray, b: np.ndarray, order: np.ndarray | None = None):
             used[e] = True
             root[max(x, y)] = min(x, y)
     return nodes, nodes[[find(x) for x in range(len(nodes))]], used
+
+
+def relaxed(sources: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """Shortest path lengths (sources x n) over directed edges a -> b, which are sorted by b."""
+    d = np.full((len(sources), n), np.inf)
+    d[np.arange(len(sources)), sources] = 0.0
+    starts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    heads = b[starts]
+    while len(starts):
+        best = np.minimum.reduceat(d[:, a] + w, starts, axis=1)
+        closer = best < d[:, heads]
+        if not closer.any():
+            break
+        d[:, heads] = np.where(closer, best, d[:, heads])
+    return d

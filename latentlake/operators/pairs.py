@@ -8,101 +8,37 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from latentlake.functions.vec import EPS, dot, doubles, let, mean_vector, norm, scale, sub
-from latentlake.operators.blocks import (BLOCK_ROWS, CELL_ROWS, SLACK, choose_pivots, collapse_copies, first_members,
-                                         metric_cells, on_pairs, pair_tasks)
+from latentlake.operators.blocks import BLOCK_ROWS, CELL_ROWS, collapse_copies, first_members, on_pairs, pair_tasks
 from latentlake.operators.graph import components
-from latentlake.operators.kernels import exact_at, exact_smallest, ints, matrix, pairwise, pieces, smallest, spanning_forest
+from latentlake.operators.kernels import exact_at, ints, matrix, pairwise, spanning_forest
 from latentlake.operators.ordered import ROWS_PER_TASK, running, top_rows
+from latentlake.operators.sketch import Index, verified
 from latentlake.plans.runtime import join_groups, materialize
 
 # --- nearest neighbours ---------------------------------------------------------------------------------------------
 
 
-def _nearest_kernel(vec_id: str, x: str, k: int, both_ways: bool):
-    """Per row of the task its k nearest rows on the other side (on its own side for a block met with itself)."""
-
-    def best(d, ia, ib):
-        r, c = smallest(d, ib, k)
-        return ia[r], ib[c], d[r, c]
-
-    def kernel(left, right, same):
-        ia, ib = ints(left.column(vec_id)), ints(right.column(vec_id))
-        if not len(ia) or not len(ib):
-            parts = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        else:
-            p, q = matrix(left.column(x)), matrix(right.column(x))
-            d = pairwise(p, q)
-            if same:
-                np.fill_diagonal(d, np.inf)
-            parts = [] if not same and not both_ways else [best(exact_smallest(d.copy(), p, q, k), ia, ib)]
-            if not same:
-                parts.append(best(exact_smallest(d.T.copy(), q, p, k), ib, ia))
-        a, b, d = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "d": pa.array(d)})
-
-    return kernel
-
-
 def nearest_neighbours(df: DataFrame, vec_id: str, x: str, k: int = 12, cell_rows: int = CELL_ROWS,
-                       block_rows: int = BLOCK_ROWS) -> DataFrame:
+                       block_rows: int | None = None) -> DataFrame:
     """Exact k nearest neighbours of every row, without itself: (a, b, d), ties to the smaller id.
 
-    First each vector looks in its own cell; its k-th distance there bounds the search. Then it visits exactly the cells
-    that can still hold something closer. Copies of a vector are searched for once.
+    Sketches choose the candidates (``operators/sketch.py``): first in a vector's own cell, whose k-th upper bound limits
+    the search, then in the cells that can still hold something closer. Copies of a vector are searched for once.
     """
     reps = materialize(first_members(df.select(vec_id, x), vec_id, x, k + 1))
     n = df.count()
     k = min(k, n - 1)
-    _, pivots = choose_pivots(reps, vec_id, x, cell_rows)
-    cells = metric_cells(reps.select(vec_id, x), x, pivots, None).drop("_core")
-    tasked = pair_tasks(cells, ["_cell"], vec_id, block_rows)
-    schema = "a long, b long, d double"
-    near = on_pairs(tasked, ["_cell"], _nearest_kernel(vec_id, x, k, True), schema)
-    near = top_rows(near, ["a"], [F.col("d"), F.col("b")], k).drop("rn")
-    if len(pivots) > 1:
-        near = materialize(near)
-        bound = near.groupBy("a").agg(F.count(F.lit(1)).alias("_c"), F.max("d").alias("_m")).select(
-            F.col("a").alias(vec_id), F.when(F.col("_c") >= k, F.col("_m")).alias("_bound"))
-        spread = np.zeros(len(pivots))
-        for row in cells.groupBy("_cell").agg(F.max("_reach").alias("r")).collect():  # one row per pivot
-            spread[row["_cell"]] = row["r"]
-        guests = _visits(reps.select(vec_id, x).join(bound, vec_id, "left"), x, pivots, spread)
-        both = cells.select(vec_id, x, "_cell", "_home").unionByName(guests.select(vec_id, x, "_cell", "_home"))
-        more = on_pairs(pair_tasks(both, ["_cell"], vec_id, block_rows, within=False), ["_cell"],
-                        _nearest_kernel(vec_id, x, k, False), schema)
-        near = top_rows(near.unionByName(more), ["a"], [F.col("d"), F.col("b")], k).drop("rn")
+    if k < 1:
+        return df.sparkSession.createDataFrame([], "a long, b long, d double")
+    found = Index(reps.select(vec_id, x), vec_id, x, cell_rows=cell_rows, block_rows=block_rows).nearest(k)
+    near = top_rows(verified(found, reps, vec_id, x).select("a", "b", "d"), ["a"], [F.col("d"), F.col("b")], k).drop("rn")
     if reps.count() == n:
         return near
     return _with_copies(df, reps, near, vec_id, x, k)
 
 
-def _visits(rows: DataFrame, x: str, pivots: np.ndarray, spread: np.ndarray) -> DataFrame:
-    """Cells other than the home cell that may hold a point within the row's bound (no bound: all cells)."""
-    cols = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("_cell", T.LongType()), T.StructField("_home", T.BooleanType())])
-
-    def run(batches):
-        for b in (piece for batch in batches for piece in pieces(batch, len(pivots))):
-            d = pairwise(matrix(b.column(x)), pivots)
-            home = d.argmin(1)
-            own = d[np.arange(len(d)), home]
-            u = np.array([np.inf if v is None else v for v in b.column("_bound").to_pylist()])
-            least = np.maximum((d - own[:, None]) / 2, d - spread[None, :])
-            hit = least <= (u + SLACK)[:, None]
-            hit[np.arange(len(d)), home] = False
-            r, p = np.nonzero(hit)
-            for s in range(0, len(r), 4096):
-                t = b.take(pa.array(r[s:s + 4096]))
-                yield pa.RecordBatch.from_arrays(
-                    [*t.columns, pa.array(p[s:s + 4096].astype(np.int64)), pa.array(np.zeros(t.num_rows, bool))],
-                    names=[*cols, "_cell", "_home"])
-
-    return rows.mapInArrow(run, schema)
-
-
 def _with_copies(df: DataFrame, reps: DataFrame, near: DataFrame, vec_id: str, x: str, k: int) -> DataFrame:
     """Neighbours of every member from those of its representative; each list holds at most k + 1 entries."""
     ids = reps.select(F.col(vec_id).alias("_rep"), F.explode("ids").alias("b"))

@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentlake.functions.vec import doubles, l2, mean_vector, truncate
-from latentlake.operators.graph import divergence, filtration, geodesics
+from latentlake.functions.vec import EPS, doubles, l2, mean_vector, truncate
+from latentlake.operators import moments
+from latentlake.operators.forest import divergence, filtration
+from latentlake.operators.graph import geodesics, minimum_forest
 from latentlake.operators.kernels import matrix, vectors
+from latentlake.operators.paths import path_profile
 from latentlake.plans.runtime import materialize
 
 
@@ -52,41 +55,13 @@ def fit_pca(df: DataFrame, x: str, k: int) -> Projection:
     return identity(d) if k >= d else spectrum(df, x, k)
 
 
-def _summed(df: DataFrame, cols: list[str], part) -> np.ndarray | None:
-    """Sum over all rows of ``part(*matrices)``: every task adds up its batches and sends one small matrix."""
-
-    def run(batches):
-        whole = None
-        for b in batches:
-            if b.num_rows:
-                one = part(*[matrix(b.column(c)) for c in cols])
-                whole = one if whole is None else whole + one
-        if whole is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(whole), dtype=np.int64)), vectors(whole)], names=["i", "r"])
-
-    sums = df.select(*cols).mapInArrow(run, "i long, r array<double>").groupBy("i").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("r"))).alias("r")).orderBy("i").collect()
-    return np.array([row["r"] for row in sums]) if sums else None
-
-
 def spectrum(df: DataFrame, x: str, k: int) -> Projection:
-    """k directions by falling variance, also for k = d. One pass: counts, sums and products around the first row."""
-    rows = df.select(doubles(x).alias("_x"))
-    shift = np.array(rows.first()[0])
-    d = len(shift)
-
-    def part(m):
-        c = np.hstack([m - shift, np.ones((len(m), 1))])
-        return c.T @ c
-
-    total = _summed(rows, ["_x"], part)
-    n, mean = total[d, d], total[d, :d] / total[d, d]
+    """k directions by falling variance, also for k = d."""
+    n, mean, values, axes = moments.spectrum(df, x)
     if n < 2:
-        return Projection(np.zeros(d), np.eye(k, d), np.full(k, 1.0 / k))
-    values, axes = np.linalg.eigh((total[:d, :d] - n * np.outer(mean, mean)) / (n - 1))
-    values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1]
+        return Projection(np.zeros(len(mean)), np.eye(k, len(mean)), np.full(k, 1.0 / k))
     ratio = values[:k] / values.sum() if values.sum() > 0 else np.full(k, 1.0 / k)
-    return Projection(shift + mean, axes[:, :k].T, ratio)
+    return Projection(mean, axes[:k], ratio)
 
 
 def random_projection(d: int, k: int, seed: int = 42) -> Projection:
@@ -220,7 +195,7 @@ def least_squares(df: DataFrame, x: str, y: str, mean: np.ndarray) -> np.ndarray
         c = m - mean
         return c.T @ np.hstack([c, goal])
 
-    eq = _summed(df, [x, y], part)
+    eq = moments.summed(df, [x, y], part)
     return np.linalg.lstsq(eq[:, :d], eq[:, d:], rcond=None)[0].T
 
 
@@ -235,14 +210,28 @@ def fit_topological(df: DataFrame, vec_id: str, x: str, edges: DataFrame, source
     return Projection(mean, least_squares(both, "x", "y", mean))
 
 
-def diagnose(df: DataFrame, vec_id: str, x: str, z: str, concentration: DataFrame, distortion: DataFrame) -> DataFrame:
+def diagnose(df: DataFrame, vec_id: str, x: str, z: str, edges: DataFrame, concentration: DataFrame) -> DataFrame:
     """One row on how well z keeps the shape of x: divergence over 20 thresholds, path distortion, component and cycle
-    counts at half the range, Euler characteristic at five thresholds, density concentration, compression."""
-    wide = [0.01 + 0.99 * i / 19 for i in range(20)]
-    few = [0.1 + 0.7 * i / 4 for i in range(5)]
-    profile = materialize(filtration(df, vec_id, [x, z], sorted({*wide, *few, 0.5})))
-    score = divergence(profile.where(F.round("alpha", 9).isin(*[round(a, 9) for a in wide])), x, z)
-    a = profile.where(F.col("x") == x).select("alpha", F.col("components").alias("ca"), F.col("cycles").alias("ya"))
+    counts at half the range, Euler characteristic at five thresholds, density concentration, compression.
+
+    The shape of x is that of the path lengths over its neighbour graph, between all rows; rows within a path length are
+    connected exactly if edges up to that length connect them, so components come from the graph's spanning forest.
+    """
+    wide = [0.01 + 0.99 * i / 19 for i in range(19)] + [1.0]
+    few = [0.1 + 0.7 * i / 4 for i in range(4)] + [0.8]
+    levels = sorted({*wide, *few, 0.5})
+    n = df.count()
+    path = path_profile(edges, df, vec_id, z, levels)
+    share = F.least(F.col("d") / max(path.longest, EPS), F.lit(1.0))
+    tree = minimum_forest(edges.where("a < b").select("a", "b", "d"))
+    joined = tree.select(*[F.count_if(share <= v).alias(f"c{i}") for i, v in enumerate(levels)]).first()
+    parts = [n - joined[i] for i in range(len(levels))]
+    there = df.sparkSession.createDataFrame(
+        [("paths", float(v), parts[i], path.counts[i], max(0, path.counts[i] - n + parts[i])) for i, v in enumerate(levels)],
+        "x string, alpha double, components long, edges long, cycles long")
+    profile = materialize(filtration(df, vec_id, [z], levels).unionByName(there))
+    score = divergence(profile.where(F.round("alpha", 9).isin(*[round(a, 9) for a in wide])), "paths", z)
+    a = profile.where(F.col("x") == "paths").select("alpha", F.col("components").alias("ca"), F.col("cycles").alias("ya"))
     b = profile.where(F.col("x") == z).select("alpha", F.col("components").alias("cb"), F.col("cycles").alias("yb"))
     half = F.col("alpha") == 0.5
     kept = a.join(b, "alpha").agg(
@@ -252,7 +241,7 @@ def diagnose(df: DataFrame, vec_id: str, x: str, z: str, concentration: DataFram
             (F.col("ca") - F.col("ya")) - (F.col("cb") - F.col("yb"))) <= 1)).alias("euler_kept"))
     dims = df.select(F.size(x).alias("original_dim"), F.size(z).alias("target_dim")).limit(1)
     return dims.select(
-        score.select("divergence").scalar().alias("divergence"), distortion.select("distortion").scalar().alias("distortion"),
+        score.select("divergence").scalar().alias("divergence"), F.lit(path.distortion).alias("distortion"),
         *[kept.select(c).scalar().alias(c) for c in ("components_kept", "cycles_kept", "euler_kept")],
         concentration.select("concentration").scalar().alias("concentration"),
         (F.col("original_dim") / F.col("target_dim")).alias("compression"), "original_dim", "target_dim")

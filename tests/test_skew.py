@@ -6,7 +6,7 @@ from helpers import brute, vectors
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from latentlake.operators import blocks, graph, ordered, pairs, routes, traces
+from latentlake.operators import blocks, forest, graph, ordered, pairs, routes, traces
 from latentlake.operators.kernels import join_sets
 
 KEYS, ORDER = ["user_id"], ["ts", "event_id"]
@@ -139,7 +139,7 @@ def test_filtration_counts(spark, cloud):
     alphas = [0.05, 0.2, 0.5, 1.0]
     d = brute(cloud) / brute(cloud).max()
     for block in (1024, 16):
-        got = {r.alpha: r for r in graph.filtration(vectors(spark, cloud), "vec_id", ["x"], alphas, block).collect()}
+        got = {r.alpha: r for r in forest.filtration(vectors(spark, cloud), "vec_id", ["x"], alphas, block).collect()}
         for v in alphas:
             a, b = np.nonzero(np.triu(d <= v, 1))
             nodes, root, _ = join_sets(a, b)

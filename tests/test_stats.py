@@ -1,17 +1,32 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from latentlake.functions.special import t_quantile, t_two_sided
+from latentlake.functions import special
 from latentlake.operators import stats
 from latentlake.operators.commit import commit_once, decide
 
 
-def test_student_t_against_table_values():
-    assert abs(t_quantile(0.975, 10) - 2.228139) < 1e-5
-    assert abs(t_quantile(0.975, 1) - 12.706205) < 1e-4
-    assert abs(t_quantile(0.95, 30) - 1.697261) < 1e-5
-    assert abs(t_two_sided(2.228139, 10) - 0.05) < 1e-6
-    assert t_two_sided(0.0, 5) == 1.0 and t_two_sided(60.0, 1000) < 1e-12
+def _lgamma_tail(t: float, df: float, n: int = 400_000) -> float:
+    """Two-sided tail by the midpoint rule on the density."""
+    u = (np.arange(n) + 0.5) / n * abs(t)
+    density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(math.pi * df) - (df + 1) / 2 * np.log1p(u * u / df))
+    return 1 - 2 * density.sum() * abs(t) / n
+
+
+def test_student_t(spark):
+    rows = [(2.228139, 10, 0.05), (12.706205, 1, 0.05), (1.697261, 30, 0.1), (0.0, 5, 1.0), (60.0, 1000, 0.0)]
+    rows += [(t, d, _lgamma_tail(t, d)) for t in (0.3, -1.5, 4.0) for d in (1, 2, 3, 17, 400, 3_000_000)]
+    df = spark.createDataFrame([(float(t), d, float(p)) for t, d, p in rows], "t double, df long, p double")
+    for r in df.withColumn("q", special.p_value(F.col("t"), F.col("df"))).collect():
+        assert abs(r.q - r.p) < (1e-6 if r.df in (10, 1, 30) else 1e-8)
+    for alpha in (0.05, 0.001):
+        c = special.critical(F.col("df"), alpha)
+        for r in df.select(special.p_value(c, F.col("df")).alias("p")).collect():
+            assert abs(r.p - alpha) < 1e-11
+    none = spark.createDataFrame([(1.0, 0), (float("nan"), 5)], "t double, df long")
+    assert [r[0] for r in none.select(special.p_value(F.col("t"), F.col("df"))).collect()] == [None, None]
 
 
 def test_two_sample_and_paired(spark):
