@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latentlake.catalog.base import D, TARGET, exploded, label_means, label_references, long_form, query, r, states, table
@@ -215,8 +216,7 @@ STATUS = """k AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' T
     WHEN kind = 'reset' THEN 'reset' ELSE 'step' END AS status FROM b""")
 def _(spark, sf):
     """What became of every row: taken, reset, committed (once per key) or rejected after the commit."""
-    df = fed(table(spark, sf, "events")).withColumn("x", F.array("f1", "f2"))
-    return memory.remember(df, "user_id", ORDER, "event_id", "x", MEM, "kind").select("user_id", "event_id", "status")
+    return memory.statuses(fed(table(spark, sf, "events")), "user_id", ORDER, "kind").select("user_id", "event_id", "status")
 
 
 @query("r2_commit_best", f"""WITH k AS (SELECT user_id, event_id, value, event_type = 'error' AS closed, [value / 100, len(event_type) / 10.0::DOUBLE] AS f FROM events),
@@ -236,13 +236,26 @@ def _(spark, sf):
 @query("r3_reset_readout", f"""WITH {STATUS} SELECT user_id, count(*) FILTER (WHERE kind = 'reset' AND before = 0) AS resets,
     count(*) FILTER (WHERE kind = 'commit' AND before = 0) AS commits, count(*) FILTER (WHERE before > 0) AS rejected FROM b GROUP BY user_id""")
 def _(spark, sf):
-    """Resets, commits and rejections per key; a row after a reset reads out as a fresh memory's first row does."""
-    df = fed(table(spark, sf, "events")).withColumn("x", F.array("f1", "f2"))
-    out = memory.remember(df, "user_id", ORDER, "event_id", "x", MEM, "kind")
+    """Resets, commits and rejections per key."""
+    out = memory.statuses(fed(table(spark, sf, "events")), "user_id", ORDER, "kind")
     n = lambda s: F.count_if(F.col("status") == s)
     return out.groupBy("user_id").agg(n("reset").alias("resets"), n("committed").alias("commits"), n("rejected").alias("rejected"))
 
 
+@query("r3_first_after_reset", f"""WITH {STATUS}, w AS (SELECT {W_IN} AS wi, {W_OUT} AS wo),
+    n AS (SELECT b.*, lag(kind) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM b),
+    h AS (SELECT n.user_id, n.event_id, wo, list_transform(range(1, 9), lambda i: 0.3 * tanh(list_dot_product(wi[i], [value / 100, len(event_type) / 10.0::DOUBLE]))) AS h
+        FROM n JOIN events USING (event_id), w WHERE n.was = 'reset' AND n.kind = 'step' AND n.before = 0)
+    SELECT user_id, event_id, {r('list_dot_product(wo[1], h)', 'y1')}, {r('list_dot_product(wo[2], h)', 'y2')} FROM h""")
+def _(spark, sf):
+    """The row after a reset reads out as a fresh memory's first row does."""
+    df = fed(table(spark, sf, "events")).withColumn("x", F.array("f1", "f2"))
+    after = F.lag("kind").over(Window.partitionBy("user_id").orderBy(*ORDER)) == "reset"
+    marked = df.withColumn("after", after).where("after").select(F.col("event_id").alias("_e"))
+    out = memory.remember(df, "user_id", ORDER, "event_id", "x", MEM, "kind").where("status = 'step'")
+    return out.join(marked, F.col("event_id") == F.col("_e"), "left_semi").select("user_id", "event_id", F.get("y", 0).alias("y1"), F.get("y", 1).alias("y2"))
+
+
 @query("r4_commit_stream", """WITH w AS (SELECT user_id, ts, event_id, avg(value) OVER p AS m, count(*) OVER p AS n FROM events
     WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
     SELECT user_id, min_by(event_id, struct_pack(a := ts, b := event_id)) AS event_id, 'drift_stable' AS reason

@@ -7,6 +7,7 @@ closes the key; rows after it are rejected. A ``reset`` row clears an open key.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from latentlake.functions.vec import doubles
 from latentlake.operators.kernels import ints, matrix, vectors
-from latentlake.operators.ordered import ROWS_PER_TASK, numbered
+from latentlake.operators.ordered import ROWS_PER_TASK, running
 from latentlake.plans.runtime import materialize
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,6 +58,11 @@ class Memory:
         return fed, inner, rng.uniform(-1.0, 1.0, (self.d, units)) / np.sqrt(units)
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x w', summed in the same order for a row whatever other rows are there, so that all ways give equal digits."""
+    return np.einsum("mi,ri->mr", x, w)
+
+
 class _Cell:
     """One key's memory: advances row by row and says what became of each row."""
 
@@ -72,65 +78,111 @@ class _Cell:
             self.h = np.zeros_like(self.h)
             return "reset", None
         if kind == "commit":
-            y, self.committed, self.h = self.w_out @ self.h, True, np.zeros_like(self.h)
+            y, self.committed, self.h = _times(self.h[None, :], self.w_out)[0], True, np.zeros_like(self.h)
             return "committed", y
-        self.h = (1 - self.mem.leak) * self.h + self.mem.leak * np.tanh(self.w_in @ x + self.w_res @ self.h)
-        return "step", self.w_out @ self.h
+        fed = _times(x[None, :], self.w_in) + _times(self.h[None, :], self.w_res)
+        self.h = (1 - self.mem.leak) * self.h + self.mem.leak * np.tanh(fed[0])
+        return "step", _times(self.h[None, :], self.w_out)[0]
+
+
+def statuses(df: DataFrame, key: str, order: list[str], kind: str | None = None, limit: int = ROWS_PER_TASK) -> DataFrame:
+    """df with ``status`` (step, reset, committed, rejected), ``_rn`` (place in its key) and ``_part`` (resets so far).
+
+    What becomes of a row follows from the commits and resets before it: no memory is run for it.
+    """
+    said = F.col(kind) if kind else F.lit("step")
+    marks = df.withColumns({"_is_commit": (said == "commit").cast("int"), "_is_reset": (said == "reset").cast("int")})
+    rows = running(marks, [key], order, {"_rn": ("count", None), "_commits": ("sum", "_is_commit"), "_part": ("sum", "_is_reset")}, limit)
+    status = F.when(F.col("_commits") > F.col("_is_commit"), "rejected").when(F.col("_is_commit") == 1, "committed") \
+        .when(F.col("_is_reset") == 1, "reset").otherwise("step")
+    return rows.withColumn("status", status).drop("_is_commit", "_is_reset", "_commits")
+
+
+def _advance(mem: Memory, mats, x: np.ndarray, first: np.ndarray, length: np.ndarray, h: np.ndarray):
+    """Readouts of all rows, and end states, of units that run side by side: unit u has the rows first[u] .. + length[u]."""
+    w_in, w_res, w_out = mats
+    order = np.argsort(-length, kind="stable")
+    first, left, h = first[order], length[order], h[order].copy()
+    y = np.zeros((len(x), len(w_out)))
+    for t in range(int(left.max(initial=0))):
+        m = int(np.searchsorted(-left, -t, side="left"))  # units with more than t rows
+        at = first[:m] + t
+        h[:m] = (1 - mem.leak) * h[:m] + mem.leak * np.tanh(_times(x[at], w_in) + _times(h[:m], w_res))
+        y[at] = _times(h[:m], w_out)
+    ends = np.empty_like(h)
+    ends[order] = h
+    return y, ends
 
 
 def remember(df: DataFrame, key: str, order: list[str], row_id: str, x: str, mem: Memory, kind: str | None = None,
-             chunk_rows: int = 100_000, limit: int = ROWS_PER_TASK) -> DataFrame:
+             chunk_rows: int = 100_000, limit: int = ROWS_PER_TASK, task_rows: int = 50_000) -> DataFrame:
     """Readouts of a whole table: (key, row_id, status, y).
 
-    A key's rows depend on each other in order. Long keys are cut into chunks that run side by side: each chunk starts
-    from the state its predecessor ended with in the round before, and rounds repeat until no start state changes. Then
-    every chunk has run from its true start, so the result is that of one sequential run. Old states fade quickly, so
-    few rounds are needed; no task ever holds more than one chunk.
+    Commits and resets are found first, by sums in order. A reset starts from nothing, so the stretches between resets are
+    independent, and only rows that are taken run at all. A task advances many stretches as one matrix, row by row in
+    time. Long stretches are cut into chunks that run side by side: a chunk starts from the state that its predecessor
+    ended with, and only chunks whose start changed run again, until none does. Then every chunk has run from its true
+    start, so the result is that of one sequential run. Old states fade, so few rounds are needed.
     """
     mats, r = mem.matrices(), mem.d * mem.scale
-    rows = df.select(key, row_id, *[c for c in order if c not in (key, row_id)], doubles(x).alias("_x"),
-                     (F.col(kind) if kind else F.lit("step")).alias("_kind"))
-    rows = numbered(rows, [key], order, "_rn", limit).withColumn("_chunk", F.floor((F.col("_rn") - 1) / chunk_rows))
-    rows = rows.select(key, F.col(row_id).alias("_id"), "_rn", "_chunk", "_x", "_kind")
     types = dict(df.dtypes)
     key_type, id_type = types[key], types[row_id]
+    rows = df.select(key, F.col(row_id).alias("_id"), *[c for c in order if c not in (key, row_id)], *([row_id] if row_id in order else []),
+                     doubles(x).alias("_x"), (F.col(kind) if kind else F.lit("step")).alias("_kind"))
+    rows = statuses(rows, key, order, "_kind", limit).select(key, "_id", "_rn", "_part", "_x", "status")
+    n, longest = rows.agg(F.count(F.lit(1)), F.max("_rn")).first()
+    parts = max(1, -(-n // task_rows))
+    taken = rows.where(F.col("status").isin("step", "committed")).withColumn("_chunk", F.floor(F.col("_rn") / chunk_rows))
+    taken = taken.withColumn("_task", F.pmod(F.xxhash64(key, "_part", "_chunk"), F.lit(parts)))
+    unit = [key, "_part", "_chunk"]
 
     def run(table: pa.Table, only_end: bool) -> pa.Table:
-        pos = np.argsort(ints(table.column("_rn")))
-        xs, kinds = matrix(table.column("_x"))[pos], table.column("_kind").to_pylist()
-        start = table.column("_h")[0].as_py() if "_h" in table.column_names else None
-        closed = bool(table.column("_closed")[0].as_py()) if "_h" in table.column_names else False
-        cell = _Cell(mem, mats, start, closed)
-        said, ys = [], []
-        for i, p in enumerate(pos):
-            s, y = cell.take(kinds[p], xs[i])
-            if not only_end:
-                said.append(s), ys.append(None if y is None else y.tolist())
+        named = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices
+        part, chunk, rn = (ints(table.column(c)) for c in ("_part", "_chunk", "_rn"))
+        pos = np.lexsort((rn, chunk, part, ints(named)))
+        table, names = table.take(pa.array(pos)), np.stack([ints(named), part, chunk])[:, pos]
+        first = np.flatnonzero(np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(0)]))
+        length = np.diff(np.append(first, len(pos)))
+        last = np.array(table.column("status").to_pylist(), dtype=object)[first + length - 1] == "committed"  # a commit comes last and takes no step
+        if "_h" in table.column_names:
+            given = table.column("_h").take(pa.array(first)).to_pylist()
+            start = np.array([np.zeros(r) if v is None else v for v in given])
+        else:
+            start = np.zeros((len(first), r))
+        y, ends = _advance(mem, mats, matrix(table.column("_x")), first, length - last, start)
         if only_end:
-            return pa.table({key: table.column(key).slice(0, 1), "_chunk": pa.array([table.column("_chunk")[0].as_py() + 1]),
-                             "_h": vectors(cell.h[None, :]), "_closed": pa.array([cell.committed])})
-        ids = table.column("_id").take(pa.array(pos))
-        return pa.table({key: table.column(key).take(pa.array(pos)), row_id: ids, "status": pa.array(said),
-                         "y": pa.array(ys, pa.list_(pa.float64()))})
+            heads = table.take(pa.array(first))
+            return pa.table({key: heads.column(key), "_part": heads.column("_part"), "_chunk": pa.array(names[2, first] + 1), "_h": vectors(ends)})
+        y[(first + length - 1)[last]] = _times(ends[last], mats[2])
+        return pa.table({key: table.column(key), row_id: table.column("_id"), "status": table.column("status"), "y": vectors(y)})
 
     out_schema = f"{key} {key_type}, {row_id} {id_type}, status string, y array<double>"
-    if (rows.agg(F.max("_chunk")).first()[0] or 0) == 0:
-        return rows.groupBy(key, "_chunk").applyInArrow(lambda t: run(t, False), out_schema)
-    rows = materialize(rows)
-    starts = None
-    while True:
-        fed = rows if starts is None else rows.join(starts, [key, "_chunk"], "left") \
-            .withColumn("_h", F.coalesce("_h", F.array_repeat(F.lit(0.0), r))).withColumn("_closed", F.coalesce("_closed", F.lit(False)))
-        if starts is not None and not changed:
-            return fed.groupBy(key, "_chunk").applyInArrow(lambda t: run(t, False), out_schema)
-        ends = materialize(fed.groupBy(key, "_chunk").applyInArrow(
-            lambda t: run(t, True), f"{key} {key_type}, _chunk long, _h array<double>, _closed boolean"))
-        if starts is None:
-            changed = True
-        else:
-            old = starts.select(key, "_chunk", F.col("_h").alias("_oh"), F.col("_closed").alias("_oc"))
-            changed = not ends.join(old, [key, "_chunk"]).where((F.col("_h") != F.col("_oh")) | (F.col("_closed") != F.col("_oc"))).isEmpty()
-        starts = ends
+    end_schema = f"{key} {key_type}, _part long, _chunk long, _h array<double>"
+    if (longest or 0) >= chunk_rows:
+        taken = materialize(taken)
+        units = materialize(taken.select(*unit).distinct())
+        started = units.withColumn("_h", F.lit(None).cast("array<double>"))
+        again = started
+        while True:
+            ends = attached(taken, again, unit).groupBy("_task").applyInArrow(lambda t: run(t, True), end_schema)
+            ends = materialize(ends.withColumnsRenamed({c: f"_o_{c}" for c in unit}).withColumnRenamed("_h", "_n"))
+            both = started.join(ends, reduce(lambda a, b: a & b, [started[c].eqNullSafe(ends[f"_o_{c}"]) for c in unit]), "left")
+            moved = F.col("_n").isNotNull() & (F.col("_h").isNull() | (F.col("_h") != F.col("_n")))
+            both = materialize(both.withColumn("_moved", moved).select(*unit, F.when(moved, F.col("_n")).otherwise(F.col("_h")).alias("_h"), "_moved"))
+            started, again = both.drop("_moved"), both.where("_moved").drop("_moved")
+            if again.isEmpty():
+                break
+        taken = attached(taken, started, unit)
+    done = taken.groupBy("_task").applyInArrow(lambda t: run(t, False), out_schema)
+    others = rows.where(~F.col("status").isin("step", "committed")).select(key, F.col("_id").alias(row_id), "status", F.lit(None).cast("array<double>").alias("y"))
+    return done.unionByName(others)
+
+
+def attached(rows: DataFrame, starts: DataFrame, unit: list[str]) -> DataFrame:
+    """Rows of the units in ``starts``, with the unit's start state (null keys are keys)."""
+    other = starts.withColumnsRenamed({c: f"_s_{c}" for c in unit})
+    both = rows.join(other, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(other[f"_s_{c}"]) for c in unit]))
+    return both.drop(*[f"_s_{c}" for c in unit])
 
 
 class MemoryProcessor(StatefulProcessor):
