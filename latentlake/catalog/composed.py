@@ -16,6 +16,10 @@ from latentlake.plans.runtime import scratch_path
 from latentlake.streaming import memory, triggers
 
 
+def literal(m) -> str:
+    return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in m) + "]"
+
+
 @query("l1_evaluate", f"""WITH {TARGET}, f AS (SELECT *, d * pow(0.9, 30) AS r FROM s),
     ex AS (SELECT *, exp(min(r) OVER (PARTITION BY label) - r) AS ew FROM f),
     w AS (SELECT *, ew / sum(ew) OVER (PARTITION BY label) AS w FROM ex),
@@ -29,6 +33,29 @@ def _(spark, sf):
     return out.withColumn("n_levels", F.size("level_dims")).drop("committed", "level_dims")
 
 
+OWN = memory.Memory(D, scale=1)
+CAP = 0.17
+
+
+@query("l1_evaluate_own_parts", f"""WITH {TARGET}, m AS (SELECT {literal(OWN.matrices()[0])} AS wi, {literal(OWN.matrices()[2][:1])} AS wo),
+    f AS (SELECT s.*, list_transform(range(1, {D + 1}), lambda i: q[i] + (x[i] - q[i]) * pow(0.9, 30)) AS z FROM s),
+    k AS (SELECT *, sqrt(list_dot_product(z, z)) AS nz FROM f),
+    y AS (SELECT *, list_distance(list_transform(z, lambda v: CASE WHEN nz > {CAP} THEN v * {CAP} / nz ELSE v END), q) AS r FROM k),
+    ex AS (SELECT *, exp(min(r) OVER (PARTITION BY label) - r) AS ew FROM y),
+    w AS (SELECT *, ew / sum(ew) OVER (PARTITION BY label) AS w FROM ex),
+    g AS (SELECT label, count(*) AS n, count(*) FILTER (nz > {CAP}) AS folded, -sum(w * log2(w)) AS entropy, arg_min(vec_id, r) AS winner, arg_min(d, r) AS d, min(r) AS e,
+        arg_min(z, r) AS z FROM w GROUP BY label),
+    t AS (SELECT g.*, (SELECT avg(pow(0.9, k)) FROM unnest(range(21, 31)) u(k)) * d AS mean_recent, list_transform(wi, lambda row: 0.3 * tanh(list_dot_product(row, z))) AS h, wo FROM g, m)
+    SELECT label, winner, CASE WHEN entropy < 0.5 THEN 'entropy_low' WHEN mean_recent < 0.066 THEN 'drift_stable' ELSE 'forced_best' END AS reason,
+    {r('entropy', 'entropy')}, {r('mean_recent', 'mean_recent')}, n AS n_candidates, (n * 30)::BIGINT AS total_steps, 0::BIGINT AS converged_count,
+    folded AS fold_corrections, {r('greatest(0.0, 1 - e / 0.05)', 'quality')}, e <= 0.05 AS is_equivalent, {r('list_dot_product(wo[1], h)', 'memory')} FROM t""")
+def _(spark, sf):
+    """The same job with a field, a repair rule and a memory of the user's own."""
+    out = jobs.evaluate(states(spark, sf), label_means(spark, sf), max_steps=30, drift_threshold=0.066, fn=lambda x, q: q - x,
+                        rule=rules.norm_rule("x_final", CAP), memory=OWN)
+    return out.withColumn("memory", F.get("memory", 0)).drop("committed", "level_dims")
+
+
 @query("l1_levels", f"""WITH {TARGET}, w AS (SELECT label, arg_min(vec_id, struct_pack(a := d, b := vec_id)) AS vec_id FROM s GROUP BY label),
     c AS (SELECT s.label, list_transform(range(1, {D + 1}), lambda i: q[i] + (x[i] - q[i]) * pow(0.9, 30)) AS z FROM s JOIN w USING (vec_id))
     SELECT label, level::BIGINT AS level, dim::BIGINT AS dim, {r('list_sum(z[1:dim])', 'total')} FROM c, (VALUES (0, {D}), (1, {D // 2}), (2, {D // 4})) v(level, dim)""")
@@ -166,10 +193,6 @@ def readouts(df):
     return df.select("user_id", "event_id", "status", F.col("y")[0].alias("y1"), F.col("y")[1].alias("y2"))
 
 
-def literal(m) -> str:
-    return "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in row) + "]" for row in m) + "]"
-
-
 W_IN, W_RES, W_OUT = (literal(m) for m in MEM.matrices())
 ZERO = "[" + ", ".join(["0.0::DOUBLE"] * 8) + "]"
 READOUTS = f"""WITH RECURSIVE k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos,

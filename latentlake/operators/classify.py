@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentlake.functions.vec import EPS, doubles
+from latentlake.functions.vec import EPS, doubles, let, norm
 from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
 from latentlake.operators.kernels import exact_smallest, ints, matrix, pairwise, pieces, smallest, vectors
 from latentlake.operators.flow import GAINS, MAX_DIM
 from latentlake.plans.runtime import BROADCAST_BYTES, materialize
 
 
+COSINE_SLACK = 1e-12  # what the product form of a cosine distance may be off, with room to spare
+
+
 class ReferenceSet:
     """A reference table proven small enough to travel with every task: sorted keys and their vectors."""
 
@@ -44,7 +51,7 @@ def reference_set(df: DataFrame, key: str, x: str, limit: int = BROADCAST_BYTES)
 
 def _bounded(refs) -> ReferenceSet:
     if refs is None:
-        raise ValueError("the reference set exceeds the broadcast bound; use nearest_of_many")
+        raise ValueError("the reference set exceeds the broadcast bound; use the form of this operator that ends in _of_many")
     return refs
 
 
@@ -111,7 +118,7 @@ def nearest_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, k
         return pa.table({"_id": pa.array(ints(left.column("_id"))[r].astype(np.int64)), "d": pa.array(d[r, at]),
                          "key": keys.take(pa.array(at))})
 
-    part = on_pairs(tasked, ["_all"], two_best, f"_id long, d double, key {key_type}")
+    part = materialize(on_pairs(tasked, ["_all"], two_best, f"_id long, d double, key {key_type}"))  # read twice
     pair = F.struct("d", "key")  # the two smallest, merged by aggregates of fixed size
     first = part.groupBy("_id").agg(F.min(pair).alias("one"))
     second = part.join(first, "_id").where(pair != F.col("one")).groupBy("_id").agg(F.min("d").alias("d2"))
@@ -125,10 +132,19 @@ def _units(m: np.ndarray) -> np.ndarray:
     return np.where(n[:, None] < EPS, 0.0, m / np.maximum(n, EPS)[:, None])
 
 
-def _apart(m: np.ndarray, points: np.ndarray, metric: str) -> np.ndarray:
-    """Distances (rows of m x points); columns' smallest entries are exact. Cosine: 1 where a side has no direction."""
+def _apart(m: np.ndarray, points: np.ndarray, metric: str, tau: float) -> np.ndarray:
+    """Distances (rows of m x points); columns' smallest entries, and those near tau, are direct. Cosine: 1 where a side
+    has no direction."""
     if metric == "cosine":
-        return 1.0 - _units(m) @ _units(points).T
+        d = 1.0 - _units(m) @ _units(points).T
+        i, j = np.nonzero((d <= d.min(0, initial=np.inf) + COSINE_SLACK) | (np.abs(d - tau) <= COSINE_SLACK))
+        na, nb = np.sqrt((m * m).sum(1))[i], np.sqrt((points * points).sum(1))[j]
+        blank = (na < EPS) | (nb < EPS)
+        for s in range(0, len(i), 65536):
+            k = slice(s, s + 65536)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                d[i[k], j[k]] = np.where(blank[k], 1.0, 1.0 - (m[i[k]] * points[j[k]]).sum(1) / (na[k] * nb[k]))
+        return d
     if metric != "l2":
         raise ValueError(f"unknown metric {metric}")
     return exact_smallest(pairwise(m, points).T.copy(), points, m).T
@@ -145,7 +161,7 @@ def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau:
         for b in (piece for batch in batches for piece in pieces(batch, len(points))):
             ids = ints(b.column(vec_id))
             order = np.argsort(ids, kind="stable")
-            d = _apart(matrix(b.column(x))[order], points, metric)
+            d = _apart(matrix(b.column(x))[order], points, metric, tau)
             at = d.argmin(0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(points), dtype=np.int64)), pa.array(d[at, np.arange(len(points))]),
@@ -157,7 +173,7 @@ def best_equivalent(df: DataFrame, vec_id: str, x: str, refs: ReferenceSet, tau:
                        F.when(F.col("b.d") <= tau, F.col("b.id")).otherwise(F.lit(-1)).alias("best_id"))
 
 
-def _against_blocks(df: DataFrame, vec_id: str, x: str, references: DataFrame, carry: list[str], q: str, kernel, schema: str,
+def against_blocks(df: DataFrame, vec_id: str, x: str, references: DataFrame, carry: list[str], q: str, kernel, schema: str,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Run ``kernel(ids, rows, references' carried columns, their vectors)`` on every block of rows with every block of references."""
     types = dict(references.dtypes)
@@ -177,11 +193,11 @@ def best_equivalent_of_many(df: DataFrame, vec_id: str, x: str, references: Data
     """best_equivalent for targets too many to send to every task; a task returns one candidate per target of its block."""
     def kernel(ids, m, carried, points):
         order = np.argsort(ids, kind="stable")
-        d = _apart(m[order], points, metric)
+        d = _apart(m[order], points, metric, tau)
         at = d.argmin(0)
         return pa.table({"target": carried[key], "d": pa.array(d[at, np.arange(len(points))]), "id": pa.array(ids[order][at])})
 
-    part = _against_blocks(df, vec_id, x, references, [key], q, kernel, f"target {dict(references.dtypes)[key]}, d double, id long", block_rows)
+    part = against_blocks(df, vec_id, x, references, [key], q, kernel, f"target {dict(references.dtypes)[key]}, d double, id long", block_rows)
     best = part.groupBy("target").agg(F.min(F.struct("d", "id")).alias("b"))
     return best.select("target", F.col("b.d").alias("d"), F.when(F.col("b.d") <= tau, F.col("b.id")).otherwise(F.lit(-1)).alias("best_id"))
 
@@ -193,7 +209,7 @@ def summed_over_many(df: DataFrame, vec_id: str, x: str, references: DataFrame,
         values = score(pairwise(m, points), {c: np.array(v.to_pylist(), dtype=np.float64) for c, v in carried.items()})
         return pa.table({"id": pa.array(ids), "part": pa.array(values.sum(1))})
 
-    part = _against_blocks(df, vec_id, x, references, carry or [], q, kernel, "id long, part double", block_rows)
+    part = against_blocks(df, vec_id, x, references, carry or [], q, kernel, "id long, part double", block_rows)
     return part.groupBy(F.col("id").alias(vec_id)).agg(F.sum("part").alias("total"))
 
 
@@ -201,6 +217,15 @@ def competition_summary(results: DataFrame, refs: ReferenceSet) -> DataFrame:
     """One row per label, also for labels that won nothing: count, with the totals of the whole run alongside."""
     spark = results.sparkSession
     labels = spark.createDataFrame([(k,) for k in refs.keys], T.StructType([T.StructField("winner", results.schema["winner"].dataType)]))
+    return _summary(results, labels)
+
+
+def competition_summary_of_many(results: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """competition_summary for references too many to be collected."""
+    return _summary(results, references.select(F.col(key).alias("winner")).distinct())
+
+
+def _summary(results: DataFrame, labels: DataFrame) -> DataFrame:
     parts = materialize(results.groupBy("winner").agg(
         F.count(F.lit(1)).alias("n"), F.sum("certainty").alias("certainty"),
         F.count_if("contested").alias("contested")))
@@ -238,3 +263,34 @@ def compete(df: DataFrame, x: str, refs: ReferenceSet, field: str = "normalize",
             yield pa.RecordBatch.from_arrays([*b.columns, vectors(pos), pa.array(steps)], names=schema.names)
 
     return nearest(df.mapInArrow(move, schema), "x_final", refs, tol)
+
+
+def compete_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, key: str, q: str, field: str = "normalize", epsilon: float = 0.1, tol: float = 1e-2,
+                    max_steps: int = 500, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """compete for references too many to send to every task: (vec_id, x_final, steps, winner, d1, d2, margin, ...).
+
+    A step adds up each row's pull over the blocks of references; rows that are captured leave, and the loop ends with the
+    last of them. Each round's positions are checkpointed.
+    """
+    gain, fixed = GAINS[field], materialize(references.select(key, doubles(q).alias(q)))
+    n = fixed.count()
+
+    def pulls(ids, m, carried, points):
+        d = pairwise(m, points)
+        pull = np.where(d < EPS, 0.0, gain(d) / np.maximum(d, EPS)) / n
+        return pa.table({"id": pa.array(ids), "least": pa.array(d.min(1)), "sum": vectors(pull @ points - pull.sum(1)[:, None] * m)})
+
+    moving = materialize(df.select(F.col(vec_id).cast("long").alias("id"), doubles(x).alias("x"), F.lit(0).alias("steps")))
+    done = []
+    for _ in range(max_steps):
+        part = against_blocks(moving, "id", "x", fixed, [], q, pulls, "id long, least double, sum array<double>", block_rows)
+        total = part.groupBy("id").agg(F.min("least").alias("least"), vector_to_array(Summarizer.sum(array_to_vector("sum"))).alias("sum"))
+        both = materialize(moving.join(total, "id"))
+        done.append(both.where(F.col("least") < tol).select("id", "x", "steps"))
+        step = let(F.transform("sum", lambda v: v * epsilon), lambda s: let(F.greatest(F.lit(1.0), norm(s)), lambda size: F.zip_with("x", s, lambda a, b: a + b / size)))
+        moving = materialize(both.where(F.col("least") >= tol).select("id", step.alias("x"), (F.col("steps") + 1).alias("steps")))
+        if moving.isEmpty():
+            break
+    ended = materialize(reduce(DataFrame.unionByName, [*done, moving]))
+    verdicts = nearest_of_many(ended, "id", "x", fixed, key, q, tol, block_rows)
+    return ended.join(verdicts, "id").select(F.col("id").alias(vec_id), F.col("x").alias("x_final"), "steps", "winner", "d1", "d2", "margin", "certainty", "contested")

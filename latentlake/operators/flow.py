@@ -254,14 +254,16 @@ def coupled(df: DataFrame, group: str, vec_id: str, x: str, q: str, field: str =
     return state.drop("_best").withColumn("d", l2("x", "q"))
 
 
-def flow_with(df: DataFrame, x: str, q: str, fn, epsilon: float = 0.1, tol: float = 1e-3, max_steps: int = 1000) -> DataFrame:
+def flow_with(df: DataFrame, x: str, q: str, fn, epsilon: float = 0.1, tol: float = 1e-3, max_steps: int = 1000, last: int = 0) -> DataFrame:
     """Relaxation under a user function ``fn(X, Q) -> delta`` on (n, d) matrices.
 
-    Non-finite rows of delta count as zero, a step is at most 1 long and never passes the target.
+    Non-finite rows of delta count as zero, a step is at most 1 long and never passes the target. With ``last``, the column
+    ``tail`` holds the distances after each row's last steps, as many at most.
     """
     check_parameters(epsilon, tol, max_steps)
-    schema = T.StructType([*df.schema.fields, T.StructField("x_final", T.ArrayType(T.DoubleType())),
-                           T.StructField("steps", T.LongType()), T.StructField("converged", T.BooleanType())])
+    fields = [*df.schema.fields, T.StructField("x_final", T.ArrayType(T.DoubleType())),
+              T.StructField("steps", T.LongType()), T.StructField("converged", T.BooleanType())]
+    schema = T.StructType([*fields, T.StructField("tail", T.ArrayType(T.DoubleType()))] if last else fields)
 
     def run(batches):
         for b in batches:
@@ -270,6 +272,7 @@ def flow_with(df: DataFrame, x: str, q: str, fn, epsilon: float = 0.1, tol: floa
             pos, goal = matrix(b.column(x)).copy(), matrix(b.column(q))
             steps = np.zeros(len(pos), dtype=np.int64)
             done = np.zeros(len(pos), dtype=bool)
+            held = np.zeros((len(pos), last))
             active = np.arange(len(pos))
             for _ in range(max_steps):
                 if not len(active):
@@ -282,11 +285,15 @@ def flow_with(df: DataFrame, x: str, q: str, fn, epsilon: float = 0.1, tol: floa
                 want = np.minimum(size, 1.0)
                 want = np.where((want > EPS) & (want > left), left, want)
                 pos[active] = cur + delta * (want / np.maximum(size, EPS))[:, None]
+                apart = np.sqrt(((goal[active] - pos[active]) ** 2).sum(1))
+                if last:
+                    held[active, steps[active] % last] = apart
                 steps[active] += 1
-                near = np.sqrt(((goal[active] - pos[active]) ** 2).sum(1)) < tol
+                near = apart < tol
                 done[active[near]] = True
                 active = active[~near]
-            yield pa.RecordBatch.from_arrays([*b.columns, vectors(pos), pa.array(steps), pa.array(done)],
+            tails = [[h[k % last] for k in range(max(0, n - last), n)] for h, n in zip(held.tolist(), steps.tolist())] if last else None
+            yield pa.RecordBatch.from_arrays([*b.columns, vectors(pos), pa.array(steps), pa.array(done), *([pa.array(tails, pa.list_(pa.float64()))] if last else [])],
                                              names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latentlake.functions.vec import c, dot, doubles, l2, let, norm, scale, subspace_residual, vec_literal
-from latentlake.operators.classify import ReferenceSet, with_distances
+from latentlake.operators.blocks import BLOCK_ROWS
+from latentlake.operators.classify import ReferenceSet, against_blocks, reference_set, summed_over_many, with_distances
 from latentlake.operators.flow import MAX_DIM, check_parameters
 from latentlake.operators.kernels import matrix, pairwise, pieces, vectors
 from latentlake.operators.ordered import numbered
@@ -181,6 +184,28 @@ def potential(df: DataFrame, x: str, centers: ReferenceSet, strengths: list[floa
     return df.mapInArrow(run, schema)
 
 
+def balance_of_many(df: DataFrame, vec_id: str, x: str, references: DataFrame, key: str, q: str, first, second, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """balance and mean_distance (with vec_id) for references too many to send to every task; first and second are keys."""
+    n = references.count()
+    near = reference_set(references.where(F.col(key).isin(first, second)), key, q)
+    two = with_distances(df.select(vec_id, x), x, near, "_d").select(vec_id, (-F.abs(F.col("_d")[0] - F.col("_d")[len(near.keys) - 1])).alias("balance"))
+    whole = summed_over_many(df, vec_id, x, references, q, lambda d, _: d, block_rows=block_rows)
+    return two.join(whole, vec_id).select(vec_id, "balance", (F.col("total") / n).alias("mean_distance"))
+
+
+def potential_of_many(df: DataFrame, vec_id: str, x: str, wells: DataFrame, q: str, strength: str, width: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(vec_id, potential, gradient) of wells (q, strength, width) too many to send to every task: sums over blocks of them."""
+    def kernel(ids, m, carried, points):
+        s, w2 = (np.array(carried[c].to_pylist(), dtype=float) for c in (strength, width))
+        w2 = w2 ** 2
+        e = s * np.exp(-pairwise(m, points) ** 2 / (2 * w2))
+        pull = e / w2
+        return pa.table({"id": pa.array(ids), "v": pa.array(-e.sum(1)), "g": vectors(pull.sum(1)[:, None] * m - pull @ points)})
+
+    part = against_blocks(df, vec_id, x, wells, [strength, width], q, kernel, "id long, v double, g array<double>", block_rows)
+    return part.groupBy(F.col("id").alias(vec_id)).agg(F.sum("v").alias("potential"), vector_to_array(Summarizer.sum(array_to_vector("g"))).alias("gradient"))
+
+
 def gate(rows: DataFrame, column: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose value is allowed, and the quarantined rest (also nulls)."""
     ok = F.coalesce(c(column).isin(*allowed), F.lit(False))

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentlake.functions.vec import l2, quality
+from latentlake.functions.vec import l2, quality, total
 from latentlake.operators import flow as relaxing, ordered, quality as rules, reduction, routes, weights
 from latentlake.operators.commit import decide
 from latentlake.plans import stages
 from latentlake.plans.runtime import join_groups, materialize
+from latentlake.streaming.memory import Memory, read_out, stepped
 
 ROW = 8 * 1024
+RECENT = 10  # steps whose mean distance decides on a commit
 
 
 def evaluate(df: DataFrame, targets: DataFrame, group: str = "label", squeeze_to: int | None = None, field: str = "damped",
              epsilon: float = 0.1, tol: float = 1e-3, max_steps: int = 1000, tau: float = 0.05, entropy_threshold: float = 0.5,
-             drift_threshold: float = 0.01, levels: int = 3) -> DataFrame:
-    """One row per group: relax its candidates (vec_id, x) toward its target q, repair, weigh, commit to one, judge it."""
+             drift_threshold: float = 0.01, levels: int = 3, fn=None, rule: Column | None = None, memory: Memory | None = None) -> DataFrame:
+    """One row per group: relax its candidates (vec_id, x) toward its target q, repair, weigh, commit to one, judge it.
+
+    ``fn(X, Q)``: a field of the user's own instead of ``field`` (see ``flow_with``). ``rule``: a repair rule on the column
+    x_final, with a memory also on h, instead of the one for non-finite values. ``memory``: every candidate's memory takes
+    one step from where the candidate ends (column h); the committed one's readout is returned as ``memory``.
+    """
     d = rules.validate(df, "x", epsilon, tol, max_steps)
     p = reduction.fit_pca(df, "x", squeeze_to) if squeeze_to else None
     work, goal = df, targets
@@ -25,29 +32,40 @@ def evaluate(df: DataFrame, targets: DataFrame, group: str = "label", squeeze_to
         work = reduction.squeeze(df, "x", p, "x")
         goal = reduction.squeeze(targets, "q", p, "q")
     goal = materialize(goal)
-    rows = relaxing.relax(join_groups(work, goal, group, ROW), "x", "q", field, epsilon, tol, max_steps)
-    rows = rules.fold_with(rows, "x_final", rules.finite_rule("x_final"))
+    start = join_groups(work, goal, group, ROW)
+    if fn is None:
+        rows = relaxing.relax(start, "x", "q", field, epsilon, tol, max_steps).withColumn("tail", F.lit(None).cast("array<double>"))
+    else:
+        rows = relaxing.flow_with(start.withColumn("r0", l2("x", "q")), "x", "q", fn, epsilon, tol, max_steps, RECENT)
+    rows = stepped(rows, "x_final", memory) if memory else rows.withColumn("h", F.lit(None).cast("array<double>"))
+    rows = rules.fold_with(rows, "x_final", rules.finite_rule("x_final") if rule is None else rule)
     rows = materialize(rows.withColumn("d", l2("x_final", "q")).select(
-        group, "vec_id", "x_final", "r0", "d", "steps", "converged", "ok"))
+        group, "vec_id", "x_final", "r0", "d", "steps", "converged", "ok", "tail", "h"))
     weighed = weights.softmax(rows, group, "d")
     result = weighed.groupBy(group).agg(
         F.count(F.lit(1)).alias("n_candidates"), F.sum("steps").alias("total_steps"),
         F.count_if("converged").alias("converged_count"), F.count_if(~F.col("ok")).alias("fold_corrections"),
         weights.entropy().alias("entropy"),
-        F.min_by(F.struct("vec_id", "x_final", "r0", "steps"), F.struct("d", "vec_id")).alias("best"))
+        F.min_by(F.struct("vec_id", "x_final", "r0", "steps", "tail", "h"), F.struct("d", "vec_id")).alias("best"))
     result = materialize(result)
-    drift = relaxing.trace(result.select(group, "best.r0"), [group], "r0", field, epsilon, tol, max_steps)
-    tail = ordered.top_rows(drift, [group], [F.desc("step")], 10).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n_recent"), F.avg("drift").alias("mean_recent"))
-    out = decide(result.join(tail, group), entropy_threshold, 10, drift_threshold)
+    if fn is None:
+        drift = relaxing.trace(result.select(group, "best.r0"), [group], "r0", field, epsilon, tol, max_steps)
+        tail = ordered.top_rows(drift, [group], [F.desc("step")], RECENT).groupBy(group).agg(
+            F.count(F.lit(1)).alias("n_recent"), F.avg("drift").alias("mean_recent"))
+    else:
+        n = F.size("best.tail")
+        tail = result.select(group, n.cast("long").alias("n_recent"), (total("best.tail") / n).alias("mean_recent"))
+    out = decide(result.join(tail, group), entropy_threshold, RECENT, drift_threshold)
     out = out.withColumn("z", F.col("best.x_final"))
     if p is not None:
         out = reduction.unsqueeze(out, "z", p, "z")
+    if memory:
+        out = read_out(out.withColumn("_h", F.col("best.h")), "_h", memory)
     out = join_groups(out, targets, group, ROW).withColumn("_e", l2("z", "q"))
     dims = reduction.cascade_dims(d, levels)
     return out.select(group, F.col("best.vec_id").alias("winner"), F.col("z").alias("committed"), "reason", "entropy", "mean_recent",
                       "n_candidates", "total_steps", "converged_count", "fold_corrections", quality("_e", tau).alias("quality"),
-                      (F.col("_e") <= tau).alias("is_equivalent"), F.array(*[F.lit(k) for k in dims]).alias("level_dims"))
+                      (F.col("_e") <= tau).alias("is_equivalent"), F.array(*[F.lit(k) for k in dims]).alias("level_dims"), *(["memory"] if memory else []))
 
 
 def committed_levels(result: DataFrame, d: int, group: str = "label", levels: int = 3) -> DataFrame:

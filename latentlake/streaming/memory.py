@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from latentlake.functions.vec import doubles
@@ -222,6 +223,28 @@ def remember_stream(stream: DataFrame, key: str, order: list[str], row_id: str,
         outputMode="Append", timeMode="None")
 
 
+def _mapped(df: DataFrame, x: str, fn, name: str) -> DataFrame:
+    schema = T.StructType([*[f for f in df.schema.fields if f.name != name], T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in schema.names[:-1]], vectors(fn(matrix(b.column(x))))], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def stepped(df: DataFrame, x: str, mem: Memory, h: str = "h") -> DataFrame:
+    """df with the state of a fresh memory after one step on x."""
+    w_in = mem.matrices()[0]
+    return _mapped(df, x, lambda m: mem.leak * np.tanh(_times(m, w_in)), h)
+
+
+def read_out(df: DataFrame, h: str, mem: Memory, name: str = "memory") -> DataFrame:
+    w_out = mem.matrices()[2]
+    return _mapped(df, h, lambda m: _times(m, w_out), name)
+
+
 def commit_best(candidates: DataFrame, group: str, vec_id: str, weight: str, h: str, committed: str, mem: Memory) -> DataFrame:
     """(group, vec_id, status, y): per group the candidate of largest weight (smaller id on ties) reads its memory out once.
 
