@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latentlake.operators.blocks import BLOCK_ROWS, on_pairs, pair_tasks
+from latentlake.operators.blocks import BLOCK_ROWS, pair_tasks
 from latentlake.operators.kernels import ints
 from latentlake.operators.ordered import ROWS_PER_TASK, largest_group, numbered, windows
-from latentlake.plans.runtime import join_groups
+from latentlake.plans.runtime import join_groups, materialize
 
-MAX_GRID = 1024
+TASK_ROWS = 50_000
 
 
 def encode_ranks(df: DataFrame, route: list[str], order: list[str], limit: int = ROWS_PER_TASK) -> DataFrame:
@@ -58,24 +60,26 @@ def best_route(lengths: DataFrame, group: list[str], candidate: str, baseline) -
 
 
 def crossings(df: DataFrame, route: list[str], order: list[str], px: str, py: str, limit: int = ROWS_PER_TASK,
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
+              block_rows: int = BLOCK_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Number of proper self-crossings of each closed route.
 
-    Segments meet only in grid cells both pass through, cells being about one mean segment wide. A crossing counts in the
-    one cell that holds the crossing point. Tasks return counts, never pairs.
+    Segments meet only in grid cells both pass through. Cells are about one mean segment wide, so that all segments together
+    pass a few times as many cells as there are segments, however long single ones are. A crossing counts in the one cell
+    that holds the crossing point. Large cells are cut into blocks; a task takes many cells and compares the segments of
+    all of them side by side, each with the one that follows it by 1, 2, .. places. Tasks return counts, never pairs.
     """
     seg = segments(df, route, order, px, py, limit)
     box = seg.groupBy(*route).agg(
-        F.min("px").alias("_x0"), F.min("py").alias("_y0"), F.max("px").alias("_x1"), F.max("py").alias("_y1"),
+        F.min("px").alias("_x0"), F.min("py").alias("_y0"), F.max("px").alias("_x1"), F.max("py").alias("_y1"), F.count(F.lit(1)).alias("_n"),
         F.avg(F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py"))).alias("_mean"))
     side = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(1e-12))
     box = box.withColumn("_width", side * (1 + 1e-9)).withColumn(
-        "_g", F.least(F.lit(MAX_GRID), F.greatest(F.lit(1), F.floor(F.col("_width") / F.greatest("_mean", F.lit(1e-12))).cast("int"))))
+        "_g", F.least(F.col("_n"), F.greatest(F.lit(1), F.floor(F.col("_width") / F.greatest("_mean", F.lit(1e-12))))))
     rows = join_groups(seg, box.select(*route, "_x0", "_y0", "_width", "_g"), route)
     g, size, pad = F.col("_g"), F.col("_width") / F.col("_g"), F.col("_width") * 1e-9
 
     def cell(v, origin):
-        return F.least(g - 1, F.greatest(F.lit(0), F.floor((v - origin) / size).cast("int")))
+        return F.least(g - 1, F.greatest(F.lit(0), F.floor((v - origin) / size)))
 
     # grid rows a segment passes, then the columns it passes within each of them (a little wide, so rounding loses nothing)
     low, high = F.least("py", "qy"), F.greatest("py", "qy")
@@ -91,37 +95,51 @@ def crossings(df: DataFrame, route: list[str], order: list[str], px: str, py: st
     rows = rows.drop("_xa", "_xb").withColumn("_home", F.lit(True))
     cells = [*route, "_cx", "_cy"]
     types = dict(df.dtypes)
-
-    def count(left, right, same):
-        def cols(t):
-            return {c: t.column(c).to_numpy() for c in ("idx", "px", "py", "qx", "qy")}
-
-        a, b = cols(left), cols(right)
-        n = left.column("n")[0].as_py() if left.num_rows else 0
-        x0, y0, side_, g_, cx, cy = (left.column(c)[0].as_py() if left.num_rows else 1 for c in
-                                     ("_x0", "_y0", "_width", "_g", "_cx", "_cy"))
-        i, j = a["idx"][:, None], b["idx"][None, :]
-        lo, hi = np.minimum(i, j), np.maximum(i, j)
-        ok = (hi >= lo + 2) & ~((lo == 0) & (hi == n - 1))
-        if same:
-            ok &= i < j
-        ax, ay = (a["qx"] - a["px"])[:, None], (a["qy"] - a["py"])[:, None]
-        bx, by = (b["qx"] - b["px"])[None, :], (b["qy"] - b["py"])[None, :]
-        dx, dy = b["px"][None, :] - a["px"][:, None], b["py"][None, :] - a["py"][:, None]
-        cross = ax * by - ay * bx
-        ok &= np.abs(cross) >= 1e-10
-        safe = np.where(ok, cross, 1.0)
-        t, u = (dx * by - dy * bx) / safe, (dx * ay - dy * ax) / safe
-        ok &= (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        # the same segment always supplies the point, so both cells agree on where it lies
-        first = i < j
-        hx = np.where(first, a["px"][:, None] + t * ax, b["px"][None, :] + u * bx)
-        hy = np.where(first, a["py"][:, None] + t * ay, b["py"][None, :] + u * by)
-        ok &= np.clip(np.floor((hx - x0) / (side_ / g_)), 0, g_ - 1) == cx
-        ok &= np.clip(np.floor((hy - y0) / (side_ / g_)), 0, g_ - 1) == cy
-        out = {r: left.column(r).slice(0, 1) for r in route}
-        return pa.table({**out, "n": pa.array([int(ok.sum())] if left.num_rows else [], pa.int64())})
+    met = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c").withColumnsRenamed({c: f"_k_{c}" for c in cells})
+    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(met[f"_k_{c}"]) for c in cells])
+    shared = materialize(rows.join(met, same, "left_semi"))  # a segment alone in its cell crosses nothing there
+    tasked = pair_tasks(shared, cells, "idx", block_rows)
+    parts = max(1, -(-shared.count() // task_rows))
+    tasked = tasked.withColumn("_task", F.pmod(F.xxhash64(*cells, "_i", "_j"), F.lit(parts)))
+
+    def count(table: pa.Table) -> pa.Table:
+        named = [ints(table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices) for c in route]
+        keys = np.stack([*named, *[table.column(c).to_numpy() for c in ("_cx", "_cy", "_i", "_j")]]).astype(np.int64)
+        by = np.lexsort(keys)
+        keys = keys[:, by]
+        unit = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(0))])  # cell and pair of blocks
+        ends = np.searchsorted(unit, unit, side="right")
+        own = {c: table.column(c).to_numpy()[by] for c in ("idx", "n", "px", "py", "qx", "qy", "_x0", "_y0", "_width", "_g", "_cx", "_cy", "_i", "_j", "_side")}
+        found, at = np.zeros(len(by), np.int64), np.arange(len(by))
+        for step in range(1, len(by)):
+            at = at[at + step < ends[at]]
+            if not len(at):
+                break
+            found[at] += _cross(own, at, at + step)
+        first = np.flatnonzero(np.concatenate([[True], (keys[:len(route), 1:] != keys[:len(route), :-1]).any(0)])) if route else np.zeros(1, np.int64)
+        heads = table.take(pa.array(by[first]))
+        return pa.table({**{r: heads.column(r) for r in route}, "n": pa.array(np.add.reduceat(found, first))})
 
     schema = ", ".join([*[f"{r} {types[r]}" for r in route], "n long"])
-    counted = on_pairs(pair_tasks(rows, cells, "idx", block_rows), cells, count, schema)
-    return counted.groupBy(*route).agg(F.sum("n").alias("crossings"))
+    counted = tasked.groupBy("_task").applyInArrow(count, schema)
+    every = box.select(*route).withColumn("n", F.lit(0).cast("long"))
+    return counted.unionByName(every).groupBy(*route).agg(F.sum("n").alias("crossings"))
+
+
+def _cross(s: dict, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether the segments at places p and q of one cell cross there."""
+    swap = s["idx"][p] > s["idx"][q]  # the same segment always supplies the point, so all cells agree on where it lies
+    p, q = np.where(swap, q, p), np.where(swap, p, q)
+    ok = (s["idx"][q] >= s["idx"][p] + 2) & ~((s["idx"][p] == 0) & (s["idx"][q] == s["n"][p] - 1))
+    ok &= (s["_i"][p] == s["_j"][p]) | (s["_side"][p] != s["_side"][q])
+    ax, ay, bx, by = (s[e][k] - s[f][k] for k in (p, q) for e, f in (("qx", "px"), ("qy", "py")))
+    dx, dy = s["px"][q] - s["px"][p], s["py"][q] - s["py"][p]
+    cross = ax * by - ay * bx
+    ok &= np.abs(cross) >= 1e-10
+    safe = np.where(ok, cross, 1.0)
+    t, u = (dx * by - dy * bx) / safe, (dx * ay - dy * ax) / safe
+    ok &= (t > 0) & (t < 1) & (u > 0) & (u < 1)
+    size, last = s["_width"][p] / s["_g"][p], s["_g"][p] - 1
+    for at, origin, c in ((s["px"][p] + t * ax, "_x0", "_cx"), (s["py"][p] + t * ay, "_y0", "_cy")):
+        ok &= np.clip(np.floor((at - s[origin][p]) / size), 0, last) == s[c][p]
+    return ok

@@ -207,3 +207,50 @@ def test_square_has_no_crossing_and_length_four(spark):
         assert routes.crossings(df, ["r"], ["i"], "px", "py").first().crossings == crossings
         if not crossings:
             assert routes.route_lengths(df, ["r"], ["i"], "px", "py").first().length == 4.0
+
+
+def ties_of(k):
+    """A chain of k bow ties; the route closes with one segment across all of them."""
+    return np.array([p for i in range(k) for p in ((4.0 * i, 0.0), (4.0 * i + 1, 1.0), (4.0 * i + 1, 0.0), (4.0 * i, 1.0))])
+
+
+def plain_crossings(pts):
+    n, out = len(pts), 0
+    ends = np.roll(pts, -1, axis=0)
+    for i in range(n):
+        for j in range(i + 2, n):
+            if i == 0 and j == n - 1:
+                continue
+            a, b, d = ends[i] - pts[i], ends[j] - pts[j], pts[j] - pts[i]
+            cross = a[0] * b[1] - a[1] * b[0]
+            if abs(cross) >= 1e-10:
+                out += 0 < (d[0] * b[1] - d[1] * b[0]) / cross < 1 and 0 < (d[0] * a[1] - d[1] * a[0]) / cross < 1
+    return out
+
+
+def route_of(spark, pts, name):
+    import pandas as pd
+
+    return spark.createDataFrame(pd.DataFrame({"r": name, "i": np.arange(len(pts)), "x": pts[:, 0], "y": pts[:, 1]}))
+
+
+def test_crossings_in_blocks_and_small_tasks(spark):
+    rng = np.random.default_rng(2)
+    clouds = {"ties": ties_of(9), "random": rng.random((60, 2)), "dense": np.vstack([rng.random((50, 2)) * 1e-3, rng.random((8, 2))]), "line": np.array([[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]])}
+    df = route_of(spark, clouds["ties"], "ties")
+    for name in ("random", "dense", "line"):
+        df = df.unionByName(route_of(spark, clouds[name], name))
+    want = {name: plain_crossings(pts) for name, pts in clouds.items()}
+    for block, task in ((1024, 50_000), (5, 40)):
+        got = routes.crossings(df, ["r"], ["i"], "x", "y", block_rows=block, task_rows=task)
+        assert {r.r: r.crossings for r in got.collect()} == want
+
+
+def test_a_route_of_many_segments(spark):
+    """Counts grow by the same number with every bow tie; the closing segment passes all cells."""
+    few = {k: plain_crossings(ties_of(k)) for k in (20, 21, 22)}
+    step = few[21] - few[20]
+    assert few[22] - few[21] == step
+    k = 100_000
+    got = routes.crossings(route_of(spark, ties_of(k), "long"), ["r"], ["i"], "x", "y").first()
+    assert got.crossings == few[20] + (k - 20) * step
