@@ -229,6 +229,20 @@ def _(spark, sf):
     return readouts(spark.read.schema("user_id long, event_id long, status string, y array<double>").parquet(path))
 
 
+@query("r1_memory_batches", READOUTS)
+def _(spark, sf):
+    """The events in four files by time, so that the stream takes four micro-batches."""
+    source, path = scratch_path(spark, "events"), scratch_path(spark, "readouts")
+    ev = table(spark, sf, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    cuts = sorted(set(ev.approxQuantile("_at", [0.25, 0.5, 0.75], 0.01)))
+    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
+        ev.where((F.col("_at") > lo) & (F.col("_at") <= hi)).drop("_at").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = memory.remember_stream(fed(stream), "user_id", ORDER, "event_id", ["f1", "f2"], MEM, "kind")
+    triggers.run_available(out, triggers.append_sink(path))
+    return readouts(spark.read.schema("user_id long, event_id long, status string, y array<double>").parquet(path))
+
+
 STATUS = """k AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 'reset' WHEN event_type = 'signup' AND value > 80 THEN 'commit'
         ELSE 'step' END AS kind FROM events),
     b AS (SELECT *, coalesce(sum((kind = 'commit')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING

@@ -208,19 +208,26 @@ class MemoryProcessor(StatefulProcessor):
         yield pd.DataFrame({self.key: [key[0]] * len(batch), self.row_id: batch[self.row_id].to_numpy(),
                             "status": [s for s, _ in told], "y": [None if y is None else y.tolist() for _, y in told]})
 
+    def handleInitialState(self, key, initialState, timerValues):
+        self.state.update(([0.0] * (self.mem.d * self.mem.scale), True))
+
     def close(self):
         pass
 
 
 def remember_stream(stream: DataFrame, key: str, order: list[str], row_id: str, features: list[str], mem: Memory,
-                    kind: str | None = None) -> DataFrame:
-    """Readouts of a stream; rows of a key arriving in one micro-batch are taken in ``order``."""
+                    kind: str | None = None, committed: DataFrame | None = None) -> DataFrame:
+    """Readouts of a stream; rows of a key arriving in one micro-batch are taken in ``order``.
+
+    ``committed``: a table with the keys that have committed before, such as the committed rows of an earlier run's sink. A
+    stream that starts without a checkpoint rejects the rows of these keys.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     types = dict(stream.dtypes)
     return stream.groupBy(key).transformWithStateInPandas(
         MemoryProcessor(mem, key, order, row_id, features, kind),
         outputStructType=f"{key} {types[key]}, {row_id} {types[row_id]}, status string, y array<double>",
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="None", initialState=None if committed is None else committed.select(key).distinct().groupBy(key))
 
 
 def _mapped(df: DataFrame, x: str, fn, name: str) -> DataFrame:

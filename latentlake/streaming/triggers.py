@@ -40,17 +40,22 @@ class StableTrigger(StatefulProcessor):
         if hit is not None:
             yield pd.DataFrame({self.key: [key[0]], self.row_id: [hit], "reason": ["drift_stable"]})
 
+    def handleInitialState(self, key, initialState, timerValues):
+        self.state.update(([], True))
+
     def close(self):
         pass
 
 
 def stable_stream(stream: DataFrame, key: str, order: list[str], row_id: str, value: str, threshold: float = 0.01,
-                  width: int = 10) -> DataFrame:
+                  width: int = 10, fired: DataFrame | None = None) -> DataFrame:
+    """(key, row_id, reason) of the row at which a key fires, once. ``fired``: keys that have fired in an earlier run."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     types = dict(stream.dtypes)
     return stream.groupBy(key).transformWithStateInPandas(
         StableTrigger(key, order, row_id, value, threshold, width),
-        outputStructType=f"{key} {types[key]}, {row_id} {types[row_id]}, reason string", outputMode="Append", timeMode="None")
+        outputStructType=f"{key} {types[key]}, {row_id} {types[row_id]}, reason string", outputMode="Append", timeMode="None",
+        initialState=None if fired is None else fired.select(key).distinct().groupBy(key))
 
 
 def run_available(stream: DataFrame, sink, checkpoint: str | None = None) -> None:

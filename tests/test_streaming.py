@@ -85,3 +85,33 @@ def test_parameters_are_checked():
             memory.Memory(**bad)
     w_in, w_res, w_out = memory.Memory(3).matrices()
     assert w_in.shape == (12, 3) and w_out.shape == (3, 12) and abs(np.abs(np.linalg.eigvals(w_res)).max() - 0.9) < 1e-9
+
+
+def test_a_stream_that_knows_only_the_table_rejects_what_is_committed(spark, parts, tmp_path):
+    """The second half of the events with no checkpoint of the first: committed keys stay closed, others start anew."""
+    ev = parts[1]
+    half = ev.approxQuantile("event_id", [0.5], 0.0)[0]
+    early = memory.remember(fed(ev.where(F.col("event_id") <= half)).withColumn("x", F.array("f1", "f2")), "user_id", ["event_id"], "event_id", "x", MEM, "kind")
+    closed = early.where("status = 'committed'")
+    keys = {r.user_id for r in closed.collect()}
+    later = fed(ev.where(F.col("event_id") > half))
+    source = str(tmp_path / "late")
+    ev.where(F.col("event_id") > half).coalesce(1).write.parquet(source)
+    rows = spark.readStream.schema(ev.schema).parquet(source)
+    out = memory.remember_stream(fed(rows), "user_id", ["event_id"], "event_id", ["f1", "f2"], MEM, "kind", closed)
+    triggers.run_available(out, triggers.append_sink(str(tmp_path / "o")))
+    got = {r.event_id: r.status for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    want = {r.event_id: r.status for r in memory.statuses(later, "user_id", ["event_id"], "kind").collect()}
+    own = {r.event_id: r.user_id for r in later.collect()}
+    assert keys and got == {e: "rejected" if own[e] in keys else s for e, s in want.items()}
+
+
+def test_a_trigger_that_knows_only_the_table_does_not_fire_again(spark, parts, tmp_path):
+    fired = traces.first_stable(parts[1], ["user_id"], ["event_id"], "value", 30.0).where("first IS NOT NULL").select("user_id").limit(1)
+    known = fired.first().user_id
+    rows = stream(spark, parts).select("event_id", "user_id", "value")
+    out = triggers.stable_stream(rows, "user_id", ["event_id"], "event_id", "value", threshold=30.0, fired=spark.createDataFrame([(known,)], "user_id long"))
+    triggers.run_available(out, triggers.append_sink(str(tmp_path / "c")))
+    keys = {r.user_id for r in spark.read.parquet(str(tmp_path / "c")).collect()}
+    want = {r.user_id for r in traces.first_stable(parts[1], ["user_id"], ["event_id"], "value", 30.0).where("first IS NOT NULL").collect()}
+    assert keys == want - {known}
