@@ -44,9 +44,9 @@ def test_loops_end_or_raise(spark):
     edges = path(spark, 24)
     assert graph.components(edges, one_task=0).select("component").distinct().count() == 1
     assert graph.minimum_forest(edges, one_task=0).count() == 24
-    assert graph.geodesics(edges, [0]).count() == 25
+    assert graph.geodesics(edges, [0], one_task=0).count() == 25
     for limited in (lambda: graph.components(edges, one_task=0, max_rounds=2), lambda: graph.minimum_forest(edges, one_task=0, max_rounds=1),
-                    lambda: graph.geodesics(edges, [0], max_rounds=5)):
+                    lambda: graph.geodesics(edges, [0], max_rounds=5, one_task=0)):
         with pytest.raises(RuntimeError):
             limited().count()
 
