@@ -32,7 +32,7 @@ from latentlake.llm.arrays import Maps, array_folder, gathered, mapped, narrowes
 from latentlake.llm.text import hashed_words, owners, pieces, text_bytes, written
 
 END = np.uint64(0)        # hash of the end of a text; words whose hash is 0 take 1
-SHARD_TOKENS = 4_000_000  # tokens per shard, about
+SHARD_TOKENS = 3_000_000  # tokens per shard, about
 SCALE = 1 << 32
 
 
