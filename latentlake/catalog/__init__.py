@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("vectors", "candidates", "relaxation", "diagnosis", "pairwork", "reducing", "files", "composed")
+MODULES = ("vectors", "candidates", "relaxation", "diagnosis", "pairwork", "reducing", "planes", "files", "composed")
 
 
 def load_catalog():
