@@ -76,15 +76,26 @@ def _(spark, sf):
     return routes.decode_ranks(enc, ["label"], "rank_value", "vec_id").select("label", "vec_id", "rank_value", "position")
 
 
-@query("w5_movement", f"""WITH {NORMALIZE}, k AS (SELECT vec_id, k AS step, greatest(0.0, d - k * 0.1) AS drift,
+MOVED = f"""WITH {NORMALIZE}, k AS (SELECT vec_id, k AS step, greatest(0.0, d - k * 0.1) AS drift,
     greatest(0.0, d - (k - 1) * 0.1) AS before FROM z, unnest(range(1, steps + 1)) t(k))
-    SELECT vec_id, step, {r('drift', 'drift')}, {r('before - drift', 'moved')} FROM k""")
+    SELECT vec_id, step, {r('drift', 'drift')}, {r('before - drift', 'moved')} FROM k"""
+
+
+@query("w5_movement", MOVED)
 def _(spark, sf):
     df = with_target(spark, sf).withColumn("r0", vec.l2("x", "q"))
     path = flow.trace(df, ["vec_id", "x", "q", "r0"], "r0").withColumn("at", flow.path_at("x", "q", "r0", "drift"))
     return traces.movement(path, ["vec_id"], "step", "at", "x").select("vec_id", "step", "drift", "moved")
 
 
+@query("w5_movement_along", MOVED)
+def _(spark, sf):
+    """The same from distances alone: no vector leaves the row it is in."""
+    df = with_target(spark, sf).select("vec_id", vec.l2("x", "q").alias("r0"))
+    path = flow.trace(df, ["vec_id", "r0"], "r0")
+    return traces.movement_along(path, ["vec_id"], "step", "drift", "r0").select("vec_id", "step", "drift", "moved")
+
+
 @query("w6_history", f"""WITH h AS (SELECT event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
     ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS h FROM events)
     SELECT event_id, len(h) AS n, {r('h[1]', 'oldest')}, {r('h[len(h)]', 'newest')}, {r('list_sum(h)', 'total')} FROM h""")

@@ -207,3 +207,17 @@ def _(spark, sf):
         out = out.join(mean, level).withColumn(f"d_{level}", vec.l2("x", "_m")).drop("_m")
     return out.groupBy("label_l0", "label_l1").agg(F.count(F.lit(1)).alias("n"), F.avg("d_label_l0").alias("to_centre"),
                                                   F.avg("d_label_l1").alias("to_sub_centre"))
+
+
+@query("s12_cluster_shape", f"""WITH {E}, n AS (SELECT count(*) AS n FROM e) SELECT label_l0::BIGINT AS label_l0, 3::BIGINT AS sub_clusters, n AS n_all,
+    32::BIGINT AS dim, true AS nested, true AS tight FROM n, unnest(range(0, 3)) t(label_l0)""")
+def _(spark, sf):
+    """What is certain about clustered points: three clusters of three, every row in one, closer to its sub-cluster's
+    centre than sub-clusters are wide."""
+    df = generators.clustered(states(spark, sf), "vec_id")
+    mean = df.groupBy("label_l1").agg(vec.mean_vector("x").alias("_m"))
+    out = df.join(F.broadcast(mean), "label_l1").withColumn("_d", vec.l2("x", "_m"))  # nine centres
+    whole = out.groupBy("label_l0").agg(
+        F.countDistinct("label_l1").alias("sub_clusters"), F.count(F.lit(1)).alias("_n"), F.max(F.size("x")).alias("dim"),
+        F.bool_and(F.floor(F.col("label_l1") / 3) == F.col("label_l0")).alias("nested"), (F.max("_d") < 0.1 * 32).alias("tight"))
+    return whole.withColumn("n_all", df.agg(F.count(F.lit(1))).scalar()).drop("_n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from latentlake.catalog.base import E, MEANS, query, r, states
 from latentlake.catalog.vectors import NEXT, with_next
 from latentlake.functions import vec
-from latentlake.operators import blocks, forest, graph, hashing, landmarks, pairs, paths, reduction, weights
+from latentlake.operators import blocks, farfield, forest, graph, hashing, landmarks, pairs, paths, reduction, weights
 from latentlake.plans.runtime import materialize
 
 DISTINCT = "rep AS (SELECT embedding::DOUBLE[] AS x, min(vec_id) AS id, count(*) AS n FROM embeddings GROUP BY embedding)"
@@ -293,6 +293,18 @@ def _(spark, sf):
     return out.select("vec_id", (F.col("isolation") * 1000000).alias("isolation_ppm"))
 
 
+@query("i5_isolation_within", f"""WITH {phases(2)}, lo AS (SELECT i.vec_id, sum(1 / pow(list_distance(i.x, j.x) + 1e-12, 2)) AS loss FROM am i JOIN am j
+        ON i.label = j.label AND i.vec_id <> j.vec_id GROUP BY i.vec_id)
+    SELECT vec_id, {r('(re * re + im * im) / greatest(loss, 1e-12) * 1000000', 'exact_ppm')}, true AS near, true AS bounded FROM am JOIN lo USING (vec_id)""")
+def _(spark, sf):
+    """Scores from far cells' sums, each within five percent and within its own bound of the exact one."""
+    df = phased(spark, sf, 2)
+    exact = pairs.isolation(df, "label", "vec_id", "x").select("vec_id", F.col("isolation").alias("exact"))
+    both = farfield.isolation_within(df, "label", "vec_id", "x", 0.05, cell_rows=8).select("vec_id", "isolation", "off").join(exact, "vec_id")
+    away = F.abs(F.col("isolation") / F.col("exact") - 1)
+    return both.select("vec_id", (F.col("exact") * 1000000).alias("exact_ppm"), (away <= 0.05 + 1e-6).alias("near"), (away <= F.col("off") + 1e-6).alias("bounded"))
+
+
 @query("i6_interference_filter", f"""WITH RECURSIVE {merged(64)}, lo AS (SELECT i.label, i.vec_id, any_value(i.re * i.re + i.im * i.im)
         / greatest(coalesce(sum(1 / pow(list_distance(i.x, j.x) + 1e-12, 2)), 0), 1e-12) AS iso
         FROM mg i LEFT JOIN mg j ON i.label = j.label AND i.vec_id <> j.vec_id GROUP BY i.label, i.vec_id),

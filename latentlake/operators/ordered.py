@@ -65,6 +65,30 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "rn",
     return running(df, keys, order, {name: ("count", None)}, limit, largest)
 
 
+def kth_smallest(df: DataFrame, column: str, k: int, bits: int = 16) -> int | None:
+    """The k-th smallest value of a whole-number column, the largest if there are fewer, None if there is none or k < 1.
+
+    Values are counted by their leading bits, then those of the deciding bucket by the next ones: a few counting passes,
+    each with at most 2**bits groups, instead of a sort in one task. Nulls take no part.
+    """
+    if k < 1:
+        return None
+    rows = materialize(df.select(F.col(column).cast("long").alias("v")).where(F.col("v").isNotNull()))
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if n <= k:
+        return high
+    while low < high:  # the value sought is between low and high
+        shift = max(0, (high - low).bit_length() - bits)
+        bucket = F.shiftright("v", shift)
+        counts = rows.where(F.col("v").between(low, high)).groupBy(bucket.alias("b")).agg(F.count("v").alias("n")).orderBy("b").collect()
+        for row in counts:
+            if k <= row["n"]:
+                low, high = max(low, row["b"] << shift), min(high, ((row["b"] + 1) << shift) - 1)
+                break
+            k -= row["n"]
+    return low
+
+
 def windows(df: DataFrame, keys: list[str], order: list[str], build: Callable[[DataFrame, list[str], list[str]], DataFrame],
             before: int = 0, after: int = 0, limit: int = ROWS_PER_TASK, largest: int | None = None) -> DataFrame:
     """Apply fixed-reach window expressions (lag, lead, rolling frames) per key.

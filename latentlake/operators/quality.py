@@ -15,10 +15,9 @@ from latentlake.operators.blocks import BLOCK_ROWS
 from latentlake.operators.classify import ReferenceSet, against_blocks, reference_set, summed_over_many, with_distances
 from latentlake.operators.flow import MAX_DIM, check_parameters
 from latentlake.operators.kernels import matrix, pairwise, pieces, vectors
-from latentlake.operators.ordered import numbered
+from latentlake.operators.ordered import kth_smallest
 
 INF = float("inf")
-SORTED_BUDGET = 1_000_000
 
 
 def is_bad(v: Column) -> Column:
@@ -78,11 +77,7 @@ def audit(df: DataFrame, vec_id: str, x: str, rule: Column, interval: int = 1, m
     else:
         # the budget-th smallest failing id bounds the corrected ids: one value, not a list of all failures
         failed = df.withColumn("checked", checked).withColumn("_r", rule).where(failing).select(vec_id)
-        if max_corrections <= SORTED_BUDGET:
-            within = failed.orderBy(vec_id).limit(max_corrections)
-        else:
-            within = numbered(failed.withColumn("_all", F.lit(0)), ["_all"], [vec_id]).where(F.col("rn") <= max_corrections)
-        last = within.agg(F.max(vec_id)).first()[0]
+        last = kth_smallest(failed, vec_id, max_corrections)
         in_budget = F.lit(False) if last is None else (F.col(vec_id) <= last)
         out = out.withColumn("corrected", F.coalesce(failing & in_budget, F.lit(False)))
     return out.withColumns({

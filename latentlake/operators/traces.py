@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from latentlake.functions.vec import l2
 from latentlake.operators.ordered import ROWS_PER_TASK, largest_group, numbered, top_rows, windows
+from latentlake.plans.runtime import materialize
 
 
 def rolling(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = 10,
@@ -51,6 +52,7 @@ def stall(df: DataFrame, keys: list[str], order: list[str], value: str, width: i
 
 def traps(df: DataFrame, keys: list[str], order: list[str], value: str, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Per key: length, final value, stall step and trap type, judged on the last 50 values."""
+    df = materialize(df.select(*keys, *order, value))  # read three times
     tail = top_rows(df, keys, [F.desc(c) for c in order], 50, "_back")
     w = Window.partitionBy(*keys).orderBy(F.desc("_back"))
     tail = tail.withColumn("_delta", F.col(value) - F.lag(value).over(w))
@@ -75,6 +77,12 @@ def movement(df: DataFrame, keys: list[str], step: str, x: str, start: str) -> D
         "moved", l2(x, "_prev")).drop("_prev")
 
 
+def movement_along(df: DataFrame, keys: list[str], step: str, drift: str, r0: str) -> DataFrame:
+    """Distance moved in each step of a path that leads straight to its target: from the distances left, without positions."""
+    before = F.lag(drift).over(Window.partitionBy(*keys).orderBy(step))
+    return df.withColumn("moved", F.abs(F.coalesce(before, F.col(r0)) - F.col(drift)))
+
+
 def history(df: DataFrame, keys: list[str], order: list[str], value: str, last_n: int, limit: int = ROWS_PER_TASK) -> DataFrame:
     """Add the last ``last_n`` values up to each row, oldest first."""
 

@@ -6,7 +6,7 @@ from helpers import vectors
 from pyspark.sql import functions as F
 
 from latentlake.functions import vec
-from latentlake.operators import classify, flow, quality, weights
+from latentlake.operators import classify, flow, ordered, quality, weights
 
 
 def radii(spark, values):
@@ -158,11 +158,20 @@ def test_weights_of_far_rows_do_not_underflow(spark):
     assert abs(w[1] / w[0] - np.e) < 1e-9 and abs(sum(w) - 1) < 1e-12
 
 
-def test_audit_budget(spark, monkeypatch):
+def test_audit_budget(spark):
     df = vectors(spark, [[float("nan"), 1.0]] * 10)
     out = quality.audit(df, "vec_id", "x", quality.finite_rule("x"), max_corrections=3)
     assert sorted(r.vec_id for r in out.where("corrected").collect()) == [0, 1, 2]
     assert quality.audit(df, "vec_id", "x", quality.finite_rule("x")).where("corrected").count() == 10
-    monkeypatch.setattr(quality, "SORTED_BUDGET", 2)
-    out = quality.audit(df, "vec_id", "x", quality.finite_rule("x"), max_corrections=4)
-    assert sorted(r.vec_id for r in out.where("corrected").collect()) == [0, 1, 2, 3]
+    assert quality.audit(df, "vec_id", "x", quality.finite_rule("x"), max_corrections=0).where("corrected").count() == 0
+    assert quality.audit(df, "vec_id", "x", quality.finite_rule("x"), max_corrections=99).where("corrected").count() == 10
+
+
+def test_kth_smallest(spark):
+    rng = np.random.default_rng(6)
+    some = [*rng.integers(-2**62, 2**62, 40).tolist(), *rng.integers(-50, 50, 60).tolist(), -2**63, 2**63 - 1, 7, 7, 7]
+    df = spark.createDataFrame([(v,) for v in [*some, None]], "id long")
+    for bits in (2, 16):
+        for k in (1, 2, 20, 53, 80, 104, 105, 200):
+            assert ordered.kth_smallest(df, "id", k, bits) == sorted(some)[min(k, len(some)) - 1]
+    assert ordered.kth_smallest(df, "id", 0) is None and ordered.kth_smallest(df.where("false"), "id", 3) is None
