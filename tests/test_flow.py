@@ -171,7 +171,7 @@ def test_kth_smallest(spark):
     rng = np.random.default_rng(6)
     some = [*rng.integers(-2**62, 2**62, 40).tolist(), *rng.integers(-50, 50, 60).tolist(), -2**63, 2**63 - 1, 7, 7, 7]
     df = spark.createDataFrame([(v,) for v in [*some, None]], "id long")
-    for bits in (2, 16):
-        for k in (1, 2, 20, 53, 80, 104, 105, 200):
+    for bits, places in ((8, (1, 53, 104)), (16, (2, 80, 200))):
+        for k in places:
             assert ordered.kth_smallest(df, "id", k, bits) == sorted(some)[min(k, len(some)) - 1]
     assert ordered.kth_smallest(df, "id", 0) is None and ordered.kth_smallest(df.where("false"), "id", 3) is None
