@@ -20,6 +20,7 @@ from latentlake.operators.blocks import BLOCK_ROWS, choose_pivots, collapse_copi
 from latentlake.operators.kernels import ints, matrix, pairwise
 from latentlake.plans.runtime import join_groups, materialize
 
+SEEN = 500_000   # pairs of a row and a cell looked at together
 FAR_ROWS = 4096  # rows that meet the cells of their group in one task
 
 
@@ -74,6 +75,11 @@ def _seen(homes: DataFrame, cells: DataFrame, group: str, vec_id: str, x: str, e
     spread = join_groups(cells, counted, group).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).drop("_k")
 
     def bounds(left: pa.Table, right: pa.Table) -> pa.Table:
+        step = max(1, SEEN // max(1, right.num_rows))
+        return pa.concat_tables(some(left.slice(s, step), right) for s in range(0, left.num_rows or 1, step))
+
+    def some(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The bounds of so many rows that a matrix of rows and cells is small."""
         ids, own, cell = ints(left.column(vec_id)), ints(left.column("_cell")), ints(right.column("_cell"))
         d = pairwise(matrix(left.column("_x")), matrix(right.column("mean")))
         reach, n = ints(right.column("reach"))[None, :], ints(right.column("size"))[None, :].astype(float)
