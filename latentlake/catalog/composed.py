@@ -236,7 +236,7 @@ def _(spark, sf):
     ev = table(spark, sf, "events").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
     cuts = sorted(set(ev.approxQuantile("_at", [0.25, 0.5, 0.75], 0.01)))
     for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
-        ev.where((F.col("_at") > lo) & (F.col("_at") <= hi)).drop("_at").coalesce(1).write.mode("append").parquet(source)
+        ev.where((F.col("_at") > lo) & (F.col("_at") <= hi)).drop("_at").repartition(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(table(spark, sf, "events").schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = memory.remember_stream(fed(stream), "user_id", ORDER, "event_id", ["f1", "f2"], MEM, "kind")
     triggers.run_available(out, triggers.append_sink(path))

@@ -64,28 +64,6 @@ def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.einsum("mi,ri->mr", x, w)
 
 
-class _Cell:
-    """One key's memory: advances row by row and says what became of each row."""
-
-    def __init__(self, mem: Memory, mats, h=None, committed: bool = False):
-        self.mem, (self.w_in, self.w_res, self.w_out) = mem, mats
-        self.h = np.zeros(mem.d * mem.scale) if h is None else np.array(h, dtype=np.float64)
-        self.committed = committed
-
-    def take(self, kind: str, x: np.ndarray):
-        if self.committed:
-            return "rejected", None
-        if kind == "reset":
-            self.h = np.zeros_like(self.h)
-            return "reset", None
-        if kind == "commit":
-            y, self.committed, self.h = _times(self.h[None, :], self.w_out)[0], True, np.zeros_like(self.h)
-            return "committed", y
-        fed = _times(x[None, :], self.w_in) + _times(self.h[None, :], self.w_res)
-        self.h = (1 - self.mem.leak) * self.h + self.mem.leak * np.tanh(fed[0])
-        return "step", _times(self.h[None, :], self.w_out)[0]
-
-
 def statuses(df: DataFrame, key: str, order: list[str], kind: str | None = None, limit: int = ROWS_PER_TASK) -> DataFrame:
     """df with ``status`` (step, reset, committed, rejected), ``_rn`` (place in its key) and ``_part`` (resets so far).
 
@@ -115,6 +93,28 @@ def _advance(mem: Memory, mats, x: np.ndarray, first: np.ndarray, length: np.nda
     return y, ends
 
 
+def _told(mem: Memory, mats, kinds: np.ndarray, x: np.ndarray, h: np.ndarray, committed: bool):
+    """Statuses and readouts of one key's rows in order, then its state: stretches between resets advance side by side."""
+    n = len(kinds)
+    stop = 0 if committed else int(np.argmax(kinds == "commit")) if (kinds == "commit").any() else n
+    resets = np.flatnonzero(kinds[:stop] == "reset")
+    status, y = np.full(n, "rejected", dtype=object), [None] * n
+    if committed:
+        return status, y, h, True
+    status[:stop] = "step"
+    status[resets] = "reset"
+    first = np.concatenate([[0], resets + 1])
+    start = np.zeros((len(first), len(h)))
+    start[0] = h
+    told, ends = _advance(mem, mats, x, first, np.append(resets, stop) - first, start)
+    for i in np.flatnonzero(status == "step").tolist():
+        y[i] = told[i].tolist()
+    if stop == n:
+        return status, y, ends[-1], False
+    status[stop], y[stop] = "committed", _times(ends[-1:], mats[2])[0].tolist()
+    return status, y, np.zeros_like(h), True
+
+
 def remember(df: DataFrame, key: str, order: list[str], row_id: str, x: str, mem: Memory, kind: str | None = None,
              chunk_rows: int = 100_000, limit: int = ROWS_PER_TASK, task_rows: int = 50_000) -> DataFrame:
     """Readouts of a whole table: (key, row_id, status, y).
@@ -200,13 +200,11 @@ class MemoryProcessor(StatefulProcessor):
         import pandas as pd
 
         batch = pd.concat(list(rows)).sort_values(self.order)
-        cell = _Cell(self.mem, self.mats, *(self.state.get() if self.state.exists() else ()))
-        xs = batch[self.features].to_numpy(dtype=float)
-        kinds = batch[self.kind].tolist() if self.kind else ["step"] * len(batch)
-        told = [cell.take(k, x) for k, x in zip(kinds, xs)]
-        self.state.update((cell.h.tolist(), cell.committed))
-        yield pd.DataFrame({self.key: [key[0]] * len(batch), self.row_id: batch[self.row_id].to_numpy(),
-                            "status": [s for s, _ in told], "y": [None if y is None else y.tolist() for _, y in told]})
+        h, committed = self.state.get() if self.state.exists() else (np.zeros(self.mem.d * self.mem.scale), False)
+        kinds = batch[self.kind].to_numpy() if self.kind else np.full(len(batch), "step")
+        status, y, h, committed = _told(self.mem, self.mats, kinds, batch[self.features].to_numpy(dtype=float), np.array(h, dtype=np.float64), committed)
+        self.state.update((h.tolist(), committed))
+        yield pd.DataFrame({self.key: [key[0]] * len(batch), self.row_id: batch[self.row_id].to_numpy(), "status": status, "y": y})
 
     def handleInitialState(self, key, initialState, timerValues):
         self.state.update(([0.0] * (self.mem.d * self.mem.scale), True))
