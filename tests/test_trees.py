@@ -1,11 +1,13 @@
 """Sketches, spanning trees, hashing, landmarks and all-pairs paths against plain versions, on every way they can take."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from helpers import brute, vectors
 from pyspark.sql import functions as F
 
-from latentlake.operators import blocks, forest, graph, hashing, landmarks, pairs, paths, sketch
+from latentlake.operators import blocks, forest, graph, hashing, kernels, landmarks, pairs, paths, sketch
 from latentlake.operators.kernels import join_sets
 
 
@@ -198,3 +200,30 @@ def test_paths_in_one_task_and_in_rounds(spark):
     one, many = (graph.geodesics(edges, [0, 7, 7, 30, 999], one_task=n) for n in (10**6, 0))
     a, b = ({(r.source, r.node): r.d for r in far.collect()} for far in (one, many))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_paths_over_nodes_of_all_degrees():
+    """A hub, chains and nodes out of reach, the node that all others enter included; every block size gives the same paths."""
+    rng = np.random.default_rng(5)
+    n = 90
+    links = {(i, j): rng.random() + 0.1 for i, j in zip(rng.integers(0, 80, 150), rng.integers(0, 80, 150)) if i != j}
+    links |= {(i, 7): 0.01 * i + 0.5 for i in range(n - 1) if i != 7} | {(80, 81): 1.0, (81, 82): 1.0}
+    a, b, w = np.array([k[0] for k in links]), np.array([k[1] for k in links]), np.array(list(links.values()))
+    order = np.argsort(b, kind="stable")
+    a, b, w = a[order], b[order], w[order]
+    want = all_paths(n, zip(a, b, w))
+    sources = np.array([0, 7, 80, 89])
+    for at_once, hub in ((2_048, 128), (2_048, 4), (3, 4), (1, 0)):
+        assert np.allclose(kernels.relaxed(sources, a, b, w, n, at_once, hub), want[sources], atol=1e-12)
+
+
+def test_paths_hold_few_edges_at_a_time():
+    """Three nodes that all others enter: what is held beside the paths is bounded by the nodes of a step, not by their edges."""
+    n, own = 20_000, np.arange(32)
+    a, b = np.tile(np.arange(3, n), 3), np.repeat(np.arange(3), n - 3)
+    tracemalloc.start()
+    got = kernels.relaxed(own, a, b, np.ones(len(a)), n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[3:, :3] == 1.0).all() and np.isinf(got[0, 1:]).all()
+    assert peak < 3 * got.nbytes
