@@ -227,3 +227,22 @@ def test_paths_hold_few_edges_at_a_time():
     tracemalloc.stop()
     assert (got[3:, :3] == 1.0).all() and np.isinf(got[0, 1:]).all()
     assert peak < 3 * got.nbytes
+
+
+def test_hashing_returns_a_pair_once_and_is_counted_without_pairs(spark):
+    """A pair that all tables bring together comes from the first; sums over blocks say the same as the pairs themselves."""
+    m = uniform(120)
+    df, d = vectors(spark, m), brute(m)
+    schemes = {tau: hashing.Scheme(5, 1, 4.0) for tau in (0.9, 1.2)}
+    exact = {r.tau: r for r in hashing.against_exact(df, "vec_id", "x", schemes, block_rows=32).collect()}
+    for tau, scheme in schemes.items():
+        for block in (None, 16):
+            got = hashing.similar_pairs_by_hashing(df, "vec_id", "x", tau, scheme=scheme, block_rows=block)
+            shuffles = got.groupBy().count()._jdf.queryExecution().executedPlan().toString()
+            pairs_found = [(r.a, r.b) for r in got.collect()]
+            dealt = [line for line in shuffles.splitlines() if "hashpartitioning" in line]
+            assert not any("hashpartitioning(a#" in line for line in dealt)  # pairs stay where they are found
+            assert any("_i#" in line and "_j#" in line for line in dealt)  # a bucket's blocks are many tasks
+            assert len(set(pairs_found)) == len(pairs_found) == exact[tau].shared
+            assert exact[tau].pairs == int((np.triu(d <= tau, 1)).sum())
+            assert sum(hashing.digest(*(np.array(c) for c in p)) for p in pairs_found) == exact[tau].digest
