@@ -246,3 +246,16 @@ def test_hashing_returns_a_pair_once_and_is_counted_without_pairs(spark):
             assert len(set(pairs_found)) == len(pairs_found) == exact[tau].shared
             assert exact[tau].pairs == int((np.triu(d <= tau, 1)).sum())
             assert sum(hashing.digest(*(np.array(c) for c in p)) for p in pairs_found) == exact[tau].digest
+
+
+def test_profiles_ship_vectors_as_they_are_stored(spark, sf, monkeypatch):
+    """Both columns of the squeezed pair stay float, and counting strip by strip changes no count."""
+    from latentlake.catalog.pairwork import squeezed_pair
+
+    assert [t for _, t in squeezed_pair(spark, sf).dtypes[1:]] == ["array<float>"] * 2
+    m = np.vstack([lattice(), lattice()[:5]])
+    df, d = vectors(spark, m), brute(m)
+    for strip in (65_536, 40):
+        monkeypatch.setattr(forest, "STRIP", strip)
+        got = forest.filtration(df, "vec_id", ["x"], [0.25, 0.5, 1.0], 20).collect()
+        assert [r.edges for r in got] == [int(np.triu(d / d.max() <= r.alpha, 1).sum()) for r in got]
