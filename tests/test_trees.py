@@ -1,5 +1,6 @@
 """Sketches, spanning trees, hashing, landmarks and all-pairs paths against plain versions, on every way they can take."""
 
+import re
 import tracemalloc
 
 import numpy as np
@@ -84,6 +85,18 @@ def test_all_thresholds_from_one_tree(spark, name):
         assert counts == {t: len(set(v.values())) for t, v in want.items()}
 
 
+def test_levels_are_joined_by_id(spark):
+    """Copies find their representative once; no further level ships the vectors again."""
+    m = np.vstack([lattice(), lattice()[:7]])
+    got = forest.hierarchy(vectors(spark, m), "vec_id", "x", [0.05, 0.1, 0.2])
+    assert not re.search(r"\bx#", got.groupBy().count()._jdf.queryExecution().executedPlan().toString())
+    want = {0.05: [i % 64 for i in range(len(m))], 0.1: None, 0.2: [0] * len(m)}
+    for tau, parts in want.items():
+        found = [r.component for r in got.where(F.col("tau") == tau).orderBy("vec_id").collect()]
+        assert len(found) == len(m) and all(found[i] == found[i - 64] for i in range(64, len(m)))
+        assert parts is None or found == parts
+
+
 @pytest.mark.parametrize("one_block", [10**6, 1])
 def test_all_pairs_are_within_the_largest_distance(spark, one_block):
     """Two columns whose largest distance many pairs share."""
