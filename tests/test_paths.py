@@ -61,3 +61,20 @@ def test_both_ways_to_relax_give_the_same_paths(dear):
         if (want == last).all():
             break
     assert (kernels.relax(own, kernels.Links.of(a, b, w, n), n, 16, 8, dear) == want).all()
+
+
+def test_a_block_is_profiled_in_strips(monkeypatch):
+    """Strips of any size give the counts and sums of all paths at once; what is held beside the paths is a strip."""
+    rng = np.random.default_rng(3)
+    n, own, levels = 90, np.array([3, 50, 89]), np.array([0.0, 0.3, 0.9, 1.0])
+    path, points = rng.random((n, 3)) * 5, rng.standard_normal((n, 2))
+    path[own, np.arange(3)], path[7], path[8, 1] = 0.0, np.inf, 0.0
+    straight = np.sqrt(((points[:, None] - points[own][None]) ** 2).sum(2))
+    good, off = np.isfinite(path) & (path > 0), np.ones((n, 3), bool)
+    off[own, np.arange(3)] = False
+    want = [int((path[off & np.isfinite(path)] / 5 <= v).sum()) for v in levels]
+    for strip in (1 << 16, 10, 1):
+        monkeypatch.setattr(paths, "STRIP", strip)
+        got, gap, top, counts = paths._profiled(path.copy(), points, own, levels, 5.0, 4.0)
+        assert (got, top, counts.tolist()) == (good.sum(), path[good].max(), want)
+        assert gap == pytest.approx(np.abs(path[good] / 5 - straight[good] / 4).sum(), abs=1e-9)
