@@ -78,3 +78,12 @@ def test_a_block_is_profiled_in_strips(monkeypatch):
         got, gap, top, counts = paths._profiled(path.copy(), points, own, levels, 5.0, 4.0)
         assert (got, top, counts.tolist()) == (good.sum(), path[good].max(), want)
         assert gap == pytest.approx(np.abs(path[good] / 5 - straight[good] / 4).sum(), abs=1e-9)
+
+
+def test_diagnostics_ship_vectors_as_they_are_stored(spark, sf, monkeypatch):
+    from __spark_entry__ import queries
+
+    seen, real = [], pairs.nearest_neighbours
+    monkeypatch.setattr(pairs, "nearest_neighbours", lambda df, *a, **kw: seen.append(dict(df.dtypes)["x"]) or real(df, *a, **kw))
+    row = queries()["g6_diagnostics"](spark, sf).first()
+    assert seen == ["array<float>"] and (row.original_dim, row.target_dim) == (64, 16)
